@@ -2,6 +2,10 @@
 
 from .registry import ORACLES, QUERIES
 
-from . import scalar_queries  # noqa: F401
+from . import (  # noqa: F401
+    dedup_queries,
+    scalar_queries,
+    search_queries,
+)
 
 __all__ = ["ORACLES", "QUERIES"]
