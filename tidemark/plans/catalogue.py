@@ -4,6 +4,7 @@ from .registry import ORACLES, QUERIES
 
 from . import (  # noqa: F401
     dedup_queries,
+    join_queries,
     scalar_queries,
     search_queries,
 )
