@@ -5,6 +5,7 @@ from .registry import ORACLES, QUERIES
 from . import (  # noqa: F401
     dedup_queries,
     join_queries,
+    ordered_queries,
     scalar_queries,
     search_queries,
 )
