@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dedupe_array, dedupe_urls
-from ..functions.hashing import json_safe, offer_hash
+from ..functions.hashing import offer_hash
 from ..functions.text import _col, normalize_purpose
 from .lifecycle import AbsencePolicy
 
@@ -77,27 +77,21 @@ def merge_metadata(old, new) -> Column:
     return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
 
 
-def _json_value(c: Column, data_type: str) -> Column:
-    """One value as JSON text."""
-    wrapped = F.to_json(F.array(json_safe(c, data_type)))
-    return F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
+def _json_value(col: str, data_type: str) -> str:
+    """SQL for one column's value as JSON text, a decimal in quotes."""
+    value = f"CAST({col} AS STRING)" if data_type.startswith(("decimal", "timestamp")) else col
+    return f"substr(to_json(array({value})), 2, length(to_json(array({value}))) - 2)"
 
 
 def changed_fields(df: DataFrame, cols: list[str], old: str = "old_", new: str = "") -> Column:
     """The columns that differ, by name, as an array of (name, old, new) in JSON text."""
     types = dict(df.dtypes)
     entries = [
-        F.when(
-            ~F.col(old + c).eqNullSafe(F.col(new + c)),
-            F.struct(
-                F.lit(c).alias("name"),
-                _json_value(F.col(old + c), types[old + c]).alias("old"),
-                _json_value(F.col(new + c), types[new + c]).alias("new"),
-            ),
-        )
+        f"""CASE WHEN NOT ({old}{c} <=> {new}{c}) THEN named_struct('name', '{c}',
+          'old', {_json_value(old + c, types[old + c])}, 'new', {_json_value(new + c, types[new + c])}) END"""
         for c in sorted(cols)
     ]
-    return F.array_compact(F.array(*entries))
+    return F.expr(f"array_compact(array({', '.join(entries)}))")
 
 
 def fields_json(changes: Column, side: str) -> Column:

@@ -8,6 +8,8 @@ from . import (  # noqa: F401
     ordered_queries,
     scalar_queries,
     search_queries,
+    snapshot_queries,
+    source_queries,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

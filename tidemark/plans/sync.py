@@ -129,7 +129,7 @@ class SyncResult:
 def conform(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """The named columns in their types, NULL where the frame lacks one."""
     have = set(df.columns)
-    return df.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+    return df.selectExpr(*[f"CAST({c if c in have else 'NULL'} AS {t}) AS {c}" for c, t in columns.items()])
 
 
 def empty_tables(spark: SparkSession) -> Tables:
@@ -182,14 +182,14 @@ def _offer_events() -> Column:
 
 def _matched(tables: Tables, cards: DataFrame, details: DataFrame, run: Run, now: Column) -> DataFrame:
     """Stored rows and cards side by side, each card with its detail page if that is to be read."""
-    stored = tables.listings.select(F.col("external_id"), *[F.col(c).alias("old_" + c) for c in LISTING_COLUMNS if c != "external_id"])
+    stored = tables.listings.selectExpr("external_id", *[f"{c} AS old_{c}" for c in LISTING_COLUMNS if c != "external_id"])
     both = (
         stored.withColumn("_stored", F.lit(True))
         .join(cards.withColumn("_carded", F.lit(True)), KEY, "full")
         .withColumn("is_new", F.col("_stored").isNull())
         .withColumn("sighted", F.coalesce("_carded", F.lit(False)))
     )
-    extra = details.select("external_id", F.lit(True).alias("_detail"), *[F.col(c).alias("d_" + c) for c in DETAIL_COLUMNS if c != "external_id"])
+    extra = details.selectExpr("external_id", "true AS _detail", *[f"{c} AS d_{c}" for c in DETAIL_COLUMNS if c != "external_id"])
     if run.max_details is not None:
         due = snap.refresh_plan(both.filter("sighted"), run.detail_ttl_hours, run.mode, now, ["page", "position"], run.max_details)
         extra = extra.join(due.select(*KEY), KEY, "left_semi")
