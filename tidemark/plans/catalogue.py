@@ -6,10 +6,12 @@ from . import (  # noqa: F401
     dedup_queries,
     join_queries,
     ordered_queries,
+    page_queries,
     scalar_queries,
     search_queries,
     snapshot_queries,
     source_queries,
+    stream_queries,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins, metrics
+from ..operators.snapshot import overlay_detail
 from .bindings import OFFERS, PAGE_LOG, PHOTOS, RUNS, SIGHTINGS, offers, page_log, photos, runs, sightings, table, with_
 from .dedup_queries import LAST_OFFERS, UNIQUE_PHOTOS, last_offers, unique_photos
 from .registry import query
@@ -64,6 +65,23 @@ def c3(spark, sf):
     )
 
 
+@query(
+    "c4_overlay_detail",
+    with_(SIGHTINGS)
+    + """SELECT position, external_id, coalesce(CASE WHEN c_nationkey > 12 THEN c_name END, event_type) AS title,
+        coalesce(CASE WHEN c_acctbal > 5000 THEN CAST(c_acctbal AS DECIMAL(12,2)) END, price) AS price, c_custkey IS NOT NULL AS has_detail
+      FROM sightings LEFT JOIN customer ON external_id = CAST(c_custkey AS VARCHAR) AND c_mktsegment <> 'BUILDING'""",
+)
+def c4(spark, sf):
+    cards = sightings(spark, sf).select("position", "external_id", F.col("event_type").alias("title"), "price")
+    details = table(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select(
+        F.col("c_custkey").cast("string").alias("external_id"),
+        F.when(F.col("c_nationkey") > 12, F.col("c_name")).otherwise("").alias("title"),
+        F.when(F.col("c_acctbal") > 5000, F.col("c_acctbal").cast("decimal(12,2)")).alias("price"),
+    )
+    return overlay_detail(cards, details, ["external_id"], F.current_timestamp()).drop("detail_last_fetched_at")
+
+
 @query(
     "c5_unseen",
     """SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')""",
