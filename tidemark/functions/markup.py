@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, normalize_space
+from .text import _col, let, normalize_space
 
 # Entities that occur in listing text, '&amp;' last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
@@ -41,12 +41,29 @@ def element_text(c, tag: str) -> Column:
     return F.nullif(flat_text(F.regexp_extract(_col(c), rf"(?is)<(?:{tag})\b[^>]*>(.*?)</(?:{tag})\s*>", 1)), F.lit(""))
 
 
+_VALUE = r"(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+
+
+def _unquoted(raw: Column) -> Column:
+    """A raw attribute value without its quotes; '' stands for no attribute at all."""
+    inner = F.when(raw.rlike("^[\"']"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return F.when(raw != "", unescape(inner))
+
+
 def attribute(tag, name: str) -> Column:
     """An attribute of one tag's text, NULL where it is not there."""
-    pattern = rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
-    found = F.regexp_extract(_col(tag), pattern, 0)
-    value = F.concat(*[F.regexp_extract(_col(tag), pattern, n) for n in (1, 2, 3)])
-    return F.when(found != "", unescape(value))
+    return let(F.regexp_extract(_col(tag), rf"(?is)\s{name}\s*=\s*" + _VALUE, 1), _unquoted)
+
+
+def attributes_in_order(tag: Column, names: list[str]) -> Column:
+    """The values of some attributes of one tag, in the order of ``names``."""
+    pattern = F.lit(rf"(?is)\s({'|'.join(names)})\s*=\s*" + _VALUE)
+    found = F.arrays_zip(
+        F.regexp_extract_all(tag, pattern, F.lit(1)).alias("name"), F.regexp_extract_all(tag, pattern, F.lit(2)).alias("raw")
+    )
+    rank = F.array(*[F.lit(n) for n in names])
+    ranked = F.transform(found, lambda f: F.struct(F.array_position(rank, F.lower(f["name"])).alias("at"), f["raw"].alias("raw")))
+    return F.transform(F.array_sort(ranked), lambda f: _unquoted(f["raw"]))
 
 
 def first_tag(c, pattern: str) -> Column:

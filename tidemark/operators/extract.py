@@ -79,7 +79,7 @@ def split_cards(pages: DataFrame, profiles: DataFrame) -> DataFrame:
 
     A profile row has host, card_pattern, id_pattern and url_pattern, each with one group.
     """
-    first = lambda pattern: F.nullif(F.regexp_extract(F.col("card"), F.col(pattern), F.lit(1)), F.lit(""))
+    first = lambda pattern: F.nullif(F.call_function("regexp_extract", F.col("card"), F.col(pattern), F.lit(1)), F.lit(""))
     cards = pages.join(profiles, "host").select(
         "page_id", "host", "id_pattern", "url_pattern",
         F.posexplode(F.regexp_extract_all("html", F.col("card_pattern"), F.lit(1))).alias("_p", "card"),
@@ -142,9 +142,11 @@ def labelled_values(pages: DataFrame, labels: list[str]) -> DataFrame:
 def links_and_images(pages: DataFrame, base: str) -> DataFrame:
     """Distinct link and picture addresses of each page, resolved, in reading order."""
     tags = markup.tags_of("html")
-    pictures = F.flatten(F.transform(tags, lambda t: F.array(
-        *[valid_image_url(markup.attribute(t, a)) for a in IMAGE_ATTRIBUTES],
-        valid_image_url(largest_srcset(markup.attribute(t, "srcset"))),
+    may_show = F.filter(tags, lambda t: t.rlike(r"(?i)\s(?:href|src|srcset|data-[a-z]+)\s*="))
+    pictures = F.flatten(F.transform(may_show, lambda t: F.concat(
+        F.transform(markup.attributes_in_order(t, IMAGE_ATTRIBUTES), lambda v: valid_image_url(v)),
+        F.when(t.rlike(r"(?i)\ssrcset"), F.array(valid_image_url(largest_srcset(markup.attribute(t, "srcset")))))
+        .otherwise(F.array().cast("array<string>")),
     )))
     anchors = F.filter(tags, lambda t: t.rlike(r"(?i)^<a\s"))
     return pages.select(
@@ -181,6 +183,7 @@ def next_url(pages: DataFrame, base: str, page_col: str = "page") -> DataFrame:
     anchors = F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*\bhref[^>]*>.*?</a\s*>"), F.lit(0))
     target = (F.col(page_col) + 1).cast("string")
     numbered = F.try_element_at(F.filter(anchors, lambda a: markup.flat_text(a) == target), F.lit(1))
+    # The anchors' texts are looked at only where neither of the first two is there.
     href = F.coalesce(
         F.nullif(markup.link_href("html", "next"), F.lit("")),
         markup.attribute(anchor, "href"),
@@ -222,7 +225,7 @@ def jsonld_images(pages: DataFrame, base: str) -> DataFrame:
         return [(dom.json_images(html),)]
 
     found = _over_pages(pages, "urls array<string>", read)
-    return found.select("page_id", dedupe_urls(F.transform("urls", valid_image_url), base).alias("urls"))
+    return found.select("page_id", dedupe_urls(F.transform("urls", lambda u: valid_image_url(u)), base).alias("urls"))
 
 
 def nearby_points(pages: DataFrame, heading: str = "Pontos de interesse") -> DataFrame:

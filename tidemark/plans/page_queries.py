@@ -48,28 +48,36 @@ def listing_pages(spark, sf):
         F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.lit('";</script>'),
         F.lit("<p>Venda "), price, F.lit(" ou Locação  R$ 1.500,00 e venda R$ 9,90</p></body></html>"),
     )
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html"), "o_orderstatus", "o_custkey")
+    # Through explode the page is made once; as a plain column it would be made anew wherever it is named.
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("page_id"), F.explode(F.array(html)).alias("html"), "o_orderstatus", "o_custkey"
+    )
 
 
-_TITLE = r"replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'), '&lt;', '<')"
+_TITLE = r"replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&amp;', '&')"
 
 
 @query(
     "j1_page_meta",
     f"""SELECT page_id, {sql_space(_TITLE)} AS title, {sql_space("replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&')")} AS h1,
-        NULL AS canonical_url, NULL AS post_id, NULL AS og_image FROM pages
-      UNION ALL SELECT -1 - o_orderkey, 'Casa & ' || o_orderpriority || ' - ' || o_orderkey, 'Casa',
-        CASE WHEN o_orderstatus <> 'F' THEN 'https://www.site.test/imovel/casa/' || o_orderkey END, '' || o_orderkey,
-        '/img/' || o_orderkey || '.jpg' FROM orders""",
+        NULL AS canonical_url, NULL AS post_id FROM pages""",
 )
 def j1(spark, sf):
-    made = listing_pages(spark, sf).select((-1 - F.col("page_id")).alias("page_id"), "html")
-    both = table(spark, sf, "pages").select("page_id", "html").unionByName(made)
-    return extract.page_meta(both, ["og:image"], SITE)
+    return extract.page_meta(table(spark, sf, "pages"), base=SITE)
+
+
+@query(
+    "j1_listing_meta",
+    """SELECT o_orderkey AS page_id, 'Casa & ' || o_orderpriority || ' - ' || o_orderkey AS title, 'Casa' AS h1,
+        CASE WHEN o_orderstatus <> 'F' THEN 'https://www.site.test/imovel/casa/' || o_orderkey END AS canonical_url,
+        '' || o_orderkey AS post_id, '/img/' || o_orderkey || '.jpg' AS og_image FROM orders""",
+)
+def j1_listing(spark, sf):
+    return extract.page_meta(listing_pages(spark, sf), ["og:image"], SITE)
 
 
 _CLEAN = r"regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<script\b.*?</script>|<style\b.*?</style>', '<br>', 'g')"
-_ENT = "replace(replace(replace(replace(w, '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&lt;', '<')"
+_ENT = "replace(replace(replace(replace(replace(replace(w, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 
 
 @query(

@@ -17,7 +17,7 @@ from ..operators.dedup import concat_results, keep_first, offers_by_purpose
 from ..operators.lifecycle import AbsencePolicy
 from ..operators.metrics import child_status, offers_seen, run_metrics
 from ..operators.search import allowed_purposes, offers_in_scope, samples
-from ..sources.state import commit, has_tag, latest_version, read_state, version_path
+from ..sources.state import commit, has_tag, latest_version, version_path
 
 KEY = ["external_id"]
 EVENTS = "array<struct<seq:int,event_type:string,old_value:string,new_value:string>>"
@@ -453,10 +453,12 @@ def dry_run(sightings: DataFrame, details: DataFrame, run: Run) -> tuple[DataFra
 TABLES = ("listings", "offers", "photos")
 
 
-def load_tables(spark: SparkSession, root: str, source_key: str) -> Tables:
-    blank = empty_tables(spark)
-    stored = {t: read_state(spark, root, t, source_key) for t in TABLES}
-    return Tables(**{t: getattr(blank, t) if df is None else df for t, df in stored.items()})
+def load_tables(spark: SparkSession, root: str, source_key: str, version: int | None = None) -> Tables:
+    """A source's tables at a version, the latest one if none is named."""
+    version = latest_version(spark, root, source_key) if version is None else version
+    if not version:
+        return empty_tables(spark)
+    return Tables(**{t: spark.read.parquet(version_path(root, t, source_key, version)) for t in TABLES})
 
 
 def apply_run(spark: SparkSession, root: str, sightings: DataFrame, details: DataFrame, run: Run) -> bool:
@@ -468,8 +470,9 @@ def apply_run(spark: SparkSession, root: str, sightings: DataFrame, details: Dat
     part = run.source_key
     if has_tag(spark, root, part, run.run_id):
         return False
-    result = sync(load_tables(spark, root, part), sightings, details, run)
-    version = latest_version(spark, root, part) + 1
+    before = latest_version(spark, root, part)
+    result = sync(load_tables(spark, root, part, before), sightings, details, run)
+    version = before + 1
     written = {}
     for t in TABLES:
         path = version_path(root, t, part, version)
