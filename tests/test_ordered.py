@@ -141,13 +141,15 @@ def test_cooldown_stream_over_batches(spark):
 def test_running_over_blocks(spark):
     rng = random.Random(9)
     rows = [("r", p, rng.randint(0, 5), rng.choice([None, rng.randint(0, 99)])) for p in rng.sample(range(1, 60), 40)]
-    frame = spark.createDataFrame(rows, "run string, page int, n int, m int")
-    out = ordered.running(frame, ["run"], "page", ["n"], ["m"], block=7).orderBy("page").collect()
-    total, top = 0, None
-    for (_, _, n, m), got in zip(sorted(rows, key=lambda r: r[1]), out, strict=True):
+    frame = spark.createDataFrame(rows, "run string, page int, n int, m int").withColumn("odd", F.col("n") % 2 == 1)
+    out = ordered.running(frame, ["run"], "page", ["n"], ["m"], {"at_odd": ("odd", "n")}, ["m"], block=7)
+    total, top, at_odd, before = 0, None, None, {}
+    for (_, p, n, m), got in zip(sorted(rows, key=lambda r: r[1]), out.orderBy("page").collect(), strict=True):
         total += n
         top = m if top is None else top if m is None else max(top, m)
-        assert (got.n_upto, got.m_upto) == (total, top)
+        at_odd = total if n % 2 else at_odd
+        assert (got.n_upto, got.m_upto, got.at_odd, got.prev_m) == (total, top, at_odd, before.get(p - 1))
+        before[p] = m
 
 
 PAGE = "run string, mode string, page int, url string, next_url string, http_status int, parse_failed boolean, raw_cards int, invalid_cards int, reported_total int"

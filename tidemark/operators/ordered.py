@@ -14,88 +14,114 @@ from .dedup import keep_first
 PAGES_PER_BLOCK = 1024
 
 
-def running(df: DataFrame, by: list[str], order: str, sums=(), maxima=(), block: int = PAGES_PER_BLOCK) -> DataFrame:
+def running(
+    df: DataFrame, by: list[str], order: str, sums=(), maxima=(), marks: dict[str, tuple[str, str]] | None = None,
+    previous=(), block: int = PAGES_PER_BLOCK,
+) -> DataFrame:
     """Running sums and maxima up to each row, as ``<name>_upto``, for an integer order column.
 
+    ``marks`` names columns to add with the running sum of a counter at the latest row with a
+    flag, as {name: (flag, counter)}; ``previous`` names columns whose value on the row numbered
+    one lower is added as ``prev_<name>``.
+
     Done in two levels, so that no task ever holds one run's whole log: rows are accumulated
     inside blocks of the order column, the block totals (a thousandth of the rows) are carried
-    forward, and the two are added.
+    forward, and the two are put together.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
+    marks = marks or {}
     keys = [*by, "_block"]
-    inner = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy(*keys).orderBy(order)
+    upto = within.rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    totals = blocked.groupBy(*keys).agg(
-        *[F.sum(c).alias(f"_s_{c}") for c in sums], *[F.max(c).alias(f"_m_{c}") for c in maxima]
+    row = F.struct(order, *previous)
+
+    rows = df.withColumn("_block", F.floor(F.col(order) / block)).withColumns({
+        **{f"_i_{c}": F.coalesce(F.sum(c).over(upto), F.lit(0)) for c in sums},
+        **{f"_i_{c}": F.max(c).over(upto) for c in maxima},
+        "_prev": F.lag(row).over(within),
+    })
+    at_flag = {m: F.max(F.when(F.col(flag), F.col(f"_i_{n}"))).over(upto) for m, (flag, n) in marks.items()}
+    rows = rows.withColumns({f"_i_{m}": c for m, c in at_flag.items()})
+    totals = rows.groupBy(*keys).agg(
+        F.max_by(row, order).alias("_c_prev"),
+        *[F.sum(c).alias(f"_c_{c}") for c in sums],
+        *[F.max(c).alias(f"_c_{c}") for c in maxima],
+        *[F.max(f"_i_{m}").alias(f"_c_{m}") for m in marks],
     )
-    carried = totals.select(
-        *keys,
-        *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in sums],
-        *[F.max(f"_m_{c}").over(before).alias(f"_m_{c}") for c in maxima],
+    carried = totals.withColumns({
+        "_c_prev": F.lag("_c_prev").over(W.partitionBy(*by).orderBy("_block")),
+        **{f"_c_{c}": F.coalesce(F.sum(f"_c_{c}").over(before), F.lit(0)) for c in sums},
+        **{f"_c_{c}": F.max(f"_c_{c}").over(before) for c in maxima},
+    })
+    # A mark is relative to its block until the counter's sum before the block is added.
+    carried = carried.withColumns({f"_c_{m}": F.col(f"_c_{m}") + F.col(f"_c_{n}") for m, (_, n) in marks.items()})
+    carried = carried.withColumns({f"_c_{m}": F.max(f"_c_{m}").over(before) for m in marks})
+    prev = F.coalesce("_prev", "_c_prev")
+    adjacent = prev[order] == F.col(order) - 1
+    return rows.join(carried, keys).select(
+        *df.columns,
+        *[(F.col(f"_i_{c}") + F.col(f"_c_{c}")).alias(f"{c}_upto") for c in sums],
+        *[F.greatest(f"_i_{c}", f"_c_{c}").alias(f"{c}_upto") for c in maxima],
+        *[F.coalesce(F.col(f"_i_{m}") + F.col(f"_c_{n}"), F.col(f"_c_{m}")).alias(m) for m, (_, n) in marks.items()],
+        *[F.when(adjacent, prev[c]).alias(f"prev_{c}") for c in previous],
     )
-    out = blocked.join(carried, keys)
-    for c in sums:
-        out = out.withColumn(f"{c}_upto", F.coalesce(F.sum(c).over(inner), F.lit(0)) + F.col(f"_s_{c}"))
-    for c in maxima:
-        out = out.withColumn(f"{c}_upto", F.greatest(F.max(c).over(inner), F.col(f"_m_{c}")))
-    return out.select(*df.columns, *[f"{c}_upto" for c in (*sums, *maxima)])
 
 
-def previous_page(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    """Columns of the page numbered one lower, as ``prev_<name>``, by an equality join."""
-    shifted = df.select(*by, (F.col("page") + 1).alias("page"), *[F.col(c).alias(f"prev_{c}") for c in cols])
-    return df.join(shifted, [*by, "page"], "left")
+def _rate(invalid: Column, seen: Column) -> Column:
+    return F.coalesce(F.try_divide(invalid.cast("double"), F.nullif(seen, F.lit(0))), F.lit(0.0))
 
 
 def cumulative_invalid_rate(pages: DataFrame, by: list[str], limit: float = 0.25) -> DataFrame:
     """Share of invalid cards so far at each page, flagged where it passes the limit."""
     so_far = running(pages.select(*by, "page", "raw_cards", "invalid_cards"), by, "page", ["raw_cards", "invalid_cards"])
-    rate = F.coalesce(
-        F.try_divide(F.col("invalid_cards_upto").cast("double"), F.nullif(F.col("raw_cards_upto"), F.lit(0))), F.lit(0.0)
-    )
+    rate = _rate(F.col("invalid_cards_upto"), F.col("raw_cards_upto"))
     return so_far.withColumn("rate", rate).withColumn("over_limit", F.col("rate") > limit)
 
 
-def _page_ids(cards: DataFrame, by: list[str], key: str) -> DataFrame:
-    named = cards.filter(F.col(key).isNotNull() & (F.col(key) != ""))
-    return named.select(*by, "page", F.col(key).alias("_id")).distinct()
+def page_ids(cards: DataFrame, by: list[str], key: str = "external_id") -> DataFrame:
+    """Per page: cards, distinct ids, ids no earlier page had, ids the page before had too.
+
+    Sets of ids are compared by counting, so none is ever gathered in one place. The window runs
+    over one id's distinct pages in one run.
+    """
+    named = F.col("_id").isNotNull() & (F.col("_id") != "")
+    rows = cards.groupBy(*by, "page", F.col(key).alias("_id")).agg(F.count("*").alias("_cards"))
+    earlier = F.lag("page").over(W.partitionBy(*by, "_id").orderBy("page"))
+    marked = rows.withColumn("_earlier", earlier)
+    return marked.groupBy(*by, "page").agg(
+        F.sum("_cards").alias("cards"),
+        F.count_if(named).alias("ids"),
+        F.count_if(named & F.col("_earlier").isNull()).alias("novel"),
+        F.count_if(named & (F.col("_earlier") == F.col("page") - 1)).alias("shared"),
+    )
+
+
+def _repeats() -> Column:
+    """Whether a page has exactly the ids of the one before, given ``ids``, ``shared`` and ``prev_ids``."""
+    return (F.col("page") > 1) & (F.col("ids") == F.col("shared")) & F.col("prev_ids").eqNullSafe(F.col("shared"))
 
 
 def repeated_page(cards: DataFrame, by: list[str], key: str = "external_id") -> DataFrame:
-    """Pages with exactly the ids of the page before.
+    """Pages with exactly the ids of the page before."""
+    pages = running(page_ids(cards, by, key).filter("ids > 0"), by, "page", previous=["ids"])
+    return pages.select(*by, "page", "ids", _repeats().alias("repeated"))
+
+
+def _stale_streak() -> Column:
+    """How many pages running, up to this one, brought no new id."""
+    return F.col("n_pages_upto") - F.coalesce("fresh_at", F.lit(0))
 
-    The sets are compared by counting the ids on both pages, so none is gathered in one place:
-    each id is written for its own page and the next, and grouped by (page, id).
-    """
-    ids = _page_ids(cards, by, key)
-    here = ids.select(*by, "page", "_id", F.lit(1).alias("_here"), F.lit(0).alias("_before"))
-    after = ids.select(*by, (F.col("page") + 1).alias("page"), "_id", F.lit(0).alias("_here"), F.lit(1).alias("_before"))
-    merged = here.unionByName(after).groupBy(*by, "page", "_id").agg(
-        F.max("_here").alias("_here"), F.max("_before").alias("_before")
-    )
-    counted = merged.groupBy(*by, "page").agg(
-        F.sum("_here").alias("ids"), F.sum("_before").alias("_prev"), F.sum(F.col("_here") * F.col("_before")).alias("_both")
-    )
-    same = (F.col("page") > 1) & (F.col("ids") == F.col("_both")) & (F.col("_prev") == F.col("_both"))
-    return counted.filter("ids > 0").select(*by, "page", "ids", same.alias("repeated"))
+
+FRESH = {"fresh_at": ("is_fresh", "n_pages")}
 
 
 def novel_ids(cards: DataFrame, by: list[str], key: str = "external_id") -> DataFrame:
     """Ids of each page, those no earlier page had, and how many pages running had none."""
-    ids = _page_ids(cards, by, key)
-    first = ids.groupBy(*by, "_id").agg(F.min("page").alias("page")).groupBy(*by, "page").agg(F.count("*").alias("novel"))
-    pages = (
-        ids.groupBy(*by, "page").agg(F.count("*").alias("ids"))
-        .join(first, [*by, "page"], "left")
-        .withColumn("novel", F.coalesce("novel", F.lit(0)))
-        .withColumn("fresh_page", F.when(F.col("novel") > 0, F.col("page")))
-    )
-    upto = running(pages.withColumn("n_pages", F.lit(1)), by, "page", ["novel", "n_pages"], ["fresh_page"])
-    upto = upto.withColumn("_at_fresh", F.when(F.col("novel") > 0, F.col("n_pages_upto")))
-    streak = running(upto.select(*by, "page", "_at_fresh"), by, "page", maxima=["_at_fresh"]).drop("_at_fresh")
-    return upto.join(streak, [*by, "page"]).select(
-        *by, "page", "ids", "novel", F.col("novel_upto").alias("ids_upto"),
-        (F.col("n_pages_upto") - F.coalesce("_at_fresh_upto", F.lit(0))).alias("stale_streak"),
+    pages = page_ids(cards, by, key).filter("ids > 0")
+    pages = pages.withColumns({"n_pages": F.lit(1), "is_fresh": F.col("novel") > 0})
+    upto = running(pages, by, "page", ["novel", "n_pages"], marks=FRESH)
+    return upto.select(
+        *by, "page", "ids", "novel", F.col("novel_upto").alias("ids_upto"), _stale_streak().alias("stale_streak")
     )
 
 
@@ -116,25 +142,28 @@ def crawl_stop_reason(
     """
     if max_pages > 0:
         pages = pages.filter(F.col("page") <= max_pages)
-    page_key = [*by, "page"]
+    count = lambda c: F.coalesce(c, F.lit(0))
     first_visit = pages.groupBy(*by, "url").agg(F.min("page").alias("_first_visit"))
-    per_page_ids = novel_ids(cards, by).join(repeated_page(cards, by).drop("ids"), page_key)
-    valid_cards = cards.groupBy(*page_key).agg(F.count("*").alias("_cards"))
     log = (
-        pages.join(first_visit, [*by, "url"], "left")
-        .join(per_page_ids, page_key, "left")
-        .join(valid_cards, page_key, "left")
-        .withColumn("raw_cards", F.coalesce(F.nullif("raw_cards", F.lit(0)), "_cards", F.lit(0)))
-        .drop("_cards")
+        pages.join(page_ids(cards, by), [*by, "page"], "left")
+        .withColumns({
+            "raw_cards": F.coalesce(F.nullif("raw_cards", F.lit(0)), "cards", F.lit(0)),
+            "ids": count("ids"), "novel": count("novel"), "shared": count("shared"),
+            "n_pages": (count("ids") > 0).cast("int"), "is_fresh": count("novel") > 0,
+        })
+        .join(first_visit, [*by, "url"], "left")
+    )
+    log = running(
+        log, by, "page", ["raw_cards", "invalid_cards", "novel", "n_pages"], marks=FRESH, previous=["next_url", "ids"]
+    )
+    log = log.withColumn("stale_streak", _stale_streak()).withColumn(
+        "rate", _rate(F.col("invalid_cards_upto"), F.col("raw_cards_upto"))
     )
-    rates = cumulative_invalid_rate(log, by, max_invalid_rate).drop("raw_cards", "invalid_cards")
-    log = previous_page(log.join(rates, page_key), by, ["next_url"])
 
     full, later = F.col("mode") == "full", F.col("page") > 1
     visited = F.col("_first_visit") < F.col("page")
     code = F.col("http_status")
-    no_ids = F.coalesce(F.col("ids"), F.lit(0)) == 0
-    no_new = later & (F.col("novel") == 0)
+    no_ids = F.col("ids") == 0
     patience = F.when(full, 1).otherwise(max(1, delta_stale_pages))
     # The reasons by name, in the order in which a page is tested.
     reason = (
@@ -143,12 +172,12 @@ def crawl_stop_reason(
         .when((code == 404) & later, "http_404")
         .when(code >= 400, F.concat(F.lit("http_"), code))
         .when(F.col("parse_failed"), "parse_error")
-        .when(F.col("over_limit"), "invalid_card_rate")
+        .when(F.col("rate") > max_invalid_rate, "invalid_card_rate")
         .when(no_ids & (F.col("reported_total") > 0), "reported_total_without_cards")
         .when(no_ids, "no_cards")
-        .when(later & F.col("repeated"), "repeated_page")
-        .when(no_new & (F.col("stale_streak") >= patience), "no_new_external_ids")
-        .when(F.lit(limit > 0) & (F.col("novel") > 0) & (F.col("ids_upto") >= limit), "limit")
+        .when(_repeats(), "repeated_page")
+        .when(later & (F.col("novel") == 0) & (F.col("stale_streak") >= patience), "no_new_external_ids")
+        .when(F.lit(limit > 0) & (F.col("novel") > 0) & (F.col("novel_upto") >= limit), "limit")
     )
     clean = F.col("_reason").isin("no_cards", "limit") | ((F.col("_reason") == "http_404") & later) | (
         F.col("_reason").isin("repeated_page", "no_new_external_ids") & ~full

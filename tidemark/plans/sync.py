@@ -15,7 +15,7 @@ from ..functions.text import normalize_purpose
 from ..operators import snapshot as snap
 from ..operators.dedup import concat_results, keep_first, offers_by_purpose
 from ..operators.lifecycle import AbsencePolicy
-from ..operators.metrics import child_status, offers_seen, run_metrics
+from ..operators.metrics import child_status, run_metrics
 from ..operators.search import allowed_purposes, offers_in_scope, samples
 from ..sources.state import commit, has_tag, latest_version, version_path
 
@@ -419,15 +419,23 @@ def outcomes_of(tables: Tables) -> DataFrame:
     )
 
 
+def _offers_sighted(cards: DataFrame) -> DataFrame:
+    """One row: distinct cards and the SALE and RENT offers on them."""
+    of = lambda purpose: F.coalesce(F.sum(F.size(F.filter("offers", lambda o: normalize_purpose(o["purpose"]) == purpose))), F.lit(0))
+    return cards.withColumn("offers", F.coalesce("offers", F.array().cast(f"array<{OFFER}>"))).agg(
+        F.count("*").alias("listings_seen"), of("SALE").alias("sale_offers_seen"), of("RENT").alias("rent_offers_seen")
+    )
+
+
 def run_row(outcomes: DataFrame, cards: DataFrame, run: Run) -> DataFrame:
     """The run's log row: counters, offers sighted, verdict. A run without rows still has one."""
-    head = {"run_id": run.run_id, "source_key": run.source_key, "mode": run.mode}
-    tagged = outcomes.withColumns({k: F.lit(v) for k, v in head.items()})
-    anchor = outcomes.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in head.items()])
-    counters = run_metrics(tagged, list(head))
-    said = cards.select(F.lit(run.run_id).alias("run_id"), F.explode("offers.purpose").alias("purpose"))
-    row = anchor.join(counters, list(head), "left").join(offers_seen(said, ["run_id"]), "run_id", "left").fillna(0)
-    known = row.withColumns({
+    offers = _offers_sighted(cards).select(F.struct("sale_offers_seen", "rent_offers_seen")).scalar()
+    known = run_metrics(outcomes, []).withColumn("_offers", offers).withColumns({
+        "run_id": F.lit(run.run_id),
+        "source_key": F.lit(run.source_key),
+        "mode": F.lit(run.mode),
+        "sale_offers_seen": F.col("_offers.sale_offers_seen"),
+        "rent_offers_seen": F.col("_offers.rent_offers_seen"),
         "completed": F.lit(run.completed),
         "stopped_reason": F.lit(run.stopped_reason).cast("string"),
         "http_errors": F.lit(run.http_errors),
@@ -436,18 +444,17 @@ def run_row(outcomes: DataFrame, cards: DataFrame, run: Run) -> DataFrame:
         "previous_count": F.lit(run.previous_count).cast("bigint"),
         "finished_at": F.lit(run.now.isoformat(sep=" ")).cast("timestamp_ntz"),
     })
-    return snap.classify_run(known, run.min_listing_ratio)
+    return snap.classify_run(known.drop("_offers"), run.min_listing_ratio)
 
 
 def dry_run(sightings: DataFrame, details: DataFrame, run: Run) -> tuple[DataFrame, DataFrame]:
     """What a run would see, without any table: its offer counts and first cards."""
     cards = prepare_cards(sightings, run)
-    said = cards.select(F.lit(run.run_id).alias("run_id"), F.explode("offers.purpose").alias("purpose"))
-    total = cards.select(F.lit(run.run_id).alias("run_id")).groupBy("run_id").agg(F.count("*").alias("listings_seen"))
     cols = ["external_id", "source_url", "title", "price", "property_type", "neighborhood", "address_line", "area_m2",
             "bedrooms", "suites", "parking_spaces", "main_image_url", "offers", "tags"]
     shown = details.select("external_id", F.struct(*[c for c in details.columns if c != "external_id"]).alias("detail"))
-    return total.join(offers_seen(said, ["run_id"]), "run_id", "left"), samples(cards, shown, ["page", "position"], cols)
+    figures = _offers_sighted(cards).withColumn("run_id", F.lit(run.run_id))
+    return figures, samples(cards, shown, ["page", "position"], cols)
 
 
 TABLES = ("listings", "offers", "photos")
