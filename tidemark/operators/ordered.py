@@ -206,18 +206,25 @@ def last_full_count(runs: DataFrame, lookback: int = 20) -> DataFrame:
     """For each run the listings of the latest earlier successful full run of equal scope.
 
     ``runs`` has run_id, source_key, mode, status, scope_json, finished_at, listings_seen, one row
-    a crawl. Only the ``lookback`` latest successful full runs of the source are looked at.
+    a crawl; a count in its ``summary`` JSON, if it has one, goes before the column. Only the
+    ``lookback`` latest successful full runs of the source are looked at.
     """
+    kept = runs.columns
+    if "summary" in kept:
+        told = F.nullif(F.get_json_object("summary", "$.listings_seen").try_cast("bigint"), F.lit(0))
+        runs = runs.withColumn("_seen", F.coalesce(told, "listings_seen"))
+    else:
+        runs = runs.withColumn("_seen", F.col("listings_seen"))
     good = F.coalesce((F.col("mode") == "full") & (F.col("status") == "success"), F.lit(False))
     when = [F.col("finished_at").asc_nulls_first(), F.col("run_id").asc()]
     before = W.partitionBy("source_key").orderBy(*when).rowsBetween(W.unboundedPreceding, -1)
     same = W.partitionBy("source_key", "scope_json").orderBy(*when).rowsBetween(W.unboundedPreceding, -1)
     counted = runs.withColumn("_good", good).withColumn("_n", F.coalesce(F.sum(F.col("_good").cast("int")).over(before), F.lit(0)))
-    last = F.last(F.when(F.col("_good"), F.struct("listings_seen", "_n")), ignorenulls=True).over(same)
+    last = F.last(F.when(F.col("_good"), F.struct("_seen", "_n")), ignorenulls=True).over(same)
     return (
         counted.withColumn("_last", last)
-        .withColumn("previous_count", F.when(F.col("_n") - F.col("_last._n") <= lookback, F.col("_last.listings_seen")))
-        .drop("_good", "_n", "_last")
+        .withColumn("previous_count", F.when(F.col("_n") - F.col("_last._n") <= lookback, F.col("_last._seen")))
+        .select(*kept, "previous_count")
     )
 
 

@@ -150,14 +150,12 @@ def offers_in_scope(df: DataFrame, purposes: list[str] | None = None, col: str =
 
 def scope_purposes(df: DataFrame, scope_col: str = "scope", out: str = "purposes") -> DataFrame:
     """SALE/RENT named by ``purposes``, else ``purpose``, else sale; a list is JSON text."""
-    given = F.coalesce(
-        F.nullif(F.try_element_at(F.col(scope_col), F.lit("purposes")), F.lit("")),
-        F.nullif(F.try_element_at(F.col(scope_col), F.lit("purpose")), F.lit("")),
-        F.lit("sale"),
-    )
+    named = lambda key: F.try_element_at(F.col(scope_col), F.lit(key))
+    filled = lambda c: F.when(~F.trim(c).isin("", "[]"), c)
+    given = F.coalesce(filled(named("purposes")), filled(named("purpose")), F.lit("sale"))
     values = F.coalesce(F.when(given.startswith("["), F.from_json(given, "array<string>")), F.array(given))
-    named = F.filter(F.transform(values, normalize_purpose), lambda p: p.isin("SALE", "RENT"))
-    return df.withColumn(out, F.array_sort(F.array_distinct(named)))
+    known = F.filter(F.transform(values, normalize_purpose), lambda p: p.isin("SALE", "RENT"))
+    return df.withColumn(out, F.array_sort(F.array_distinct(known)))
 
 
 def expand_scopes(df: DataFrame, scope_col: str = "scope") -> DataFrame:
@@ -174,7 +172,7 @@ def expand_scopes(df: DataFrame, scope_col: str = "scope") -> DataFrame:
     out = df.withColumn("purpose", F.explode_outer(F.when(F.nullif(listed, F.lit("")).isNotNull(), purposes).otherwise(single)))
     slug_ok = lambda key: F.coalesce(F.try_element_at(kept, F.lit(key)).rlike(SLUG), F.lit(True))
     return (
-        out.withColumn("bad_purpose", F.coalesce(~F.col("purpose").isin(SCOPE_PURPOSES), F.lit(False)))
+        out.withColumn("bad_purpose", F.coalesce(~F.col("purpose").isin("", *SCOPE_PURPOSES), F.trim(listed) == "[]", F.lit(False)))
         .withColumn("bad_slug", ~(slug_ok("state_slug") & slug_ok("city_slug")))
         .withColumn(scope_col, kept)
     )
