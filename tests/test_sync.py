@@ -6,11 +6,11 @@ import json
 from datetime import datetime, timedelta
 from decimal import Decimal
 
-import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.lifecycle import AbsencePolicy
 from tidemark.operators.ordered import price_history
+from tidemark.operators.snapshot import classify_run
 from tidemark.plans.sync import DETAIL_COLUMNS, SIGHTING_COLUMNS, Run, apply_run, dry_run, load_tables
 from tidemark.session import work_dir
 from tidemark.sources.state import read_history, read_state
@@ -96,9 +96,6 @@ def test_listing_runs(spark):
     row = inv.run([b1, a3], [d1, d3], mode="full")
     assert row.removed_properties == 1 and inv.statuses()["1002"] == "REMOVED"
     assert len(inv.events("REMOVED")) == 1
-    row = inv.run([b1, a3], [d1, d3], mode="full")
-    assert row.removed_properties == 0 and row.missing_properties == 0
-
     row = inv.run([b1, a2, a3], [d1, d2, d3])
     assert row.reactivated_properties == 1 and inv.statuses()["1002"] == "ACTIVE"
     (back,) = inv.events("REACTIVATED")
@@ -166,19 +163,37 @@ def test_ids_with_a_common_prefix_stay_apart(spark):
     assert row.new_properties == 3 and set(inv.statuses()) == {"Z-10", "Z-1", "A-10"}
 
 
-@pytest.mark.parametrize(
-    ("kw", "reason"),
-    [({"reported_total": 10}, "suspicious_reported_total_gap"), ({"previous_count": 9}, "suspicious_low_count"),
-     ({"stopped_reason": "limit"}, "limit")],
-)
-def test_untrusted_full_run_marks_nothing(spark, kw, reason):
+def test_untrusted_full_run_marks_nothing(spark):
     inv = Inventory(spark)
     inv.run([card(1, "a", "1"), card(2, "b", "1")])
-    row = inv.run([card(1, "a", "1")], mode="full", **kw)
-    assert (row.run_status, row.stopped_reason, row.missing_properties) == ("partial", reason, 0)
+    row = inv.run([card(1, "a", "1")], mode="full", reported_total=10)
+    assert (row.run_status, row.stopped_reason, row.missing_properties) == ("partial", "suspicious_reported_total_gap", 0)
     assert inv.statuses() == {"a": "ACTIVE", "b": "ACTIVE"}
 
 
+def test_run_verdicts(spark):
+    base = {"mode": "full", "completed": True, "http_errors": 0, "parse_errors": 0, "stopped_reason": None, "reported_total": None,
+            "listings_seen": 5, "previous_count": None}
+    types = {"mode": "string", "completed": "boolean", "http_errors": "int", "parse_errors": "int", "stopped_reason": "string",
+             "reported_total": "int", "listings_seen": "int", "previous_count": "int"}
+    cases = [
+        ({}, ("success", None, True)),
+        ({"http_errors": 1}, ("partial", None, True)),
+        ({"completed": False, "stopped_reason": "http_429"}, ("partial", "http_429", False)),
+        ({"stopped_reason": "limit"}, ("partial", "limit", False)),
+        ({"stopped_reason": "limit", "mode": "delta"}, ("success", "limit", True)),
+        ({"stopped_reason": "max_pages", "mode": "delta"}, ("partial", "max_pages", False)),
+        ({"reported_total": 11}, ("partial", "suspicious_reported_total_gap", False)),
+        ({"reported_total": 10, "previous_count": 10}, ("success", None, True)),
+        ({"previous_count": 11}, ("partial", "suspicious_low_count", False)),
+        ({"previous_count": 11, "mode": "delta"}, ("success", None, True)),
+        ({"listings_seen": 0, "previous_count": 0, "reported_total": 0}, ("success", None, True)),
+    ]
+    out = classify_run(frame(spark, [{**base, **c, "n": i} for i, (c, _) in enumerate(cases)], {**types, "n": "int"}), 0.5)
+    got = [(r.run_status, r.stopped_reason, r.completed) for r in out.orderBy("n").collect()]
+    assert got == [want for _, want in cases]
+
+
 def test_no_history_trusts_an_empty_run(spark):
     inv = Inventory(spark)
     inv.run([card(1, "a", "1")])
@@ -197,10 +212,10 @@ def test_removal_by_hours(spark):
     inv = Inventory(spark, policy=AbsencePolicy(99, 72))
     inv.run([card(1, "a", "1"), card(2, "b", "1")])
     got = []
-    for _ in range(5):
-        inv.run([card(2, "b", "1")], mode="full")
+    for _ in range(2):
+        inv.run([card(2, "b", "1")], hours=73, mode="full")
         got.append(inv.statuses()["a"])
-    assert got == ["MISSING", "MISSING", "MISSING", "REMOVED", "REMOVED"]
+    assert got == ["MISSING", "REMOVED"]
 
 
 def test_repeated_run_id_is_skipped_and_cap_on_details(spark):
