@@ -53,7 +53,7 @@ def dedupe_stream(stream: DataFrame, keys: list[str], delay: str, ts: str = "see
 def _absence_row(entity: str, run: int, n: int, since: int | None, policy: AbsencePolicy) -> tuple:
     late = since is not None and run - since >= policy.removal_hours * 3600 * _SECOND
     status = "ACTIVE" if n == 0 else "REMOVED" if n >= 2 and (n >= policy.threshold or late) else "MISSING"
-    return entity, run, n, status, since
+    return entity, run, n, status, -1 if since is None else since
 
 
 def _lifecycle(policy: AbsencePolicy, every: int):
@@ -82,7 +82,8 @@ def _lifecycle(policy: AbsencePolicy, every: int):
             absent_until(closed // every * every)
             state.update((seen, told))
             state.setTimeoutTimestamp(max((told + 2 * every) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["external_id", "run_us", "absences", "status", "since_us"]).astype({"since_us": "Int64"})
+        if rows:
+            yield pd.DataFrame(rows, columns=["external_id", "run_us", "absences", "status", "since_us"])
 
     return follow
 
@@ -109,7 +110,7 @@ def lifecycle_stream(
         GroupStateTimeout.EventTimeTimeout,
     )
     at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
-    return rows.select("external_id", at("run_us").alias("run_at"), "absences", "status", at("since_us").alias("missing_since"))
+    return rows.select("external_id", at("run_us").alias("run_at"), "absences", "status", at(F.nullif("since_us", F.lit(-1))).alias("missing_since"))
 
 
 def cooldown_stream(
