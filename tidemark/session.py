@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -30,12 +29,10 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it then gets a temporary folder, since
-    on a cluster no executor could read another machine's.
+    Without that setting it lies under the session's warehouse folder, which every executor can
+    reach as well; a machine's own temporary folder is never used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="tidemark-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
