@@ -14,15 +14,17 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from functools import lru_cache
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, per_batch, text_or_empty
+from .common import bounded_batches, per_batch, per_process, text_or_empty
+from .pieces import cut
 
 # Fixed value: how byte-level BPE cuts a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,53 +56,63 @@ class Bpe:
         self.first = [0] * 256
         for letter, b in letters.items():
             self.first[b] = vocab[letter]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Rank of a pair by ``left << 20 | right``, and the part that each rank makes.
+        self.merges: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.merges[vocab[left] << 20 | vocab[right]] = rank
+            self.made.append(vocab[left + right])
         self.words = regex.compile(WORDS)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.none = len(self.merges)
         self.known: dict[str, list[int]] = {}
-        self.heads: dict[str, tuple | None] = {}
-        self.tails: dict[str, tuple | None] = {}
+        self.memory: dict[str, tuple[int, str, bytes]] = {}
 
     def merge_short(self, word: bytes) -> list[int]:
         """The parts of a word by scans of its rank array."""
-        parts = [self.first[b] for b in word]
-        merges, none = self.merges, (self.none, -1)
-        pairs = [merges.get(p, none) for p in zip(parts, parts[1:])]
-        while pairs:
-            best = min(pairs)
-            if best[1] < 0:
+        parts = list(map(self.first.__getitem__, word))
+        rank_of, none = self.merges.get, self.none
+        ranks = [rank_of(x << 20 | y, none) for x, y in zip(parts, parts[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == none:
                 break
-            i = pairs.index(best)
-            parts[i:i + 2] = [best[1]]
-            del pairs[i]
+            i = ranks.index(least)
+            part = self.made[least]
+            parts[i:i + 2] = [part]
+            del ranks[i]
             if i:
-                pairs[i - 1] = merges.get((parts[i - 1], parts[i]), none)
-            if i < len(pairs):
-                pairs[i] = merges.get((parts[i], parts[i + 1]), none)
+                ranks[i - 1] = rank_of(parts[i - 1] << 20 | part, none)
+            if i < len(ranks):
+                ranks[i] = rank_of(part << 20 | parts[i + 1], none)
         return parts
 
     def merge_long(self, word: bytes) -> list[int]:
         """The same merges by a heap over linked parts."""
-        parts: list[int | None] = [self.first[b] for b in word]
+        parts: list[int | None] = list(map(self.first.__getitem__, word))
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        heap = [(m[0], i, parts[i], parts[i + 1]) for i in range(len(parts) - 1) if (m := self.merges.get((parts[i], parts[i + 1])))]
-        heapq.heapify(heap)
+        heap = []
+
+        def offer(x: int, y: int) -> None:
+            rank = self.merges.get(parts[x] << 20 | parts[y])
+            if rank is not None:
+                heapq.heappush(heap, (rank, x, parts[x], parts[y]))
+
+        for i in range(len(parts) - 1):
+            offer(i, i + 1)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i]
             if parts[i] != left or j >= len(parts) or parts[j] != right:
                 continue
-            parts[i], parts[j] = self.merges[left, right][1], None
+            parts[i], parts[j] = self.made[rank], None
             after[i] = after[j]
             if after[j] < len(parts):
                 before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < len(parts) and (m := self.merges.get((parts[x], parts[y]))):
-                    heapq.heappush(heap, (m[0], x, parts[x], parts[y]))
+                offer(i, after[j])
+            if before[i] >= 0:
+                offer(before[i], i)
         return [p for p in parts if p is not None]
 
     def word(self, word: str) -> list[int]:
@@ -117,7 +129,7 @@ class Bpe:
     def span(self, text: str) -> list[int]:
         """The ids of any text, worked out word by word."""
         ids: list[int] = []
-        for piece in self.cut.split(text) if self.cut else [text]:
+        for piece in self.cut_special.split(text) if self.cut_special else [text]:
             if piece in self.special:
                 ids.append(self.special[piece])
             elif piece:
@@ -132,32 +144,32 @@ class Bpe:
         """How many ids, the ids as text, each after a comma, and the bytes that they decode to."""
         return len(ids), "".join([f",{i}" for i in ids]), self.decode(ids)
 
-    def encode(self, text: str) -> tuple[int, str, bytes]:
-        """``forms`` of a whole text, put together from its remembered pieces."""
-        pieces = text.split(" ")
-        tails, found = self.tails, []
-        for n, piece in enumerate(pieces):
-            memory = tails if n else self.heads
-            form = memory.get(piece, 0)
-            if form == 0:
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                # A blank beside another blank is no place to cut.
-                lone = piece and not piece[0].isspace() and not piece[-1].isspace()
-                form = self.forms(self.span(" " + piece if n else piece)) if lone else None
-                if len(piece) <= LONG_WORD:
-                    memory[piece] = form
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, str, bytes]]:
+        """``forms`` of whole texts, put together from their remembered pieces."""
+        pieces, memory = cut(texts, lead=True), self.memory
+        if len(memory) > REMEMBERED:
+            memory.clear()
+        forms = list(map(memory.get, pieces.words))
+        for n, form in enumerate(forms):
             if form is None:
-                return self.forms(self.span(text))
-            found.append(form)
-        counts, ids, raw = zip(*found)
-        return sum(counts), "".join(ids), b"".join(raw)
+                word = pieces.words[n]
+                forms[n] = form = self.forms(self.span(word))
+                if len(word) <= LONG_WORD:
+                    memory[word] = form
+        counts, ids, raw = zip(*forms) if forms else ((), (), ())
+        ids_of, raw_of = ids.__getitem__, raw.__getitem__
+        totals = np.concatenate([[0], np.cumsum(np.array(counts, np.int64)[pieces.at])])[pieces.ends]
+        for t, whole in enumerate(pieces.whole):
+            if whole:
+                yield self.forms(self.span(texts[t].as_py()))
+            else:
+                at = pieces.at[pieces.ends[t]:pieces.ends[t + 1]].tolist()
+                yield int(totals[t + 1] - totals[t]), "".join(map(ids_of, at)), b"".join(map(raw_of, at))
 
 
-@lru_cache(maxsize=4)
 def vocabulary(path: str) -> Bpe:
     """The vocabulary of a file, read once per process."""
-    return Bpe(path)
+    return per_process(("bpe", path), lambda: Bpe(path))
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
@@ -175,8 +187,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     def one(batch: pa.RecordBatch) -> dict:
         bpe = vocabulary(path)
         counts, ids, raws = [], [], []
-        for text in batch.column(1).to_pylist():
-            n, listed, raw = bpe.encode(text)
+        for n, listed, raw in bpe.encode(batch.column(1)):
             counts.append(n)
             ids.append(hashlib.sha256(listed[1:].encode()).hexdigest())
             raws.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())

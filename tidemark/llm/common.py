@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,7 @@ def text_or_empty(name: str = "text") -> Column:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Python tasks get Arrow batches of few rows and bytes, so that long texts never pile up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
@@ -46,3 +47,12 @@ def per_batch(fn, schema: T.StructType):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return run
+
+
+def per_process(key: tuple, make: Callable):
+    """``make()``, once per Python process. Workers outlive tasks, but functions reach them anew with
+    every task, so what is costly to build is kept with the interpreter and not with a module."""
+    kept = vars(sys).setdefault("_tidemark_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
