@@ -203,6 +203,8 @@ def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that the rules keep, with the columns they came with."""
-    refs = references(docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string")), limits)
     source = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
-    return judge(source, refs, limits).filter("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    rows = judge(source, references(source, limits), limits)
+    # The row number holds the filter above the verdict; pushed below, it would repeat every step of it.
+    rows = rows.withColumn("number", F.monotonically_increasing_id()).filter((F.col("number") >= 0) & F.col("kept"))
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

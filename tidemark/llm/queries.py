@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, sharding, simhash, tokenio, toxicity
+import corpus_pipeline
+
+from . import ann, bpe, licenses, lmscore, packing, quality, sharding, simhash, tokenio, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +39,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_simhash_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
@@ -56,3 +63,22 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenio.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), trusted)
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+ORACLES |= {name: sql for name, sql in {"pipeline": corpus_pipeline.ORACLE_SQL}.items() if sql}

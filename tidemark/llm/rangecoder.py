@@ -21,7 +21,7 @@ STATES = 32
 MIX, SHARE, PLACE = 12, 14, 8
 TOTAL = MIX + SHARE + PLACE
 #: Words of 16 bits that a token may need at most, and those that end a block.
-PER_TOKEN, LAST = 3, 4
+PER_TOKEN, LAST = 2, 4
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
