@@ -13,14 +13,12 @@ and back; counting runs over every byte of every document.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import bounded_batches, per_batch, per_process, text_or_empty
 
@@ -41,44 +39,53 @@ def grams(text: str) -> np.ndarray:
 
 def counted(docs: DataFrame) -> DataFrame:
     """``gram, target, background``: how often each trigram is in target documents (column
-    ``target``) and in all. Every task adds up what it reads before anything is shuffled."""
-    schema = to_arrow_schema(COUNTS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, SYMBOLS ** 3), np.int64)
-        for batch in batches:
-            texts, chosen = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for row, wanted in ((0, True), (1, False)):
-                parts = [grams(t) for t, c in zip(texts, chosen) if bool(c) is wanted]
-                if parts:
-                    found = np.concatenate(parts)
-                    sums[row] += np.bincount(found, minlength=SYMBOLS ** 3)
-        seen = np.flatnonzero(sums.any(axis=0))
-        target, rest = sums[0, seen], sums[1, seen]
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(target), pa.array(target + rest)], schema=schema)
-
-    rows = docs.select(text_or_empty().alias("text"), "target").mapInArrow(run, COUNTS)
-    return rows.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
+    ``target``) and in all. Every batch is added up before anything is shuffled."""
 
-def losses(gram: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Bits per symbol after each two symbols, of the interpolated model with these trigram counts."""
-    three = np.zeros(SYMBOLS ** 3)
-    three[gram] = count
-    two = three.reshape(SYMBOLS, -1).sum(0)
-    one = two.reshape(SYMBOLS, -1).sum(0)
+    def one(batch: pa.RecordBatch) -> dict:
+        texts, chosen = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        own = [grams(t) for t, c in zip(texts, chosen) if c] or [np.zeros(0, np.int32)]
+        rest = [grams(t) for t, c in zip(texts, chosen) if not c] or [np.zeros(0, np.int32)]
+        (a, n), (b, m) = (np.unique(np.concatenate(part), return_counts=True) for part in (own, rest))
+        zeros = [np.zeros(len(x), np.int64) for x in (a, b)]
+        return {"gram": np.concatenate([a, b]), "target": np.concatenate([n, zeros[1]]), "background": np.concatenate([n, m])}
+
+    rows = docs.select(text_or_empty().alias("text"), "target").mapInArrow(per_batch(one, COUNTS), COUNTS)
+    return rows.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
-    def conditional(counts: np.ndarray) -> np.ndarray:
-        table = counts.reshape(-1, SYMBOLS)
-        return table / np.maximum(table.sum(1, keepdims=True), 1)
 
-    lower = SHARES[3] / SYMBOLS + SHARES[2] * conditional(one)
-    lower = SHARES[1] * conditional(two) + lower
-    table = conditional(three).reshape(SYMBOLS, SYMBOLS, SYMBOLS)
-    table *= SHARES[0]
-    table += lower[None]
-    np.log2(table, out=table)
-    return -table.reshape(-1).astype(np.float32)
+class Models:
+    """The losses in bits per symbol of both models, as tables over the symbols that the corpus has."""
+
+    def __init__(self, gram: np.ndarray, target: np.ndarray, background: np.ndarray):
+        parts = [gram >> 16, gram >> 8 & 0xFF, gram & 0xFF]
+        used = np.unique(np.concatenate([[0], *parts]))
+        self.size = len(used)
+        self.code = np.zeros(SYMBOLS, np.int32)
+        self.code[used] = np.arange(self.size)
+        at = (self.code[parts[0]] * self.size + self.code[parts[1]]) * self.size + self.code[parts[2]]
+        self.target, self.background = self._losses(at, target), self._losses(at, background)
+
+    def _losses(self, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+        n = self.size
+        three = np.zeros(n ** 3, np.float32)
+        two, one = np.zeros(n * n), np.zeros(n)
+        np.add.at(two, at % (n * n), count)
+        np.add.at(one, at % n, count)
+        three[at] = count
+        lower = SHARES[3] / SYMBOLS + SHARES[2] * one / max(one.sum(), 1)
+        two = two.reshape(n, n)
+        lower = SHARES[1] * two / np.maximum(two.sum(1, keepdims=True), 1) + lower
+        for table in three.reshape(n, n, n):  # by the first symbol, so that nothing else is of full size
+            table[:] = -np.log2(SHARES[0] * table / np.maximum(table.sum(1, keepdims=True), 1) + lower)
+        return three
+
+    def score(self, text: str) -> tuple[int, float | None, float | None]:
+        """Tokens, and the mean loss under both models."""
+        raw = self.code[np.frombuffer(b"\0\0" + text.encode("utf-8", "surrogatepass"), np.uint8)]
+        at = (raw[:-2] * self.size + raw[1:-1]) * self.size + raw[2:]
+        if not len(at):
+            return 0, None, None
+        return len(at), float(self.target[at].mean(dtype=np.float64)), float(self.background[at].mean(dtype=np.float64))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -102,22 +109,13 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
         T.StructField("background_loss", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
 
-    def models() -> tuple[str, np.ndarray, np.ndarray]:
-        g, t, b = shared.value
-        return name, losses(g, t), losses(g, b)
-
     def one(batch: pa.RecordBatch) -> dict:
-        # One pair of tables per process: a newer pair takes the place of an older one.
-        held = per_process(("lm tables",), dict)
-        if held.get("of") != name:
+        # One pair of models per process: a newer pair takes the place of an older one.
+        held = per_process(("lm models",), dict)
+        if name not in held:
             held.clear()
-            held["of"], held["target"], held["background"] = models()
-        sizes, ours, theirs = [], [], []
-        for text in batch.column(1).to_pylist():
-            found = grams(text)
-            sizes.append(len(found))
-            ours.append(float(held["target"][found].mean(dtype=np.float64)) if len(found) else None)
-            theirs.append(float(held["background"][found].mean(dtype=np.float64)) if len(found) else None)
+            held[name] = Models(*shared.value)
+        sizes, ours, theirs = zip(*[held[name].score(t) for t in batch.column(1).to_pylist()]) if batch.num_rows else ((), (), ())
         score = [None if a is None else a - b for a, b in zip(ours, theirs)]
         return {"doc_id": batch.column(0), "n_tokens": sizes, "target_loss": ours, "background_loss": theirs, "score": score}
 
