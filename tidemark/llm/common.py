@@ -23,8 +23,8 @@ def text_or_empty(name: str = "text") -> Column:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Python tasks get Arrow batches of few rows and bytes, so that long texts never pile up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def written(df: DataFrame, purpose: str, partitions: int | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from .common import per_process
 from .pieces import cut
 
 #: Pieces remembered by a task; beyond it the memory starts anew. Longer pieces are not remembered.
-REMEMBERED, LONG_PIECE = 700_000, 64
+REMEMBERED, LONG_PIECE = 300_000, 64
 
 
 def ragged(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
