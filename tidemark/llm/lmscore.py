@@ -100,7 +100,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     chosen = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    counts = counted(rows.join(chosen, "doc_id", "left")).toArrow()
+    # There may be as many trusted documents as documents, so the join is a shuffled one at any size.
+    counts = counted(rows.join(chosen.hint("merge"), "doc_id", "left")).toArrow()
     gram, wanted, all_ = (counts.column(c).to_numpy() for c in ("gram", "target", "background"))
     shared = spark.sparkContext.broadcast((gram, wanted, all_))
     name = uuid.uuid4().hex
