@@ -46,7 +46,8 @@ def compare(spark, con, sf_dir, fn, sql) -> str | None:
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}"
     if got != want:
-        only_got = [r for r in got if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(got)][:3]
+        sides = set(got), set(want)
+        only_got = [r for r in got if r not in sides[1]][:3]
+        only_want = [r for r in want if r not in sides[0]][:3]
         return f"rows {len(got)} vs {len(want)} cols={got_cols}\n   spark only {only_got}\n   sql only   {only_want}"
     return None if got else "no rows"

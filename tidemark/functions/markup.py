@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import _col, let, normalize_space
 
-# Entities that occur in listing text, '&amp;' last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+# The named entities of HTML and the characters they stand for; the no-break space counts as a blank.
+_NAMED = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 # Blocks that are not text, each taken whole; a break stands in for them.
 _SILENT = r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|noscript|template)\b.*?</\1\s*>"
 
 
 def unescape(c) -> Column:
-    out = _col(c)
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """The text with its named and numeric character references decoded, once; others stay."""
+    # Two split literals, which the optimiser folds to one constant map.
+    named = F.map_from_arrays(F.split(F.lit(" ".join(_NAMED)), " "), F.split(F.lit("\n".join(_NAMED.values())), "\n"))
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, _REFERENCE, 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).try_cast("int")
+        code = F.when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), code)
+        char = F.when(name.startswith("#"), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(named[name])
+        char = F.when(code.eqNullSafe(F.lit(0xA0)), " ").otherwise(char)
+        return F.coalesce(F.concat(char, F.regexp_replace(piece, _REFERENCE, "")), F.concat(F.lit("&"), piece))
+
+    pieces = F.split(_col(c), "&")
+    rest = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
+    return F.when(_col(c).contains("&"), F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))).otherwise(_col(c))
 
 
 def without_silent_blocks(c) -> Column:

@@ -1,7 +1,7 @@
 """Jobs that turn raw pages into cards, fields, links, offers and verdicts.
 
-``pages`` has page_id and html. All but four jobs are plain expressions; those four, which follow
-nesting, run one small parser over Arrow batches (``dom``).
+``pages`` has page_id and html. All jobs but two are plain expressions; those two, which ask what
+stands inside what, read flat outlines of the pages over Arrow batches (``outline``).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from ..functions.arrays import dedupe_array, dedupe_urls
 from ..functions.numbers import distance_m, parse_decimal_br, parse_money, parse_number_simple
 from ..functions.text import _col, let, none_if_blank, normalize_key, normalize_space, parse_address, postal_code
 from ..functions.urls import absolute_url, largest_srcset, query_value, valid_image_url
-from . import dom
+from . import outline
 
 # Attributes that can hold a picture's address, in the order they are read.
 IMAGE_ATTRIBUTES = [
@@ -68,10 +68,10 @@ def _over_pages(pages: DataFrame, schema: str, read: Callable[[str], list[tuple]
 def visible_text(pages: DataFrame) -> DataFrame:
     """Pieces of shown text in order: not comments, and not what stands directly in a silent element."""
 
-    def read(html: str) -> list[tuple]:
-        return list(enumerate(dom.parse(html).shown(), start=1))
-
-    return _over_pages(pages, "position int, text string", read)
+    # A form's own text is not shown either, the text of the elements in it is.
+    in_form = F.regexp_replace("html", r"(?is)(<form\b[^>]*>)[^<]*", "$1")
+    pieces = pages.select("page_id", F.posexplode(markup.text_pieces(in_form)).alias("at", "text"))
+    return pieces.select("page_id", (F.col("at") + 1).alias("position"), "text")
 
 
 def split_cards(pages: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -105,13 +105,13 @@ def _pairs(pattern: str) -> Column:
 
 def label_rows(pages: DataFrame) -> DataFrame:
     """Label and value pairs of a page: definition lists, table heads and 'Label: value' text."""
-    listed = _pairs(r"(?is)<(?:dt|th)\b[^>]*>(.*?)</(?:dt|th)\s*>\s*<(?:dd|td)\b[^>]*>(.*?)</(?:dd|td)\s*>")
+    listed = _pairs(r"(?is)<(?:dt|th)\b[^>]*>((?:(?!</(?:dt|th)\s*>).)*)</(?:dt|th)\s*>\s*<(?:dd|td)\b[^>]*>(.*?)</(?:dd|td)\s*>")
     listed = F.transform(listed, lambda p: F.struct(markup.flat_text(p["label"]).alias("label"), markup.flat_text(p["value"]).alias("value")))
     written = F.transform(
-        F.filter(markup.text_pieces("html"), lambda t: t.rlike(r"^[^:]{1,60}:\s*\S")),
+        F.filter(markup.text_pieces("html"), lambda t: t.rlike(r"^[^:]+:\s*\S")),
         lambda t: F.struct(
             F.trim(F.substring_index(t, ":", 1)).alias("label"),
-            F.trim(F.regexp_replace(t, r"^[^:]{1,60}:\s*", "")).alias("value"),
+            F.trim(F.regexp_replace(t, r"^[^:]+:\s*", "")).alias("value"),
         ),
     )
     return pages.select("page_id", F.posexplode(F.concat(listed, written)).alias("at", "_p")).select(
@@ -160,9 +160,8 @@ def sections(pages: DataFrame, headings: list[str]) -> DataFrame:
     """Text and list items under each heading: paragraphs once each, joined by a blank line."""
 
     def read(html: str) -> list[tuple]:
-        root = dom.parse(html)
-        blocks = [(h, dom.container(root, h)) for h in headings]
-        return [(h, dom.section_text(b, h), dom.section_items(b, h)) for h, b in blocks if b is not None]
+        page = outline.Outline(html)
+        return [(h, *found) for h in headings if (found := outline.section(page, h)) is not None]
 
     return _over_pages(pages, "heading string, text string, items array<string>", read)
 
@@ -219,20 +218,22 @@ def offers_from_labels(cards: DataFrame, text: str = "text") -> DataFrame:
 
 
 def jsonld_images(pages: DataFrame, base: str) -> DataFrame:
-    """Distinct picture addresses in a page's linked data."""
-
-    def read(html: str) -> list[tuple]:
-        return [(dom.json_images(html),)]
-
-    found = _over_pages(pages, "urls array<string>", read)
-    return found.select("page_id", dedupe_urls(F.transform("urls", lambda u: valid_image_url(u)), base).alias("urls"))
+    """Distinct picture addresses at any depth of a page's linked data that is valid JSON."""
+    scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    valid = F.filter(scripts, lambda s: F.try_parse_json(s).isNotNull())
+    # The value of an address-like field: a string, or a list of plain values.
+    field = r'"(?:url|contentUrl|image)"\s*:\s*("(?:[^"\\]|\\.)*"|\[[^\[\]{}]*\])'
+    values = F.flatten(F.transform(valid, lambda s: F.regexp_extract_all(s, F.lit(field), F.lit(1))))
+    listed = F.transform(values, lambda v: F.from_json(F.when(v.startswith("["), v).otherwise(F.concat(F.lit("["), v, F.lit("]"))), "array<string>"))
+    urls = F.flatten(F.filter(listed, lambda a: a.isNotNull()))
+    return pages.select("page_id", dedupe_urls(F.transform(urls, lambda u: valid_image_url(u)), base).alias("urls"))
 
 
 def nearby_points(pages: DataFrame, heading: str = "Pontos de interesse") -> DataFrame:
     """Points of interest with their distance as written and in metres."""
 
     def read(html: str) -> list[tuple]:
-        return [(n, *point) for n, point in enumerate(dom.nearby(dom.parse(html), heading), start=1)]
+        return [(n, *point) for n, point in enumerate(outline.points(outline.Outline(html), heading), start=1)]
 
     rows = _over_pages(pages, "position int, type string, name string, said string, cut boolean", read)
     far = distance_m("said")
@@ -302,9 +303,10 @@ def probe_result(probes: DataFrame) -> DataFrame:
     )
 
 
-def health_status(pages: DataFrame, head_chars: int = 5000) -> DataFrame:
-    """Adds ``health``. Blocking words count only near the top, where a block page has them."""
-    head = F.lower(F.substring(F.coalesce("html", F.lit("")), 1, head_chars))
+def health_status(pages: DataFrame, head_chars: int | None = None) -> DataFrame:
+    """Adds ``health``. Blocking words count anywhere, or within the first characters if the caller says so."""
+    html = F.coalesce("html", F.lit(""))
+    head = F.lower(F.substring(html, 1, head_chars) if head_chars else html)
     wording = F.lit(False)
     for term in BLOCKED_TERMS:
         wording = wording | head.contains(term)

@@ -127,12 +127,6 @@ def first_reported_total(pages: DataFrame, by: list[str]) -> DataFrame:
 
 
 def collect_errors(errors: DataFrame, by: list[str]) -> DataFrame:
-    """Errors of a run as an ordered list, their text cut to 500 characters as it is stored.
-
-    Errors are first counted per distinct entry, so that a run failing the same way on much of
-    its pages does not gather one entry a page.
-    """
-    entry = errors.select(*by, "page", "status_code", "url", F.substring("error", 1, 500).alias("error"))
-    distinct = entry.groupBy(*entry.columns).agg(F.count("*").alias("times"))
-    item = F.struct("page", "status_code", "url", "error", "times")
-    return distinct.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("errors"))
+    """The distinct errors of each run, whole, with how often each occurred; one row per error, so
+    a run that fails on every page is as many rows and never one list."""
+    return errors.groupBy(*by, "page", "status_code", "url", "error").agg(F.count("*").alias("times"))

@@ -202,12 +202,12 @@ def crawl_stop_reason(
     )
 
 
-def last_full_count(runs: DataFrame, lookback: int = 20) -> DataFrame:
+def last_full_count(runs: DataFrame, lookback: int | None = None) -> DataFrame:
     """For each run the listings of the latest earlier successful full run of equal scope.
 
     ``runs`` has run_id, source_key, mode, status, scope_json, finished_at, listings_seen, one row
-    a crawl; a count in its ``summary`` JSON, if it has one, goes before the column. Only the
-    ``lookback`` latest successful full runs of the source are looked at.
+    a crawl; a count in its ``summary`` JSON, if it has one, goes before the column. With ``lookback``
+    only so many latest successful full runs of the source are looked at.
     """
     kept = runs.columns
     if "summary" in kept:
@@ -223,7 +223,8 @@ def last_full_count(runs: DataFrame, lookback: int = 20) -> DataFrame:
     last = F.last(F.when(F.col("_good"), F.struct("_seen", "_n")), ignorenulls=True).over(same)
     return (
         counted.withColumn("_last", last)
-        .withColumn("previous_count", F.when(F.col("_n") - F.col("_last._n") <= lookback, F.col("_last._seen")))
+        .withColumn("previous_count", F.col("_last._seen") if lookback is None else F.when(
+            F.col("_n") - F.col("_last._n") <= lookback, F.col("_last._seen")))
         .select(*kept, "previous_count")
     )
 

@@ -99,14 +99,14 @@ def d8(spark, sf):
 @query(
     "d9_union_keys",
     """SELECT k AS external_id, bool_or(a) AS in_a, bool_or(b) AS in_b FROM (
-        SELECT user_id AS k, true AS a, false AS b FROM events WHERE event_type = 'purchase' AND value > 100
-        UNION ALL SELECT user_id, false, true FROM events WHERE event_type = 'view' AND value > 150) GROUP BY k""",
+        SELECT user_id AS k, true AS a, false AS b FROM events WHERE event_type = 'purchase'
+        UNION ALL SELECT user_id, false, true FROM events WHERE event_type = 'view') GROUP BY k""",
 )
 def d9(spark, sf):
     events = table(spark, sf, "events").select(F.col("user_id").alias("external_id"), "event_type", "value")
     return dedup.union_keys(
-        events.filter("event_type = 'purchase' AND value > 100"),
-        events.filter("event_type = 'view' AND value > 150"),
+        events.filter("event_type = 'purchase'"),
+        events.filter("event_type = 'view'"),
         ["external_id"],
     )
 

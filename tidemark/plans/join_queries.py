@@ -157,13 +157,13 @@ _STATES = "['SUCCESS', 'CAPTCHA_REQUIRED', 'SECURITY_CHALLENGE', 'CONTENT_NOT_FO
         ELSE 'INCONCLUSIVE' END AS next_step FROM (
       SELECT user_id, max(r) FILTER (event_type = 'click') AS headless, max(r) FILTER (event_type = 'view') AS headed
       FROM (SELECT user_id, event_type, {_STATES}[1 + CAST(json_extract_string(props, '$.k') AS INTEGER) % 4] AS r
-        FROM events WHERE event_type IN ('click', 'view') AND value > 75) GROUP BY user_id)""",
+        FROM events WHERE event_type IN ('click', 'view') ) GROUP BY user_id)""",
 )
 def c10(spark, sf):
     states = F.array(*[F.lit(s) for s in ("SUCCESS", "CAPTCHA_REQUIRED", "SECURITY_CHALLENGE", "CONTENT_NOT_FOUND")])
     results = (
         table(spark, sf, "events")
-        .filter("event_type IN ('click', 'view') AND value > 75")
+        .filter("event_type IN ('click', 'view')")
         .select(
             "user_id",
             F.when(F.col("event_type") == "click", "headless").otherwise("headed").alias("mode"),
@@ -290,9 +290,8 @@ def e7(spark, sf):
 @query(
     "e9_collect_errors",
     with_(SIGHTINGS)
-    + """SELECT run_date, string_agg(page || ':' || code || ':' || n, ',' ORDER BY page, code) AS errors FROM (
-      SELECT run_date, page, CASE WHEN k > 50 THEN 429 ELSE 500 END AS code, count(*) AS n FROM sightings
-      WHERE event_type = 'error' GROUP BY 1, 2, 3) GROUP BY run_date""",
+    + """SELECT run_date, page, CASE WHEN k > 50 THEN 429 ELSE 500 END AS status_code, '/p/' || page AS url, 'fetch failed' AS error,
+      count(*) AS times FROM sightings WHERE event_type = 'error' GROUP BY 1, 2, 3""",
 )
 def e9(spark, sf):
     errors = sightings(spark, sf).filter("event_type = 'error'").select(
@@ -302,5 +301,4 @@ def e9(spark, sf):
         F.concat(F.lit("/p/"), "page").alias("url"),
         F.lit("fetch failed").alias("error"),
     )
-    said = F.transform("errors", lambda e: F.concat_ws(":", e["page"], e["status_code"], e["times"]))
-    return metrics.collect_errors(errors, ["run_date"]).select("run_date", F.array_join(said, ",").alias("errors"))
+    return metrics.collect_errors(errors, ["run_date"])

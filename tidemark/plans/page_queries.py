@@ -43,7 +43,7 @@ def listing_pages(spark, sf):
         F.lit('<img src="data:x"><a class="page-numbers" href="/p/7">7</a>'),
         F.when(status == "O", '<a class="x next" href="/p/next?gclid=1">&gt;</a>').otherwise(""),
         F.when(status == "P", '<link rel="next" href="/p/rel">').otherwise(""),
-        F.lit("<b>"), F.format_number(F.col("o_custkey"), 0), F.lit(" RESULTADOS</b>"),
+        F.lit("<b>"), F.translate(F.format_number(F.col("o_custkey"), 0), ",", "."), F.lit(" RESULTADOS</b>"),
         F.lit('<script>var m="https://maps/?q=RUA+A";var n="https://maps/?z=1&q=RUA+'), key, F.lit("+PINHEIROS%2C+SAO+PAULO+-+SP+CEP+01310-"),
         F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.lit('";</script>'),
         F.lit("<p>Venda "), price, F.lit(" ou Locação  R$ 1.500,00 e venda R$ 9,90</p></body></html>"),
@@ -161,14 +161,9 @@ def j6(spark, sf):
     return found.withColumn("items", F.array_join("items", "|"))
 
 
-@query("j7_reported_total", "SELECT o_orderkey AS page_id, CAST(CASE WHEN o_custkey < 1000 THEN o_custkey ELSE NULL END AS INTEGER) AS reported_total FROM orders")
+@query("j7_reported_total", "SELECT o_orderkey AS page_id, CAST(o_custkey AS INTEGER) AS reported_total FROM orders")
 def j7(spark, sf):
-    pages = listing_pages(spark, sf)
-    # A thousands comma is not one of the notations the pattern takes.
-    found = extract.reported_total(pages)
-    return found.join(pages.select("page_id", "o_custkey"), "page_id").select(
-        "page_id", F.when(F.col("o_custkey") < 1000, F.col("reported_total")).alias("reported_total")
-    )
+    return extract.reported_total(listing_pages(spark, sf))
 
 
 @query(

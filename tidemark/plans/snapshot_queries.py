@@ -502,10 +502,11 @@ def h18(spark, sf):
     return snapshot.normalise_status_backfill(rows).drop("url")
 
 
-# Two runs over the events: the first half of the month fills the tables, the second meets them.
-_HALVES = """c1 AS (SELECT * FROM sightings WHERE run_date < DATE '2024-01-16' AND event_type IN ('purchase', 'view') AND price > 60
+# Two runs over the events that are offers (a purchase sells, a view lets): the first half of the
+# month fills the tables, the second meets them.
+_HALVES = """c1 AS (SELECT * FROM sightings WHERE run_date < DATE '2024-01-16' AND event_type IN ('purchase', 'view')
     QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY page, position) = 1),
-c2 AS (SELECT * FROM sightings WHERE run_date >= DATE '2024-01-16' AND event_type IN ('purchase', 'view') AND price > 60
+c2 AS (SELECT * FROM sightings WHERE run_date >= DATE '2024-01-16' AND event_type IN ('purchase', 'view')
     QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY page, position) = 1)"""
 
 
@@ -514,7 +515,7 @@ def run_cards(spark, sf, first: bool):
     offer = F.struct("purpose", "price", F.lit("BRL").alias("currency"), F.lit("Preço").alias("raw_label"))
     return (
         sightings(spark, sf)
-        .filter((cut if first else ~cut) & F.col("event_type").isin("purchase", "view") & (F.col("price") > 60))
+        .filter((cut if first else ~cut) & F.col("event_type").isin("purchase", "view"))
         .select(
             "external_id", "page", "position", F.lit("/l").alias("source_url"), F.lit("Casa").alias("title"),
             F.when(F.col("k") > 50, "Santos").otherwise("São Paulo").alias("city"),

@@ -146,7 +146,7 @@ def supplier_profiles(spark, sf):
     )
 
 
-_PATTERN = {"com": '<li><a href="([^"]*)"', "net": "<p>([^<]{1,40})", "org": "<b>([^<]*)"}
+_PATTERN = {"com": '<li><a href="([^"]*)"', "net": "<p>([^<]+)", "org": "<b>([^<]*)"}
 _KIND = f"regexp_extract({_HOST}, '[a-z]+$')"
 
 
@@ -181,10 +181,10 @@ def m2(spark, sf):
     "m3_aliases",
     """SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'alias-' || user_id WHEN event_type = 'error' THEN 'nobody'
         ELSE lower(s_name) END AS key, CASE WHEN event_type <> 'error' THEN lower(s_name) END AS source_key
-      FROM events LEFT JOIN supplier ON s_suppkey = user_id WHERE s_name IS NOT NULL""",
+      FROM events LEFT JOIN supplier ON s_suppkey = user_id""",
 )
 def m3(spark, sf):
-    events = table(spark, sf, "events").join(table(spark, sf, "supplier"), F.col("user_id") == F.col("s_suppkey"))
+    events = table(spark, sf, "events").join(table(spark, sf, "supplier"), F.col("user_id") == F.col("s_suppkey"), "left")
     asked = events.select(
         "event_id",
         F.when(F.col("event_type").isin("click", "view"), F.concat(F.lit(" ALIAS-"), "user_id"))

@@ -22,12 +22,12 @@ def event_stream(spark, sf):
 
 @query(
     "l1_sync_stream",
-    """WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE value > 90)
+    """WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
       SELECT CAST(user_id AS VARCHAR) AS external_id, CAST(value AS DECIMAL(12,2)) AS price, 'ACTIVE' AS status FROM c WHERE n = 1""",
 )
 def l1(spark, sf):
     root = work_dir(spark, "stream-inventory")
-    cards = event_stream(spark, sf).filter("value > 90").select(
+    cards = event_stream(spark, sf).select(
         F.col("user_id").cast("string").alias("external_id"), F.lit(1).alias("page"), F.col("event_id").alias("position"),
         F.col("value").cast("decimal(12,2)").alias("price"),
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 from hashlib import sha256
 
@@ -16,8 +16,9 @@ from ..operators import snapshot as snap
 from ..operators.dedup import concat_results, keep_first, offers_by_purpose
 from ..operators.lifecycle import AbsencePolicy
 from ..operators.metrics import child_status, run_metrics
+from ..operators.ordered import last_full_count
 from ..operators.search import allowed_purposes, offers_in_scope, samples
-from ..sources.state import commit, has_tag, latest_version, version_path
+from ..sources.state import commit, has_tag, latest_version, read_history, version_path
 
 KEY = ["external_id"]
 EVENTS = "array<struct<seq:int,event_type:string,old_value:string,new_value:string>>"
@@ -258,6 +259,12 @@ def _trusted(sightings: DataFrame, run: Run) -> Column:
     return seen >= floor
 
 
+def unique_details(details: DataFrame) -> DataFrame:
+    """One detail row per listing: of several the first by its JSON text."""
+    row = F.struct(*details.columns)
+    return details.groupBy("external_id").agg(F.min_by(row, F.to_json(row)).alias("_d")).select("_d.*")
+
+
 def sync(tables: Tables, sightings: DataFrame, details: DataFrame, run: Run) -> SyncResult:
     """One run over one source's tables.
 
@@ -268,7 +275,7 @@ def sync(tables: Tables, sightings: DataFrame, details: DataFrame, run: Run) ->
     now = F.lit(run.now.isoformat(sep=" ")).cast("timestamp_ntz")
     cards = prepare_cards(sightings, run)
     cards = cards.withColumn("content_hash", card_hash(cards))
-    details = offers_in_scope(conform(details, DETAIL_COLUMNS), run.offer_filter)
+    details = offers_in_scope(unique_details(conform(details, DETAIL_COLUMNS)), run.offer_filter)
     matched = _matched(tables, cards, details, run, now)
     trusted = _trusted(sightings, run)
 
@@ -442,9 +449,25 @@ def run_row(outcomes: DataFrame, cards: DataFrame, run: Run) -> DataFrame:
         "parse_errors": F.lit(run.parse_errors),
         "reported_total": F.lit(run.reported_total).cast("int"),
         "previous_count": F.lit(run.previous_count).cast("bigint"),
+        "scope_json": F.lit(json.dumps(run.scope, sort_keys=True, ensure_ascii=False)),
         "finished_at": F.lit(run.now.isoformat(sep=" ")).cast("timestamp_ntz"),
     })
-    return snap.classify_run(known.drop("_offers"), run.min_listing_ratio)
+    return snap.classify_run(known.drop("_offers"), run.min_listing_ratio).withColumn("status", F.col("run_status"))
+
+
+def with_history(spark: SparkSession, root: str, run: Run) -> Run:
+    """The run with the count of the last successful full run of its scope, from the stored run log."""
+    log = read_history(spark, root, "runs", run.source_key)
+    if run.previous_count is not None or log is None:
+        return run
+    columns = ["run_id", "source_key", "mode", "status", "scope_json", "finished_at", "listings_seen"]
+    scope = json.dumps(run.scope, sort_keys=True, ensure_ascii=False)
+    own = spark.range(1).select(
+        F.lit(run.run_id), F.lit(run.source_key), F.lit(run.mode), F.lit(None).cast("string"), F.lit(scope),
+        F.lit(run.now.isoformat(sep=" ")).cast("timestamp_ntz"), F.lit(None).cast("bigint"),
+    )
+    counted = last_full_count(log.select(*columns).union(own.toDF(*columns))).filter(F.col("run_id") == run.run_id)
+    return replace(run, previous_count=counted.select("previous_count").first()[0])
 
 
 def dry_run(sightings: DataFrame, details: DataFrame, run: Run) -> tuple[DataFrame, DataFrame]:
@@ -478,6 +501,7 @@ def apply_run(spark: SparkSession, root: str, sightings: DataFrame, details: Dat
     if has_tag(spark, root, part, run.run_id):
         return False
     before = latest_version(spark, root, part)
+    run = with_history(spark, root, run)
     result = sync(load_tables(spark, root, part, before), sightings, details, run)
     version = before + 1
     written = {}

@@ -17,6 +17,8 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Python tasks get page bodies and texts in batches of bounded bytes.
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
         # Recording a call site per column expression doubles the time it takes to build a plan.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }

@@ -11,7 +11,9 @@ def commits(spark: SparkSession, root: str) -> DataFrame:
     """The log of whole versions: part, version, tag."""
     try:
         return spark.read.schema("part string, version bigint, tag string").parquet(f"{root}/_commits")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # anything else is no empty log
+            raise
         return spark.createDataFrame([], "part string, version bigint, tag string")
 
 
@@ -41,7 +43,12 @@ def read_history(spark: SparkSession, root: str, table: str, part: str = "all")
 
 
 def commit(spark: SparkSession, root: str, part: str, version: int, tag: str = "") -> None:
-    """Make a written version count; the entry is the last thing a run writes."""
+    """Make a written version count; the entry is the last thing a run writes.
+
+    Fails where another writer has committed in the meantime, whose version would be overwritten.
+    """
+    if (newest := latest_version(spark, root, part)) != version - 1:
+        raise RuntimeError(f"{part}: version {newest} was committed while version {version} was written")
     entry = spark.range(1).select(
         F.lit(part).alias("part"), F.lit(version).cast("bigint").alias("version"), F.lit(tag).alias("tag")
     )
