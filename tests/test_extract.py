@@ -81,7 +81,7 @@ def test_labels_keep_unknown_ones(spark):
         ({"http_status": 403}, "BLOCKED"), ({"fetch_failed": True, "http_status": 500}, "FAILED"), ({"parse_failed": True}, "STRUCTURE_CHANGED"),
         ({"html": "Access DENIED"}, "BLOCKED"), ({"content_type": "application/json"}, "DEGRADED"), ({"raw_cards": 0, "valid_cards": 0}, "STRUCTURE_CHANGED"),
         ({"raw_cards": 5, "invalid_cards": 3}, "DEGRADED"), ({"raw_cards": 5, "invalid_cards": 2}, "HEALTHY"), ({"content_type": ""}, "HEALTHY"),
-        ({"html": "x" * 5000 + "captcha"}, "HEALTHY"),
+        ({"html": "x" * 5000 + "captcha"}, "BLOCKED"),
     ],
 )
 def test_health(spark, more, want):
@@ -96,3 +96,21 @@ def test_address_prefers_postal_code(spark):
     row = extract.address_from_query(page, "area").first()
     assert (row.address_line, row.city, row.state, row.postal_code) == ("RUA BELA 10", "São Paulo", "SP", "01310-100")
     assert extract.address_from_query(one(spark, "<p>")).isEmpty()
+
+
+def test_health_reads_a_window_only_if_asked(spark):
+    page = one(spark, "x" * 5000 + "captcha", http_status=200, content_type="text/html", raw_cards=4, valid_cards=4, invalid_cards=0, fetch_failed=False, parse_failed=False)
+    assert extract.health_status(page, 5000).first().health == "HEALTHY"
+
+
+def test_unclosed_tags_and_character_references(spark):
+    assert extract.visible_text(one(spark, "<p>x" * 1500)).count() == 1500
+    html = "<h1>Cama&ccedil;ari &#233; &#xE9; &amp;lt; &apos;s &#39;q &nope; a&b</h1>"
+    assert extract.page_meta(one(spark, html)).first().h1 == "Camaçari é é &lt; 's 'q &nope; a&b"
+
+
+def test_long_labels_and_header_rows(spark):
+    long = "Um rótulo " * 8
+    html = f"<p>{long}: 7</p><table><tr><th>A</th><th>B</th></tr><tr><th>Vagas</th><td>2</td></tr></table>"
+    rows = {r.label: r.value for r in extract.label_rows(one(spark, html)).collect()}
+    assert rows[long.strip()] == "7" and rows["Vagas"] == "2"

@@ -1,11 +1,12 @@
 """Jobs that turn raw pages into cards, fields, links, offers and verdicts.
 
-``pages`` has page_id and html. All jobs but two are plain expressions; those two, which ask what
+``pages`` has page_id and html. All jobs but four are plain expressions; those four, which ask what
 stands inside what, read flat outlines of the pages over Arrow batches (``outline``).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,6 +35,7 @@ BLOCKING_TERMS = [
 CAPTCHA_TERMS = ["captcha", "recaptcha", "hcaptcha", "cf-turnstile", "g-recaptcha", "data-sitekey"]
 BLOCKED_TERMS = ["captcha", "cloudflare", "access denied", "too many requests"]
 TOTAL_PATTERNS = [r"(\d[\d.]*)\s+im[oó]veis encontrados", r"(\d[\d.]*)\s+Resultados"]
+LINKED_DATA = r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"
 OFFER_PATTERN = r"(?i)(Venda|Aluguel|Loca[cç][aã]o)\s+(R\$\s*[\d.,]+)"
 
 
@@ -68,10 +70,10 @@ def _over_pages(pages: DataFrame, schema: str, read: Callable[[str], list[tuple]
 def visible_text(pages: DataFrame) -> DataFrame:
     """Pieces of shown text in order: not comments, and not what stands directly in a silent element."""
 
-    # A form's own text is not shown either, the text of the elements in it is.
-    in_form = F.regexp_replace("html", r"(?is)(<form\b[^>]*>)[^<]*", "$1")
-    pieces = pages.select("page_id", F.posexplode(markup.text_pieces(in_form)).alias("at", "text"))
-    return pieces.select("page_id", (F.col("at") + 1).alias("position"), "text")
+    def read(html: str) -> list[tuple]:
+        return list(enumerate(outline.Outline(html).shown(), start=1))
+
+    return _over_pages(pages, "position int, text string", read)
 
 
 def split_cards(pages: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -218,15 +220,13 @@ def offers_from_labels(cards: DataFrame, text: str = "text") -> DataFrame:
 
 
 def jsonld_images(pages: DataFrame, base: str) -> DataFrame:
-    """Distinct picture addresses at any depth of a page's linked data that is valid JSON."""
-    scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    valid = F.filter(scripts, lambda s: F.try_parse_json(s).isNotNull())
-    # The value of an address-like field: a string, or a list of plain values.
-    field = r'"(?:url|contentUrl|image)"\s*:\s*("(?:[^"\\]|\\.)*"|\[[^\[\]{}]*\])'
-    values = F.flatten(F.transform(valid, lambda s: F.regexp_extract_all(s, F.lit(field), F.lit(1))))
-    listed = F.transform(values, lambda v: F.from_json(F.when(v.startswith("["), v).otherwise(F.concat(F.lit("["), v, F.lit("]"))), "array<string>"))
-    urls = F.flatten(F.filter(listed, lambda a: a.isNotNull()))
-    return pages.select("page_id", dedupe_urls(F.transform(urls, lambda u: valid_image_url(u)), base).alias("urls"))
+    """Distinct picture addresses at any depth of a page's linked data; invalid scripts are skipped."""
+
+    def read(html: str) -> list[tuple]:
+        return [([url for body in re.findall(LINKED_DATA, html or "") for url in outline.addresses(body)],)]
+
+    found = _over_pages(pages, "urls array<string>", read)
+    return found.select("page_id", dedupe_urls(F.transform("urls", lambda u: valid_image_url(u)), base).alias("urls"))
 
 
 def nearby_points(pages: DataFrame, heading: str = "Pontos de interesse") -> DataFrame:

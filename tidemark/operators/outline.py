@@ -7,6 +7,7 @@ its pieces by the elements around them. Nothing here recurses, so unclosed tags
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -16,6 +17,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 # Elements whose own text is not shown, elements that can carry a heading.
 SILENT = {"script", "style", "noscript", "template", "form"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "strong", "span"}
+# Fields of linked data that hold addresses, in the order they are read.
+ADDRESS_FIELDS = ("url", "contentUrl", "image")
 # Words in class names that tell what a piece of text says about a point.
 ROLES = {"type": ("type", "tipo"), "name": ("name", "nome"), "distance": ("dist",)}
 
@@ -80,6 +83,9 @@ class Outline(HTMLParser):
         if one_line(data):
             self.pieces.append(Piece(one_line(data), self.open[-1]))
 
+    def shown(self) -> list[str]:
+        return [p.text for p in self.pieces if self.parts[p.inside].tag not in SILENT]
+
     def text(self, part: Part) -> str:
         return " ".join(p.text for p in self.pieces[part.first:part.last])
 
@@ -120,6 +126,24 @@ def distinct(texts) -> list[str]:
     return list(kept.values())
 
 
+def addresses(body: str) -> list[str]:
+    """The strings of address-like fields at any depth of a JSON text, outer fields first; none if
+    the text is not JSON or too deep to read."""
+    try:
+        waiting, found = [json.loads(body)], []
+    except (ValueError, RecursionError):
+        return []
+    while waiting:
+        value = waiting.pop()
+        if isinstance(value, dict):
+            held = [value[name] for name in ADDRESS_FIELDS if name in value]
+            found += [v for h in held for v in (h if isinstance(h, list) else [h]) if isinstance(v, str)]
+            value = list(value.values())
+        if isinstance(value, list):
+            waiting += value[::-1]
+    return found
+
+
 def section(page: Outline, heading: str) -> tuple[str | None, list[str]] | None:
     """Paragraphs and list items of the block under a heading, without the heading."""
     block = page.block(heading)
