@@ -68,6 +68,34 @@ def test_lifecycle_equals_fold(spark, threshold, hours):
     got = sorted((r.external_id, int(r.run_id[1:]), r.absences, r.status, r.missing_since) for r in out)
     want = sorted((e, *row) for e, ns in seen.items() for row in fold(set(ns), runs, policy))
     assert got == want
+    steps = {e: fold(set(ns), runs, policy) for e, ns in seen.items()}
+    changes = lifecycle.status_changes(cards, log, ["external_id"], policy=policy).collect()
+    assert sorted((r.external_id, int(r.run_id[1:]), r.absences, r.status, r.missing_since) for r in changes) == sorted(
+        (e, *row) for e, rows in steps.items() for n, row in enumerate(rows) if n == 0 or rows[n - 1][2] != row[2]
+    )
+    counts = lifecycle.status_counts(cards, log, ["external_id"], policy=policy).collect()
+    each = [(row[2], e) for e, rows in steps.items() for row in rows]
+    assert {(r.status, r.entity_runs, r.entities) for r in counts} == {
+        (s, sum(t == s for t, _ in each), len({e for t, e in each if t == s})) for s in {t for t, _ in each}
+    }
+
+
+def test_lifecycle_over_months_sources_and_no_scope(spark):
+    """Two sources share run ids; the runs span months, half of them have no scope."""
+    policy = POLICY(3, 24 * 40)
+    runs = [(START + timedelta(days=9 * n), n % 5 != 3, None if n % 2 else "a") for n in range(40)]
+    logs = [(s, f"r{n:02d}", *r) for s in ("x", "y") for n, r in enumerate(runs)]
+    log = spark.createDataFrame(logs, "source_key string, run_id string, run_at timestamp_ntz, eligible boolean, scope_hash string")
+    rng = random.Random(3)
+    seen = {(s, f"e{e}"): set(rng.sample(range(40), rng.randint(1, 5))) for s in ("x", "y") for e in range(20)}
+    cards = spark.createDataFrame(
+        [(s, e, f"r{n:02d}") for (s, e), ns in seen.items() for n in ns], "source_key string, external_id string, run_id string"
+    )
+    out = lifecycle.absence_lifecycle(cards, log, ["external_id"], ["source_key"], policy).collect()
+    got = sorted((r.source_key, r.external_id, int(r.run_id[1:]), r.absences, r.status) for r in out)
+    assert got == sorted((*e, n, k, s) for e, ns in seen.items() for n, k, s, _ in fold(ns, runs, policy))
+    empty = lifecycle.status_changes(cards.limit(0), log, ["external_id"], ["source_key"], policy)
+    assert empty.count() == 0
 
 
 def test_lifecycle_stream_over_batches(spark):

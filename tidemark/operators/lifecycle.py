@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Stands after every run; a span that no sighting ends reaches up to here.
+FOREVER = "TIMESTAMP_NTZ '9999-12-31 00:00:00'"
+
 
 @dataclass(frozen=True)
 class AbsencePolicy:
@@ -32,60 +35,146 @@ def eligible_runs(runs: DataFrame) -> DataFrame:
     return runs.withColumn("eligible", F.coalesce((F.col("mode") == "full") & (F.col("status") == "success"), F.lit(False)))
 
 
-def absence_lifecycle(
-    sightings: DataFrame, runs: DataFrame, entity: list[str], source: list[str] = (), policy: AbsencePolicy = AbsencePolicy()
-) -> DataFrame:
-    """Status of every entity after every run that sighted it or could have missed it.
+def _ranked(runs: DataFrame, moments: DataFrame, key: list[str]) -> DataFrame:
+    """Runs and moments with ``_before``: how many eligible runs of their source and scope precede them.
 
-    ``sightings`` has the entity, the source columns and run_id; ``runs`` has the source columns,
-    run_id, run_at, eligible and scope_hash. A sighting in any run starts an island; a run after
-    it counts as an absence if it is eligible and its scope equals that of the sighting.
-
-    The cards shrink to one set of run numbers per entity in the map side of a single shuffle, so
-    an entity with very many cards weighs no more than one with a card a run. The run log, one
-    row a crawl, is joined in as an array per source.
+    ``moments`` has the key, _at and _tie. The running count goes by months, then over the months'
+    totals, so no task numbers a whole run log.
     """
-    source = list(source)
-    numbered = runs.withColumn(
-        "_no", F.row_number().over(W.partitionBy(*(source or [F.lit(1)])).orderBy("run_at", "run_id"))
+    each = runs.select(*key, "_at", "_tie", F.col("eligible").cast("int").alias("_n")).unionByName(
+        moments.distinct().withColumn("_n", F.lit(0))
     )
-    calendar = numbered.groupBy(*source).agg(
-        F.array_sort(F.collect_list(F.struct("_no", "run_id", "run_at", "eligible", "scope_hash"))).alias("_runs")
+    each = each.withColumn("_month", F.date_trunc("month", "_at"))
+    month = [*key, "_month"]
+    totals = each.groupBy(*month).agg(F.sum("_n").alias("_total"))
+    earlier = W.partitionBy(*key).orderBy("_month").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*month, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
+    inside = W.partitionBy(*month).orderBy("_at", "_tie", "_n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = each.withColumn("_sum", F.sum("_n").over(inside))
+    return counted.join(totals, month).select(
+        *key, "_at", "_tie", "_n", (F.col("_base") + F.col("_sum") - F.col("_n")).alias("_before")
+    )
+
+
+def _spans(
+    sightings: DataFrame, runs: DataFrame, entity: list[str], source: list[str], policy: AbsencePolicy
+) -> tuple[DataFrame, DataFrame]:
+    """One row per sighting run of an entity with the absences that follow it, and the eligible runs
+    by rank.
+
+    Absences after a sighting are the eligible runs of its scope up to the next sighting, so their
+    number is a difference of ranks. ``_removal`` is the number of the absence that removes.
+    """
+    key = [*source, "_scope"]
+    log = runs.select(
+        *source, "run_id", F.col("run_at").alias("_at"), F.concat(F.lit("r"), "run_id").alias("_tie"), "eligible",
+        F.coalesce(F.concat(F.lit("s"), "scope_hash"), F.lit("")).alias("_scope"),
     )
     seen = (
         sightings.select(*entity, *source, "run_id")
-        .join(numbered.select(*source, "run_id", "_no"), [*source, "run_id"])
+        .join(log, [*source, "run_id"])
         .groupBy(*entity, *source)
-        .agg(F.array_sort(F.collect_set("_no")).alias("_seen"))
+        .agg(F.array_sort(F.collect_set(F.struct("_at", "_tie", "run_id", "eligible", "_scope"))).alias("_seen"))
+    )
+    pairs = F.transform("_seen", lambda s, i: F.struct(s.alias("on"), F.get("_seen", i + 1).alias("to")))
+    spans = seen.select(*entity, *source, F.explode(pairs).alias("_p")).select(
+        *entity, *source, "_p.on.*",
+        F.coalesce("_p.to._at", F.expr(FOREVER)).alias("_to"), F.coalesce("_p.to._tie", F.lit("")).alias("_to_tie"),
+    )
+    at_end = spans.select(*key, F.col("_to").alias("_at"), F.col("_to_tie").alias("_tie"))
+    late = F.col("_at") + F.expr(f"INTERVAL {policy.removal_hours} HOURS")
+    at_late = log.filter("eligible").select(*key, late.alias("_at"), F.lit("").alias("_tie"))
+    ranked = _ranked(log, at_end.unionByName(at_late), key)
+
+    moment = ranked.filter("_n = 0").groupBy(*key, "_at", "_tie").agg(F.first("_before").alias("_count"))
+    of_run = log.join(
+        ranked.filter("_tie <> ''").groupBy(*key, "_at", "_tie").agg(F.first("_before").alias("_before")), [*key, "_at", "_tie"]
     )
-    with_runs = seen.join(calendar, source) if source else seen.withColumn("_runs", calendar.scalar())
-    # One row per island: the number of the run that starts it and of the one that ends it.
-    ends = F.transform(
-        "_seen", lambda n, i: F.struct(n.alias("start"), F.get("_seen", i + 1).alias("end"))
+    steps = of_run.filter("eligible").select(
+        *key, (F.col("_before") + 1).alias("_rank"), "run_id", F.col("_at").alias("run_at"), late.alias("_late_at")
     )
-    islands = with_runs.select(*entity, *source, "_runs", F.explode(ends).alias("_island"))
-    start = F.get("_runs", F.col("_island.start") - 1)
-    until = F.coalesce(F.col("_island.end") - 1, F.size("_runs"))
-    after = F.slice("_runs", F.col("_island.start") + 1, until - F.col("_island.start"))
-    missed = F.filter(after, lambda r: r["eligible"] & r["scope_hash"].eqNullSafe(F.col("_start.scope_hash")))
-    rows = (
-        islands.withColumn("_start", start)
-        .withColumn("_missed", missed)
-        .select(
-            *entity,
-            *source,
-            F.get("_missed", F.lit(0))["run_at"].alias("_since"),
-            F.posexplode(F.concat(F.array("_start"), F.col("_missed"))).alias("absences", "_run"),
-        )
+    steps = steps.join(
+        moment.filter("_tie = ''").select(*key, F.col("_at").alias("_late_at"), F.col("_count").alias("_late")), [*key, "_late_at"]
+    ).drop("_late_at")
+
+    first = (F.col("_before") + F.col("eligible").cast("int")).alias("_first")
+    spans = spans.join(of_run.select(*key, "_at", "_tie", first), [*key, "_at", "_tie"])
+    ends = moment.select(*key, F.col("_at").alias("_to"), F.col("_tie").alias("_to_tie"), "_count")
+    spans = spans.join(ends, [*key, "_to", "_to_tie"]).withColumn("_rank", F.col("_first") + 1)
+    since = steps.select(*key, "_rank", F.col("run_at").alias("_since"), "_late")
+    removal = F.greatest(F.lit(2), F.least(F.lit(policy.threshold), F.col("_late") + 1 - F.col("_first")))
+    spans = spans.join(since, [*key, "_rank"], "left").select(
+        *entity, *key, "run_id", F.col("_at").alias("run_at"), "_first", "_since", removal.alias("_removal"),
+        (F.col("_count") - F.col("_first")).alias("_absences"),
     )
-    since = F.when(F.col("absences") > 0, F.col("_since"))
-    run_at = F.col("_run.run_at")
+    return spans, steps
+
+
+def _rows(spans: DataFrame, steps: DataFrame, entity: list[str], source: list[str], numbers: Column) -> DataFrame:
+    """The runs in which a span has reached the given numbers of absences, with the status then."""
+    key = [*source, "_scope"]
+    rows = spans.withColumn("absences", F.explode(numbers)).withColumn("_rank", F.col("_first") + F.col("absences"))
+    runs = steps.select(*key, "_rank", F.col("run_id").alias("_run_id"), F.col("run_at").alias("_run_at"))
+    rows = rows.join(runs, [*key, "_rank"], "left")
+    missed = F.col("absences") > 0
     return rows.select(
         *entity,
         *source,
-        F.col("_run.run_id").alias("run_id"),
-        run_at.alias("run_at"),
-        "absences",
-        absence_status(F.col("absences"), run_at, since, policy).alias("status"),
-        since.alias("missing_since"),
+        F.when(missed, F.col("_run_id")).otherwise(F.col("run_id")).alias("run_id"),
+        F.when(missed, F.col("_run_at")).otherwise(F.col("run_at")).alias("run_at"),
+        F.col("absences").cast("int").alias("absences"),
+        F.when(~missed, "ACTIVE").when(F.col("absences") >= F.col("_removal"), "REMOVED").otherwise("MISSING").alias("status"),
+        F.when(missed, F.col("_since")).alias("missing_since"),
+    )
+
+
+def absence_lifecycle(
+    sightings: DataFrame, runs: DataFrame, entity: list[str], source: list[str] = (), policy: AbsencePolicy = AbsencePolicy()
+) -> DataFrame:
+    """Status of every entity after every run that sighted it or could have missed it.
+
+    ``sightings`` has the entity, the source columns and run_id; ``runs`` has the source columns,
+    run_id, run_at, eligible and scope_hash. A sighting in any run starts anew; a run after it
+    counts as an absence if it is eligible and its scope equals that of the sighting.
+
+    This is one row per entity and run; ``status_changes`` and ``status_counts`` say the same in
+    as many rows as there is news, and without the grid at all.
+    """
+    source = list(source)
+    spans, steps = _spans(sightings, runs, entity, source, policy)
+    return _rows(spans, steps, entity, source, F.sequence(F.lit(0).cast("bigint"), F.col("_absences")))
+
+
+def status_changes(
+    sightings: DataFrame, runs: DataFrame, entity: list[str], source: list[str] = (), policy: AbsencePolicy = AbsencePolicy()
+) -> DataFrame:
+    """The runs after which an entity's status is another than before, its first sighting included."""
+    source = list(source)
+    spans, steps = _spans(sightings, runs, entity, source, policy)
+    before = F.lag("_absences").over(W.partitionBy(*entity, *source).orderBy("run_at", "run_id"))
+    spans = spans.withColumn("_back", before.isNull() | (before > 0))
+    news = F.array_compact(F.array(
+        F.when(F.col("_back"), F.lit(0).cast("bigint")),
+        F.when(F.col("_absences") >= 1, F.lit(1).cast("bigint")),
+        F.when(F.col("_absences") >= F.col("_removal"), F.col("_removal")),
+    ))
+    return _rows(spans, steps, entity, source, news)
+
+
+def status_counts(
+    sightings: DataFrame, runs: DataFrame, entity: list[str], source: list[str] = (), policy: AbsencePolicy = AbsencePolicy()
+) -> DataFrame:
+    """How many entity runs and entities of each source had each status, without a row for any."""
+    source = list(source)
+    spans, _ = _spans(sightings, runs, entity, source, policy)
+    missing = F.least(F.col("_absences"), F.coalesce(F.col("_removal") - 1, F.lit(0)))
+    counts = F.array(*[
+        F.struct(F.lit(status).alias("status"), n.cast("bigint").alias("n"))
+        for status, n in (("ACTIVE", F.lit(1)), ("MISSING", missing), ("REMOVED", F.col("_absences") - missing))
+    ])
+    return (
+        spans.select(*entity, *source, F.explode(counts).alias("_c"))
+        .filter("_c.n > 0")
+        .groupBy(*source, F.col("_c.status").alias("status"))
+        .agg(F.sum("_c.n").alias("entity_runs"), F.count_distinct(*entity).alias("entities"))
     )

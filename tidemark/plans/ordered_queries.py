@@ -164,11 +164,10 @@ def daily_runs(spark, sf):
 
 
 def daily_seen(spark, sf):
-    cards = sightings(spark, sf).filter("event_type IN ('view', 'click')")
-    return cards.select("external_id", F.col("run_date").cast("string").alias("run_id"))
+    return sightings(spark, sf).select("external_id", F.col("run_date").cast("string").alias("run_id"))
 
 
-_LIFE = """s AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events WHERE event_type IN ('view', 'click')),
+_LIFE = """s AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events),
       grid AS (SELECT u.user_id, r.d, s.d IS NOT NULL AS seen FROM (SELECT user_id, min(d) AS f FROM s GROUP BY 1) u
         JOIN (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events) r ON r.d >= u.f LEFT JOIN s ON s.user_id = u.user_id AND s.d = r.d),
       islands AS (SELECT *, sum(CAST(seen AS INTEGER)) OVER (PARTITION BY user_id ORDER BY d) AS island FROM grid),
@@ -184,10 +183,18 @@ _LIFE = """s AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events WHER
     with_(_LIFE.format(t=2, h=72)) + "SELECT status, count(*) AS entity_runs, count(DISTINCT user_id) AS entities FROM life GROUP BY status",
 )
 def f5(spark, sf):
-    life = lifecycle.absence_lifecycle(daily_seen(spark, sf), daily_runs(spark, sf), ["external_id"])
-    return life.groupBy("status").agg(
-        F.count("*").alias("entity_runs"), F.countDistinct("external_id").alias("entities")
-    )
+    return lifecycle.status_counts(daily_seen(spark, sf), daily_runs(spark, sf), ["external_id"])
+
+
+@query(
+    "f5_status_changes",
+    with_(_LIFE.format(t=2, h=72))
+    + """SELECT CAST(user_id AS VARCHAR) AS external_id, CAST(d AS VARCHAR) AS run_id, CAST(k AS INTEGER) AS absences, status
+      FROM (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY d) AS was FROM life) WHERE status IS DISTINCT FROM was""",
+)
+def f5_changes(spark, sf):
+    life = lifecycle.status_changes(daily_seen(spark, sf), daily_runs(spark, sf), ["external_id"])
+    return life.select("external_id", "run_id", "absences", "status")
 
 
 @query(
@@ -228,10 +235,10 @@ def f5_scope(spark, sf):
         F.col("event_type").alias("source_key"),
         F.concat_ws("-", "event_type", F.to_date("ts").cast("string")).alias("run_id"),
     )
-    life = lifecycle.absence_lifecycle(
+    counts = lifecycle.status_counts(
         seen, log, ["external_id"], ["source_key"], lifecycle.AbsencePolicy(threshold=3, removal_hours=240)
     )
-    return life.groupBy("source_key", "status").agg(F.count("*").alias("n"))
+    return counts.select("source_key", "status", F.col("entity_runs").alias("n"))
 
 
 @query(
@@ -383,16 +390,17 @@ def k1(spark, sf):
 
 _JOB_RUNS = """job_runs AS (SELECT n_name AS provider_key, CASE WHEN event_type = 'error' THEN 'probe' ELSE 'crawl' END AS job_name,
     ts AS created_at, 'job:' || s_name AS started_id
-  FROM events JOIN supplier ON s_suppkey = user_id JOIN nation ON s_nationkey = n_nationkey)"""
+  FROM events LEFT JOIN supplier ON s_suppkey = user_id LEFT JOIN nation ON s_nationkey = n_nationkey)"""
 _BEGUN = """begun AS (SELECT DISTINCT job_id, scheduled_at FROM occurrences JOIN job_runs ON provider_key = source_key
     AND job_name = 'crawl' AND started_id = job_id AND created_at BETWEEN scheduled_at AND scheduled_at + INTERVAL 32 MINUTE)"""
 
 
 def job_runs(spark, sf):
-    """Events as runs the calendar started: a user's event is a run of the like-numbered supplier's job."""
+    """Events as runs the calendar started: a user's event is a run of the like-numbered supplier's job,
+    or, without such a supplier, a run that belongs to no job."""
     events, supplier, nation = (table(spark, sf, n) for n in ("events", "supplier", "nation"))
-    joined = events.join(supplier, F.col("user_id") == F.col("s_suppkey")).join(
-        nation, F.col("s_nationkey") == F.col("n_nationkey")
+    joined = events.join(supplier, F.col("user_id") == F.col("s_suppkey"), "left").join(
+        nation, F.col("s_nationkey") == F.col("n_nationkey"), "left"
     )
     return joined.select(
         F.col("n_name").alias("provider_key"),

@@ -502,11 +502,14 @@ def h18(spark, sf):
     return snapshot.normalise_status_backfill(rows).drop("url")
 
 
-# Two runs over the events that are offers (a purchase sells, a view lets): the first half of the
-# month fills the tables, the second meets them.
-_HALVES = """c1 AS (SELECT * FROM sightings WHERE run_date < DATE '2024-01-16' AND event_type IN ('purchase', 'view')
+# Two runs over all events: the first half of the month fills the tables, the second meets them. A
+# user has several listings, by event number, so that some are in one half only. What is neither
+# sold nor let has no offer.
+_HALVES = """cards AS (SELECT s.* REPLACE (external_id || '-' || (position % 7) AS external_id),
+    CASE WHEN norm_purpose IN ('SALE', 'RENT') THEN norm_purpose END AS p, CASE norm_purpose WHEN 'SALE' THEN 10 ELSE 0 END AS rank FROM sightings s),
+c1 AS (SELECT * FROM cards WHERE run_date < DATE '2024-01-16'
     QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY page, position) = 1),
-c2 AS (SELECT * FROM sightings WHERE run_date >= DATE '2024-01-16' AND event_type IN ('purchase', 'view')
+c2 AS (SELECT * FROM cards WHERE run_date >= DATE '2024-01-16'
     QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY page, position) = 1)"""
 
 
@@ -515,9 +518,9 @@ def run_cards(spark, sf, first: bool):
     offer = F.struct("purpose", "price", F.lit("BRL").alias("currency"), F.lit("Preço").alias("raw_label"))
     return (
         sightings(spark, sf)
-        .filter((cut if first else ~cut) & F.col("event_type").isin("purchase", "view"))
+        .filter(cut if first else ~cut)
         .select(
-            "external_id", "page", "position", F.lit("/l").alias("source_url"), F.lit("Casa").alias("title"),
+            F.concat_ws("-", "external_id", F.col("position") % 7).alias("external_id"), "page", "position", F.lit("/l").alias("source_url"), F.lit("Casa").alias("title"),
             F.when(F.col("k") > 50, "Santos").otherwise("São Paulo").alias("city"),
             F.when(F.col("k") > 10, F.col("price")).alias("price"),
             F.array(offer).alias("offers"),
@@ -539,7 +542,7 @@ def two_runs(spark, sf):
 
 _PAIR = """p AS (SELECT coalesce(a.external_id, b.external_id) AS external_id, a.external_id IS NOT NULL AS had, b.external_id IS NOT NULL AS has,
     CASE WHEN a.k > 10 THEN a.price END AS p1, CASE WHEN b.k > 10 THEN b.price END AS p2, a.price AS o1, b.price AS o2,
-    a.event_type AS t1, b.event_type AS t2, CASE WHEN a.k > 50 THEN 'Santos' ELSE 'São Paulo' END AS y1,
+    a.event_type AS t1, b.event_type AS t2, a.p AS u1, b.p AS u2, b.rank, CASE WHEN a.k > 50 THEN 'Santos' ELSE 'São Paulo' END AS y1,
     CASE WHEN b.k > 50 THEN 'Santos' ELSE 'São Paulo' END AS y2 FROM c1 a FULL JOIN c2 b USING (external_id))"""
 
 
@@ -548,12 +551,12 @@ _PAIR = """p AS (SELECT coalesce(a.external_id, b.external_id) AS external_id, a
     with_(SIGHTINGS, _HALVES, _PAIR)
     + """, e AS (
       SELECT external_id, 100 AS seq, 'CREATED' AS event_type, NULL AS old_value, '{"external_id":"' || external_id || '","price":' ||
-        coalesce('"' || p2 || '"', 'null') || ',"offers":[{"purpose":"' || CASE t2 WHEN 'view' THEN 'RENT' ELSE 'SALE' END || '","price":"' || o2 ||
-        '","currency":"BRL"}]}' AS new_value FROM p WHERE has AND NOT had
-      UNION ALL SELECT external_id, CASE t2 WHEN 'view' THEN 1 ELSE 11 END, 'PRICE_CHANGED',
-        '{"entity":"offer","purpose":"' || CASE t2 WHEN 'view' THEN 'RENT' ELSE 'SALE' END || '","price":"' || o1 || '"}',
-        '{"entity":"offer","purpose":"' || CASE t2 WHEN 'view' THEN 'RENT' ELSE 'SALE' END || '","price":"' || o2 || '"}'
-        FROM p WHERE has AND had AND t1 = t2 AND o1 <> o2
+        coalesce('"' || p2 || '"', 'null') || ',"offers":[' || coalesce('{"purpose":"' || u2 || '","price":"' || o2 ||
+        '","currency":"BRL"}', '') || ']}' AS new_value FROM p WHERE has AND NOT had
+      UNION ALL SELECT external_id, rank + 1, 'PRICE_CHANGED',
+        '{"entity":"offer","purpose":"' || u2 || '","price":"' || o1 || '"}',
+        '{"entity":"offer","purpose":"' || u2 || '","price":"' || o2 || '"}'
+        FROM p WHERE has AND had AND u1 = u2 AND o1 <> o2
       UNION ALL SELECT external_id, 103, 'CONTENT_CHANGED', f1, f2 FROM (SELECT *,
           concat_ws(',', CASE WHEN y1 <> y2 THEN '"city":"' || y1 || '"' END, CASE WHEN t1 <> t2 THEN '"tags":["' || t1 || '"]' END) AS f1,
           concat_ws(',', CASE WHEN y1 <> y2 THEN '"city":"' || y2 || '"' END, CASE WHEN t1 <> t2 THEN '"tags":["' || t2 || '"]' END) AS f2
@@ -580,8 +583,8 @@ def h14(spark, sf):
       count(*) FILTER (has AND had AND (p1 IS DISTINCT FROM p2 OR y1 <> y2 OR t1 <> t2 OR o1 <> o2)) AS updated_properties,
       count(*) FILTER (has AND had AND NOT (p1 IS DISTINCT FROM p2 OR y1 <> y2 OR t1 <> t2 OR o1 <> o2)) AS unchanged_properties,
       count(*) FILTER (had AND NOT has) AS missing_properties, 0::BIGINT AS removed_properties,
-      count(*) FILTER (has AND (NOT had OR t1 <> t2)) AS offers_created, count(*) FILTER (has AND had AND t1 = t2 AND o1 <> o2) AS offers_updated,
-      count(*) FILTER (has AND had AND t1 = t2 AND o1 = o2) AS offers_unchanged,
+      count(*) FILTER (has AND u2 IS NOT NULL AND u1 IS DISTINCT FROM u2) AS offers_created, count(*) FILTER (has AND had AND u1 = u2 AND o1 <> o2) AS offers_updated,
+      count(*) FILTER (has AND had AND u1 = u2 AND o1 = o2) AS offers_unchanged,
       count(*) FILTER (has AND NOT had) AS photos_created, 'success' AS run_status FROM p""",
 )
 def h19(spark, sf):

@@ -45,7 +45,7 @@ def l1(spark, sf):
       WHERE k = 0 OR d < (SELECT max(CAST(ts AS DATE)) FROM events)""",
 )
 def l2(spark, sf):
-    seen = event_stream(spark, sf).filter("event_type IN ('view', 'click')").select(
+    seen = event_stream(spark, sf).select(
         F.col("user_id").cast("string").alias("external_id"), F.col("ts").cast("timestamp").alias("seen_at")
     )
     out, checkpoint = work_dir(spark, "life"), work_dir(spark, "cp")
