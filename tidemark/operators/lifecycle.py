@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Stands after every run; a span that no sighting ends reaches up to here.
-FOREVER = "TIMESTAMP_NTZ '9999-12-31 00:00:00'"
-
 
 @dataclass(frozen=True)
 class AbsencePolicy:
@@ -35,15 +32,14 @@ def eligible_runs(runs: DataFrame) -> DataFrame:
     return runs.withColumn("eligible", F.coalesce((F.col("mode") == "full") & (F.col("status") == "success"), F.lit(False)))
 
 
-def _ranked(runs: DataFrame, moments: DataFrame, key: list[str]) -> DataFrame:
+def _ranked(log: DataFrame, moments: DataFrame, key: list[str]) -> DataFrame:
     """Runs and moments with ``_before``: how many eligible runs of their source and scope precede them.
 
-    ``moments`` has the key, _at and _tie. The running count goes by months, then over the months'
-    totals, so no task numbers a whole run log.
+    ``moments`` has the key, _at and _tie; its rows come back without a run_id. The running count
+    goes by months, then over the months' totals, so no task numbers a whole run log.
     """
-    each = runs.select(*key, "_at", "_tie", F.col("eligible").cast("int").alias("_n")).unionByName(
-        moments.distinct().withColumn("_n", F.lit(0))
-    )
+    runs = log.select(*key, "_at", "_tie", "run_id", F.col("eligible").cast("int").alias("_n"))
+    each = runs.unionByName(moments.distinct().withColumn("_n", F.lit(0)), allowMissingColumns=True)
     each = each.withColumn("_month", F.date_trunc("month", "_at"))
     month = [*key, "_month"]
     totals = each.groupBy(*month).agg(F.sum("_n").alias("_total"))
@@ -52,60 +48,76 @@ def _ranked(runs: DataFrame, moments: DataFrame, key: list[str]) -> DataFrame:
     inside = W.partitionBy(*month).orderBy("_at", "_tie", "_n").rowsBetween(W.unboundedPreceding, W.currentRow)
     counted = each.withColumn("_sum", F.sum("_n").over(inside))
     return counted.join(totals, month).select(
-        *key, "_at", "_tie", "_n", (F.col("_base") + F.col("_sum") - F.col("_n")).alias("_before")
+        *key, "_at", "_tie", "run_id", "_n", (F.col("_base") + F.col("_sum") - F.col("_n")).alias("_before")
+    )
+
+
+def _starts(log: DataFrame, key: list[str], policy: AbsencePolicy) -> tuple[DataFrame, DataFrame]:
+    """What follows a sighting in each run, and the eligible runs by rank.
+
+    The absence numbered n after a sighting is the eligible run of rank ``_first`` + n; ``_total`` is
+    the last rank, ``_since`` the time of the first absence and ``_removal`` the number of the
+    absence that removes.
+    """
+    late = F.col("_at") + F.expr(f"INTERVAL {policy.removal_hours} HOURS")
+    ranked = _ranked(log, log.filter("eligible").select(*key, late.alias("_at"), F.lit("").alias("_tie")), key)
+    runs = ranked.filter("run_id IS NOT NULL")
+    steps = runs.filter("_n = 1").select(*key, (F.col("_before") + 1).alias("_rank"), "run_id", F.col("_at").alias("run_at"))
+    expiry = ranked.filter("run_id IS NULL").select(*key, F.col("_at").alias("_late_at"), F.col("_before").alias("_late"))
+    absent_at = runs.filter("_n = 1").select(
+        *key, (F.col("_before") + 1).alias("_rank"), F.col("_at").alias("_since"), late.alias("_late_at")
+    ).join(expiry, [*key, "_late_at"])
+    totals = log.groupBy(*key).agg(F.count_if("eligible").alias("_total"))
+    first = F.col("_before") + F.col("_n")
+    starts = runs.withColumn("_first", first).withColumn("_rank", first + 1).join(
+        absent_at.drop("_late_at"), [*key, "_rank"], "left"
+    )
+    removal = F.greatest(F.lit(2), F.least(F.lit(policy.threshold), F.col("_late") + 1 - F.col("_first")))
+    starts = starts.join(totals, key).select(
+        *key, "_at", "_tie", "run_id", "_n", "_first", "_total", "_since", removal.alias("_removal")
     )
+    return starts, steps
 
 
 def _spans(
     sightings: DataFrame, runs: DataFrame, entity: list[str], source: list[str], policy: AbsencePolicy
 ) -> tuple[DataFrame, DataFrame]:
-    """One row per sighting run of an entity with the absences that follow it, and the eligible runs
-    by rank.
+    """One row per sighting run of an entity with the number of absences that follow it, and the
+    eligible runs by rank.
 
     Absences after a sighting are the eligible runs of its scope up to the next sighting, so their
-    number is a difference of ranks. ``_removal`` is the number of the absence that removes.
+    number is a difference of ranks. Only where the next sighting is of another scope, its place
+    among the runs of this one is looked up.
     """
     key = [*source, "_scope"]
     log = runs.select(
-        *source, "run_id", F.col("run_at").alias("_at"), F.concat(F.lit("r"), "run_id").alias("_tie"), "eligible",
+        *source, "run_id", F.col("run_at").alias("_at"), F.concat(F.lit("r"), "run_id").alias("_tie"),
+        F.coalesce("eligible", F.lit(False)).alias("eligible"),
         F.coalesce(F.concat(F.lit("s"), "scope_hash"), F.lit("")).alias("_scope"),
     )
+    starts, steps = _starts(log, key, policy)
+    fields = ["_at", "_tie", "run_id", "_n", "_scope", "_first", "_total", "_since", "_removal"]
     seen = (
         sightings.select(*entity, *source, "run_id")
-        .join(log, [*source, "run_id"])
+        .join(starts, [*source, "run_id"])
         .groupBy(*entity, *source)
-        .agg(F.array_sort(F.collect_set(F.struct("_at", "_tie", "run_id", "eligible", "_scope"))).alias("_seen"))
+        .agg(F.array_sort(F.collect_set(F.struct(*fields))).alias("_seen"))
     )
     pairs = F.transform("_seen", lambda s, i: F.struct(s.alias("on"), F.get("_seen", i + 1).alias("to")))
     spans = seen.select(*entity, *source, F.explode(pairs).alias("_p")).select(
         *entity, *source, "_p.on.*",
-        F.coalesce("_p.to._at", F.expr(FOREVER)).alias("_to"), F.coalesce("_p.to._tie", F.lit("")).alias("_to_tie"),
+        F.when(F.col("_p.to").isNull(), F.col("_p.on._total"))
+        .when(F.col("_p.to._scope") == F.col("_p.on._scope"), F.col("_p.to._first") - F.col("_p.to._n"))
+        .alias("_same"),
+        F.col("_p.to._at").alias("_to"), F.col("_p.to._tie").alias("_to_tie"),
     )
-    at_end = spans.select(*key, F.col("_to").alias("_at"), F.col("_to_tie").alias("_tie"))
-    late = F.col("_at") + F.expr(f"INTERVAL {policy.removal_hours} HOURS")
-    at_late = log.filter("eligible").select(*key, late.alias("_at"), F.lit("").alias("_tie"))
-    ranked = _ranked(log, at_end.unionByName(at_late), key)
-
-    moment = ranked.filter("_n = 0").groupBy(*key, "_at", "_tie").agg(F.first("_before").alias("_count"))
-    of_run = log.join(
-        ranked.filter("_tie <> ''").groupBy(*key, "_at", "_tie").agg(F.first("_before").alias("_before")), [*key, "_at", "_tie"]
-    )
-    steps = of_run.filter("eligible").select(
-        *key, (F.col("_before") + 1).alias("_rank"), "run_id", F.col("_at").alias("run_at"), late.alias("_late_at")
+    elsewhere = spans.filter("_same IS NULL").select(*key, F.col("_to").alias("_at"), F.col("_to_tie").alias("_tie"))
+    ends = _ranked(log, elsewhere, key).filter("run_id IS NULL").select(
+        *key, F.col("_at").alias("_to"), F.col("_tie").alias("_to_tie"), F.col("_before").alias("_other")
     )
-    steps = steps.join(
-        moment.filter("_tie = ''").select(*key, F.col("_at").alias("_late_at"), F.col("_count").alias("_late")), [*key, "_late_at"]
-    ).drop("_late_at")
-
-    first = (F.col("_before") + F.col("eligible").cast("int")).alias("_first")
-    spans = spans.join(of_run.select(*key, "_at", "_tie", first), [*key, "_at", "_tie"])
-    ends = moment.select(*key, F.col("_at").alias("_to"), F.col("_tie").alias("_to_tie"), "_count")
-    spans = spans.join(ends, [*key, "_to", "_to_tie"]).withColumn("_rank", F.col("_first") + 1)
-    since = steps.select(*key, "_rank", F.col("run_at").alias("_since"), "_late")
-    removal = F.greatest(F.lit(2), F.least(F.lit(policy.threshold), F.col("_late") + 1 - F.col("_first")))
-    spans = spans.join(since, [*key, "_rank"], "left").select(
-        *entity, *key, "run_id", F.col("_at").alias("run_at"), "_first", "_since", removal.alias("_removal"),
-        (F.col("_count") - F.col("_first")).alias("_absences"),
+    spans = spans.join(ends, [*key, "_to", "_to_tie"], "left").select(
+        *entity, *key, "run_id", F.col("_at").alias("run_at"), "_first", "_since", "_removal",
+        (F.coalesce("_same", "_other") - F.col("_first")).alias("_absences"),
     )
     return spans, steps
 
