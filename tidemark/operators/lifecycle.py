@@ -33,7 +33,8 @@ def eligible_runs(runs: DataFrame) -> DataFrame:
 
 
 def _ranked(log: DataFrame, moments: DataFrame, key: list[str]) -> DataFrame:
-    """Runs and moments with ``_before``: how many eligible runs of their source and scope precede them.
+    """Runs and moments with ``_before``: how many eligible runs of their source and scope precede them,
+    and ``_total``, how many there are.
 
     ``moments`` has the key, _at and _tie; its rows come back without a run_id. The running count
     goes by months, then over the months' totals, so no task numbers a whole run log.
@@ -42,13 +43,16 @@ def _ranked(log: DataFrame, moments: DataFrame, key: list[str]) -> DataFrame:
     each = runs.unionByName(moments.distinct().withColumn("_n", F.lit(0)), allowMissingColumns=True)
     each = each.withColumn("_month", F.date_trunc("month", "_at"))
     month = [*key, "_month"]
-    totals = each.groupBy(*month).agg(F.sum("_n").alias("_total"))
-    earlier = W.partitionBy(*key).orderBy("_month").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*month, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
+    totals = each.groupBy(*month).agg(F.sum("_n").alias("_in_month"))
+    months = W.partitionBy(*key).orderBy("_month")
+    earlier, all_ = months.rowsBetween(W.unboundedPreceding, -1), months.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    totals = totals.select(
+        *month, F.coalesce(F.sum("_in_month").over(earlier), F.lit(0)).alias("_base"), F.sum("_in_month").over(all_).alias("_total")
+    )
     inside = W.partitionBy(*month).orderBy("_at", "_tie", "_n").rowsBetween(W.unboundedPreceding, W.currentRow)
     counted = each.withColumn("_sum", F.sum("_n").over(inside))
     return counted.join(totals, month).select(
-        *key, "_at", "_tie", "run_id", "_n", (F.col("_base") + F.col("_sum") - F.col("_n")).alias("_before")
+        *key, "_at", "_tie", "run_id", "_n", "_total", (F.col("_base") + F.col("_sum") - F.col("_n")).alias("_before")
     )
 
 
@@ -67,13 +71,12 @@ def _starts(log: DataFrame, key: list[str], policy: AbsencePolicy) -> tuple[Data
     absent_at = runs.filter("_n = 1").select(
         *key, (F.col("_before") + 1).alias("_rank"), F.col("_at").alias("_since"), late.alias("_late_at")
     ).join(expiry, [*key, "_late_at"])
-    totals = log.groupBy(*key).agg(F.count_if("eligible").alias("_total"))
     first = F.col("_before") + F.col("_n")
     starts = runs.withColumn("_first", first).withColumn("_rank", first + 1).join(
         absent_at.drop("_late_at"), [*key, "_rank"], "left"
     )
     removal = F.greatest(F.lit(2), F.least(F.lit(policy.threshold), F.col("_late") + 1 - F.col("_first")))
-    starts = starts.join(totals, key).select(
+    starts = starts.select(
         *key, "_at", "_tie", "run_id", "_n", "_first", "_total", "_since", removal.alias("_removal")
     )
     return starts, steps
