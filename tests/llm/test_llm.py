@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import ann, bpe, licenses, lmscore, packing, quality, rangecoder, sharding, simhash, tokenio, tokens, toxicity
+from tidemark.llm import ann, bpe, copies, licenses, lmscore, packing, quality, rangecoder, sharding, simhash, tokenio, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -387,3 +387,28 @@ def test_pipeline_equals_its_stages_by_plain_loops(spark, documents):
     found = corpus_pipeline.run(spark, SF).collect()
     want = {(r.doc_id, ids_crc((library(WORDS)[1](r.text) + [1])[:4096])) for r in rows}
     assert {(r.doc_id, r.ids_crc32) for r in found if r.piece == 0} == want
+
+
+def test_near_copies_stage_finds_edited_copies_by_shingles(spark, odd, empty):
+    rng, texts = np.random.default_rng(29), []
+    for n in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        texts.append(words)
+        for edits in (1, 3, 4, 12):
+            edited = list(words)
+            for at in rng.choice(200, edits, replace=False):
+                edited[at] = f"e{n}x{at}"
+            texts.append(edited)
+    sets = [{tuple(t[i:i + 5]) for i in range(196)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in copies.near_copies(docs).collect()}
+    assert found == dict(enumerate(root)) and len(set(root)) < 90
+    kept = corpus_pipeline.drop_copies(spark, docs, SF)
+    assert {r.doc_id for r in kept.collect()} == set(root)
+    assert copies.keep_one(odd).filter("doc_id IS NULL").count() == 1 and copies.keep_one(empty).count() == 0
