@@ -412,3 +412,35 @@ def test_near_copies_stage_finds_edited_copies_by_shingles(spark, odd, empty):
     kept = corpus_pipeline.drop_copies(spark, docs, SF)
     assert {r.doc_id for r in kept.collect()} == set(root)
     assert copies.keep_one(odd).filter("doc_id IS NULL").count() == 1 and copies.keep_one(empty).count() == 0
+
+
+def test_word_models_equal_plain_counts_and_tell_wordings_apart(spark, odd, empty):
+    texts = [(1, "we sell the red house"), (2, "the house we sell, red"), (3, "house red the sell we"), (4, None), (None, "we sell boats")]
+    docs = spark.createDataFrame([*texts, texts[0]], "doc_id long, text string")
+    found = {r.doc_id: r for r in lmscore.word_difference(docs, docs.filter("doc_id = 1").select("doc_id")).collect()}
+    everything = [t for _, t in [*texts, texts[0]] if t]
+    size = len({w for t in everything for w in lmscore.words(t)})
+
+    def loss(training, text):
+        one, two, before = collections.Counter(), collections.Counter(), collections.Counter()
+        for t in training:
+            tokens = lmscore.words(t)
+            one.update(tokens)
+            two.update(zip(["", *tokens], tokens))
+            before.update(["", *tokens[:-1]])
+        tokens, total = lmscore.words(text), 0.0
+        for a, b in zip(["", *tokens], tokens):
+            p = lmscore.WORD_SHARE * one[b] / one.total() + (1 - lmscore.WORD_SHARE) / size
+            if before[a]:
+                p = lmscore.PAIR_SHARE * two[a, b] / before[a] + (1 - lmscore.PAIR_SHARE) * p
+            total -= math.log2(p)
+        return total / len(tokens)
+
+    for i, t in texts:
+        if t:
+            assert found[i].n_tokens == len(lmscore.words(t))
+            assert found[i].target_loss == pytest.approx(loss([texts[0][1]] * 2, t))
+            assert found[i].background_loss == pytest.approx(loss(everything, t))
+    assert found[1].score < found[3].score and found[4].score is None and found[4].n_tokens == 0
+    assert lmscore.word_difference(odd, odd.select("doc_id")).count() == odd.count()
+    assert lmscore.word_difference(empty, empty.select("doc_id")).count() == 0

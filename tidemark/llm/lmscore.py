@@ -8,19 +8,27 @@ the target and unlike the rest.
 
 A model has at most 2 ** 24 trigram counts whatever the corpus, which bounds what goes to the driver
 and back; counting runs over every byte of every document.
+
+``word_difference`` does the same with interpolated bigrams of words. Its counts are tables that grow
+with the corpus; nothing of them goes to the driver, and documents meet them in joins.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, per_batch, per_process, text_or_empty
+from .common import bounded_batches, per_batch, per_process, text_or_empty, written
 
 SYMBOLS = 256
 #: What trigrams, bigrams, single symbols and none at all have of the probability.
@@ -121,3 +129,84 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
         return {"doc_id": batch.column(0), "n_tokens": sizes, "target_loss": ours, "background_loss": theirs, "score": score}
 
     return rows.mapInArrow(per_batch(one, schema), schema)
+
+
+#: What word pairs have of the probability after a known word, and words of what is left.
+PAIR_SHARE, WORD_SHARE = 0.6, 0.9
+TOKEN = re.compile(r"\w+|[^\w\s]")
+
+
+def words(text: str) -> list[str]:
+    """Words and single marks, in lower case."""
+    return TOKEN.findall(text.lower())
+
+
+def word_pairs(rows: DataFrame) -> DataFrame:
+    """``row, doc_id, target, before, word, n``: the distinct word pairs of every row with their
+    counts, words as hashes, 0 before the first; and one record per row with ``n`` 0."""
+    schema = T.StructType([
+        *[T.StructField(c, T.LongType()) for c in ("row", "doc_id")], T.StructField("target", T.BooleanType()),
+        *[T.StructField(c, T.LongType()) for c in ("before", "word", "n")],
+    ])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            known: dict[str, int] = {}
+            out: list[list] = [[] for _ in schema]
+            for doc_id, target, text in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens = words(text)
+                for t in tokens:
+                    if t not in known:
+                        known[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
+                hashes = [known[t] for t in tokens]
+                pairs = Counter(zip([0, *hashes], hashes))
+                for column, values in zip(out, (
+                    [row] * (len(pairs) + 1), [doc_id] * (len(pairs) + 1), [target] * (len(pairs) + 1),
+                    [0, *(a for a, _ in pairs)], [0, *(b for _, b in pairs)], [0, *pairs.values()],
+                )):
+                    column.extend(values)
+                row += 1
+            yield pa.RecordBatch.from_arrays([
+                pa.array(v, pa.bool_() if f.name == "target" else pa.int64()) for v, f in zip(out, schema)
+            ], names=schema.names)
+
+    return rows.mapInArrow(each, schema)
+
+
+def word_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """``doc_id, n_tokens, target_loss, background_loss, score`` of every row, by word bigram models.
+
+    ``target`` has the ``doc_id`` of the trusted documents. Both models share the vocabulary, all words
+    of the documents, and the smoothing. Texts without words have no tokens and NULL losses and score;
+    without any target document the target model is uniform; repeated rows score alike and count as
+    often as they occur; an empty table gives no rows. Reads ``doc_id`` and ``text`` only.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    chosen = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
+    rows = rows.join(chosen, "doc_id", "left").select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
+    pairs = written(word_pairs(rows), "lm-pairs")
+    counts = written(pairs.filter("n > 0").groupBy("before", "word").agg(
+        F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("b")), "lm-counts")
+    single = written(counts.groupBy("word").agg(F.sum("t").alias("word_t"), F.sum("b").alias("word_b")), "lm-words")
+    after = counts.groupBy("before").agg(F.sum("t").alias("before_t"), F.sum("b").alias("before_b"))
+    size = single.agg(F.count("*").alias("words"), F.sum("word_t").alias("t"), F.sum("word_b").alias("b")).first()
+
+    def loss(which: str):
+        uniform = F.lit(1.0 / max(size["words"], 1))
+        one = WORD_SHARE * F.col(f"word_{which}") / F.lit(float(size[which])) + (1 - WORD_SHARE) * uniform if size[which] else uniform
+        two = PAIR_SHARE * F.col(which) / F.col(f"before_{which}") + (1 - PAIR_SHARE) * one
+        return -F.log2(F.when(F.col(f"before_{which}") > 0, two).otherwise(one))
+
+    losses = counts.join(after, "before").join(single, "word").select(
+        F.xxhash64("before", "word").alias("pair"), loss("t").alias("t"), loss("b").alias("b"))
+    losses = written(losses, "lm-losses")
+    met = pairs.filter("n > 0").select("row", "n", F.xxhash64("before", "word").alias("pair")).join(losses, "pair")
+    sums = met.groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("t")).alias("t"), F.sum(F.col("n") * F.col("b")).alias("b"))
+    result = pairs.filter("n = 0").select("row", "doc_id").join(sums, "row", "left")
+    ours, theirs = F.col("t") / F.col("n_tokens"), F.col("b") / F.col("n_tokens")
+    return result.select(
+        "doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"),
+        ours.alias("target_loss"), theirs.alias("background_loss"), (ours - theirs).alias("score"),
+    )

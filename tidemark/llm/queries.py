@@ -73,7 +73,7 @@ def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), trusted)
+    return lmscore.word_difference(table(spark, sf_dir, "documents"), trusted)
 
 
 @query
