@@ -444,3 +444,19 @@ def test_word_models_equal_plain_counts_and_tell_wordings_apart(spark, odd, empt
     assert found[1].score < found[3].score and found[4].score is None and found[4].n_tokens == 0
     assert lmscore.word_difference(odd, odd.select("doc_id")).count() == odd.count()
     assert lmscore.word_difference(empty, empty.select("doc_id")).count() == 0
+
+
+@pytest.mark.parametrize("width,lead", [(72, ""), (78, "# "), (40, " * ")])
+def test_wrapped_license_notices_are_confirmed(spark, width, lead):
+    import textwrap
+
+    chosen = {("MIT", 1), ("BSD", 1), ("GPL", 1), ("Apache-2.0", 1), ("Apache-2.0", 3)}
+    rows, want = [], {}
+    for family, n in sorted(chosen):
+        notice = "\n".join(lead + x for x in textwrap.wrap(licenses.TEMPLATES[family][n], width))
+        want[len(rows)] = family
+        rows.append((len(rows), f"Some program.\n\n{notice}\n\nwe had permission to walk there"))
+    rows.append((99, "Released under the MIT License.\nwe had permission to walk there"))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.family) for r in found if r.confirmed} == {*want.items(), (99, "MIT")}
+    assert not any(r.confirmed for r in found if r.body.startswith("we had"))
