@@ -460,3 +460,20 @@ def test_wrapped_license_notices_are_confirmed(spark, width, lead):
     found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.family) for r in found if r.confirmed} == {*want.items(), (99, "MIT")}
     assert not any(r.confirmed for r in found if r.body.startswith("we had"))
+
+
+def test_points_with_one_key_are_met_in_bounded_blocks(spark, monkeypatch):
+    placed = spark.range(1000).selectExpr("id AS point", "array(1f) AS v", "0 AS ordering", "0 AS range")
+    blocks, sizes = ann.blocked(placed, 50)
+    counts = [r["count"] for r in blocks.groupBy("ordering", "range", "block").count().collect()]
+    assert sum(counts) == 1000 and max(counts) <= 100 and sizes.first().blocks == 20
+    monkeypatch.setattr(ann, "RANGE_POINTS", 8)
+    monkeypatch.setattr(ann, "QUERY_GROUP", 4)
+    monkeypatch.setattr(ann, "TILE", 16)
+    vectors = np.random.default_rng(31).standard_normal((120, 6)).astype(np.float32)
+    vectors[7] = 1e6  # presses all others into one cell of the curve
+    frame = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    scores = vectors.astype(np.float64) @ vectors.astype(np.float64).T
+    np.fill_diagonal(scores, -np.inf)
+    want = {(q, int(v)) for q in range(0, 120, 20) for v in np.argsort(-scores[q])[:5]}
+    assert {(r.query_id, r.vec_id) for r in ann.search(frame, k=5).collect()} == want

@@ -29,6 +29,8 @@ RANGE_POINTS, MOST_RANGES = 4096, 10_000
 #: Queries whose estimated recall is below this are widened, in groups of so many.
 ENOUGH, QUERY_GROUP = 0.97, 16_384
 SEED = 7
+#: Scores held at once while a block of points meets its queries.
+TILE = 1 << 22
 
 
 def hilbert(points: np.ndarray, depth: int) -> np.ndarray:
@@ -91,10 +93,9 @@ def points_of(embeddings: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 def _nearest(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, names: np.ndarray, k: int) -> dict:
     """The ``k`` best of ``rows`` for each query: by score, then id."""
-    scores = queries @ rows.T
     out = {"query": [], "point": [], "score": []}
-    few = min(k, len(ids))
-    for q, line in zip(names, scores):
+    few, tile = min(k, len(ids)), max(1, TILE // len(ids))
+    for q, line in ((q, line) for at in range(0, len(names), tile) for q, line in zip(names[at:at + tile], queries[at:at + tile] @ rows.T)):
         edge = np.partition(line, len(line) - few)[len(line) - few]
         near = np.flatnonzero(line >= edge)
         near = near[np.lexsort((ids[near], -line[near]))][:few]
@@ -104,6 +105,16 @@ def _nearest(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, names: np.n
     return {c: np.concatenate(v) if v else np.empty(0) for c, v in out.items()}
 
 
+def blocked(placed: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The placed points with the ``block`` of their range, and ``ordering, range, blocks``.
+
+    Points with one key share a range however many they are, so a range of more than ``most`` points
+    is dealt by hash into blocks of about so many; a query meets all blocks of a range."""
+    sizes = written(placed.groupBy("ordering", "range").agg(F.ceil(F.count("*") / most).alias("blocks")), "ann-sizes")
+    deal = F.pmod(F.xxhash64("point"), F.col("blocks"))
+    return placed.join(sizes, ["ordering", "range"]).withColumn("block", deal).drop("blocks"), sizes
+
+
 def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id divides by ``every``, the ``k`` nearest
     other rows found, best first, ties to the smaller id; ``score`` in double precision.
@@ -131,7 +142,8 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         return {"point": batch.column("point"), "v": batch.column("v"), "keys": keys}
 
     curves = written(points.select("point", "v").mapInArrow(per_batch(keyed, schema), schema), "ann-curves")
-    ranges = max(1, -(-size["n"] // max(RANGE_POINTS, size["n"] // MOST_RANGES)))
+    each = max(RANGE_POINTS, size["n"] // MOST_RANGES)
+    ranges = max(1, -(-size["n"] // each))
     cuts = [r / ranges for r in range(1, ranges)]
     edges = curves.agg(*[
         F.percentile_approx(F.col("keys")[o], cuts, 100 * ranges).alias(f"o{o}") for o in range(ORDERINGS)
@@ -144,9 +156,11 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     placed = curves.select("point", "v", F.explode(F.array(*[
         F.struct(F.lit(o).alias("ordering"), range_of(o).alias("range")) for o in range(ORDERINGS)
     ])).alias("at")).select("point", "v", "at.ordering", "at.range")
+    # Ordinary ranges hold about so many points and stay whole; only crowded ones get blocks.
+    placed, sizes = blocked(written(placed, "ann-ranges"), 2 * each)
     placed = written(placed, "ann-placed")
     names = asked.select(F.col("query").alias("point")).distinct()
-    queries = written(placed.join(names, "point", "left_semi"), "ann-asked")
+    queries = written(placed.join(names, "point", "left_semi").drop("block"), "ann-asked")
     found_schema = "query long, point long, score double, ordering int"
 
     def meet(key: tuple, data: pd.DataFrame, seekers: pd.DataFrame) -> pd.DataFrame:
@@ -160,8 +174,14 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         return data.groupBy(*by).cogroup(seekers.groupBy(*by)).applyInPandas(meet, found_schema)
 
     window = queries.withColumn("range", F.explode(F.sequence(F.col("range") - 1, F.col("range") + 1)))
+    # Crowded seekers meet a range in groups, too.
+    crowds = window.groupBy("ordering", "range").agg(F.ceil(F.count("*") / QUERY_GROUP).alias("groups"))
+    crowds = written(crowds.join(sizes, ["ordering", "range"]), "ann-crowds")
+    window = window.join(crowds, ["ordering", "range"]).withColumn("group", F.pmod(F.xxhash64("point"), F.col("groups")))
+    window = window.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("groups", "blocks")
+    met = placed.join(crowds, ["ordering", "range"]).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
     per_ordering = Window.partitionBy("query", "ordering").orderBy(F.desc("score"), "point")
-    near = beside(window, placed, ["ordering", "range"])
+    near = beside(window, met.drop("groups", "blocks"), ["ordering", "range", "block", "group"])
     near = near.withColumn("n", F.row_number().over(per_ordering)).filter(F.col("n") <= k + 1).drop("n")
     near = written(near, "ann-near")
 
@@ -180,9 +200,10 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     group = F.pmod(F.xxhash64("point"), F.lit(groups))
     others = F.filter(F.sequence(F.lit(0), F.lit(len(edges[0]))), lambda r: F.abs(r - F.col("own")) > 1)
     seekers = wide.select("point", "v", F.explode(others).alias("range"), group.alias("group"))
-    seekers = seekers.withColumn("ordering", F.lit(0))
+    seekers = seekers.withColumn("ordering", F.lit(0)).join(sizes, ["ordering", "range"])
+    seekers = seekers.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
     whole = placed.filter("ordering = 0").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    far = beside(seekers, whole, ["ordering", "range", "group"])
+    far = beside(seekers, whole, ["ordering", "range", "block", "group"])
     top = written(merged(near.union(far)).select("query", "point", "score"), "ann-top")
 
     named = top.join(points.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id"))
