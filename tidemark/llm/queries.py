@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, bpe, licenses, lines, lmscore, packing, periodic, quality, sharding, simhash, tokenio, toxicity
+from . import alignment, ann, bpe, licenses, lines, lmscore, packing, periodic, quality, sharding, simhash, tokenio, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +77,12 @@ def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame
     return lmscore.word_difference(table(spark, sf_dir, "documents"), trusted)
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.link_counts(table(spark, sf_dir, "documents"), *paths)
+
+
 @query
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
