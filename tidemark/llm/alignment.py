@@ -36,8 +36,10 @@ from .common import bounded_batches, per_batch, per_process, text_or_empty
 from .pieces import cut
 from .tokens import ragged
 
-#: Units remembered by a worker, of at most so many characters.
-REMEMBERED, LONG_UNIT = 150_000, 64
+#: Units remembered by a worker, of at most so many characters; half of them are those used last.
+REMEMBERED, LONG_UNIT = 240_000, 32
+#: Documents worked on at once.
+ROWS = 512
 #: A chunk is closed when its dictionary has so many pairs or its units link so many.
 MOST_PAIRS, MOST_LINKS = 1 << 20, 1 << 23
 
@@ -88,7 +90,8 @@ class Aligner:
         #: Whether no piece goes on over a blank after another character, so that texts may be cut there.
         self.cuts = not any(x != "▁" and y == "▁" for p in pieces for x, y in zip(p, p[1:]))
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        self.memory: dict[str, Aligned] = {}
+        self.young: dict[str, Aligned] = {}
+        self.old: dict[str, Aligned] = {}
 
     def align(self, units: list[str]) -> list[Aligned]:
         """What the two tokenizers make of a blank and each unit."""
@@ -96,14 +99,13 @@ class Aligner:
             return []
         a_ids = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
         b_ids = self.b.encode(units, num_threads=1)
-        spell = lambda ids, table: b"".join([table[i] for i in ids])
-        texts = [b" " + u.encode("utf-8", "surrogatepass") for u in units]
-        good = [spell(x, self.a_bytes) == t == spell(y, self.b_bytes) for t, x, y in zip(texts, a_ids, b_ids)]
-        which = [n for n, ok in enumerate(good) if ok]
         made: list[Aligned] = [None] * len(units)
+        which = self._spelled([b" " + u.encode("utf-8", "surrogatepass") for u in units], a_ids, b_ids)
         if not which:
             return made
-        a_lists, b_lists = lists([a_ids[n] for n in which]), lists([b_ids[n] for n in which])
+        if len(which) < len(units):
+            a_ids, b_ids = [a_ids[n] for n in which], [b_ids[n] for n in which]
+        a_lists, b_lists = lists(a_ids), lists(b_ids)
         a, a_of, a_end = ends_in_parents(a_lists, self.a_sizes)
         b, b_of, b_end = ends_in_parents(b_lists, self.b_sizes)
         a_key, b_key = a_of << 32 | a_end, b_of << 32 | b_end
@@ -122,6 +124,17 @@ class Aligner:
             made[n] = int(n_a[k]), int(n_b[k]), int(groups[k]), pairs[upto[k] - links[k]:upto[k]].tobytes(), texts[k]
         return made
 
+    def _spelled(self, texts: list[bytes], *sides: list[list[int]]) -> list[int]:
+        """Which texts the tokens of both sides spell."""
+        good = np.ones(len(texts), bool)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends, whole = np.cumsum(sizes), b"".join(texts)
+        for ids, table in zip(sides, (self.a_bytes, self.b_bytes)):
+            own = [b"".join(map(table.__getitem__, i)) for i in ids]
+            if b"".join(own) != whole or (np.cumsum(np.fromiter(map(len, own), np.int64, len(own))) != ends).any():
+                good &= np.fromiter(map(bytes.__eq__, own, texts), bool, len(own))
+        return np.flatnonzero(good).tolist()
+
     @staticmethod
     def _rendered(a_side: tuple, b_side: tuple, count: int) -> list[str]:
         """The groups of every parent as ``a,a|b;a|b,b``."""
@@ -155,12 +168,22 @@ class Aligner:
             ends, at = np.concatenate([[0], np.cumsum(keep)])[ends], at[keep]
         used = np.zeros(len(names), bool)
         used[at] = True
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        new = list(dict.fromkeys(n for n, u in zip(names, used) if u and n not in self.memory))
-        fresh = dict(zip(new, self.align(new)))
-        self.memory.update((n, f) for n, f in fresh.items() if len(n) <= LONG_UNIT)
-        aligned = [(fresh[n] if n in fresh else self.memory[n]) if u else None for n, u in zip(names, used)]
+        aligned: list[Aligned] = [None] * len(names)
+        new: dict[str, list[int]] = {}
+        for n, (name, u) in enumerate(zip(names, used.tolist())):
+            if u and name in self.young:
+                aligned[n] = self.young[name]
+            elif u and name in self.old:
+                aligned[n] = self.young[name] = self.old[name]
+            elif u:
+                new.setdefault(name, []).append(n)
+        for (name, places), found in zip(new.items(), self.align(list(new))):
+            for n in places:
+                aligned[n] = found
+            if len(name) <= LONG_UNIT:
+                self.young[name] = found
+        if len(self.young) > REMEMBERED // 2:
+            self.young, self.old = {}, self.young
         return names, aligned, at, ends
 
 
@@ -264,7 +287,7 @@ class Chunk:
 def _first_pass(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, chunk = TaskContext.get().partitionId(), 0, None
-        for batch in batches:
+        for batch in (b.slice(x, ROWS) for b in batches for x in range(0, len(b), ROWS)):
             if chunk is None:
                 chunk = Chunk(part << 32 | made)
             texts = batch.column(1).cast(pa.string())
