@@ -5,15 +5,17 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 from decimal import Decimal
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.lifecycle import AbsencePolicy
 from tidemark.operators.ordered import price_history
 from tidemark.operators.snapshot import classify_run
-from tidemark.plans.sync import DETAIL_COLUMNS, SIGHTING_COLUMNS, Run, apply_run, dry_run, load_tables
+from tidemark.plans.sync import DETAIL_COLUMNS, SIGHTING_COLUMNS, Run, apply_run, dry_run, load_tables, open_store
 from tidemark.session import work_dir
-from tidemark.sources.state import read_history, read_state
+from tidemark.sources.state import Store
 
 START = datetime(2026, 1, 1, 3)
 
@@ -48,16 +50,19 @@ class Inventory:
             self.spark, self.root, frame(self.spark, cards, SIGHTING_COLUMNS), frame(self.spark, details, DETAIL_COLUMNS), run
         )
         assert done
-        return read_state(self.spark, self.root, "runs", "src").first()
+        return self.store().history("runs", run.run_id).first()
+
+    def store(self):
+        return open_store(self.spark, self.root, "src")
 
     def table(self, name):
-        return read_state(self.spark, self.root, name, "src")
+        return self.store().read(name)
 
     def statuses(self):
         return {r.external_id: r.status for r in self.table("listings").collect()}
 
     def events(self, kind=None):
-        events = read_history(self.spark, self.root, "events", "src")
+        events = self.store().history("events")
         return (events.filter(F.col("event_type") == kind) if kind else events).orderBy("detected_at", "external_id", "seq").collect()
 
 
@@ -104,7 +109,7 @@ def test_listing_runs(spark):
     row = inv.run([b1], [d1], mode="full", completed=False, http_errors=1, stopped_reason="http_429")
     assert row.run_status == "partial" and not row.completed and inv.statuses()["1002"] == "ACTIVE"
 
-    events = read_history(spark, inv.root, "events", "src").withColumnRenamed("external_id", "listing_id")
+    events = inv.store().history("events").withColumnRenamed("external_id", "listing_id")
     mine = price_history(events.filter("listing_id = '1001'")).orderBy("detected_at", "seq").collect()
     assert [r.price for r in mine] == [3100000.0, 2950000.0]
 
@@ -235,3 +240,68 @@ def test_dry_run_writes_nothing(spark):
     assert (row.listings_seen, row.sale_offers_seen, row.rent_offers_seen) == (8, 8, 0)
     shown = {r.external_id: r.detail for r in first.collect()}
     assert set(shown) == {"1", "2", "3", "4", "5"} and shown["2"].price == Decimal("5.00") and shown["1"] is None
+
+
+def files_of(root, name):
+    """The data files of a stored table by bucket."""
+    found = {}
+    for path in Path(root, name).glob("_part=*/_bucket=*/*.parquet"):
+        found.setdefault(int(path.parent.name.split("=")[1]), set()).add(path.name)
+    return found
+
+
+def test_a_run_rewrites_the_buckets_it_touches(spark):
+    """A run over one listing in a hundred leaves the files of all other buckets as they are."""
+    root, empty = work_dir(spark, "inv"), frame(spark, [], DETAIL_COLUMNS)
+    ids = [str(n) for n in range(300)]
+    apply_run(spark, root, frame(spark, [card(n, i, "5") for n, i in enumerate(ids)], SIGHTING_COLUMNS), empty, Run("r1", "src", START), 256)
+    before = {t: files_of(root, t) for t in ("listings", "photos")}
+    seen = ["7", "70", "170"]
+    apply_run(spark, root, frame(spark, [card(n, i, "6") for n, i in enumerate(seen)], SIGHTING_COLUMNS), empty, Run("r2", "src", START + timedelta(days=1)), 256)
+    store = open_store(spark, root, "src", 256)
+    touched = set(store.touched(spark.createDataFrame([(i,) for i in seen], "external_id string")))
+    for name, files in before.items():
+        changed = {b for b, names in files_of(root, name).items() if names != files.get(b)}
+        assert changed == touched and len(changed) <= 3 < 0.03 * len(files) + 1
+    prices = {r.external_id: r.price for r in load_tables(spark, root, "src").listings.collect()}
+    assert prices == {i: Decimal(6 if i in seen else 5) for i in ids}
+    plan = store.read("listings", [3])._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
+def test_a_failed_run_leaves_a_row_and_may_be_tried_again(spark):
+    inv = Inventory(spark)
+    inv.run([card(1, "a", "1")])
+    cards, details = frame(spark, [card(1, "b", "2")], SIGHTING_COLUMNS), frame(spark, [], DETAIL_COLUMNS)
+    run = Run("r2", "src", START + timedelta(days=2), started_at=START + timedelta(days=2, hours=-1), pages_fetched=3)
+    broken = cards.withColumn("title", F.raise_error(F.lit("a page that cannot be read")))
+    with pytest.raises(Exception, match="cannot be read"):
+        apply_run(spark, inv.root, broken, details, run)
+    row = inv.store().history("runs", "r2").first()
+    assert (row.status, row.completed, row.listings_seen, row.duration_seconds) == ("failed", False, None, 3600.0) and "cannot be read" in row.error
+    assert inv.statuses() == {"a": "ACTIVE"}
+    assert apply_run(spark, inv.root, cards, details, run)
+    row = inv.store().history("runs", "r2").first()
+    assert (row.status, row.new_properties, row.cards_seen, row.valid_cards_ratio, row.pages_per_second) == ("success", 1, 1, 1.0, round(3 / 3600, 6))
+    assert inv.store().history("runs").count() == 2
+
+
+def test_a_run_that_died_while_publishing_is_finished_by_the_next(spark, monkeypatch):
+    inv = Inventory(spark)
+    inv.run([card(1, "a", "1"), card(2, "b", "1")])
+    cards, details = frame(spark, [card(1, "a", "9"), card(2, "c", "2")], SIGHTING_COLUMNS), frame(spark, [], DETAIL_COLUMNS)
+    log = Store.log
+    monkeypatch.setattr(Store, "log", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        apply_run(spark, inv.root, cards, details, Run("r2", "src", START + timedelta(days=2)))
+    monkeypatch.setattr(Store, "log", log)
+    assert set(inv.store().ready()) == {"r2"}
+    assert not apply_run(spark, inv.root, cards, details, Run("r2", "src", START + timedelta(days=2)))
+    assert not inv.store().ready() and inv.store().history("runs", "r2").first().new_properties == 1
+    assert {r.external_id: r.price for r in inv.table("listings").collect()} == {"a": Decimal(9), "b": Decimal(1), "c": Decimal(2)}
+    assert len(inv.events("PRICE_CHANGED")) == 1 and len(inv.events("CREATED")) == 3
+    known = inv.store().finished()
+    path = inv.store().staging()
+    inv.store().note("r3", path, [], known)
+    with pytest.raises(RuntimeError, match="r3 came about"):
+        inv.store().note("r4", path, [], known)

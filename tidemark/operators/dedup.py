@@ -11,17 +11,19 @@ from ..functions.arrays import gallery
 from ..functions.text import normalize_purpose
 
 
-def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def keep_first(df: DataFrame, keys: list[str], order: list[str], times: str | None = None) -> DataFrame:
     """The first row of each key in discovery order.
 
     Written as an aggregate, not a rank: each task reduces its share of a key to one row before
     the shuffle, so a key that holds much of the table costs no more than any other. The other
-    columns break a tie in the order, which keeps the choice the same on every run.
+    columns break a tie in the order, which keeps the choice the same on every run. ``times`` names a
+    column for the number of rows that the key has.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
     first = F.min(F.struct(*order, *rest)).alias("_first")
-    out = df.groupBy(*keys).agg(first).select(*keys, "_first.*")
-    return out.select(*df.columns)
+    counted = [F.count(F.lit(1)).alias(times)] if times else []
+    out = df.groupBy(*keys).agg(first, *counted).select(*keys, "_first.*", *([times] if times else []))
+    return out.select(*df.columns, *([times] if times else []))
 
 
 def page_duplicates(cards: DataFrame, page_keys: list[str], key: str, position: str = "position") -> DataFrame:

@@ -58,8 +58,13 @@ def card_quality(pages: DataFrame, by: list[str]) -> DataFrame:
     sums = pages.groupBy(*by).agg(
         F.sum("raw_cards").cast("bigint").alias("cards_seen"), F.sum("invalid_cards").cast("bigint").alias("invalid_cards")
     )
+    return card_ratios(sums)
+
+
+def card_ratios(runs: DataFrame) -> DataFrame:
+    """Adds both shares to rows of ``cards_seen`` and ``invalid_cards``."""
     valid = (F.col("cards_seen") - F.col("invalid_cards")).cast("double")
-    return sums.withColumn("invalid_rate", invalid_rate("invalid_cards", "cards_seen")).withColumn(
+    return runs.withColumn("invalid_rate", invalid_rate("invalid_cards", "cards_seen")).withColumn(
         "valid_cards_ratio", F.try_divide(valid, F.nullif(F.col("cards_seen"), F.lit(0)))
     )
 

@@ -14,8 +14,7 @@ from .bindings import OFFERS, PHOTOS, RUNS, SIGHTINGS, offers, photos, runs, sig
 from .dedup_queries import LAST_OFFERS, PHOTO_ORDER, UNIQUE_PHOTOS
 from .registry import query
 from ..session import work_dir
-from ..sources.state import read_state
-from .sync import Run, apply_run, dry_run
+from .sync import Run, apply_run, dry_run, open_store
 
 NOW = "TIMESTAMP_NTZ '2002-01-01 00:00:00'"
 NOW_SQL = "TIMESTAMP '2002-01-01 00:00:00'"
@@ -536,7 +535,7 @@ def two_runs(spark, sf):
     empty = spark.createDataFrame([], "external_id string")
     for n, day in ((1, datetime(2024, 1, 16)), (2, datetime(2024, 1, 31))):
         run = Run(f"r{n}", "src", day, "full", {"purpose": "sale"})
-        apply_run(spark, root, run_cards(spark, sf, n == 1), empty, run)
+        apply_run(spark, root, run_cards(spark, sf, n == 1), empty, run, buckets=8)
     return root
 
 
@@ -566,7 +565,7 @@ _PAIR = """p AS (SELECT coalesce(a.external_id, b.external_id) AS external_id, a
       SELECT external_id, seq, event_type, old_value, new_value FROM e""",
 )
 def h14(spark, sf):
-    events = read_state(spark, two_runs(spark, sf), "events", "src")
+    events = open_store(spark, two_runs(spark, sf), "src").history("events", "r2")
     # The hashes inside a content event are covered by h4; here only the fields are compared.
     bare = lambda c: F.when(
         F.col("event_type") == "CONTENT_CHANGED", F.regexp_extract(c, r'"fields":\{(.*)\}\}$', 1)
@@ -588,7 +587,7 @@ def h14(spark, sf):
       count(*) FILTER (has AND NOT had) AS photos_created, 'success' AS run_status FROM p""",
 )
 def h19(spark, sf):
-    return read_state(spark, two_runs(spark, sf), "runs", "src").select(
+    return open_store(spark, two_runs(spark, sf), "src").history("runs", "r2").select(
         "listings_seen", "new_properties", "updated_properties", "unchanged_properties", "missing_properties",
         "removed_properties", "offers_created", "offers_updated", "offers_unchanged", "photos_created", "run_status",
     )

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 
 from ..operators.lifecycle import AbsencePolicy
 from ..session import work_dir
-from ..sources.state import read_state
 from ..streaming import streams
 from .bindings import SIGHTINGS, table, with_
 from .ordered_queries import _LIFE
 from .registry import query
-from .sync import Run
+from .sync import Run, load_tables
 
 
 def event_stream(spark, sf):
@@ -34,7 +33,7 @@ def l1(spark, sf):
     details = spark.createDataFrame([], "external_id string")
     run_of = lambda batch: Run(f"batch-{batch}", "src", datetime(2024, 1, 31))
     streams.sync_stream(cards, root, work_dir(spark, "cp"), run_of, details)
-    return read_state(spark, root, "listings", "src").select("external_id", "price", "status")
+    return load_tables(spark, root, "src").listings.select("external_id", "price", "status")
 
 
 @query(

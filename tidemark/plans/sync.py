@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime
+from functools import reduce
 from hashlib import sha256
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import card_hash
@@ -15,10 +18,10 @@ from ..functions.text import normalize_purpose
 from ..operators import snapshot as snap
 from ..operators.dedup import concat_results, keep_first, offers_by_purpose
 from ..operators.lifecycle import AbsencePolicy
-from ..operators.metrics import child_status, run_metrics
+from ..operators.metrics import COUNTERS, card_ratios, child_status, run_metrics, throughput
 from ..operators.ordered import last_full_count
 from ..operators.search import allowed_purposes, offers_in_scope, samples
-from ..sources.state import commit, has_tag, latest_version, read_history, version_path
+from ..sources.state import BUCKETS, Store, at_once, delete_folder
 
 KEY = ["external_id"]
 EVENTS = "array<struct<seq:int,event_type:string,old_value:string,new_value:string>>"
@@ -83,6 +86,11 @@ class Run:
     detail_ttl_hours: int = 24
     min_listing_ratio: float = 0.5
     max_details: int | None = None
+    started_at: datetime | None = None
+    pages_fetched: int = 0
+    detail_pages_fetched: int = 0
+    requests_total: int = 0
+    invalid_cards: int = 0
 
     @property
     def scope_hash(self) -> str:
@@ -238,25 +246,27 @@ def _listing_values(m: DataFrame, run: Run, now: Column) -> DataFrame:
 
 
 def prepare_cards(sightings: DataFrame, run: Run) -> DataFrame:
-    """The run's distinct cards in discovery order, their offers limited to the scope."""
+    """The run's distinct cards in discovery order, how often each came, their offers limited to the scope."""
     cards = conform(sightings, SIGHTING_COLUMNS).filter("external_id IS NOT NULL")
     # Maps cannot be compared, so the metadata travels through the aggregate as sorted entries.
     sortable = cards.withColumn("metadata", F.array_sort(F.map_entries("metadata")))
-    first = keep_first(sortable, KEY, ["page", "position"]).withColumn("metadata", F.map_from_entries("metadata"))
+    first = keep_first(sortable, KEY, ["page", "position"], "times").withColumn("metadata", F.map_from_entries("metadata"))
     return offers_in_scope(first, run.offer_filter)
 
 
-def _trusted(sightings: DataFrame, run: Run) -> Column:
-    """Whether a full run may be taken as proof that what it did not see is gone."""
-    never = (
-        run.mode != "full" or not run.completed or run.http_errors or run.parse_errors
-        or run.stopped_reason in ("max_pages", "limit", "invalid_card_rate")
+def _may_prove_absence(run: Run) -> bool:
+    return (
+        run.mode == "full" and run.completed and not run.http_errors and not run.parse_errors
+        and run.stopped_reason not in ("max_pages", "limit", "invalid_card_rate")
     )
-    if never:
+
+
+def _trusted(cards: DataFrame, run: Run) -> Column:
+    """Whether a full run may be taken as proof that what it did not see is gone."""
+    if not _may_prove_absence(run):
         return F.lit(False)
     floor = run.min_listing_ratio * max(run.reported_total or 0, run.previous_count or 0)
-    seen = sightings.agg(F.count_distinct("external_id").alias("n")).scalar()
-    return seen >= floor
+    return cards.agg(F.count(F.lit(1)).alias("n")).scalar() >= floor
 
 
 def unique_details(details: DataFrame) -> DataFrame:
@@ -265,26 +275,37 @@ def unique_details(details: DataFrame) -> DataFrame:
     return details.groupBy("external_id").agg(F.min_by(row, F.to_json(row)).alias("_d")).select("_d.*")
 
 
+def hashed_cards(sightings: DataFrame, run: Run) -> DataFrame:
+    cards = prepare_cards(sightings, run)
+    return cards.withColumn("content_hash", card_hash(cards))
+
+
 def sync(tables: Tables, sightings: DataFrame, details: DataFrame, run: Run) -> SyncResult:
-    """One run over one source's tables.
+    """One run over one source's tables; no action is run here."""
+    return sync_cards(tables, hashed_cards(sightings, run), details, run)
+
+
+def sync_cards(
+    tables: Tables, cards: DataFrame, details: DataFrame, run: Run, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df
+) -> SyncResult:
+    """The run over cards as ``hashed_cards`` gives them.
 
     The frames meet on the listing's id (cards, stored rows, detail pages), on (id, purpose) for
     offers and on (id, url) for photos; nothing is keyed by the source, so a source that owns
-    most of the inventory spreads over all tasks. No action is run here.
+    most of the inventory spreads over all tasks. ``keep(name, frame)`` may write the frames that
+    several results share (rows matched with cards, offers) and give back what it wrote.
     """
     now = F.lit(run.now.isoformat(sep=" ")).cast("timestamp_ntz")
-    cards = prepare_cards(sightings, run)
-    cards = cards.withColumn("content_hash", card_hash(cards))
     details = offers_in_scope(unique_details(conform(details, DETAIL_COLUMNS)), run.offer_filter)
     matched = _matched(tables, cards, details, run, now)
-    trusted = _trusted(sightings, run)
+    trusted = _trusted(cards, run)
 
     # Offers: a detail page's replace the card's.
     no_offers = F.array().cast(f"array<{OFFER}>")
     sent = F.when(F.col("has_detail") & (F.size(F.coalesce("d_offers", no_offers)) > 0), F.col("d_offers")).otherwise(
         F.coalesce("offers", no_offers)
     )
-    matched = matched.withColumn("sent_offers", F.when(F.col("sighted"), sent).otherwise(no_offers))
+    matched = keep("matched", matched.withColumn("sent_offers", F.when(F.col("sighted"), sent).otherwise(no_offers)))
     named = matched.filter(F.size("sent_offers") > 0).select(*KEY, F.explode(offers_by_purpose(F.col("sent_offers"))).alias("o"))
     incoming = named.select(*KEY, "o.*", F.lit(run.scope_hash).alias("scope_hash"))
     synced = snap.sync_offers(tables.offers, incoming, KEY, now).withColumnRenamed("old_status", "status_before")
@@ -298,7 +319,8 @@ def sync(tables: Tables, sightings: DataFrame, details: DataFrame, run: Run) ->
         .withColumnRenamed("old_status", "seen_status")
         .withColumnRenamed("status_before", "old_status")
     )
-    synced = synced.withColumn("events", _offer_events())
+    traces = {"outcome": "string", "absence": "string", "events": EVENTS}
+    synced = keep("offers", conform(synced.withColumn("events", _offer_events()), {**OFFER_COLUMNS, **traces, "reactivated": "boolean"}))
     per_listing = synced.groupBy(*KEY).agg(
         F.bool_or(F.coalesce(F.col("outcome").isin("created", "updated"), F.lit(False))).alias("offers_differ"),
         F.bool_or(F.col("outcome").isNotNull() | F.col("absence").isNotNull()).alias("offers_touched"),
@@ -358,10 +380,9 @@ def sync(tables: Tables, sightings: DataFrame, details: DataFrame, run: Run) ->
     listings = listings.withColumn(
         "events", _listing_events(run, price_differs & ~has_offers, hash_differs)
     )
-    traces = {"outcome": "string", "absence": "string", "events": EVENTS}
     after = Tables(
         conform(listings, {**LISTING_COLUMNS, **traces}),
-        conform(synced, {**OFFER_COLUMNS, **traces, "reactivated": "boolean"}),
+        synced,
         conform(photos, {**PHOTO_COLUMNS, "outcome": "string"}),
     )
     return SyncResult(after, cards, run)
@@ -455,17 +476,64 @@ def run_row(outcomes: DataFrame, cards: DataFrame, run: Run) -> DataFrame:
     return snap.classify_run(known.drop("_offers"), run.min_listing_ratio).withColumn("status", F.col("run_status"))
 
 
-def with_history(spark: SparkSession, root: str, run: Run) -> Run:
+def figures_of(observed: dict[str, dict[str, int]], run: Run) -> dict:
+    """The counters of a run from what its three tables and its cards showed while they were written."""
+    of = lambda entity, outcome: observed[entity].get(outcome, 0) or 0
+    counts = {name: of(*pair) for name, pair in COUNTERS.items()}
+    seen = sum(of("listing", o) for o in ("created", "updated", "unchanged", "reactivated"))
+    return {"listings_seen": seen, "unique_external_ids": seen, **counts, **observed["card"]}
+
+
+def observed_rows(df: DataFrame, entity: str) -> tuple[DataFrame, Observation]:
+    """The frame, counting its outcomes by the way."""
+    seen = Observation()
+    columns = [c for c in ("outcome", "absence") if c in df.columns]
+    shows = lambda outcome: reduce(or_, [F.coalesce(F.col(c) == outcome, F.lit(False)) for c in columns])
+    named = [outcome for kind, outcome in COUNTERS.values() if kind == entity and not (outcome == "reactivated" and "reactivated" in df.columns)]
+    counts = [F.count_if(shows(outcome)).alias(outcome) for outcome in named]
+    if "reactivated" in df.columns:
+        counts.append(F.count_if(F.coalesce("reactivated", F.lit(False))).alias("reactivated"))
+    return df.observe(seen, *counts), seen
+
+
+def observed_cards(cards: DataFrame) -> tuple[DataFrame, Observation]:
+    """A run's distinct cards, counting the SALE and RENT offers on them."""
+    seen, none = Observation(), F.array().cast(f"array<{OFFER}>")
+    of = lambda purpose: F.coalesce(
+        F.sum(F.size(F.filter(F.coalesce("offers", none), lambda o: normalize_purpose(o["purpose"]) == purpose))), F.lit(0))
+    counts = of("SALE").alias("sale_offers_seen"), of("RENT").alias("rent_offers_seen"), F.coalesce(F.sum("times"), F.lit(0)).alias("cards_seen")
+    return cards.observe(seen, *counts), seen
+
+
+def log_row(spark: SparkSession, figures: dict, run: Run, failure: str | None = None) -> DataFrame:
+    """The run's row of the log, also of one that failed."""
+    known = {
+        **figures, "run_id": run.run_id, "source_key": run.source_key, "mode": run.mode, "completed": run.completed and failure is None,
+        "stopped_reason": run.stopped_reason, "http_errors": run.http_errors, "parse_errors": run.parse_errors,
+        "reported_total": run.reported_total, "previous_count": run.previous_count, "invalid_cards": run.invalid_cards,
+        "scope_json": json.dumps(run.scope, sort_keys=True, ensure_ascii=False), "finished_at": run.now, "started_at": run.started_at,
+        "pages_fetched": run.pages_fetched, "detail_pages_fetched": run.detail_pages_fetched, "requests_total": run.requests_total,
+        "error": failure,
+    }
+    given = {c: t for c, t in RUN_COLUMNS.items() if c not in ("run_status", "status", "duration_seconds", "pages_per_second", "invalid_rate", "valid_cards_ratio")}
+    row = spark.createDataFrame([tuple(known.get(c) for c in given)], ", ".join(f"{c} {t}" for c, t in given.items()))
+    row = card_ratios(throughput(snap.classify_run(row, run.min_listing_ratio)))
+    if failure is not None:
+        row = row.withColumn("run_status", F.lit("failed"))
+    return conform(row.withColumn("status", F.col("run_status")), RUN_COLUMNS)
+
+
+def with_history(store: Store, run: Run) -> Run:
     """The run with the count of the last successful full run of its scope, from the stored run log."""
-    log = read_history(spark, root, "runs", run.source_key)
-    if run.previous_count is not None or log is None:
+    if run.previous_count is not None:
         return run
     columns = ["run_id", "source_key", "mode", "status", "scope_json", "finished_at", "listings_seen"]
     scope = json.dumps(run.scope, sort_keys=True, ensure_ascii=False)
-    own = spark.range(1).select(
+    own = store.spark.range(1).select(
         F.lit(run.run_id), F.lit(run.source_key), F.lit(run.mode), F.lit(None).cast("string"), F.lit(scope),
         F.lit(run.now.isoformat(sep=" ")).cast("timestamp_ntz"), F.lit(None).cast("bigint"),
     )
+    log = store.history("runs").filter(F.col("run_id") != run.run_id)
     counted = last_full_count(log.select(*columns).union(own.toDF(*columns))).filter(F.col("run_id") == run.run_id)
     return replace(run, previous_count=counted.select("previous_count").first()[0])
 
@@ -480,37 +548,91 @@ def dry_run(sightings: DataFrame, details: DataFrame, run: Run) -> tuple[DataFra
     return figures, samples(cards, shown, ["page", "position"], cols)
 
 
-TABLES = ("listings", "offers", "photos")
+# The columns of the run log and of the event log.
+RUN_COLUMNS = {
+    "run_id": "string", "source_key": "string", "mode": "string", "status": "string", "run_status": "string", "completed": "boolean",
+    "stopped_reason": "string", "error": "string", "scope_json": "string", "started_at": "timestamp_ntz", "finished_at": "timestamp_ntz",
+    **{c: "bigint" for c in ("listings_seen", "unique_external_ids", *COUNTERS, "sale_offers_seen", "rent_offers_seen")},
+    "cards_seen": "bigint", "invalid_cards": "bigint", "invalid_rate": "double", "valid_cards_ratio": "double",
+    "http_errors": "int", "parse_errors": "int", "reported_total": "int", "previous_count": "bigint",
+    "pages_fetched": "bigint", "detail_pages_fetched": "bigint", "requests_total": "bigint",
+    "duration_seconds": "double", "pages_per_second": "double",
+}
+EVENT_COLUMNS = {
+    "external_id": "string", "source_key": "string", "seq": "int", "event_type": "string", "old_value": "string", "new_value": "string",
+    "run_id": "string", "detected_at": "timestamp_ntz",
+}
+
+
+def open_store(spark: SparkSession, root: str, source_key: str, buckets: int = BUCKETS) -> Store:
+    """A source's stored tables; ``buckets`` must be the same for all runs of an inventory."""
+    text = lambda columns: ", ".join(f"{c} {t}" for c, t in columns.items())
+    tables = {"listings": text(LISTING_COLUMNS), "offers": text(OFFER_COLUMNS), "photos": text(PHOTO_COLUMNS)}
+    return Store(spark, root, source_key, tables, {"events": text(EVENT_COLUMNS), "runs": text(RUN_COLUMNS)}, "external_id", buckets)
 
 
-def load_tables(spark: SparkSession, root: str, source_key: str, version: int | None = None) -> Tables:
-    """A source's tables at a version, the latest one if none is named."""
-    version = latest_version(spark, root, source_key) if version is None else version
-    if not version:
-        return empty_tables(spark)
-    return Tables(**{t: spark.read.parquet(version_path(root, t, source_key, version)) for t in TABLES})
+def load_tables(spark: SparkSession, root: str, source_key: str) -> Tables:
+    """A source's tables as the last published run left them."""
+    store = open_store(spark, root, source_key)
+    return Tables(*[store.read(t) for t in store.tables])
 
 
-def apply_run(spark: SparkSession, root: str, sightings: DataFrame, details: DataFrame, run: Run) -> bool:
+def _touched(store: Store, cards: DataFrame, run: Run) -> list[int]:
+    """The buckets that a run's cards lie in, and those of rows that its silence may change."""
+    ids = cards.select(*KEY)
+    if not _may_prove_absence(run):
+        return store.touched(ids)
+    mine = (F.col("scope_hash") == run.scope_hash) & (F.coalesce("status", F.lit("ACTIVE")) != "REMOVED")
+    if run.uses_offers:
+        rows = store.read("offers").filter(mine & F.col("purpose").isin(run.purposes))
+        return store.touched(ids, rows.select(*KEY))
+    return store.touched(ids, store.read("listings").filter(mine).select(*KEY).join(ids, KEY, "left_anti"))
+
+
+def apply_run(
+    spark: SparkSession, root: str, sightings: DataFrame, details: DataFrame, run: Run, buckets: int = BUCKETS
+) -> bool:
     """Run ``sync`` on the stored tables and write what comes of it; False if it was done before.
 
-    The three tables are written with what happened to each row; events and figures are then read
-    off those files, so that the merge itself is worked out once per table.
+    Only the buckets that the run touches are read and rewritten. What the results share is written once,
+    the run's figures are counted while its tables are, and a run that fails leaves a row in the log that
+    says so; it may be tried again under its id.
     """
-    part = run.source_key
-    if has_tag(spark, root, part, run.run_id):
+    store = open_store(spark, root, run.source_key, buckets)
+    for died in store.ready():  # while it published
+        store.publish(died)
+    logged = {r.run_id: r.status for r in store.history("runs").select("run_id", "status").collect()}
+    if logged.get(run.run_id, "failed") != "failed":
         return False
-    before = latest_version(spark, root, part)
-    run = with_history(spark, root, run)
-    result = sync(load_tables(spark, root, part, before), sightings, details, run)
-    version = before + 1
-    written = {}
-    for t in TABLES:
-        path = version_path(root, t, part, version)
-        getattr(result.tables, t).write.mode("overwrite").parquet(path)
-        written[t] = spark.read.parquet(path)
-    done = SyncResult(Tables(**written), result.cards, run)
-    done.events().write.mode("overwrite").parquet(version_path(root, "events", part, version))
-    done.metrics().write.mode("overwrite").parquet(version_path(root, "runs", part, version))
-    commit(spark, root, part, version, run.run_id)
+    path = store.staging()
+    try:
+        touched = _stage_run(store, path, sightings, details, with_history(store, run))
+        store.note(run.run_id, path, touched, set(logged))
+    except Exception as error:
+        store.log("runs", log_row(spark, {}, run, f"{type(error).__name__}: {error}"[:500]), run.run_id)
+        delete_folder(spark, path)
+        raise
+    store.publish(run.run_id)
     return True
+
+
+def _stage_run(store: Store, path: str, sightings: DataFrame, details: DataFrame, run: Run) -> list[int]:
+    """Everything that a run will publish, in its staging folder; returns the buckets it touches."""
+    seen: dict[str, Observation] = {}
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        if name == "offers":
+            df, seen["offer"] = observed_rows(df, "offer")
+        return store.stage(path, name, df)
+
+    cards, seen["card"] = observed_cards(hashed_cards(sightings, run))
+    cards = store.stage(path, "cards", cards)
+    touched = _touched(store, cards, run)
+    tables = Tables(*[store.read(t, touched) for t in store.tables])
+    result = sync_cards(tables, cards, details, run, keep)
+    listings, seen["listing"] = observed_rows(result.tables.listings, "listing")
+    photos, seen["photo"] = observed_rows(result.tables.photos, "photo")
+    listings, photos = at_once(lambda: store.stage(path, "listings", listings), lambda: store.stage(path, "photos", photos))
+    store.stage(path, "events", conform(events_of(Tables(listings, result.tables.offers, photos), run), EVENT_COLUMNS))
+    store.stage(path, "runs", log_row(store.spark, figures_of({entity: o.get for entity, o in seen.items()}, run), run))
+    return touched

@@ -13,7 +13,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.lifecycle import AbsencePolicy
 from ..operators.ordered import cooldown_suppress
 from ..plans.sync import Run, apply_run
-from ..sources.state import has_tag, read_history, read_state, write_state
 
 _SECOND = 1_000_000
 
