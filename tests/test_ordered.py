@@ -155,17 +155,42 @@ def test_cooldown_regular_alerts_and_zero(spark):
     assert ordered.cooldown_suppress(alerts, ["key"], "ts", 0, "id").count() == 400
 
 
-def test_cooldown_stream_over_batches(spark):
-    rows = sorted(alert_rows(4, 600), key=lambda r: r[2])
-    folder, root = work_dir(spark, "alerts"), work_dir(spark, "kept")
-    schema = "key string, id bigint, ts timestamp_ntz"
-    for part in (rows[:200], rows[200:350], rows[350:]):
+def test_cooldown_of_one_hot_key_groups_no_key_whole(spark):
+    """One key owns all alerts, over many blocks and several chunks of them, some of them far apart."""
+    rng = random.Random(8)
+    at = [START + timedelta(minutes=m) for m in sorted(rng.sample(range(30_000), 900)) + [90_000, 2_000_000, 2_000_004]]
+    rows = [("hot", i, t) for i, t in enumerate(at)]
+    alerts = spark.createDataFrame(rows, "key string, id bigint, ts timestamp_ntz")
+    out = ordered.cooldown_suppress(alerts, ["key"], "ts", 20, "id", blocks_of=1)
+    assert sorted((r.key, r.id) for r in out.collect()) == greedy(rows, 20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert all("_block" in line for line in plan.splitlines() if "FlatMapGroupsInPandas" in line)
+
+
+def alert_folder(spark, rows, cuts):
+    folder, schema = work_dir(spark, "alerts"), "key string, id bigint, ts timestamp_ntz"
+    for part in (rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
-    stream = streams.read_stream(spark, folder, schema, "*.parquet", files_per_batch=1)
+    return folder, streams.read_stream(spark, folder, schema, "*.parquet", files_per_batch=1)
+
+
+def test_cooldown_stream_over_batches(spark):
+    rows, root = sorted(alert_rows(4, 600), key=lambda r: r[2]), work_dir(spark, "kept")
+    _, stream = alert_folder(spark, rows, [200, 350])
     streams.cooldown_stream(stream, root, work_dir(spark, "cp"), ["key"], "ts", "id", 45)
     assert sorted((r.key, r.id) for r in streams.kept_alerts(spark, root).collect()) == greedy(rows, 45)
 
 
+def test_cooldown_stream_goes_on_after_a_restart(spark):
+    rows, root, checkpoint = sorted(alert_rows(6, 500), key=lambda r: r[2]), work_dir(spark, "kept"), work_dir(spark, "cp")
+    folder, stream = alert_folder(spark, rows[:300], [100, 200])
+    streams.cooldown_stream(stream, root, checkpoint, ["key"], "ts", "id", 45, delay="1 hour")
+    assert sorted((r.key, r.id) for r in streams.kept_alerts(spark, root).collect()) == greedy(rows[:300], 45)
+    spark.createDataFrame([*rows[300:], (None, 1, START), ("k1", 2, None)], stream.schema).coalesce(1).write.mode("append").parquet(folder)
+    streams.cooldown_stream(stream, root, checkpoint, ["key"], "ts", "id", 45, delay="1 hour")
+    assert sorted((r.key, r.id) for r in streams.kept_alerts(spark, root).collect()) == greedy(rows, 45)
+
+
 def test_running_over_blocks(spark):
     rng = random.Random(9)
     rows = [("r", p, rng.randint(0, 5), rng.choice([None, rng.randint(0, 99)])) for p in rng.sample(range(1, 60), 40)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,9 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import normalize_purpose
+from ..session import at_once, work_dir
 from .dedup import keep_first
 
 PAGES_PER_BLOCK = 1024
+#: Blocks of one key's time line that a task puts in order.
+CHUNK = 1024
 
 
 def running(
@@ -283,21 +289,59 @@ def _exits(key_cols: list[str], cooldown: int, width: int):
     return summarise
 
 
-def _entries(key_cols: list[str], cooldown: int):
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_block", "_upto"])
-        last, rows = None, []
-        for block, part in pdf.groupby("_block", sort=True):
-            rows.append((block, last))
-            ready = part if last is None else part[part["_upto"] >= last + cooldown]
-            if len(ready):
-                last = int(ready["_exit"].iloc[0])
-        out = pd.DataFrame(rows, columns=["_block", "_last"]).astype({"_last": "Int64"})
-        for c in key_cols:
-            out[c] = pdf[c].iloc[0]
-        return out
+def _next_blocks(summaries: DataFrame, key: list[str]) -> DataFrame:
+    """Every block of a key with the first exit of the next block that the key has, found inside chunks
+    of blocks first and then over the chunks, so that no task orders all blocks of a key."""
+    chunk = [*key, "_chunk"]
+    blocks = summaries.groupBy(*key, "_block").agg(F.min_by("_exit", "_upto").alias("_first"))
+    blocks = blocks.withColumn("_chunk", F.floor(F.col("_block") / CHUNK))
+    in_chunk = W.partitionBy(*chunk).orderBy("_block")
+    step = lambda w: F.lead(F.struct(F.col("_block").alias("to"), F.col("_first").alias("exit"))).over(w)
+    heads = blocks.groupBy(*chunk).agg(F.min_by(F.struct(F.col("_block").alias("to"), F.col("_first").alias("exit")), "_block").alias("_head"))
+    heads = heads.withColumn("_later", F.lead("_head").over(W.partitionBy(*key).orderBy("_chunk"))).select(*chunk, "_later")
+    return blocks.withColumn("_near", step(in_chunk)).join(heads, chunk).select(*key, "_block", F.coalesce("_near", "_later").alias("_next"))
+
 
-    return walk
+def _entries(summaries: DataFrame, key: list[str], cooldown: int) -> DataFrame:
+    """``_last`` per block that a chain enters: the alert kept before it, NULL for a key's first block.
+
+    A chain leaves a block with one of its exits, and from there enters a later block and leaves that
+    with an exit again. These steps are doubled by joins, so the exits that a key's chain passes are
+    found in as many rounds as the number of its blocks has binary digits.
+    """
+    exits = summaries.select(*key, "_block", "_exit").distinct()
+    ready = F.col("_exit") + cooldown
+    ahead = summaries.select(*key, (F.col("_block") - 1).alias("_block"), "_upto", F.col("_exit").alias("_to_exit"))
+    direct = exits.join(ahead, [*key, "_block"]).filter(F.col("_upto") >= ready).groupBy(*key, "_block", "_exit").agg(F.min_by("_to_exit", "_upto").alias("_to_exit"))
+    after = _next_blocks(summaries, key)
+    # With nothing late enough in the block right after, the chain goes on in the first one beyond it.
+    thirds = after.select(*key, F.col("_block").alias("_near"), F.col("_next").alias("_third"))
+    beyond = after.withColumn("_near", F.col("_next.to")).join(thirds, [*key, "_near"], "left")
+    far = F.when(F.col("_near") > F.col("_block") + 1, F.col("_next")).otherwise(F.col("_third"))
+    steps = exits.join(beyond.select(*key, "_block", far.alias("_far")), [*key, "_block"]).join(direct, [*key, "_block", "_exit"], "left")
+    hit = F.col("_to_exit").isNotNull()
+    steps = steps.select(
+        *key, "_exit", F.when(hit, F.col("_block") + 1).otherwise(F.col("_far.to")).alias("_to"), F.coalesce("_to_exit", "_far.exit").alias("_to_exit")
+    ).filter("_to IS NOT NULL")
+    opens = summaries.groupBy(*key).agg(F.min(F.struct("_block", "_upto", "_exit")).alias("_s"))
+    opens = opens.select(*key, "_s._block", "_s._exit")
+    steps, opens = at_once(*[lambda d=d, n=n: _worked(d, n) for d, n in ((steps, "cooldown-steps"), (opens, "cooldown-opens"))])
+    passed, jumps = opens.select(*key, "_exit"), steps.select(*key, "_exit", "_to_exit")
+    while not jumps.isEmpty():
+        moved = passed.join(jumps, [*key, "_exit"]).select(*key, F.col("_to_exit").alias("_exit"))
+        second = jumps.select(*key, F.col("_exit").alias("_to_exit"), F.col("_to_exit").alias("_beyond"))
+        twice = jumps.join(second, [*key, "_to_exit"]).select(*key, "_exit", F.col("_beyond").alias("_to_exit"))
+        further = passed.union(moved)
+        passed, jumps = at_once(*[lambda d=d, n=n: _worked(d, n) for d, n in ((further, "cooldown-passed"), (twice, "cooldown-jumps"))])
+    first = opens.select(*key, "_block", F.lit(None).cast("bigint").alias("_last"))
+    return first.union(steps.join(passed, [*key, "_exit"]).select(*key, F.col("_to").alias("_block"), F.col("_exit").alias("_last")))
+
+
+def _worked(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a table in the shared work folder, for rounds that build on each other."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _emitted(key_cols: list[str], cooldown: int):
@@ -316,20 +360,22 @@ def _emitted(key_cols: list[str], cooldown: int):
 
 
 def cooldown_suppress(
-    alerts: DataFrame, key: list[str], ts: str, minutes: int, tiebreak: str, blocks_of: int = 8
+    alerts: DataFrame, key: list[str], ts: str, minutes: int, tiebreak: str, blocks_of: int = 32
 ) -> DataFrame:
     """Per key the first alert, then each that comes the cooldown or more after the last kept one.
 
     Keeping is greedy, so each choice hangs on the one before. To spread a key with very many
     alerts over tasks, its time line is cut into blocks of a few cooldowns: every block is first
-    summed up by where a chain that enters it would leave it, these short summaries are walked
-    key by key for the state each block starts from, and then all blocks choose at once.
+    summed up by where a chain that enters it would leave it, from these short summaries pointer
+    doubling finds the state each block starts from, and then all blocks choose at once. Works while
+    it is called, as the rounds build on each other; NULL keys and times are never kept.
     """
     if minutes <= 0:
         return alerts
     cooldown = minutes * 60_000_000
     width = cooldown * blocks_of
     timed = alerts.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    timed = timed.filter(reduce(and_, [F.col(c).isNotNull() for c in [*key, "_t"]]))
     first = timed.groupBy(*key, "_t").agg(F.min(tiebreak).alias(tiebreak))
     times = first.select(*key, "_t", F.floor(F.col("_t") / F.lit(width)).alias("_block"))
     types = dict(alerts.dtypes)
@@ -337,7 +383,7 @@ def cooldown_suppress(
     summaries = times.groupBy(*key, "_block").applyInPandas(
         _exits(key, cooldown, width), f"{keys}, _block bigint, _upto bigint, _exit bigint"
     )
-    entries = summaries.groupBy(*key).applyInPandas(_entries(key, cooldown), f"{keys}, _block bigint, _last bigint")
+    entries = _entries(_worked(summaries, "cooldown-exits"), key, cooldown)
     kept = times.join(entries, [*key, "_block"]).groupBy(*key, "_block").applyInPandas(
         _emitted(key, cooldown), f"{keys}, _t bigint"
     )

@@ -21,7 +21,8 @@ from ..operators.lifecycle import AbsencePolicy
 from ..operators.metrics import COUNTERS, card_ratios, child_status, run_metrics, throughput
 from ..operators.ordered import last_full_count
 from ..operators.search import allowed_purposes, offers_in_scope, samples
-from ..sources.state import BUCKETS, Store, at_once, delete_folder
+from ..session import at_once
+from ..sources.state import BUCKETS, Store, delete_folder
 
 KEY = ["external_id"]
 EVENTS = "array<struct<seq:int,event_type:string,old_value:string,new_value:string>>"

@@ -10,14 +10,14 @@ writer at a time; another one that got ready in the meantime makes a run fail be
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import at_once
+
 #: Buckets that a source's rows are dealt into unless the caller says otherwise.
 BUCKETS = 32
 READY = "path string, buckets array<int>, _part string, _run string"
@@ -42,12 +42,6 @@ def read_partitions(spark: SparkSession, path: str, schema: T.StructType | str)
         return spark.createDataFrame([], schema)
 
 
-def at_once(*jobs: Callable[[], object]) -> list:
-    """The results of Spark jobs that do not wait for each other."""
-    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
-        return [f.result() for f in [pool.submit(job) for job in jobs]]
-
-
 def delete_folder(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.lifecycle import AbsencePolicy
-from ..operators.ordered import cooldown_suppress
 from ..plans.sync import Run, apply_run
 
 _SECOND = 1_000_000
@@ -112,42 +111,55 @@ def lifecycle_stream(
     return rows.select("external_id", at("run_us").alias("run_at"), "absences", "status", at(F.nullif("since_us", F.lit(-1))).alias("missing_since"))
 
 
+def _cooldown(ts: str, tiebreak: str, columns: list[str], cooldown: int, timed: bool):
+    """Follows one key: the state is the time of its last kept alert."""
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        # Of alerts at one time only the first can be kept, so that is all that is held of a batch.
+        firsts = [b.sort_values([ts, tiebreak]).drop_duplicates(ts) for b in batches]
+        rows = pd.concat(firsts).sort_values([ts, tiebreak], ignore_index=True).drop_duplicates(ts)
+        times = rows[ts].to_numpy().astype("datetime64[us]").astype("int64")
+        last, picked = state.get[0] if state.exists else None, []
+        at = 0 if last is None else int(times.searchsorted(last + cooldown))
+        while at < len(times):
+            picked.append(at)
+            last = int(times[at])
+            at = int(times.searchsorted(last + cooldown))
+        if last is not None:
+            state.update((last,))
+            if timed:  # once no alert can come that this one holds back, it is forgotten
+                state.setTimeoutTimestamp(max((last + cooldown) // 1000, state.getCurrentWatermarkMs()) + 1)
+        if picked:
+            yield rows.iloc[picked][columns]
+
+    return follow
+
+
 def cooldown_stream(
-    stream: DataFrame, root: str, checkpoint: str, key: list[str], ts: str, tiebreak: str, minutes: int
+    stream: DataFrame, root: str, checkpoint: str, key: list[str], ts: str, tiebreak: str, minutes: int, delay: str | None = None
 ) -> StreamingQuery:
     """Cooldown over all batches: kept alerts go to the 'alerts' table under ``root``.
 
-    The last kept alert of each key is the state. It joins the batch as the alert the chain
-    starts from, so a batch is worked on by the batch operator and a busy key is spread by it.
+    Each key has one value in Spark's state store, the time of its last kept alert, which a restart from
+    the checkpoint finds again. Alerts are taken in order of time within a batch; one that comes in a
+    later batch than a kept one after it is held back by that. With ``delay`` the watermark drops alerts
+    that are later than that and the state forgets keys that have been quiet for long enough. Alerts
+    without a key or time are dropped.
     """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark, tag = batch.sparkSession, f"batch-{batch_id}"
-        if has_tag(spark, root, "cooldown", tag):
-            return
-        last = read_state(spark, root, "last", "cooldown")
-        fresh, old = batch, None
-        if last is not None:
-            ready = F.col(ts) >= F.col("_last") + F.make_dt_interval(mins=F.lit(minutes))
-            marks = last.select(*key, F.col(ts).alias("_last"))
-            fresh = batch.join(marks, key, "left").filter(F.col("_last").isNull() | ready).drop("_last")
-            old = last.select(*[F.col(c) for c in batch.columns])
-        chained = cooldown_suppress(fresh if old is None else fresh.unionByName(old), key, ts, minutes, tiebreak)
-        kept = chained if old is None else chained.join(old.select(*key, ts), [*key, ts], "left_anti").select(*batch.columns)
-        newest = chained.groupBy(*key).agg(F.max(F.struct(ts, *[c for c in batch.columns if c not in (*key, ts)])).alias("_l"))
-        write_state(
-            {"alerts": kept, "last": newest.select(*key, "_l.*").select(*batch.columns)}, root, "cooldown", tag
-        )
-
-    query = (
-        stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return query
+    alerts = stream.dropna(subset=[*key, ts])
+    if delay is not None:
+        alerts = alerts.withColumn("_event_time", F.col(ts).cast("timestamp")).withWatermark("_event_time", delay)
+    follow = _cooldown(ts, tiebreak, stream.columns, minutes * 60 * _SECOND, delay is not None)
+    timeout = GroupStateTimeout.NoTimeout if delay is None else GroupStateTimeout.EventTimeTimeout
+    kept = alerts.groupBy(*key).applyInPandasWithState(follow, stream.schema, "last bigint", "append", timeout)
+    return run_available(kept, f"{root}/alerts", checkpoint)
 
 
 def kept_alerts(spark: SparkSession, root: str) -> DataFrame:
-    return read_history(spark, root, "alerts", "cooldown")
+    return spark.read.parquet(f"{root}/alerts")
 
 
 def sync_stream(
