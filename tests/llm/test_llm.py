@@ -373,6 +373,20 @@ def test_cross_entropy_difference_equals_plain_counts(spark, odd, empty):
     assert lmscore.cross_entropy_difference(empty, empty.select("doc_id")).count() == 0
 
 
+def plain_near_copies(texts):
+    """The component of each text by all pairs of five-word shingle sets."""
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, j in ((i, j) for i in range(len(sets)) for j in range(i)):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = [new if r == old else r for r in root]
+    return root
+
+
 def test_pipeline_equals_its_stages_by_plain_loops(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     grammar = toxicity.fit(documents, labels)
@@ -381,7 +395,7 @@ def test_pipeline_equals_its_stages_by_plain_loops(spark, documents):
     assert stage.columns == documents.columns and {r.doc_id for r in stage.collect()} == {r.doc_id for r in rows}
     good = {r.doc_id for r in quality.quality(spark.createDataFrame(rows, documents.schema)).collect() if r.kept}
     rows = [r for r in rows if r.doc_id in good]
-    roots = plain_components([plain_fingerprint(r.text) for r in rows])
+    roots = plain_near_copies([r.text for r in rows])
     least = {c: min(r.doc_id for r, d in zip(rows, roots) if d == c) for c in set(roots)}
     rows = [r for r, c in zip(rows, roots) if r.doc_id == least[c]]
     found = corpus_pipeline.run(spark, SF).collect()
@@ -414,6 +428,24 @@ def test_near_copies_stage_finds_edited_copies_by_shingles(spark, odd, empty):
     assert copies.keep_one(odd).filter("doc_id IS NULL").count() == 1 and copies.keep_one(empty).count() == 0
 
 
+def test_near_copies_of_a_large_group_take_few_pairs(spark, monkeypatch):
+    """Copies of one text, edited so that many are no near copies of each other, and a bucket of strangers."""
+    rng = np.random.default_rng(31)
+    base, texts = [f"w{x}" for x in rng.integers(0, 9000, 120)], []
+    for n in range(400):
+        words = list(base)
+        for at in rng.choice(120, 1 + n % 2, replace=False):
+            words[at] = f"e{n}x{at}"
+        texts.append(" ".join(words))
+    texts += [" ".join([*base[:60], *(f"s{n}x{k}" for k in range(60))]) for n in range(30)]
+    pairs, similar = [], copies.similar
+    monkeypatch.setattr(copies, "similar", lambda p, s: pairs.append(p.count()) or similar(p, s))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in copies.near_copies(docs).collect()}
+    assert found == dict(enumerate(plain_near_copies(texts)))
+    assert sum(pairs) < 20 * len(texts)
+
+
 def test_word_models_equal_plain_counts_and_tell_wordings_apart(spark, odd, empty):
     texts = [(1, "we sell the red house"), (2, "the house we sell, red"), (3, "house red the sell we"), (4, None), (None, "we sell boats")]
     docs = spark.createDataFrame([*texts, texts[0]], "doc_id long, text string")
