@@ -15,6 +15,7 @@ from tidemark.operators.ordered import price_history
 from tidemark.operators.snapshot import classify_run
 from tidemark.plans.sync import DETAIL_COLUMNS, SIGHTING_COLUMNS, Run, apply_run, dry_run, load_tables, open_store
 from tidemark.session import work_dir
+from tidemark.sources.ingest import ingest_records
 from tidemark.sources.state import Store
 
 START = datetime(2026, 1, 1, 3)
@@ -305,3 +306,12 @@ def test_a_run_that_died_while_publishing_is_finished_by_the_next(spark, monkeyp
     inv.store().note("r3", path, [], known)
     with pytest.raises(RuntimeError, match="r3 came about"):
         inv.store().note("r4", path, [], known)
+
+
+def test_ingest_takes_the_last_record_and_keeps_what_it_cannot_read(spark):
+    state = spark.createDataFrame([("a", Decimal("5.00"), "x"), ("b", Decimal("7.00"), "y")], "external_id string, price decimal(12,2), title string")
+    sent = [("a", 1, {"price": "9", "title": "old"}), ("a", 2, {"price": "no price", "title": "new"}), ("b", 1, {"price": ""}), ("c", 1, {"price": "3"})]
+    records = spark.createDataFrame(sent, "external_id string, seq int, fields map<string,string>")
+    out = ingest_records(state, records, ["external_id"], F.current_timestamp(), ["seq"]).collect()
+    assert {(r.external_id, r.price, r.title) for r in out} == {("a", Decimal("5.00"), "new"), ("b", None, "y"), ("c", Decimal("3.00"), None)}
+    assert len(out) == 3

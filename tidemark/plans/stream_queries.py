@@ -6,11 +6,11 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ..operators.lifecycle import AbsencePolicy
+from ..operators.lifecycle import AbsencePolicy, eligible_runs
 from ..session import work_dir
-from ..streaming import streams
-from .bindings import SIGHTINGS, table, with_
-from .ordered_queries import _LIFE
+from ..streaming import scopes, streams
+from .bindings import RUNS, SIGHTINGS, runs, table, with_
+from .ordered_queries import _LIFE, scope_json
 from .registry import query
 from .sync import Run, load_tables
 
@@ -52,6 +52,48 @@ def l2(spark, sf):
     return spark.read.parquet(out)
 
 
+@query(
+    "l2_lifecycle_by_scope",
+    with_(RUNS)
+    + """, seen AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS external_id, event_type AS source_key, event_type || '-' || CAST(ts AS DATE) AS run_id FROM events),
+      islands AS (SELECT s.*, r.run_date AS d, r.scope_json AS scope,
+        lead(r.run_date) OVER (PARTITION BY external_id, s.source_key ORDER BY r.run_date) AS nxt FROM seen s JOIN runs r USING (run_id)),
+      absent AS (SELECT i.external_id, i.source_key, i.d, r.run_id, r.run_date,
+          row_number() OVER (PARTITION BY i.external_id, i.source_key, i.d ORDER BY r.run_date) AS k,
+          min(r.run_date) OVER (PARTITION BY i.external_id, i.source_key, i.d) AS since
+        FROM islands i JOIN runs r ON r.source_key = i.source_key AND r.run_date > i.d AND (i.nxt IS NULL OR r.run_date < i.nxt)
+          AND r.mode = 'full' AND r.status = 'success' AND r.scope_json = i.scope),
+      judged AS (SELECT *, CASE WHEN k >= 2 AND (k >= 3 OR run_date >= since + INTERVAL 240 HOUR) THEN 'REMOVED' ELSE 'MISSING' END AS status FROM absent),
+      upto AS (SELECT *, count(*) FILTER (status = 'REMOVED') OVER (PARTITION BY external_id, source_key, d ORDER BY k) AS gone FROM judged)
+      SELECT source_key, external_id, run_id, CAST(k AS INTEGER) AS absences, status FROM upto WHERE status = 'MISSING' OR gone = 1
+      UNION ALL SELECT source_key, external_id, run_id, 0, 'ACTIVE' FROM islands""",
+)
+def l2_scope(spark, sf):
+    """Cards and run log come in as two streams of four files each; a run is closed at the end of its day."""
+    log = eligible_runs(runs(spark, sf)).select(
+        "source_key", "run_id", (F.col("run_date") + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz").alias("run_at"), "eligible",
+        scope_json("scope").alias("scope_hash"),
+    )
+    seen = table(spark, sf, "events").select(
+        F.col("event_type").alias("source_key"), F.col("user_id").cast("string").alias("external_id"),
+        F.concat_ws("-", "event_type", F.to_date("ts").cast("string")).alias("run_id"), F.col("ts").alias("seen_at"),
+    )
+    fed = {name: work_dir(spark, name) for name in ("cards", "log")}
+    for quarter in range(4):
+        part = lambda at: F.least(F.floor((F.dayofmonth(at) - 1) / 8), F.lit(3)) == quarter
+        seen.filter(part("seen_at")).coalesce(1).write.mode("append").parquet(fed["cards"])
+        log.filter(part(F.col("run_at") - F.expr("INTERVAL 1 DAY"))).coalesce(1).write.mode("append").parquet(fed["log"])
+    # What lets the watermark pass the last day is a run of no source, long after it.
+    end = log.agg((F.max("run_at") + F.expr("INTERVAL 10 DAYS")).alias("run_at")).select(
+        F.lit("end").alias("source_key"), F.lit("end").alias("run_id"), "run_at", F.lit(False).alias("eligible"), F.lit(None).cast("string").alias("scope_hash"))
+    end.coalesce(1).write.mode("append").parquet(fed["log"])
+    stream = lambda name, df: streams.read_stream(spark, fed[name], df.schema, "*.parquet", files_per_batch=1)
+    life = scopes.scope_lifecycle(stream("cards", seen), stream("log", log), AbsencePolicy(3, 240), delay="1 day")
+    out = work_dir(spark, "life")
+    scopes.run_scope_lifecycle(life, out, work_dir(spark, "cp"))
+    return spark.read.schema(life.schema).parquet(out).select("source_key", "external_id", "run_id", "absences", "status")
+
+
 @query(
     "l3_cooldown_stream",
     """WITH RECURSIVE a AS (SELECT event_type AS key, event_id, ts FROM events),

@@ -31,13 +31,17 @@ def seed_dimension(
     return joined.select(key, *[value(c) for c in cols]).select(*existing.columns)
 
 
-def ingest_records(state: DataFrame, records: DataFrame, keys: list[str], now: Column) -> DataFrame:
+def ingest_records(state: DataFrame, records: DataFrame, keys: list[str], now: Column, order: list[str] = ()) -> DataFrame:
     """Upsert of outside records: one row per key, of which only the fields sent overwrite.
 
     A record carries its fields as a map of text, so that a field sent empty differs from one
-    not sent; fields the inventory does not know are dropped. Metadata is JSON text.
+    not sent; fields the inventory does not know are dropped. Metadata is JSON text. Of several records
+    of a key the last by ``order`` counts, of equals the greatest by its JSON text. A value that cannot be
+    read leaves the stored one; an empty one clears it.
     """
     types = dict(state.dtypes)
+    rank = F.struct(*order, F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields")))).alias("_text"))
+    records = records.groupBy(*keys).agg(F.max_by("fields", rank).alias("fields"))
     sent = lambda c: F.map_contains_key("fields", c)
     text = lambda c: F.try_element_at(F.col("fields"), F.lit(c))
     metadata = text("metadata")
@@ -50,7 +54,9 @@ def ingest_records(state: DataFrame, records: DataFrame, keys: list[str], now: C
     joined = state.withColumn("_known", F.lit(True)).join(records.withColumn("_sent", F.lit(True)), keys, "full")
 
     def value(c: str) -> Column:
-        new = F.when(sent(c), text(c).try_cast(types[c])).otherwise(F.col(c))
+        read = text(c).try_cast(types[c])
+        unread = read.isNull() & (F.coalesce(F.trim(text(c)), F.lit("")) != "")
+        new = F.when(sent(c) & ~unread, read).otherwise(F.col(c))
         if c == "source_url":
             new = F.when(no_url, text("url")).otherwise(text("source_url"))
         elif c == "main_image_url":
