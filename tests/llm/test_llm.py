@@ -341,38 +341,6 @@ def test_hilbert_curve_visits_neighbours():
     assert sorted(keys) == list(range(512)) and (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
 
 
-def test_cross_entropy_difference_equals_plain_counts(spark, odd, empty):
-    texts = [(1, "abc abc"), (2, "xyz xyz"), (3, "abd"), (4, None)]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    found = {r.doc_id: r for r in lmscore.cross_entropy_difference(docs, docs.filter("doc_id = 1").select("doc_id")).collect()}
-
-    def loss(training, text):
-        three, two, one = collections.Counter(), collections.Counter(), collections.Counter()
-        for t in training:
-            raw = b"\0\0" + t.encode()
-            for i in range(2, len(raw)):
-                three[raw[i - 2:i + 1]] += 1
-                two[raw[i - 1:i + 1]] += 1
-                one[raw[i:i + 1]] += 1
-
-        def part(counts, gram):
-            total = sum(n for g, n in counts.items() if g[:-1] == gram[:-1])
-            return counts[gram] / total if total else 0.0
-
-        raw = b"\0\0" + text.encode()
-        return -sum(math.log2(
-            lmscore.SHARES[0] * part(three, raw[i - 2:i + 1]) + lmscore.SHARES[1] * part(two, raw[i - 1:i + 1])
-            + lmscore.SHARES[2] * part(one, raw[i:i + 1]) + lmscore.SHARES[3] / 256) for i in range(2, len(raw))) / (len(raw) - 2)
-
-    for i, t in texts[:3]:
-        assert found[i].target_loss == pytest.approx(loss(["abc abc"], t), rel=1e-4)
-        assert found[i].background_loss == pytest.approx(loss([t for _, t in texts if t], t), rel=1e-4)
-        assert found[i].score == pytest.approx(found[i].target_loss - found[i].background_loss)
-    assert found[1].score < found[3].score < found[2].score and found[4].score is None
-    assert lmscore.cross_entropy_difference(odd, odd.select("doc_id")).count() == odd.count()
-    assert lmscore.cross_entropy_difference(empty, empty.select("doc_id")).count() == 0
-
-
 def plain_near_copies(texts):
     """The component of each text by all pairs of five-word shingle sets."""
     def shingles(text):
@@ -446,9 +414,10 @@ def test_near_copies_of_a_large_group_take_few_pairs(spark, monkeypatch):
     assert sum(pairs) < 20 * len(texts)
 
 
-def test_word_models_equal_plain_counts_and_tell_wordings_apart(spark, odd, empty):
+def test_word_models_equal_plain_counts_and_tell_wordings_apart(spark, odd, empty, monkeypatch):
+    monkeypatch.setattr(lmscore, "RANGE", 4)  # many hash ranges; three partitions make three chunks
     texts = [(1, "we sell the red house"), (2, "the house we sell, red"), (3, "house red the sell we"), (4, None), (None, "we sell boats")]
-    docs = spark.createDataFrame([*texts, texts[0]], "doc_id long, text string")
+    docs = spark.createDataFrame([*texts, texts[0]], "doc_id long, text string").repartition(3)
     found = {r.doc_id: r for r in lmscore.word_difference(docs, docs.filter("doc_id = 1").select("doc_id")).collect()}
     everything = [t for _, t in [*texts, texts[0]] if t]
     size = len({w for t in everything for w in lmscore.words(t)})
@@ -476,6 +445,8 @@ def test_word_models_equal_plain_counts_and_tell_wordings_apart(spark, odd, empt
     assert found[1].score < found[3].score and found[4].score is None and found[4].n_tokens == 0
     assert lmscore.word_difference(odd, odd.select("doc_id")).count() == odd.count()
     assert lmscore.word_difference(empty, empty.select("doc_id")).count() == 0
+    for values in ([], [0], [5, 0, 1 << 40, 255]):
+        assert lmscore.unpacked(lmscore.packed(np.array(values, np.uint64)), len(values)).tolist() == values
 
 
 @pytest.mark.parametrize("width,lead", [(72, ""), (78, "# "), (40, " * ")])

@@ -1,139 +1,55 @@
 """Scoring documents by cross-entropy difference of two matched n-gram models.
 
 The target model is counted over trusted documents, the background model over all of them. Both are
-interpolated trigram models of bytes: one closed vocabulary of 256 symbols, so that no text is out of
-vocabulary in either, the same order and the same smoothing. A document's score is its loss per
-token under the target model less that under the background model: the lower, the more it is like
-the target and unlike the rest.
-
-A model has at most 2 ** 24 trigram counts whatever the corpus, which bounds what goes to the driver
-and back; counting runs over every byte of every document.
-
-``word_difference`` does the same with interpolated bigrams of words. Its counts are tables that grow
-with the corpus; nothing of them goes to the driver, and documents meet them in joins.
+interpolated bigram models of words with one vocabulary, the same order and the same smoothing. A
+document's score is its loss per token under the target model less that under the background model:
+the lower, the more it is like the target and unlike the rest.
+
+Texts are read once, into chunks of documents that hold their words as small numbers. A chunk counts its
+own word pairs, words and preceding words before anything is shuffled, and ships them sorted and packed by
+ranges of their hashes. A range adds up the counts of all chunks and answers each chunk with the corpus's
+counts of just its entries, in the chunk's own order. With these a chunk works out the losses of its tokens.
+Nothing is kept per document and pair, all counts are kept, and none of them goes to the driver.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded_batches, per_batch, per_process, text_or_empty, written
-
-SYMBOLS = 256
-#: What trigrams, bigrams, single symbols and none at all have of the probability.
-SHARES = (0.70, 0.22, 0.07, 0.01)
-
-COUNTS = T.StructType([
-    T.StructField("gram", T.IntegerType()), T.StructField("target", T.LongType()), T.StructField("background", T.LongType()),
-])
-
-
-def grams(text: str) -> np.ndarray:
-    """The trigrams that end at each byte of a text, two zero bytes before it."""
-    raw = np.frombuffer(b"\0\0" + text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32)
-    return raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
-
-
-def counted(docs: DataFrame) -> DataFrame:
-    """``gram, target, background``: how often each trigram is in target documents (column
-    ``target``) and in all. Every batch is added up before anything is shuffled."""
-
-    def one(batch: pa.RecordBatch) -> dict:
-        texts, chosen = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        own = [grams(t) for t, c in zip(texts, chosen) if c] or [np.zeros(0, np.int32)]
-        rest = [grams(t) for t, c in zip(texts, chosen) if not c] or [np.zeros(0, np.int32)]
-        (a, n), (b, m) = (np.unique(np.concatenate(part), return_counts=True) for part in (own, rest))
-        zeros = [np.zeros(len(x), np.int64) for x in (a, b)]
-        return {"gram": np.concatenate([a, b]), "target": np.concatenate([n, zeros[1]]), "background": np.concatenate([n, m])}
-
-    rows = docs.select(text_or_empty().alias("text"), "target").mapInArrow(per_batch(one, COUNTS), COUNTS)
-    return rows.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-class Models:
-    """The losses in bits per symbol of both models, as tables over the symbols that the corpus has."""
-
-    def __init__(self, gram: np.ndarray, target: np.ndarray, background: np.ndarray):
-        parts = [gram >> 16, gram >> 8 & 0xFF, gram & 0xFF]
-        used = np.unique(np.concatenate([[0], *parts]))
-        self.size = len(used)
-        self.code = np.zeros(SYMBOLS, np.int32)
-        self.code[used] = np.arange(self.size)
-        at = (self.code[parts[0]] * self.size + self.code[parts[1]]) * self.size + self.code[parts[2]]
-        self.target, self.background = self._losses(at, target), self._losses(at, background)
-
-    def _losses(self, at: np.ndarray, count: np.ndarray) -> np.ndarray:
-        n = self.size
-        three = np.zeros(n ** 3, np.float32)
-        two, one = np.zeros(n * n), np.zeros(n)
-        np.add.at(two, at % (n * n), count)
-        np.add.at(one, at % n, count)
-        three[at] = count
-        lower = SHARES[3] / SYMBOLS + SHARES[2] * one / max(one.sum(), 1)
-        two = two.reshape(n, n)
-        lower = SHARES[1] * two / np.maximum(two.sum(1, keepdims=True), 1) + lower
-        for table in three.reshape(n, n, n):  # by the first symbol, so that nothing else is of full size
-            table[:] = -np.log2(SHARES[0] * table / np.maximum(table.sum(1, keepdims=True), 1) + lower)
-        return three
-
-    def score(self, text: str) -> tuple[int, float | None, float | None]:
-        """Tokens, and the mean loss under both models."""
-        raw = self.code[np.frombuffer(b"\0\0" + text.encode("utf-8", "surrogatepass"), np.uint8)]
-        at = (raw[:-2] * self.size + raw[1:-1]) * self.size + raw[2:]
-        if not len(at):
-            return 0, None, None
-        return len(at), float(self.target[at].mean(dtype=np.float64)), float(self.background[at].mean(dtype=np.float64))
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, target_loss, background_loss, score`` of every row.
-
-    ``target`` has the ``doc_id`` of the trusted documents. Reads ``doc_id`` and ``text`` only. NULL
-    or empty texts have no tokens and NULL losses and score; without any target document the target
-    model is uniform; repeated rows score alike and count as often as they occur; an empty table
-    gives no rows.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    chosen = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    # There may be as many trusted documents as documents, so the join is a shuffled one at any size.
-    counts = counted(rows.join(chosen.hint("merge"), "doc_id", "left")).toArrow()
-    gram, wanted, all_ = (counts.column(c).to_numpy() for c in ("gram", "target", "background"))
-    shared = spark.sparkContext.broadcast((gram, wanted, all_))
-    name = uuid.uuid4().hex
-    schema = T.StructType([
-        T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("target_loss", T.DoubleType()),
-        T.StructField("background_loss", T.DoubleType()), T.StructField("score", T.DoubleType()),
-    ])
-
-    def one(batch: pa.RecordBatch) -> dict:
-        # One pair of models per process: a newer pair takes the place of an older one.
-        held = per_process(("lm models",), dict)
-        if name not in held:
-            held.clear()
-            held[name] = Models(*shared.value)
-        sizes, ours, theirs = zip(*[held[name].score(t) for t in batch.column(1).to_pylist()]) if batch.num_rows else ((), (), ())
-        score = [None if a is None else a - b for a, b in zip(ours, theirs)]
-        return {"doc_id": batch.column(0), "n_tokens": sizes, "target_loss": ours, "background_loss": theirs, "score": score}
-
-    return rows.mapInArrow(per_batch(one, schema), schema)
-
+from .common import bounded_batches, text_or_empty, written
 
 #: What word pairs have of the probability after a known word, and words of what is left.
 PAIR_SHARE, WORD_SHARE = 0.6, 0.9
 TOKEN = re.compile(r"\w+|[^\w\s]")
+#: Tokens after which a chunk is closed, and entries of all chunks that one hash range should hold.
+CHUNK, RANGE = 1 << 21, 1 << 21
+PAIRS, WORDS, BEFORE = range(3)
+
+LOSSES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+
+
+def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(*f) for f in fields])
+
+
+_LONG, _BYTES = T.LongType(), T.BinaryType()
+CHUNKS = _schema(
+    ("chunk", _LONG), ("n_tokens", _LONG), ("n_target", _LONG), ("n_words", _LONG), ("words", _BYTES), ("tokens", _BYTES),
+    ("doc_ids", T.ArrayType(_LONG)), ("targets", T.ArrayType(T.BooleanType())), ("lengths", T.ArrayType(_LONG)),
+)
+COUNTS = _schema(("chunk", _LONG), ("kind", _LONG), ("range", _LONG), ("n", _LONG), ("keys", _BYTES), ("t", _BYTES), ("b", _BYTES))
+TOTALS = _schema(("chunk", _LONG), ("kind", _LONG), ("range", _LONG), ("n", _LONG), ("distinct", _LONG), ("t", _BYTES), ("b", _BYTES))
 
 
 def words(text: str) -> list[str]:
@@ -141,72 +57,176 @@ def words(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def word_pairs(rows: DataFrame) -> DataFrame:
-    """``row, doc_id, target, before, word, n``: the distinct word pairs of every row with their
-    counts, words as hashes, 0 before the first; and one record per row with ``n`` 0."""
-    schema = T.StructType([
-        *[T.StructField(c, T.LongType()) for c in ("row", "doc_id")], T.StructField("target", T.BooleanType()),
-        *[T.StructField(c, T.LongType()) for c in ("before", "word", "n")],
+def packed(values: np.ndarray) -> bytes:
+    """Non-negative integers by byte planes, as many as the largest needs, compressed."""
+    if not len(values):
+        return b""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as chunks of word numbers, the most frequent word of a chunk first."""
+    chunk = TaskContext.get().partitionId() << 33
+    arrow = to_arrow_schema(CHUNKS)
+    known: dict[str, int] = {}
+    doc_ids, targets, parts = [], [], []
+
+    def closed() -> pa.RecordBatch:
+        tokens = np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int64)
+        lengths = np.array([len(p) for p in parts], np.int64)
+        often = np.argsort(-np.bincount(tokens, minlength=len(known)), kind="stable")
+        number = np.empty(len(known), np.int64)
+        number[often] = np.arange(len(known))
+        hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in known], np.uint64)
+        values = [
+            chunk, len(tokens), int(lengths[np.array(targets, bool)].sum()), len(known), packed(hashes[often]),
+            packed(number[tokens]), doc_ids, targets, lengths,
+        ]
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow)], schema=arrow)
+
+    held = 0
+    for batch in batches:
+        for doc_id, target, text in zip(*(c.to_pylist() for c in batch.columns)):
+            found = words(text)
+            parts.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
+            doc_ids.append(doc_id)
+            targets.append(target)
+            held += len(found) + 1
+            if held >= CHUNK:
+                yield closed()
+                chunk, held, known = chunk + 1, 0, {}
+                doc_ids, targets, parts = [], [], []
+    if doc_ids:
+        yield closed()
+
+
+def _entries(row: dict) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Of a chunk: by kind the sorted distinct keys and each token's place among them; each token's
+    document, and whether that is a target document."""
+    hashes = unpacked(row["words"], row["n_words"])
+    tokens = unpacked(row["tokens"], row["n_tokens"]).astype(np.int64)
+    lengths = np.array(row["lengths"], np.int64)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    # Number 0 is what stands before a document's first word.
+    hashes = np.concatenate([np.zeros(1, np.uint64), hashes])
+    now = tokens + 1
+    last = np.concatenate([np.zeros(1, np.int64), now])[:-1]
+    if len(doc):
+        last[np.concatenate([[True], doc[1:] != doc[:-1]])] = 0
+    pair = hashes[last] * np.uint64(0x9E3779B97F4A7C15) + hashes[now]
+    pair ^= pair >> np.uint64(32)
+    pair *= np.uint64(0xD6E8FEB86659FD93)
+    pair ^= pair >> np.uint64(32)
+    order = np.argsort(hashes, kind="stable")
+    rank = np.empty(len(hashes), np.int64)
+    rank[order] = np.arange(len(hashes))
+    singles = hashes[order]
+    return {PAIRS: np.unique(pair, return_inverse=True), WORDS: (singles, rank[now]), BEFORE: (singles, rank[last])}, doc, np.array(row["targets"], bool)[doc]
+
+
+def _counted(bits: int):
+    """The counts of a chunk's entries, cut by the first bits of their hashes."""
+    arrow = to_arrow_schema(COUNTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if not row["n_tokens"]:
+                    continue
+                entries, _, target = _entries(row)
+                out: list[list] = [[] for _ in arrow]
+                for kind, (keys, at) in entries.items():
+                    all_, ours = (np.bincount(x, minlength=len(keys)) for x in (at, at[target]))
+                    part = keys >> np.uint64(64 - bits)
+                    cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(keys)]])
+                    for lo, hi in zip(cuts[:-1], cuts[1:]):
+                        steps = np.diff(keys[lo:hi], prepend=np.zeros(1, np.uint64))
+                        for column, value in zip(out, (
+                            row["chunk"], kind, int(part[lo]), int(hi - lo), packed(steps), packed(ours[lo:hi]), packed(all_[lo:hi]),
+                        )):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, arrow)], schema=arrow)
+
+    return run
+
+
+def _totals(rows: pa.Table) -> pa.Table:
+    """One hash range of one kind: every chunk's entries with their counts in the whole corpus."""
+    sizes = rows.column("n").to_pylist()
+    steps, ours, all_ = ([unpacked(d, n) for d, n in zip(rows.column(c).to_pylist(), sizes)] for c in ("keys", "t", "b"))
+    keys, at = np.unique(np.concatenate([np.cumsum(s, dtype=np.uint64) for s in steps]), return_inverse=True)
+    # Weighted counts are exact up to 2 ** 53.
+    t, b = (np.bincount(at, np.concatenate(x).astype(np.float64)).astype(np.int64) for x in (ours, all_))
+    places = np.split(at, np.cumsum(sizes)[:-1])
+    distinct = [int((b > 0).sum())] + [0] * (len(sizes) - 1)
+    values = [
+        *(rows.column(c).combine_chunks() for c in ("chunk", "kind", "range", "n")), pa.array(distinct, pa.int64()),
+        pa.array([packed(t[p]) for p in places], pa.binary()), pa.array([packed(b[p]) for p in places], pa.binary()),
+    ]
+    return pa.table(values, schema=to_arrow_schema(TOTALS))
+
+
+def _scored(vocabulary: int, tokens: dict[str, int]):
+    """The losses of a chunk's documents out of the totals of its entries."""
+    arrow = pa.schema([
+        ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()),
+        ("background_loss", pa.float64()), ("score", pa.float64()),
     ])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            known: dict[str, int] = {}
-            out: list[list] = [[] for _ in schema]
-            for doc_id, target, text in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = words(text)
-                for t in tokens:
-                    if t not in known:
-                        known[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
-                hashes = [known[t] for t in tokens]
-                pairs = Counter(zip([0, *hashes], hashes))
-                for column, values in zip(out, (
-                    [row] * (len(pairs) + 1), [doc_id] * (len(pairs) + 1), [target] * (len(pairs) + 1),
-                    [0, *(a for a, _ in pairs)], [0, *(b for _, b in pairs)], [0, *pairs.values()],
-                )):
-                    column.extend(values)
-                row += 1
-            yield pa.RecordBatch.from_arrays([
-                pa.array(v, pa.bool_() if f.name == "target" else pa.int64()) for v, f in zip(out, schema)
-            ], names=schema.names)
-
-    return rows.mapInArrow(each, schema)
+    def run(chunk: pa.Table, totals: pa.Table) -> pa.Table:
+        (row,) = chunk.to_pylist()
+        entries, doc, _ = _entries(row)
+        pieces = totals.sort_by([("kind", "ascending"), ("range", "ascending")]).to_pylist()
+        lengths = np.array(row["lengths"], np.int64)
+        uniform, means = 1.0 / max(vocabulary, 1), {}
+        for which in "tb":
+            count = {}
+            for kind, (_, at) in entries.items():
+                held = [unpacked(p[which], p["n"]) for p in pieces if p["kind"] == kind]
+                count[kind] = np.concatenate([*held, np.zeros(0, np.uint64)])[at].astype(np.float64)
+            one = WORD_SHARE * count[WORDS] / tokens[which] + (1 - WORD_SHARE) * uniform if tokens[which] else np.full(len(doc), uniform)
+            two = PAIR_SHARE * count[PAIRS] / np.maximum(count[BEFORE], 1) + (1 - PAIR_SHARE) * one
+            loss = -np.log2(np.where(count[BEFORE] > 0, two, one))
+            means[which] = np.bincount(doc, loss, len(lengths)) / np.maximum(lengths, 1)
+        none = lengths == 0
+        return pa.table([
+            pa.array(row["doc_ids"], pa.int64()), pa.array(lengths),
+            *(pa.array(v, mask=none) for v in (means["t"], means["b"], means["t"] - means["b"])),
+        ], schema=arrow)
+
+    return run
 
 
 def word_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, score`` of every row, by word bigram models.
 
-    ``target`` has the ``doc_id`` of the trusted documents. Both models share the vocabulary, all words
-    of the documents, and the smoothing. Texts without words have no tokens and NULL losses and score;
-    without any target document the target model is uniform; repeated rows score alike and count as
-    often as they occur; an empty table gives no rows. Reads ``doc_id`` and ``text`` only.
+    ``target`` has the ``doc_id`` of the trusted documents, which are scored by counts that hold their own.
+    Both models share the vocabulary, all words of the documents, and the smoothing. Texts without words
+    have no tokens and NULL losses and score; without any target document the target model is uniform;
+    repeated rows score alike and count as often as they occur; an empty table gives no rows. Reads
+    ``doc_id`` and ``text`` only. A text is never cut, so a chunk holds one very long text whole.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     chosen = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
     rows = rows.join(chosen, "doc_id", "left").select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
-    pairs = written(word_pairs(rows), "lm-pairs")
-    counts = written(pairs.filter("n > 0").groupBy("before", "word").agg(
-        F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("b")), "lm-counts")
-    single = written(counts.groupBy("word").agg(F.sum("t").alias("word_t"), F.sum("b").alias("word_b")), "lm-words")
-    after = counts.groupBy("before").agg(F.sum("t").alias("before_t"), F.sum("b").alias("before_b"))
-    size = single.agg(F.count("*").alias("words"), F.sum("word_t").alias("t"), F.sum("word_b").alias("b")).first()
-
-    def loss(which: str):
-        uniform = F.lit(1.0 / max(size["words"], 1))
-        one = WORD_SHARE * F.col(f"word_{which}") / F.lit(float(size[which])) + (1 - WORD_SHARE) * uniform if size[which] else uniform
-        two = PAIR_SHARE * F.col(which) / F.col(f"before_{which}") + (1 - PAIR_SHARE) * one
-        return -F.log2(F.when(F.col(f"before_{which}") > 0, two).otherwise(one))
-
-    losses = counts.join(after, "before").join(single, "word").select(
-        F.xxhash64("before", "word").alias("pair"), loss("t").alias("t"), loss("b").alias("b"))
-    losses = written(losses, "lm-losses")
-    met = pairs.filter("n > 0").select("row", "n", F.xxhash64("before", "word").alias("pair")).join(losses, "pair")
-    sums = met.groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("t")).alias("t"), F.sum(F.col("n") * F.col("b")).alias("b"))
-    result = pairs.filter("n = 0").select("row", "doc_id").join(sums, "row", "left")
-    ours, theirs = F.col("t") / F.col("n_tokens"), F.col("b") / F.col("n_tokens")
-    return result.select(
-        "doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"),
-        ours.alias("target_loss"), theirs.alias("background_loss"), (ours - theirs).alias("score"),
-    )
+    chunks = written(rows.mapInArrow(_chunk_rows, CHUNKS), "lm-chunks")
+    size = chunks.agg(
+        F.sum("n_tokens").alias("b"), F.sum("n_target").alias("t"), F.sum(F.col("n_tokens") + 2 * F.col("n_words") + 2).alias("entries")
+    ).first()
+    bits = max(1, ((size["entries"] or 0) // RANGE).bit_length())
+    counts = chunks.mapInArrow(_counted(bits), COUNTS)
+    totals = written(counts.groupBy("kind", "range").applyInArrow(_totals, TOTALS), "lm-totals")
+    vocabulary = totals.filter(F.col("kind") == WORDS).agg(F.sum("distinct")).first()[0] or 0
+    score = _scored(vocabulary, {"t": size["t"] or 0, "b": size["b"] or 0})
+    return chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, LOSSES)
