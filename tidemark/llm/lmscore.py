@@ -45,8 +45,8 @@ def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 _LONG, _BYTES = T.LongType(), T.BinaryType()
 CHUNKS = _schema(
-    ("chunk", _LONG), ("n_tokens", _LONG), ("n_target", _LONG), ("n_words", _LONG), ("words", _BYTES), ("tokens", _BYTES),
-    ("doc_ids", T.ArrayType(_LONG)), ("targets", T.ArrayType(T.BooleanType())), ("lengths", T.ArrayType(_LONG)),
+    ("chunk", _LONG), ("n_tokens", _LONG), ("n_words", _LONG), ("words", _BYTES), ("tokens", _BYTES),
+    ("doc_ids", T.ArrayType(_LONG)), ("lengths", T.ArrayType(_LONG)),
 )
 COUNTS = _schema(("chunk", _LONG), ("kind", _LONG), ("range", _LONG), ("n", _LONG), ("keys", _BYTES), ("t", _BYTES), ("b", _BYTES))
 TOTALS = _schema(("chunk", _LONG), ("kind", _LONG), ("range", _LONG), ("n", _LONG), ("distinct", _LONG), ("t", _BYTES), ("b", _BYTES))
@@ -79,7 +79,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunk = TaskContext.get().partitionId() << 33
     arrow = to_arrow_schema(CHUNKS)
     known: dict[str, int] = {}
-    doc_ids, targets, parts = [], [], []
+    doc_ids, parts = [], []
 
     def closed() -> pa.RecordBatch:
         tokens = np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int64)
@@ -88,31 +88,26 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.empty(len(known), np.int64)
         number[often] = np.arange(len(known))
         hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in known], np.uint64)
-        values = [
-            chunk, len(tokens), int(lengths[np.array(targets, bool)].sum()), len(known), packed(hashes[often]),
-            packed(number[tokens]), doc_ids, targets, lengths,
-        ]
+        values = [chunk, len(tokens), len(known), packed(hashes[often]), packed(number[tokens]), doc_ids, lengths]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow)], schema=arrow)
 
     held = 0
     for batch in batches:
-        for doc_id, target, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
             found = words(text)
             parts.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
             doc_ids.append(doc_id)
-            targets.append(target)
             held += len(found) + 1
             if held >= CHUNK:
                 yield closed()
                 chunk, held, known = chunk + 1, 0, {}
-                doc_ids, targets, parts = [], [], []
+                doc_ids, parts = [], []
     if doc_ids:
         yield closed()
 
 
-def _entries(row: dict) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """Of a chunk: by kind the sorted distinct keys and each token's place among them; each token's
-    document, and whether that is a target document."""
+def _entries(row: dict) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Of a chunk: by kind the sorted distinct keys and each token's place among them; and each token's document."""
     hashes = unpacked(row["words"], row["n_words"])
     tokens = unpacked(row["tokens"], row["n_tokens"]).astype(np.int64)
     lengths = np.array(row["lengths"], np.int64)
@@ -131,7 +126,7 @@ def _entries(row: dict) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.nd
     rank = np.empty(len(hashes), np.int64)
     rank[order] = np.arange(len(hashes))
     singles = hashes[order]
-    return {PAIRS: np.unique(pair, return_inverse=True), WORDS: (singles, rank[now]), BEFORE: (singles, rank[last])}, doc, np.array(row["targets"], bool)[doc]
+    return {PAIRS: np.unique(pair, return_inverse=True), WORDS: (singles, rank[now]), BEFORE: (singles, rank[last])}, doc
 
 
 def _counted(bits: int):
@@ -143,7 +138,10 @@ def _counted(bits: int):
             for row in batch.to_pylist():
                 if not row["n_tokens"]:
                     continue
-                entries, _, target = _entries(row)
+                entries, doc = _entries(row)
+                trusted = np.zeros(len(row["lengths"]), bool)
+                trusted[np.array(row["targets"] or [], np.int64)] = True
+                target = trusted[doc]
                 out: list[list] = [[] for _ in arrow]
                 for kind, (keys, at) in entries.items():
                     all_, ours = (np.bincount(x, minlength=len(keys)) for x in (at, at[target]))
@@ -185,7 +183,7 @@ def _scored(vocabulary: int, tokens: dict[str, int]):
 
     def run(chunk: pa.Table, totals: pa.Table) -> pa.Table:
         (row,) = chunk.to_pylist()
-        entries, doc, _ = _entries(row)
+        entries, doc = _entries(row)
         pieces = totals.sort_by([("kind", "ascending"), ("range", "ascending")]).to_pylist()
         lengths = np.array(row["lengths"], np.int64)
         uniform, means = 1.0 / max(vocabulary, 1), {}
@@ -218,15 +216,20 @@ def word_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    chosen = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    rows = rows.join(chosen, "doc_id", "left").select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
     chunks = written(rows.mapInArrow(_chunk_rows, CHUNKS), "lm-chunks")
-    size = chunks.agg(
-        F.sum("n_tokens").alias("b"), F.sum("n_target").alias("t"), F.sum(F.col("n_tokens") + 2 * F.col("n_words") + 2).alias("entries")
-    ).first()
+    # Which documents are trusted is found by their ids alone, so that no text is shuffled for it.
+    chosen = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    places = chunks.select("chunk", F.posexplode(F.arrays_zip("doc_ids", "lengths")).alias("at", "d"))
+    places = places.select("chunk", "at", F.col("d.doc_ids").alias("doc_id"), F.col("d.lengths").alias("length"))
+    targets = written(places.join(chosen, "doc_id", "left_semi").groupBy("chunk").agg(
+        F.collect_list("at").alias("targets"), F.sum("length").alias("n_target")), "lm-targets")
+    size = chunks.agg(F.sum("n_tokens").alias("b"), F.sum(F.col("n_tokens") + 2 * F.col("n_words") + 2).alias("entries")).first()
+    trusted_tokens = targets.agg(F.sum("n_target")).first()[0] or 0
     bits = max(1, ((size["entries"] or 0) // RANGE).bit_length())
-    counts = chunks.mapInArrow(_counted(bits), COUNTS)
+    # Joined alike at every size.
+    counted = chunks.drop("doc_ids").join(targets.select("chunk", "targets").hint("merge"), "chunk", "left")
+    counts = counted.mapInArrow(_counted(bits), COUNTS)
     totals = written(counts.groupBy("kind", "range").applyInArrow(_totals, TOTALS), "lm-totals")
     vocabulary = totals.filter(F.col("kind") == WORDS).agg(F.sum("distinct")).first()[0] or 0
-    score = _scored(vocabulary, {"t": size["t"] or 0, "b": size["b"] or 0})
+    score = _scored(vocabulary, {"t": trusted_tokens, "b": size["b"] or 0})
     return chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, LOSSES)
