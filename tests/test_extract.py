@@ -114,3 +114,27 @@ def test_long_labels_and_header_rows(spark):
     html = f"<p>{long}: 7</p><table><tr><th>A</th><th>B</th></tr><tr><th>Vagas</th><td>2</td></tr></table>"
     rows = {r.label: r.value for r in extract.label_rows(one(spark, html)).collect()}
     assert rows[long.strip()] == "7" and rows["Vagas"] == "2"
+
+
+def test_first_script_with_a_query_decides(spark):
+    html = "<script>var x = 1;</script><script>a='?q=RUA+A'</script><script>b='&q=RUA+MUITO+LONGA+CEP+01310-100'</script>"
+    assert extract.address_from_query(one(spark, html)).first().address_line == "RUA A"
+
+
+def test_repeated_cards_are_invalid_in_both_readers(spark):
+    cards = [("a", "1"), (None, "1"), ("a", "1"), ("b", None), ("b", "2"), ("c", "")]
+    html = "".join(f"<li>{f'id={i};' if i else ''}{f'url={u};' if u else ''}</li>" for i, u in cards)
+    patterns = ["<li>(.*?)</li>", "id=(.*?);", "url=(.*?);"]
+    pages = spark.createDataFrame([(1, "x", html), (2, "y", html), (3, "y", None)], "page_id int, host string, html string")
+    rows = [("x", *patterns, None), ("y", *patterns, "own")]
+    profiles = spark.createDataFrame(rows, "host string, card_pattern string, id_pattern string, url_pattern string, reader string")
+    own = lambda text: [(f"{i}{u}", i, u) for i, u in cards] if text else []
+    found = extract.read_cards(pages, profiles, {"own": own}).orderBy("page_id", "position").collect()
+    want = [None, "missing id", "duplicate id", "missing address", None, "missing address"]
+    assert [(r.page_id, r.position, r.error) for r in found] == [(p, n, e) for p in (1, 2) for n, e in enumerate(want, 1)]
+    assert extract.split_cards(pages, profiles.drop("reader")).count() == 12
+
+
+def test_place_of_a_legacy_card_may_be_an_item_detail(spark):
+    html = '<article><a href="/i/1">x</a><span class="item-detail">Moema | Santos</span></article>'
+    assert extract.legacy_cards(one(spark, html), SITE).first().neighborhood == "Moema"

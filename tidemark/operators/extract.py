@@ -7,7 +7,7 @@ stands inside what, read flat outlines of the pages over Arrow batches (``outlin
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -79,20 +79,52 @@ def visible_text(pages: DataFrame) -> DataFrame:
 def split_cards(pages: DataFrame, profiles: DataFrame) -> DataFrame:
     """One row per card, in order, with its id, address and why it is invalid, if it is.
 
-    A profile row has host, card_pattern, id_pattern and url_pattern, each with one group.
+    A profile row has host, card_pattern, id_pattern and url_pattern, each with one group. A card is
+    invalid without an address or id, and if a valid card before it on the page has its id.
     """
-    first = lambda pattern: F.nullif(F.call_function("regexp_extract", F.col("card"), F.col(pattern), F.lit(1)), F.lit(""))
-    cards = pages.join(profiles, "host").select(
-        "page_id", "host", "id_pattern", "url_pattern",
-        F.posexplode(F.regexp_extract_all("html", F.col("card_pattern"), F.lit(1))).alias("_p", "card"),
-    )
-    card_id, url = first("id_pattern"), first("url_pattern")
-    return cards.select(
-        "page_id", "host", (F.col("_p") + 1).alias("position"), "card",
-        card_id.alias("card_id"), url.alias("card_url"),
-        F.when(url.isNull(), "missing address").when(card_id.isNull(), "missing id").alias("error"),
+    first = lambda card, pattern: F.nullif(F.call_function("regexp_extract", card, F.col(pattern), F.lit(1)), F.lit(""))
+    read = F.transform(
+        F.regexp_extract_all("html", F.col("card_pattern"), F.lit(1)),
+        lambda c: F.struct(c.alias("card"), first(c, "id_pattern").alias("card_id"), first(c, "url_pattern").alias("card_url")),
     )
 
+    def judged(cards: Column) -> Column:
+        valid = F.transform(cards, lambda c: F.when(c["card_url"].isNotNull(), c["card_id"]))
+        return let(valid, lambda ids: F.transform(cards, lambda c, i: F.struct(
+            (i + 1).alias("position"), c["card"].alias("card"), c["card_id"].alias("card_id"), c["card_url"].alias("card_url"),
+            F.when(c["card_url"].isNull(), "missing address").when(c["card_id"].isNull(), "missing id")
+            .when(F.array_position(ids, c["card_id"]) <= i, "duplicate id").alias("error"),
+        )))
+
+    return pages.join(profiles, "host").select("page_id", "host", F.inline(let(read, judged)))
+
+
+def _card_reader(functions: dict[str, Callable[[str], Iterable[tuple]]]):
+    """A table function that reads a page by the function its profile names."""
+
+    class ReadCards:
+        def eval(self, reader: str, html: str) -> Iterator[tuple]:
+            seen = set()
+            for position, (card, card_id, url) in enumerate(functions[reader](html or ""), start=1):
+                error = "missing address" if not url else "missing id" if not card_id else "duplicate id" if card_id in seen else None
+                if error is None:
+                    seen.add(card_id)
+                yield position, card, card_id or None, url or None, error
+
+    return F.udtf(ReadCards, returnType="position int, card string, card_id string, card_url string, error string")
+
+
+def read_cards(pages: DataFrame, profiles: DataFrame, functions: dict[str, Callable[[str], Iterable[tuple]]]) -> DataFrame:
+    """The columns of ``split_cards`` for sources that are read by patterns or by functions of their own.
+
+    A profile whose ``reader`` names one of ``functions`` is read by it: from a page's markup it gives
+    (card, card id, card address) in order. A profile without a reader is read by its patterns. A name
+    that is not among the functions fails the job.
+    """
+    asked = pages.join(profiles.filter("reader IS NOT NULL").select("host", "reader"), "host").select("page_id", "host", "reader", "html")
+    rows = asked.lateralJoin(_card_reader(functions)(F.col("reader").outer(), F.col("html").outer())).drop("reader", "html")
+    return split_cards(pages, profiles.filter("reader IS NULL")).unionByName(rows)
+
 
 def card_counts(cards: DataFrame) -> DataFrame:
     return cards.groupBy("page_id").agg(
@@ -242,12 +274,14 @@ def nearby_points(pages: DataFrame, heading: str = "Pontos de interesse") -> Dat
 
 
 def address_from_query(pages: DataFrame, area: str | None = None) -> DataFrame:
-    """Address in a page's best map query: one with a postal code, then a street, then the longest.
+    """Address in a page's best map query: one with a postal code, then a street, then the longest, all
+    of the first script that holds a query.
 
     ``area`` names the column with the listing's neighbourhood, at which the address is cut.
     """
-    scripts = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*>(.*?)</script>"), F.lit(1)), "\n")
-    queries = F.regexp_extract_all(scripts, F.lit(r"[?&]q=([^\"';]+)"), F.lit(1))
+    scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*>(.*?)</script>"), F.lit(1))
+    script = F.try_element_at(F.filter(scripts, lambda s: s.rlike(r"[?&]q=[^\"';]")), F.lit(1))
+    queries = F.regexp_extract_all(script, F.lit(r"[?&]q=([^\"';]+)"), F.lit(1))
     decode = lambda q: F.coalesce(F.try_url_decode(q), q)
     ranked = F.transform(queries, lambda q, i: F.struct(
         F.upper(q).contains("CEP").alias("cep"), F.upper(decode(q)).contains("RUA").alias("rua"),
@@ -339,7 +373,7 @@ def legacy_cards(pages: DataFrame, base: str, default_title: str = "Imóvel", de
     info = F.lower(F.array_join(F.transform(spans, markup.flat_text), " "))
     count = lambda p: F.regexp_extract(F.col("info"), p, 1).try_cast("int")
     money = F.try_element_at(F.filter(markup.text_pieces("a"), lambda t: t.contains("R$")), F.lit(1))
-    place = F.regexp_extract("a", r"(?is)<span\b(?=[^>]*\bclass\s*=\s*[\"'][^\"']*(?:address|location))[^>]*>(.*?)</span\s*>", 1)
+    place = F.regexp_extract("a", r"(?is)<span\b(?=[^>]*\bclass\s*=\s*[\"'][^\"']*(?:address|location|item-detail))[^>]*>(.*?)</span\s*>", 1)
     image = markup.first_tag("a", r"<img\b[^>]*>")
     source = F.coalesce(F.nullif(markup.attribute(image, "data-src"), F.lit("")), markup.attribute(image, "src"))
     area = parse_number_simple(F.regexp_extract("info", r"(\d+[.,]?\d*)\s*m²", 1))

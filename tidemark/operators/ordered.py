@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.arrays import dedupe_urls
 from ..functions.text import normalize_purpose
 from ..session import at_once, work_dir
 from .dedup import keep_first
@@ -238,7 +239,7 @@ def last_full_count(runs: DataFrame, lookback: int | None = None) -> DataFrame:
 def price_history(events: DataFrame, entity: DataFrame | None = None, by_purpose: bool = False) -> DataFrame:
     """Prices of CREATED and PRICE_CHANGED events; order by listing, time and sequence to read."""
     price = F.get_json_object("new_value", "$.price")
-    rows = events.filter(F.col("event_type").isin("CREATED", "PRICE_CHANGED")).withColumn("price", price.try_cast("double"))
+    rows = events.filter(F.col("event_type").isin("CREATED", "PRICE_CHANGED")).withColumn("price", price.try_cast("decimal(12,2)"))
     if entity is not None:
         rows = rows.join(entity.select("listing_id").distinct(), "listing_id", "left_semi")
     extra = [F.get_json_object("new_value", "$.purpose").alias("purpose")] if by_purpose else []
@@ -261,8 +262,8 @@ def price_changes(sightings: DataFrame, entity: list[str], run: str, order: list
 
 
 def positions(df: DataFrame, keys: list[str], arr: Column, name: str = "url") -> DataFrame:
-    """Array entries as rows with their place, counted from 1."""
-    return df.select(*keys, F.posexplode(arr).alias("_p", name)).select(
+    """The distinct addresses of an array as rows with their place, counted from 1; tracking is dropped."""
+    return df.select(*keys, F.posexplode(dedupe_urls(arr)).alias("_p", name)).select(
         *keys, (F.col("_p") + 1).alias("position"), name
     )
 

@@ -8,6 +8,7 @@ from ..operators import calendar, joins, lifecycle, ordered
 from ..functions.hashing import scope_json
 from .bindings import PAGE_LOG, RUNS, SIGHTINGS, page_log, runs, sightings, table, with_
 from .registry import query
+from .sqltext import sql_untracked
 
 # Crawls of one event type a day, with the mishaps that stop a crawl worked into them.
 CRAWL = """crawl_cards AS (
@@ -272,7 +273,7 @@ def price_events(spark, sf):
 @query(
     "f7_price_history",
     """SELECT user_id AS listing_id, CASE WHEN event_id % 2 = 0 THEN 'SALE' ELSE 'RENT' END AS purpose, ts AS detected_at,
-      event_id AS seq, value AS price FROM events WHERE event_type IN ('signup', 'purchase') AND value > 20
+      event_id AS seq, CAST(value AS DECIMAL(12,2)) AS price FROM events WHERE event_type IN ('signup', 'purchase') AND value > 20
       AND user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""",
 )
 def f7(spark, sf):
@@ -296,8 +297,11 @@ def f8(spark, sf):
 
 @query(
     "f9_positions",
-    """SELECT page_id, unnest(h) AS url, CAST(generate_subscripts(h, 1) AS INTEGER) AS position FROM (
-      SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)""",
+    f"""SELECT page_id, url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS position FROM (
+      SELECT page_id, arg_min(url, pos) AS url, min(pos) AS pos FROM (SELECT page_id, {sql_untracked('href')} AS url, pos FROM (
+        SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) AS pos FROM (
+          SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)))
+      WHERE url <> '' GROUP BY page_id, lower(url))""",
 )
 def f9(spark, sf):
     hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))

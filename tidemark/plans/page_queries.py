@@ -92,27 +92,38 @@ def j2(spark, sf):
     return rows.groupBy("page_id").agg(F.count("*").alias("pieces"), F.md5(joined).alias("text"))
 
 
-_CARDS = r"""cards AS (SELECT page_id, unnest(c) AS card, CAST(generate_subscripts(c, 1) AS INTEGER) AS position FROM (
-    SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS c FROM pages))"""
+_CARDS = r"""cards AS (SELECT *, id <> '' AND row_number() OVER (PARTITION BY page_id, id ORDER BY position) > 1 AS again FROM (
+    SELECT *, regexp_extract(card, '>([A-Za-z]+)</a>', 1) AS id FROM (
+      SELECT page_id, unnest(c) AS card, CAST(generate_subscripts(c, 1) AS INTEGER) AS position FROM (
+        SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS c FROM pages))))"""
+_CARD_ROWS = """SELECT page_id, position, nullif(id, '') AS card_id, nullif(regexp_extract(card, 'href="([^"]+)"', 1), '') AS card_url,
+        CASE WHEN id = '' THEN 'missing id' WHEN again THEN 'duplicate id' END AS error FROM cards"""
 
 
-def menu_cards(spark, sf):
+def menu_profiles(raw):
     """Menu entries as cards: the id is an entry's text if it is one word of letters."""
-    raw = read_pages(spark, f"{sf}/pages.parquet")
-    profiles = raw.select("host").distinct().select(
+    return raw.select("host").distinct().select(
         "host", F.lit("<li>(.*?)</li>").alias("card_pattern"), F.lit(">([A-Za-z]+)</a>").alias("id_pattern"),
         F.lit('href="([^"]+)"').alias("url_pattern"),
     )
-    return extract.split_cards(raw, profiles)
 
 
-@query(
-    "j3_split_cards",
-    with_(_CARDS)
-    + """SELECT page_id, position, nullif(regexp_extract(card, '>([A-Za-z]+)</a>', 1), '') AS card_id,
-        nullif(regexp_extract(card, 'href="([^"]+)"', 1), '') AS card_url,
-        CASE WHEN regexp_extract(card, '>([A-Za-z]+)</a>', 1) = '' THEN 'missing id' END AS error FROM cards""",
-)
+def menu_cards(spark, sf):
+    raw = read_pages(spark, f"{sf}/pages.parquet")
+    return extract.split_cards(raw, menu_profiles(raw))
+
+
+def menu_entries(html: str):
+    """The menu entries of a page, cut out by hand."""
+    for piece in html.split("<li>")[1:]:
+        card, closed, _ = piece.partition("</li>")
+        if closed:
+            url, _, text = card.partition('href="')[2].partition('"')
+            label = text.rpartition(">")[0].rpartition(">")[2].removesuffix("</a")
+            yield card, label if label.isascii() and label.isalpha() else None, url
+
+
+@query("j3_split_cards", with_(_CARDS) + _CARD_ROWS)
 def j3(spark, sf):
     return menu_cards(spark, sf).select("page_id", "position", "card_id", "card_url", "error")
 
@@ -120,13 +131,22 @@ def j3(spark, sf):
 @query(
     "j3_card_counts",
     with_(_CARDS)
-    + """SELECT page_id, count(*) AS raw_cards, count(*) FILTER (regexp_extract(card, '>([A-Za-z]+)</a>', 1) = '') AS invalid_cards
+    + """SELECT page_id, count(*) AS raw_cards, count(*) FILTER (id = '' OR again) AS invalid_cards
       FROM cards GROUP BY page_id""",
 )
 def j3_counts(spark, sf):
     return extract.card_counts(menu_cards(spark, sf))
 
 
+@query("m1_read_cards", with_(_CARDS) + _CARD_ROWS)
+def m1_cards(spark, sf):
+    """Hosts under .com have a reading function of their own, the others patterns."""
+    raw = read_pages(spark, f"{sf}/pages.parquet")
+    profiles = menu_profiles(raw).withColumn("reader", F.when(F.col("host").endswith(".com"), "menu"))
+    found = extract.read_cards(raw, profiles, {"menu": menu_entries})
+    return found.select("page_id", "position", "card_id", "card_url", "error")
+
+
 @query(
     "j4_labelled_values",
     f"""SELECT o_orderkey AS page_id, 'R$ ' || {sql_br('o_totalprice')} AS valor, o_orderpriority AS bairro, 'R$ 100' AS iptu,
