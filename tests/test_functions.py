@@ -139,3 +139,17 @@ def test_dedupe_long_arrays(spark, n):
     for w in words:
         first.setdefault(w.lower(), w)
     assert frame.first().a == list(first.values())
+
+
+def test_character_references_as_html_reads_them(spark):
+    from html import unescape
+    from html.entities import html5
+
+    texts = [
+        "&amp;lt; &AMP &ampx; &notit; &notin; &nosuch; &; & &#; &#x; &#xg; a&b&&amp;", "&#233 &#xe9;&#XE9 &#0; &#13;|&#11;|&#1;|&#127;",
+        "&#128;&#x81;&#159; &#55296; &#1114112; &#99999999999999999999; &#xFFFFFFFFFFFFFFFFFFFF; &#65534; &#x1F600; &#xfdd0;",
+        "&NewLine;&Tab;&nbsp;&nbsp &NotEqualTilde;&fjlig; &copy2024 &eacute &Eacutex",
+        *(f"&{n}" for n in sorted(html5)),
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", markup.unescape("t").alias("u")).collect()
+    assert [(r.t, r.u) for r in rows if r.u != unescape(r.t).replace("\xa0", " ")] == []

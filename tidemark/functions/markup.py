@@ -2,33 +2,68 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import _col, let, normalize_space
 
-# The named entities of HTML and the characters they stand for; the no-break space counts as a blank.
-_NAMED = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
-_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# Every named reference of HTML with what it stands for, the no-break space as a blank. Those that pages
+# use most come first, because a constant map is searched from its front.
+_VALUES = {name: " " if value == "\xa0" else value for name, value in html5.items()}
+_FRONT = ("amp;", "quot;", "lt;", "gt;", "apos;", "nbsp;")
+_NAMES = sorted((n for n in _VALUES if n.endswith(";")), key=lambda n: (n not in _FRONT, max(map(ord, html5[n])), n))
+# Names that count without a semicolon as well; the longest that a text begins with is meant.
+_BARE = sorted((n for n in _VALUES if not n.endswith(";")), key=lambda n: (-len(n), n))
+# Numbers 0x80 to 0x9F mean the characters of Windows-1252, where it has any.
+_CP1252 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
 
 # Blocks that are not text, each taken whole; a break stands in for them.
 _SILENT = r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|noscript|template)\b.*?</\1\s*>"
 
 
-def unescape(c) -> Column:
-    """The text with its named and numeric character references decoded, once; others stay."""
+def _constant_map(names: list[str]) -> Column:
     # Two split literals, which the optimiser folds to one constant map.
-    named = F.map_from_arrays(F.split(F.lit(" ".join(_NAMED)), " "), F.split(F.lit("\n".join(_NAMED.values())), "\n"))
+    return F.map_from_arrays(F.split(F.lit(" ".join(names)), " "), F.split(F.lit("\x00".join(_VALUES[n] for n in names)), "\x00"))
+
+
+def _numbered(digits: Column) -> Column:
+    """The character of a decimal or x-led hexadecimal number, as browsers read it."""
+    plain = F.regexp_replace(digits, "^[xX]?0*", "")
+    hexed = F.when(F.length(plain) <= 8, F.conv(plain, 16, 10))
+    code = F.when(plain == "", "0").when(digits.rlike("^[xX]"), hexed).otherwise(plain).try_cast("bigint")
+
+    def char(code: Column) -> Column:
+        unknown = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        silent = code.between(1, 8) | code.isin(11, 127) | code.between(14, 31) | code.between(0xFDD0, 0xFDEF) | (
+            code.bitwiseAND(F.lit(0xFFFE).cast("bigint")) == 0xFFFE)
+        return (
+            F.when(unknown, "\ufffd").when(silent, "").when(code == 0xA0, " ")
+            .when(code.between(0x80, 0x9F), F.substring(F.lit(_CP1252), (code - 0x7F).cast("int"), F.lit(1)))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        )
+
+    return let(code, char)
+
+
+def unescape(c) -> Column:
+    """The text with its named and numeric character references decoded, once, with or without their
+    semicolon where HTML allows it; others stay."""
+    named, bare = _constant_map(_NAMES), _constant_map(_BARE)
+
+    def read(piece: Column, pattern: str, value) -> Column:
+        """What a reference at the piece's head stands for and the rest; NULL without one."""
+        found = let(F.nullif(F.regexp_extract(piece, pattern, 1), F.lit("")), value)
+        return F.concat(found, F.regexp_replace(piece, pattern, ""))
 
     def decoded(piece: Column) -> Column:
-        name = F.regexp_extract(piece, _REFERENCE, 1)
-        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).try_cast("int")
-        code = F.when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), code)
-        char = F.when(name.startswith("#"), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(named[name])
-        char = F.when(code.eqNullSafe(F.lit(0xA0)), " ").otherwise(char)
-        return F.coalesce(F.concat(char, F.regexp_replace(piece, _REFERENCE, "")), F.concat(F.lit("&"), piece))
+        number = read(piece, r"^#([0-9]+|[xX][0-9a-fA-F]+);?", lambda d: F.when(d.isNotNull(), _numbered(d)))
+        return F.when(piece.startswith("#"), F.coalesce(number, F.concat(F.lit("&"), piece))).otherwise(F.coalesce(
+            read(piece, r"^([A-Za-z][A-Za-z0-9]{1,31};)", lambda name: named[name]),
+            read(piece, f"^({'|'.join(_BARE)})", lambda name: bare[name]),
+            F.concat(F.lit("&"), piece),
+        ))
 
     pieces = F.split(_col(c), "&")
     rest = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
