@@ -59,6 +59,21 @@ def test_pieces_give_the_library_ids(path):
     assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [library(path)[1](t) for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_pieces_of_any_letters_and_blanks_give_the_library_ids(path):
+    """Marks, added tokens, combining letters and blanks in any order, encoded anew and from memory."""
+    rng = np.random.default_rng(4)
+    parts = ["a", "B", "'s", "'", "|", ".", ",", " ", "  ", "\n", "\t", "<|endoftext|>", "<", "é", "\u0301", "J\u030c", "7", "!", "\u0120", " |a", "="]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(4000)]
+    encoder, tokenizer = tokens.PieceIds(path), library(path)[0]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        ids, ends = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+    ids, ends = encoder.encode(pa.array([], pa.string()))
+    assert not len(ids) and ends.tolist() == [0]
+
+
 def test_packing_places_every_token(spark, odd, documents):
     docs = documents.select("doc_id", "text").union(odd.select(F.col("doc_id") + 1000, "text"))
     rows = packing.pack_documents(docs, WORDS, capacity=512).collect()

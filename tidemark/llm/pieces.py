@@ -24,6 +24,14 @@ def _is_lone(word: str) -> bool:
     return word != "" and not word[0].isspace() and not word[-1].isspace()
 
 
+def _words(texts: pa.Array, lead: bool) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """What lies between single blanks, without ``lead`` also between line ends, and where each text's begin and end."""
+    texts = texts.cast(pa.string()) if not pa.types.is_string(texts.type) else texts
+    lists = pc.split_pattern(texts if lead else pc.replace_substring(texts, "\n", " "), " ")
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    return ends - ends[0], lists.flatten().dictionary_encode()
+
+
 def cut(texts: pa.Array, lead: bool) -> Pieces:
     """Cuts at single blanks.
 
@@ -31,11 +39,8 @@ def cut(texts: pa.Array, lead: bool) -> Pieces:
     one, and a text with a blank beside another blank, where the cut would not be safe, is whole.
     Otherwise blanks and line ends only separate. No texts give no pieces.
     """
-    texts = texts.cast(pa.string()) if not pa.types.is_string(texts.type) else texts
-    lists = pc.split_pattern(texts if lead else pc.replace_substring(texts, "\n", " "), " ")
-    ends = lists.offsets.to_numpy().astype(np.int64)
-    flat = lists.flatten().dictionary_encode()
-    ends, at = ends - ends[0], flat.indices.to_numpy().astype(np.int64)
+    ends, flat = _words(texts, lead)
+    at = flat.indices.to_numpy().astype(np.int64)
     words = flat.dictionary.to_pylist()
     if not lead:
         return Pieces(words, at, ends, np.zeros(len(texts), bool))
@@ -49,3 +54,20 @@ def cut(texts: pa.Array, lead: bool) -> Pieces:
     heads, head_at = np.unique(first, return_inverse=True)
     at[ends[:-1]] = len(words) + head_at
     return Pieces([" " + w for w in words] + [words[h] for h in heads], at, ends, whole)
+
+
+def stems(texts: pa.Array) -> Pieces:
+    """Cuts for a tokenizer that lower-cases and parts letters from marks: at blanks and line ends, ASCII words in
+    small letters, with the marks behind their last letter as a piece of its own. Words with ``<`` may be added
+    tokens and stay. No texts give no pieces."""
+    lists, flat = _words(texts, False)
+    words = flat.dictionary
+    plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<")))
+    small = pc.replace_substring_regex(pc.ascii_lower(words), "([a-z])([.,;:!?]+)$", "\\1 \\2")
+    parts = pc.split_pattern(pc.if_else(plain, small, words), " ")
+    begins, at = parts.offsets.to_numpy().astype(np.int64), flat.indices.to_numpy()
+    stem = parts.flatten().dictionary_encode()
+    counts = np.diff(begins)[at]
+    ends = np.cumsum(counts)
+    at = stem.indices.to_numpy()[np.repeat(begins[at] - ends + counts, counts) + np.arange(counts.sum())]
+    return Pieces(stem.dictionary.to_pylist(), at, np.concatenate([[0], ends])[lists], np.zeros(len(texts), bool))

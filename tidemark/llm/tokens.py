@@ -4,6 +4,10 @@ A text is cut at blanks where the tokenizer itself can never join what lies on b
 distinct piece of a batch is encoded by the library once and remembered while the memory lasts, and
 a text's ids are its pieces' ids in a row. Which cuts are safe follows from the tokenizer file; a
 file of another kind is applied to whole texts.
+
+Short pieces go to the library many at a time, as one text: pieces that begin with a blank are told
+apart by their first ids, others by a mark between them that is one id and lies in none of them. Words
+of small Latin letters skip the normalizer and the pattern, which leave them as they are.
 """
 
 from __future__ import annotations
@@ -11,15 +15,23 @@ from __future__ import annotations
 import json
 import os
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import per_process
-from .pieces import cut
+from .pieces import cut, stems
 
-#: Pieces remembered by a task; beyond it the memory starts anew. Longer pieces are not remembered.
-REMEMBERED, LONG_PIECE = 300_000, 64
+#: Pieces remembered by a process, and their ids; beyond it the memory starts anew. Longer pieces are not remembered.
+REMEMBERED, LONG_PIECE = 1_000_000, 64
+#: Short pieces in one text for the library, and what may stand between them.
+TOGETHER, MARKS = 512, "|=;"
+#: The byte-level letter for a blank.
+BLANK = "\u0120"
+#: Words that are normal and lower-case and one match of the pattern of a lower-casing tokenizer.
+PLAIN = "^[a-zà-öø-ÿ]+$"
 
 
 def ragged(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -33,14 +45,27 @@ class PieceIds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for tokenizer in (self.tokenizer, self.plain):
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         with open(path, encoding="utf-8") as file:
             self.cut = self._safe_cut(json.load(file))
-        self.memory: dict[str, bytes] = {}
+        self.mark = next((m for m in MARKS if len(self._library([m])[0]) == 4), None)
+        self.mark_id = int(np.frombuffer(self._library([self.mark])[0], "<u4")[0]) if self.mark else -1
+        self.leads = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.leads[[n for t, n in self.tokenizer.get_vocab().items() if t.startswith(BLANK)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """Remembered pieces as numbers; the ids of piece ``n`` are ``flat[begins[n]:begins[n] + sizes[n]]``."""
+        self.memory: dict[str, int] = {}
+        self.flat, self.begins, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @staticmethod
     def _safe_cut(spec: dict) -> str:
@@ -53,44 +78,82 @@ class PieceIds:
         parts = before.get("pretokenizers", [])
         steps = [n["type"] for n in (normalizer or {}).get("normalizers", [])]
         if (parts and parts[0]["type"] == "Split" and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
-                and steps == ["NFC", "Replace", "Lowercase"]):
+                and steps == ["NFC", "Replace", "Lowercase"] and all("<" in t["content"] for t in spec["added_tokens"])):
             return "drop"
         return "none"
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _library(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts in a row and how many each has."""
+        parts = self._library(texts)
+        return np.frombuffer(b"".join(parts), "<u4"), np.array([len(p) // 4 for p in parts], np.int64)
+
+    def _together(self, pieces: list[str], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that may share a text."""
+        between, behind = (f" {self.mark} ", f" {self.mark}") if self.cut == "drop" else ("", "")
+        texts = [between.join(pieces[at:at + TOGETHER]) + behind for at in range(0, len(pieces), TOGETHER)]
+        ids = np.frombuffer(b"".join(self._library(texts, tokenizer)), "<u4")
+        if self.cut == "drop":
+            sizes = np.diff(np.flatnonzero(ids == self.mark_id), prepend=-1) - 1
+            ids = ids[ids != self.mark_id]
+        else:
+            sizes = np.diff(np.flatnonzero(self.leads[ids]), append=len(ids))
+        if len(sizes) != len(pieces):
+            raise ValueError("pieces joined for the library cannot be told apart")
+        return ids, sizes
+
+    def _ways(self, pieces: list[str]) -> np.ndarray:
+        """How each piece may be encoded: 0 alone, 1 together with others, 2 together without normalizer."""
+        words = pa.array(pieces, pa.string())
+        length = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        short = (length > 0) & (length <= LONG_PIECE)
+        if self.cut == "lead":
+            # Ends of printable ASCII or letters: no blank of any script beside the cut.
+            return short * pc.match_substring_regex(words, r"^ [!-~\p{L}](?:[^ ]*[!-~\p{L}])?$").to_numpy(zero_copy_only=False)
+        if self.mark is None:
+            return np.zeros(len(pieces), int)
+        short &= ~pc.match_substring(words, self.mark).to_numpy(zero_copy_only=False)
+        return short * (1 + pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False))
+
+    def _add(self, pieces: list[str], ways: np.ndarray) -> np.ndarray:
+        """Encodes pieces and gives their numbers."""
+        each = [np.flatnonzero(ways == w) for w in (0, 1, 2)]
+        calls = self._alone, self._together, lambda p: self._together(p, self.plain)
+        found = [call([pieces[n] for n in which]) for call, which in zip(calls, each)]
+        numbers = np.empty(len(pieces), np.int64)
+        numbers[np.concatenate(each)] = len(self.sizes) + np.arange(len(pieces))
+        sizes = np.concatenate([f[1] for f in found])
+        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, *(f[0] for f in found)])
+        return numbers
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.cut == "none":
-            parts = self._library(texts.to_pylist())
-            sizes = np.array([len(p) // 4 for p in parts], np.int64)
-            return np.frombuffer(b"".join(parts), "<u4"), np.concatenate([[0], np.cumsum(sizes)])
-        pieces, memory = cut(texts, self.cut == "lead"), self.memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        forms = list(map(memory.get, pieces.words))
-        new = [n for n, form in enumerate(forms) if form is None]
-        for n, form in zip(new, self._library([pieces.words[n] for n in new])):
-            forms[n] = form
-            if len(pieces.words[n]) <= LONG_PIECE:
-                memory[pieces.words[n]] = form
+            ids, sizes = self._alone(texts.to_pylist())
+            return ids, np.concatenate([[0], np.cumsum(sizes)])
+        pieces = cut(texts, True) if self.cut == "lead" else stems(texts)
+        if len(self.memory) > REMEMBERED or len(self.flat) > 8 * REMEMBERED:
+            self._forget()
+        numbers = np.fromiter(map(self.memory.get, pieces.words, repeat(-1)), np.int64, len(pieces.words))
+        if len(new := np.flatnonzero(numbers < 0)):
+            words = [pieces.words[n] for n in new]
+            numbers[new] = self._add(words, self._ways(words))
+            self.memory.update(zip(words, numbers[new].tolist()))
+            for word in words:
+                if len(word) > LONG_PIECE:
+                    del self.memory[word]
+        at, ends = numbers[pieces.at], pieces.ends
         which = np.flatnonzero(pieces.whole)
-        if len(which):  # each becomes one piece more, its others are left out
-            forms += self._library([texts[int(t)].as_py() for t in which])
-            keep = np.repeat(~pieces.whole, np.diff(pieces.ends))
-            keep[pieces.ends[which]] = True
-            at = pieces.at.copy()
-            at[pieces.ends[which]] = len(pieces.words) + np.arange(len(which))
-            ends = np.concatenate([[0], np.cumsum(keep)])[pieces.ends]
-            at = at[keep]
-        else:
-            at, ends = pieces.at, pieces.ends
-        sizes = np.array([len(f) for f in forms], np.int64) // 4
-        begins = np.cumsum(sizes) - sizes
-        counts = sizes[at] if len(at) else np.zeros(0, np.int64)
-        ids = ragged(np.frombuffer(b"".join(forms), "<u4"), begins[at] if len(at) else counts, counts)
-        return ids, np.concatenate([[0], np.cumsum(counts)])[ends]
+        if len(which):  # each becomes one piece, its first; its others are left out
+            keep = np.repeat(~pieces.whole, np.diff(ends))
+            keep[ends[which]] = True
+            at[ends[which]] = self._add([texts[int(t)].as_py() for t in which], np.zeros(len(which), int))
+            at, ends = at[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+        counts = self.sizes[at]
+        return ragged(self.flat, self.begins[at], counts), np.concatenate([[0], np.cumsum(counts)])[ends]
 
 
 def piece_ids(path: str) -> PieceIds:
