@@ -105,6 +105,17 @@ def test_configuration_program_covers_the_histogram():
     assert sum(t for _, t in plan) <= 1.01 * least + 1
 
 
+def test_program_places_nearly_all_tokens_of_rare_lengths():
+    """As many lengths as pieces have, most of them once or twice: the rounds and not best fit place them."""
+    rng = np.random.default_rng(7)
+    histogram = dict(collections.Counter(np.clip(rng.lognormal(5, 1, 3000), 1, 1024).astype(int).tolist()))
+    full, bins, rest = packing.program(histogram, 1024)
+    inside = sum(s * n for s, n in histogram.items() if s < 1024)
+    assert sum(s * n for s, n in rest.items()) <= 0.1 * inside
+    used = sum(t for _, t in full + packing.best_fit(rest, bins, 1024))
+    assert used <= 1.005 * math.ceil(sum(s * n for s, n in histogram.items()) / 1024) + 1
+
+
 def test_knapsack_is_exact():
     rng = np.random.default_rng(5)
     for _ in range(20):
@@ -113,7 +124,7 @@ def test_knapsack_is_exact():
         best = [0.0] * 31
         for c in range(1, 31):
             best[c] = max([best[c - 1]] + [best[c - s] + v for s, v in zip(sizes, values) if s <= c])
-        found = packing.priced(sizes, values, 30)
+        found = packing.priced(packing.prices(sizes, values, 30), sizes, 30)
         assert sum(sizes[k] * n for k, n in found.items()) <= 30
         assert sum(values[k] * n for k, n in found.items()) == pytest.approx(best[30])
 

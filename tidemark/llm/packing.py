@@ -2,10 +2,11 @@
 
 The histogram of piece lengths has at most ``capacity`` entries however many documents there are.
 Over it the configuration program (fewest sequences, each filled by some multiset of lengths,
-covering the histogram) is solved by multiplicative weights: each round prices a configuration by
-an exact knapsack dynamic program, takes an integral step along it, and lowers the weights of
-lengths that are ahead of the others. What the rounds leave is placed by best fit, in the same
-aggregated form. The result is a short list of (configuration, how often); the pieces are then
+covering the histogram) is solved by multiplicative weights: each round fills its share of the
+sequences by configurations priced by an exact knapsack dynamic program, in integral steps, and lowers
+the weights of lengths that are ahead of the others. Where lengths are rare and a step is held back by
+them, a round goes on with the best configurations that contain the lengths furthest behind; all come from
+the round's one dynamic program. What the rounds leave is placed by best fit, in the same aggregated form. The result is a short list of (configuration, how often); the pieces are then
 numbered per length and look their places up.
 """
 
@@ -25,14 +26,19 @@ from .tokens import piece_ids
 
 #: Rounds of the multiplicative weights method and how strongly progress moves the weights.
 ROUNDS, RATE = 256, 4.0
+#: The share of the least number of sequences that the rounds fill; what is awkward to place is left to the rounding.
+FILLED = 0.95
+#: Values grow with this power of the length, so that short pieces are left for what room remains.
+LEAN = 1.2
 #: Pieces of one length numbered by one task.
 ROWS_PER_SLICE = 2000
 
 Pattern = tuple[tuple[int, int], ...]
 
 
-def priced(sizes: np.ndarray, values: np.ndarray, capacity: int) -> Counter:
-    """The multiset of sizes of the greatest value within the capacity (unbounded knapsack)."""
+def prices(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
+    """For each room up to the capacity the size that the multiset of the greatest value takes there, -1 for none
+    (unbounded knapsack)."""
     best, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     ends = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
@@ -42,13 +48,18 @@ def priced(sizes: np.ndarray, values: np.ndarray, capacity: int) -> Counter:
             k = int(reach.argmax())
             if reach[k] > best[c]:
                 best[c], taken[c] = reach[k], k
-    found, c = Counter(), capacity
-    while c > 0:
-        if taken[c] < 0:
-            c -= 1
+    return taken
+
+
+def priced(taken: np.ndarray, sizes: np.ndarray, room: int) -> Counter:
+    """The multiset of sizes of the greatest value within the room."""
+    found = Counter()
+    while room > 0:
+        if taken[room] < 0:
+            room -= 1
         else:
-            found[int(taken[c])] += 1
-            c -= int(sizes[taken[c]])
+            found[int(taken[room])] += 1
+            room -= int(sizes[taken[room]])
     return found
 
 
@@ -93,9 +104,10 @@ def fill(pattern: dict[int, int], sizes: np.ndarray, left: np.ndarray, capacity:
         room -= int(sizes[fits[0]])
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[Pattern, int]]:
-    """Configurations and how often each is used; together they hold every length as often as the
-    histogram. Deterministic. An empty histogram gives no configurations."""
+def program(
+    histogram: dict[int, int], capacity: int, rounds: int = ROUNDS,
+) -> tuple[list[tuple[Pattern, int]], list[tuple[Pattern, int]], dict[int, int]]:
+    """Full pieces, the configurations of the rounds with how often each is used, and the lengths that they leave."""
     done: list[tuple[Pattern, int]] = []
     if histogram.get(capacity):
         done.append((((capacity, 1),), histogram[capacity]))
@@ -103,26 +115,40 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> lis
     need = np.array([histogram[s] for s in sizes], float)
     left = need.copy()
     least = -(-int((sizes * need).sum()) // capacity)
-    step = max(1, least // rounds)
     bins: list[tuple[Pattern, int]] = []
-    for _ in range(rounds):
+    goal, used = max(1, int(FILLED * least)), 0
+    for n in range(rounds):
         live = np.flatnonzero(left > 0)
         if not len(live):
             break
         ahead = left[live] / need[live]
-        values = sizes[live] * np.exp(RATE * (ahead - ahead.mean()) / rounds ** 0.5)
-        found = priced(sizes[live], values, capacity)
-        pattern = {int(live[k]): min(n, int(left[live[k]])) for k, n in found.items()}
-        fill(pattern, sizes, left, capacity)
-        times = int(min([step, *(left[k] // n for k, n in pattern.items())]))
-        for k, n in pattern.items():
-            left[k] -= n * times
-        bins.append((tuple(sorted(((int(sizes[k]), n) for k, n in pattern.items()), reverse=True)), times))
-    rest = {int(s): int(n) for s, n in zip(sizes, left) if n > 0}
-    program = best_fit(rest, bins, capacity)
-    # Where documents are few there is little to be fractional about, and plain best fit may win.
-    plain = best_fit({int(s): int(n) for s, n in zip(sizes, need)}, [], capacity)
-    return done + min((program, plain), key=lambda bins: sum(times for _, times in bins))
+        here = sizes[live]
+        taken = prices(here, here ** LEAN * np.exp(RATE * (ahead - ahead.mean()) / rounds ** 0.5), capacity)
+        open_ = -(-goal * (n + 1) // rounds) - used
+        for first in (None, *np.argsort(-ahead, kind="stable").tolist()):
+            if not open_:
+                break
+            if first is None:
+                found = priced(taken, here, capacity)
+            elif left[live[first]] > 0:
+                found = priced(taken, here, capacity - int(here[first])) + Counter({first: 1})
+            else:
+                continue
+            pattern = {int(live[k]): min(n, int(left[live[k]])) for k, n in found.items() if left[live[k]] > 0}
+            fill(pattern, sizes, left, capacity)
+            times = int(min([open_, *(left[k] // n for k, n in pattern.items())]))
+            for k, per in pattern.items():
+                left[k] -= per * times
+            bins.append((tuple(sorted(((int(sizes[k]), per) for k, per in pattern.items()), reverse=True)), times))
+            open_, used = open_ - times, used + times
+    return done, bins, {int(s): int(n) for s, n in zip(sizes, left) if n > 0}
+
+
+def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[Pattern, int]]:
+    """Configurations and how often each is used; together they hold every length as often as the
+    histogram. Deterministic. An empty histogram gives no configurations."""
+    full, bins, rest = program(histogram, capacity, rounds)
+    return full + best_fit(rest, bins, capacity)
 
 
 def places(plan: list[tuple[Pattern, int]]) -> dict[str, np.ndarray]:
