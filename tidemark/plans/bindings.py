@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table's rows dealt evenly to all cores, for work that costs much more a row than reading it: a
+    table of few bytes is read by a few tasks, one a row group. What more tasks read stays in as many."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(2 * cores, rows.rdd.getNumPartitions()))
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their customer's nation as an inventory of listings."""
     orders, customer, nation = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract
 from ..sources.pages import read_pages
-from .bindings import table, with_
+from .bindings import spread, table, with_
 from .registry import query
 from .sqltext import sql_br, sql_space
 
@@ -49,7 +49,8 @@ def listing_pages(spark, sf):
         F.lit("<p>Venda "), price, F.lit(" ou Locação  R$ 1.500,00 e venda R$ 9,90</p></body></html>"),
     )
     # Through explode the page is made once; as a plain column it would be made anew wherever it is named.
-    return table(spark, sf, "orders").select(
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "o_custkey")
+    return spread(orders).select(
         F.col("o_orderkey").alias("page_id"), F.explode(F.array(html)).alias("html"), "o_orderstatus", "o_custkey"
     )
 
@@ -342,7 +343,8 @@ def j17(spark, sf):
         F.when(kind != "PROMO", F.concat(F.lit('<span class="item-location">'), F.col("p_brand"), F.lit(" | "), kind, F.lit("</span>"))).otherwise(""),
         F.lit('<img src="/x.jpg" data-src="//cdn.test/'), part, F.lit('.jpg"></article>'),
     )
-    pages = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), article.alias("html"))
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    pages = spread(parts).select(F.col("p_partkey").alias("page_id"), article.alias("html"))
     return extract.legacy_cards(pages, "https://old.test").drop("page_id", "position", "description")
 
 
