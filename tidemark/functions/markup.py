@@ -112,7 +112,7 @@ def attributes_in_order(tag: Column, names: list[str]) -> Column:
     )
     rank = F.array(*[F.lit(n) for n in names])
     ranked = F.transform(found, lambda f: F.struct(F.array_position(rank, F.lower(f["name"])).alias("at"), f["raw"].alias("raw")))
-    return F.transform(F.array_sort(ranked), lambda f: _unquoted(f["raw"]))
+    return F.transform(F.sort_array(ranked), lambda f: _unquoted(f["raw"]))
 
 
 def first_tag(c, pattern: str) -> Column:

@@ -52,13 +52,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# Unicode's whitespace and four separators. Visible ASCII is ruled out first, since the Unicode name costs a look-up.
+_SPACE_RUN = r"(?U)[[^!-~]&&[\s\x1c-\x1f]]+"
+
+
 def normalize_space(c) -> Column:
     """Whitespace runs (Unicode ones too) become one blank; ends trimmed; NULL becomes ''."""
-    return F.coalesce(F.trim(F.regexp_replace(_col(c), r"(?U)[\s\x1c-\x1f]+", " ")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(_col(c), _SPACE_RUN, " ")), F.lit(""))
 
 
 def none_if_blank(c) -> Column:
-    return F.nullif(normalize_space(c), F.lit(""))
+    return let(normalize_space(c), lambda text: F.nullif(text, F.lit("")))
 
 
 def casefold(c) -> Column:

@@ -41,7 +41,7 @@ def _after(c: Column, head: Column) -> Column:
 
 def _pieces(url: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a struct of the address, its query and its fragment."""
-    cut_fragment = F.struct(F.substring_index(url, "#", 1).alias("before"), url.alias("url"))
+    cut_fragment = let(url, lambda u: F.struct(F.substring_index(u, "#", 1).alias("before"), u.alias("url")))
     cut_query = lambda p: F.struct(
         p["url"].alias("url"),
         F.substring_index(p["before"], "?", 1).alias("address"),

@@ -175,19 +175,18 @@ def labelled_values(pages: DataFrame, labels: list[str]) -> DataFrame:
 
 def links_and_images(pages: DataFrame, base: str) -> DataFrame:
     """Distinct link and picture addresses of each page, resolved, in reading order."""
-    tags = markup.tags_of("html")
-    may_show = F.filter(tags, lambda t: t.rlike(r"(?i)\s(?:href|src|srcset|data-[a-z]+)\s*="))
-    pictures = F.flatten(F.transform(may_show, lambda t: F.concat(
-        F.transform(markup.attributes_in_order(t, IMAGE_ATTRIBUTES), lambda v: valid_image_url(v)),
-        F.when(t.rlike(r"(?i)\ssrcset"), F.array(valid_image_url(largest_srcset(markup.attribute(t, "srcset")))))
-        .otherwise(F.array().cast("array<string>")),
-    )))
-    anchors = F.filter(tags, lambda t: t.rlike(r"(?i)^<a\s"))
-    return pages.select(
-        "page_id",
-        dedupe_urls(F.transform(anchors, lambda t: markup.attribute(t, "href")), base).alias("links"),
-        dedupe_urls(pictures, base).alias("images"),
-    )
+    def found(tags: Column) -> Column:
+        may_show = F.filter(tags, lambda t: t.rlike(r"(?i)\s(?:href|src|srcset|data-[a-z]+)\s*="))
+        pictures = F.flatten(F.transform(may_show, lambda t: F.concat(
+            F.transform(markup.attributes_in_order(t, IMAGE_ATTRIBUTES), lambda v: valid_image_url(v)),
+            F.when(t.rlike(r"(?i)\ssrcset"), F.array(valid_image_url(largest_srcset(markup.attribute(t, "srcset")))))
+            .otherwise(F.array().cast("array<string>")),
+        )))
+        anchors = F.filter(tags, lambda t: t.rlike(r"(?i)^<a\s"))
+        links = F.transform(anchors, lambda t: markup.attribute(t, "href"))
+        return F.struct(dedupe_urls(links, base).alias("links"), dedupe_urls(pictures, base).alias("images"))
+
+    return pages.select("page_id", F.inline(F.array(let(markup.tags_of("html"), found))))
 
 
 def sections(pages: DataFrame, headings: list[str]) -> DataFrame:
