@@ -54,7 +54,7 @@ def infer_bathrooms(suites, features=None) -> Column:
         + text.rlike(room + r"social\b").cast("int")
         + text.rlike(room + r"(?:empregada|servico|auxiliar)\b").cast("int")
     )
-    return F.nullif(total, F.lit(0))
+    return let(total, lambda rooms: F.nullif(rooms, F.lit(0)))
 
 
 def attributes_from_text(c) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays, hashing, numbers, text, urls
-from .bindings import LISTINGS, SIGHTINGS, listings, sightings, table, with_
+from .bindings import LISTINGS, SIGHTINGS, listings, sightings, spread, table, with_
 from .registry import query
 from .sqltext import (
     sql_br, sql_decimal, sql_fold, sql_key, sql_money, sql_space, sql_title, sql_untracked,
@@ -243,7 +243,7 @@ def i13(spark, sf):
     )
     found = numbers.attributes_from_text(said).alias("f")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return table(spark, sf, "lineitem").select(*keys, found).select(*keys, "f.*")
+    return spread(table(spark, sf, "lineitem").select(*keys, "l_quantity", "l_returnflag", "l_linestatus")).select(*keys, found).select(*keys, "f.*")
 
 
 @query(
@@ -538,7 +538,7 @@ def d3(spark, sf):
     words = F.split(F.regexp_replace("text", r"[.,\n]", " "), " ")
     kept = arrays.dedupe_array(words)
     return (
-        table(spark, sf, "documents")
+        spread(table(spark, sf, "documents").select("doc_id", "text"))
         .select("doc_id", F.size(kept).cast("bigint").alias("n"))
         .filter("n > 0")
     )
