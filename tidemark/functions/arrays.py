@@ -13,20 +13,23 @@ from .urls import absolute_url, strip_tracking
 
 def _first_of_each(values: Column, key: Callable[[Column], Column]) -> Column:
     """First value of each key in the order given, by sorting: n log n in the array's length."""
-    keyed = F.array_sort(
+    # sort_array compares in one step; array_sort would evaluate its default comparator for every pair.
+    keyed = F.sort_array(
         F.transform(values, lambda v, i: F.struct(key(v).alias("k"), i.alias("i"), v.alias("v")))
     )
     heads = let(
         keyed,
         lambda s: F.filter(s, lambda e, j: (j == 0) | (e["k"] != F.get(s, F.greatest(j - 1, F.lit(0)))["k"])),
     )
-    in_order = F.array_sort(F.transform(heads, lambda e: F.struct(e["i"].alias("i"), e["v"].alias("v"))))
+    in_order = F.sort_array(F.transform(heads, lambda e: F.struct(e["i"].alias("i"), e["v"].alias("v"))))
     return F.transform(in_order, lambda e: e["v"])
 
 
 def dedupe_array(c, fold: bool = True) -> Column:
     """Blank entries dropped, spaces normalised, first spelling of each folded key kept in order."""
-    values = F.filter(F.transform(F.coalesce(_col(c), F.array()), none_if_blank), lambda v: v.isNotNull())
+    # Plain repeats go first, by hash, so that only distinct spellings are cleaned and sorted.
+    spellings = F.array_distinct(F.coalesce(_col(c), F.array()))
+    values = F.array_distinct(F.filter(F.transform(spellings, none_if_blank), lambda v: v.isNotNull()))
     return _first_of_each(values, casefold if fold else lambda v: v)
 
 
