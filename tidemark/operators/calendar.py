@@ -120,8 +120,10 @@ def occurrence_status(occurrences: DataFrame, runs: DataFrame, now: str, grace_m
     from .joins import already_started
 
     t = F.expr(f"TIMESTAMP_NTZ '{now}'")
-    begun = already_started(occurrences, runs, grace_minutes).select("job_id", "scheduled_at").withColumn("_begun", F.lit(True))
     late = t > F.col("scheduled_at") + F.make_dt_interval(mins=F.lit(grace_minutes))
+    # Whether a run began matters only for slots that are neither to come nor late.
+    open_ = occurrences.filter((F.col("scheduled_at") <= t) & ~late)
+    begun = already_started(open_, runs, grace_minutes).select("job_id", "scheduled_at").withColumn("_begun", F.lit(True))
     return (
         occurrences.join(begun.distinct(), ["job_id", "scheduled_at"], "left")
         .withColumn(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calendar, joins, lifecycle, ordered
 from ..functions.hashing import scope_json
-from .bindings import PAGE_LOG, RUNS, SIGHTINGS, page_log, runs, sightings, table, with_
+from .bindings import PAGE_LOG, RUNS, SIGHTINGS, page_log, runs, sightings, spread, table, with_
 from .registry import query
 from .sqltext import sql_untracked
 
@@ -332,7 +332,7 @@ JOBS = """jobs AS (
 
 
 def jobs(spark, sf):
-    joined = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    joined = spread(table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")).join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return joined.withColumn("job_id", F.concat(F.lit("job:"), "s_name")).select(
         "job_id",
         F.col("n_name").alias("source_key"),
