@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,17 +112,31 @@ def lifecycle_stream(
     return rows.select("external_id", at("run_us").alias("run_at"), "absences", "status", at(F.nullif("since_us", F.lit(-1))).alias("missing_since"))
 
 
-def _cooldown(ts: str, tiebreak: str, columns: list[str], cooldown: int, timed: bool):
+def _ranked(values: pd.Series) -> np.ndarray:
+    """Numbers in the order of the values, missing ones last."""
+    if pd.api.types.is_numeric_dtype(values):
+        return values.to_numpy()
+    codes = pd.factorize(values, sort=True)[0]
+    return np.where(codes < 0, len(codes), codes)
+
+
+def _cooldown(keys: list[str], ts: str, tiebreak: str, columns: list[str], cooldown: int, timed: bool):
     """Follows one key: the state is the time of its last kept alert."""
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        # Of alerts at one time only the first can be kept, so that is all that is held of a batch.
-        firsts = [b.sort_values([ts, tiebreak]).drop_duplicates(ts) for b in batches]
-        rows = pd.concat(firsts).sort_values([ts, tiebreak], ignore_index=True).drop_duplicates(ts)
+        # Of alerts at one time only the first can be kept, so that is all that is held of a batch, as numbers
+        # and without the key's own texts; the rows themselves are never sorted as a whole.
+        own = {c: v for c, v in zip(keys, key) if isinstance(v, str)}
+        rows = pd.concat(
+            (b.drop(columns=list(own)).sort_values([ts, tiebreak]).drop_duplicates(ts) for b in batches), ignore_index=True)
         times = rows[ts].to_numpy().astype("datetime64[us]").astype("int64")
+        order = np.lexsort((_ranked(rows[tiebreak]), times))
+        times = times[order]
+        first = np.append(True, times[1:] != times[:-1])
+        times, order = times[first], order[first]
         last, picked = state.get[0] if state.exists else None, []
         at = 0 if last is None else int(times.searchsorted(last + cooldown))
         while at < len(times):
@@ -133,7 +148,7 @@ def _cooldown(ts: str, tiebreak: str, columns: list[str], cooldown: int, timed:
             if timed:  # once no alert can come that this one holds back, it is forgotten
                 state.setTimeoutTimestamp(max((last + cooldown) // 1000, state.getCurrentWatermarkMs()) + 1)
         if picked:
-            yield rows.iloc[picked][columns]
+            yield rows.iloc[order[picked]].assign(**own)[columns]
 
     return follow
 
@@ -152,7 +167,7 @@ def cooldown_stream(
     alerts = stream.dropna(subset=[*key, ts])
     if delay is not None:
         alerts = alerts.withColumn("_event_time", F.col(ts).cast("timestamp")).withWatermark("_event_time", delay)
-    follow = _cooldown(ts, tiebreak, stream.columns, minutes * 60 * _SECOND, delay is not None)
+    follow = _cooldown(key, ts, tiebreak, stream.columns, minutes * 60 * _SECOND, delay is not None)
     timeout = GroupStateTimeout.NoTimeout if delay is None else GroupStateTimeout.EventTimeTimeout
     kept = alerts.groupBy(*key).applyInPandasWithState(follow, stream.schema, "last bigint", "append", timeout)
     return run_available(kept, f"{root}/alerts", checkpoint)
