@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
+
 from tidemark.operators.lifecycle import AbsencePolicy
 from tidemark.session import work_dir
 from tidemark.streaming import scopes, streams
@@ -70,3 +72,69 @@ def test_scope_stream_equals_fold_over_batches_and_a_restart(spark):
     # Removed entities have left the state, the others are still there.
     kept = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "entities").load()
     assert {(r.key.source_key, r.user_map_key.external_id) for r in kept.select("key", "user_map_key").collect()} == set(state)
+
+
+class Held(dict):
+    """A map state in memory that counts its writes."""
+
+    def __init__(self):
+        super().__init__()
+        self.writes = 0
+
+    containsKey, getValue = dict.__contains__, dict.get
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.writes += 1
+        del self[key]
+
+
+class Handle:
+    def __init__(self):
+        self.maps, self.timers = {}, set()
+
+    def getMapState(self, name, *_):
+        return self.maps.setdefault(name, Held())
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs
+
+
+def test_scope_stream_writes_an_entity_once_however_many_runs_are_closed():
+    rng, policy = random.Random(9), AbsencePolicy(3, 240)
+    runs = [("x", f"r{n:02d}", START + timedelta(days=n + 1), n != 6, rng.choice("ab") if n > 8 else "a") for n in range(20)]
+    seen = {("x", run): {f"e{e}" for e in range(60) if rng.random() < 0.4} for _, run, *_ in runs}
+    handle, follow = Handle(), scopes.ScopeLifecycle(policy, 24 * 7)
+    follow.init(handle)
+    lines = [(None, run, at, eligible, scope) for _, run, at, eligible, scope in runs]
+    lines += [(e, run, at - timedelta(hours=2), None, None) for _, run, at, *_ in runs for e in sorted(seen["x", run]) for _ in range(2)]
+    rng.shuffle(lines)
+    rows = pd.DataFrame(lines, columns=["external_id", "run_id", "at", "eligible", "scope"])
+    list(follow.handleInputRows(("x", 0), (rows[n:n + 50] for n in range(0, len(rows), 50)), None))
+    # Cards come in many parts, a run's are written once.
+    assert handle.maps["cards"].writes == len(runs)
+    parts = [part for ms in sorted(handle.timers) for part in follow.handleExpiredTimer(("x", 0), At(max(handle.timers) + 1), At(ms))]
+    want, state = fold(runs, seen, policy)
+    micros = lambda at: None if at is None else (at - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    got = [tuple(None if v is pd.NA else v for v in r) for r in pd.concat(parts)[scopes.COLUMNS].astype(object).itertuples(index=False)]
+    at_of = {run: at for _, run, at, *_ in runs}
+    assert sorted(got, key=str) == sorted(((s, e, run, micros(at_of[run]), n, status, micros(since)) for s, e, run, n, status, since in want), key=str)
+    entities = handle.maps["entities"]
+    assert {e for e, in entities} == {e for _, e in state} and entities.writes <= 60
+    assert not handle.maps["waiting"] and not handle.maps["cards"]

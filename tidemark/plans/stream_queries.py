@@ -69,7 +69,7 @@ def l2(spark, sf):
       UNION ALL SELECT source_key, external_id, run_id, 0, 'ACTIVE' FROM islands""",
 )
 def l2_scope(spark, sf):
-    """Cards and run log come in as two streams of four files each; a run is closed at the end of its day."""
+    """Cards and run log come in as two streams in four deliveries; a run is closed at the end of its day."""
     log = eligible_runs(runs(spark, sf)).select(
         "source_key", "run_id", (F.col("run_date") + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz").alias("run_at"), "eligible",
         scope_json("scope").alias("scope_hash"),
@@ -79,18 +79,19 @@ def l2_scope(spark, sf):
         F.concat_ws("-", "event_type", F.to_date("ts").cast("string")).alias("run_id"), F.col("ts").alias("seen_at"),
     )
     fed = {name: work_dir(spark, name) for name in ("cards", "log")}
-    for quarter in range(4):
-        part = lambda at: F.least(F.floor((F.dayofmonth(at) - 1) / 8), F.lit(3)) == quarter
-        seen.filter(part("seen_at")).coalesce(1).write.mode("append").parquet(fed["cards"])
-        log.filter(part(F.col("run_at") - F.expr("INTERVAL 1 DAY"))).coalesce(1).write.mode("append").parquet(fed["log"])
+    out, checkpoint = work_dir(spark, "life"), work_dir(spark, "cp")
     # What lets the watermark pass the last day is a run of no source, long after it.
     end = log.agg((F.max("run_at") + F.expr("INTERVAL 10 DAYS")).alias("run_at")).select(
         F.lit("end").alias("source_key"), F.lit("end").alias("run_id"), "run_at", F.lit(False).alias("eligible"), F.lit(None).cast("string").alias("scope_hash"))
-    end.coalesce(1).write.mode("append").parquet(fed["log"])
-    stream = lambda name, df: streams.read_stream(spark, fed[name], df.schema, "*.parquet", files_per_batch=1)
-    life = scopes.scope_lifecycle(stream("cards", seen), stream("log", log), AbsencePolicy(3, 240), delay="1 day")
-    out = work_dir(spark, "life")
-    scopes.run_scope_lifecycle(life, out, work_dir(spark, "cp"))
+    for quarter in range(4):
+        part = lambda at: F.least(F.floor((F.dayofmonth(at) - 1) / 8), F.lit(3)) == quarter
+        # A delivery has as many files as tasks write it, and the stream takes it up where it stopped.
+        seen.filter(part("seen_at")).write.mode("append").parquet(fed["cards"])
+        log.filter(part(F.col("run_at") - F.expr("INTERVAL 1 DAY"))).coalesce(1).write.mode("append").parquet(fed["log"])
+        if quarter == 3:
+            end.coalesce(1).write.mode("append").parquet(fed["log"])
+        life = scopes.scope_lifecycle(*(streams.read_stream(spark, fed[n], df.schema, "*.parquet") for n, df in (("cards", seen), ("log", log))), AbsencePolicy(3, 240), delay="1 day")
+        scopes.run_scope_lifecycle(life, out, checkpoint)
     return spark.read.schema(life.schema).parquet(out).select("source_key", "external_id", "run_id", "absences", "status")
 
 
