@@ -36,10 +36,12 @@ from .common import bounded_batches, per_batch, per_process, text_or_empty
 from .pieces import cut
 from .tokens import ragged
 
-#: Units remembered by a worker, of at most so many characters.
-REMEMBERED, LONG_UNIT = 150_000, 64
-#: A chunk is closed when its dictionary has so many pairs or its units link so many.
-MOST_PAIRS, MOST_LINKS = 1 << 20, 1 << 23
+#: Units that a worker remembers of its last batches and units that came again, of at most so many characters.
+RECENT, REMEMBERED, LONG_UNIT = 50_000, 100_000, 64
+#: Units that are aligned at a time, as the tokenizers' results are many times the text.
+ALIGNED = 1 << 14
+#: A chunk is closed when its dictionary has so many units or pairs, or its units link so many.
+MOST_UNITS, MOST_PAIRS, MOST_LINKS = 1 << 18, 1 << 20, 1 << 23
 
 #: Of a unit: tokens of either side, groups, its linked pairs (``a << 32 | b``, a row per link), and
 #: the groups as text. None where the tokens do not spell the text.
@@ -88,12 +90,14 @@ class Aligner:
         #: Whether no piece goes on over a blank after another character, so that texts may be cut there.
         self.cuts = not any(x != "▁" and y == "▁" for p in pieces for x, y in zip(p, p[1:]))
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        self.memory: dict[str, Aligned] = {}
+        self.recent: dict[str, Aligned] = {}
+        self.kept: dict[str, Aligned] = {}
 
     def align(self, units: list[str]) -> list[Aligned]:
         """What the two tokenizers make of a blank and each unit."""
-        if not units:
-            return []
+        return [made for at in range(0, len(units), ALIGNED) for made in self._align(units[at:at + ALIGNED])]
+
+    def _align(self, units: list[str]) -> list[Aligned]:
         a_ids = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
         b_ids = self.b.encode(units, num_threads=1)
         spell = lambda ids, table: b"".join([table[i] for i in ids])
@@ -155,12 +159,26 @@ class Aligner:
             ends, at = np.concatenate([[0], np.cumsum(keep)])[ends], at[keep]
         used = np.zeros(len(names), bool)
         used[at] = True
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        new = list(dict.fromkeys(n for n, u in zip(names, used) if u and n not in self.memory))
-        fresh = dict(zip(new, self.align(new)))
-        self.memory.update((n, f) for n, f in fresh.items() if len(n) <= LONG_UNIT)
-        aligned = [(fresh[n] if n in fresh else self.memory[n]) if u else None for n, u in zip(names, used)]
+        # Most units come once: those that a later batch has again are kept longer than the others.
+        if len(self.kept) > REMEMBERED:
+            self.kept = {}
+        aligned: list[Aligned] = [None] * len(names)
+        new: dict[str, list[int]] = {}
+        for n in np.flatnonzero(used).tolist():
+            name = names[n]
+            if name in self.kept:
+                aligned[n] = self.kept[name]
+            elif name in self.recent:
+                aligned[n] = self.kept[name] = self.recent.pop(name)
+            else:
+                new.setdefault(name, []).append(n)
+        if len(self.recent) > RECENT:
+            self.recent = {}
+        for (name, places), made in zip(new.items(), self.align(list(new))):
+            for n in places:
+                aligned[n] = made
+            if len(name) <= LONG_UNIT:
+                self.recent[name] = made
         return names, aligned, at, ends
 
 
@@ -243,7 +261,7 @@ class Chunk:
 
     @property
     def full(self) -> bool:
-        return len(self.counts) >= MOST_PAIRS or sum(map(len, self.links)) >= MOST_LINKS * 8
+        return len(self.links) >= MOST_UNITS or len(self.counts) >= MOST_PAIRS or sum(map(len, self.links)) >= MOST_LINKS * 8
 
     def closed(self) -> Iterator[pa.RecordBatch]:
         """The rows of the chunk's units and of its pairs, numbered."""
