@@ -1,7 +1,10 @@
 """Near copies by the Jaccard similarity of their five-word shingles, 0.8 or more.
 
-Documents with equal shingle sets are one class. Classes that agree in all rows of one of ``BANDS``
-MinHash bands share a bucket; a pair at 0.8 meets in one with a probability of 0.9999. In rounds, every
+Documents with equal shingle sets are one class. Classes share a bucket whose SimHash fingerprints of the
+same shingles are linked by the byte-position index with count filtering (``simhash.links``), directly or
+over others. Fingerprints of pairs at 0.8 often differ in more bits than an index can promise to find, so
+classes that agree in all rows of one of ``BANDS`` MinHash bands share a bucket as well; a pair at 0.8
+meets in one with a probability of 0.9999. In rounds, every
 bucket whose members are not yet all in one component names up to ``LEADERS`` members as leaders, those
 that share most buckets with others first, and compares each with the members of other components on the
 whole shingle sets. A group of near copies is so joined after a few rounds by as many pairs as it has
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import bounded_batches, per_batch, text_or_empty, written
 from .graphs import components
 
@@ -53,6 +57,10 @@ def class_of(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes())
 
 
+#: The class of the texts without words.
+WORDLESS = int(np.array([class_of(np.zeros(0, "u8"))], "u8").view("i8")[0])
+
+
 def bands(hashes: np.ndarray, block: int = 1 << 12) -> np.ndarray:
     """One key per band; none without shingles."""
     if not len(hashes):
@@ -63,16 +71,19 @@ def bands(hashes: np.ndarray, block: int = 1 << 12) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), n) for n, r in enumerate(least.reshape(BANDS, ROWS))], "u8").view("i8")
 
 
-def _each(docs: DataFrame, column: str, of) -> DataFrame:
-    """``doc_id, class`` and a column of longs made from the shingles, per row with an id."""
+def _each(docs: DataFrame, column: str, of, prints: bool = False) -> DataFrame:
+    """``doc_id, class`` and a column of longs made from the shingles, with ``prints`` also the fingerprint ``fp``, per row with an id."""
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("class", T.LongType()), T.StructField(column, T.ArrayType(T.LongType())),
+        *[T.StructField("fp", T.LongType())] * prints,
     ])
 
     def one(batch: pa.RecordBatch) -> dict:
-        sets = [shingles(t) for t in batch.column(1).to_pylist()]
+        texts = batch.column(1).to_pylist()
+        sets = [shingles(t) for t in texts]
         classes = np.array([class_of(s) for s in sets], "u8").view("i8")
-        return {"doc_id": batch.column(0), "class": classes, column: [of(s) for s in sets]}
+        fps = np.array([simhash.fingerprint(t, WIDTH) for t in texts] if prints else [], "u8").view("i8")
+        return {"doc_id": batch.column(0), "class": classes, column: [of(s) for s in sets], "fp": fps}
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter("doc_id IS NOT NULL")
@@ -177,15 +188,23 @@ def joined(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     return components(links, "copies-all") if links is not None else buckets.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0)
 
 
+def fingerprint_buckets(marked: DataFrame) -> DataFrame:
+    """``key, class``: a bucket for the fingerprints that links hold together. Texts without words are in none."""
+    prints = marked.filter(F.col("class") != F.lit(WORDLESS)).select("class", "fp").distinct()
+    linked = components(written(simhash.links(prints.select("fp").distinct()), "copies-prints"), "copies-print-stars")
+    roots = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+    return roots.select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"), "class").distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` of the documents with an id: the smallest id of the near copies around it.
 
     Reads ``doc_id`` and ``text`` only. NULL text counts as empty; texts without words are copies of
     each other; an empty table gives no rows.
     """
-    marked = written(_each(docs, "bands", bands), "copies-docs")
+    marked = written(_each(docs, "bands", bands, True), "copies-docs")
     classes = written(marked.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "copies-classes")
-    keys = classes.select("class", F.explode("bands").alias("key"))
+    keys = classes.select(F.explode("bands").alias("key"), "class").union(fingerprint_buckets(marked)).select("class", "key")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = written(keys.join(shared.select("key"), "key"), "copies-buckets")
     needed = buckets.select("class").distinct()
