@@ -115,3 +115,18 @@ def test_alignment_of_nothing(spark):
     assert alignment.link_counts(rows_of(spark, []), A, B).count() == 0
     none = alignment.link_counts(rows_of(spark, [(1, None), (2, "")]), A, B).collect()
     assert sorted(map(tuple, none)) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_units_that_come_again_are_kept_and_chunks_are_bounded(monkeypatch):
+    monkeypatch.setattr(alignment, "RECENT", 10)
+    monkeypatch.setattr(alignment, "ALIGNED", 7)
+    monkeypatch.setattr(alignment, "MOST_UNITS", 300)
+    aligner, chunk, calls = alignment.Aligner(A, B), alignment.Chunk(0), []
+    align = aligner._align
+    monkeypatch.setattr(aligner, "_align", lambda units: calls.append(list(units)) or align(units))
+    for n in range(8):
+        texts = pa.array([" ".join(["often seen words", *(f"rare{n}x{k}" for k in range(50))])] * 2)
+        chunk.add(*aligner.units(texts), pa.array([1, 2]), np.zeros(2, bool))
+        assert chunk.full == (len(chunk.links) >= 300)
+    assert chunk.full and max(map(len, calls)) == 7
+    assert sum(c.count("seen") for c in calls) == 1 and "seen" in aligner.kept and len(aligner.recent) < 110

@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import math
+import operator
+import random
 import re
 import zlib
 
@@ -506,3 +508,26 @@ def test_points_with_one_key_are_met_in_bounded_blocks(spark, monkeypatch):
     np.fill_diagonal(scores, -np.inf)
     want = {(q, int(v)) for q in range(0, 120, 20) for v in np.argsort(-scores[q])[:5]}
     assert {(r.query_id, r.vec_id) for r in ann.search(frame, k=5).collect()} == want
+
+
+def test_near_copies_stage_links_fingerprints_by_the_byte_index(spark, monkeypatch):
+    """Without any MinHash band, texts whose fingerprints are near are compared, and linked at 0.8 only."""
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(3000)) for _ in range(6)]
+    edited = [t.rsplit(" ", 1)[0] + " other" for t in base]
+    near = [n for n, (x, y) in enumerate(zip(base, edited)) if (simhash.fingerprint(x, 5) ^ simhash.fingerprint(y, 5)).bit_count() <= 2]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate([*base, *edited])] + [(20, ""), (21, None)], "doc_id long, text string")
+    monkeypatch.setattr(copies, "bands", operator.itemgetter(slice(0, 0)))
+    found = {r.doc_id: r.component_id for r in copies.near_copies(docs).collect()}
+    assert len(near) >= 3 and found == {n: n for n in range(6)} | {n + 6: n if n in near else n + 6 for n in range(6)} | {20: 20, 21: 20}
+
+
+def test_piece_memory_is_bounded_and_keeps_what_comes_again(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 400)
+    small = tokens.PieceIds(WORDS)
+    for n in range(12):
+        texts = pa.array([" ".join(["often seen words", *(f"rare{n}x{k}" for k in range(150))])] * 2)
+        ids, ends = small.encode(texts)
+        alone, sizes = small._alone(texts.to_pylist())
+        assert np.array_equal(ids, alone) and np.array_equal(np.diff(ends), sizes)
+    assert "often" in small.memory and len(small.memory) <= 400 + 200 and len(small.flat) < 8 * 400 + 3000

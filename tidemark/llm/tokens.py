@@ -24,8 +24,9 @@ import pyarrow.compute as pc
 from .common import per_process
 from .pieces import cut, stems
 
-#: Pieces remembered by a process, and their ids; beyond it the memory starts anew. Longer pieces are not remembered.
-REMEMBERED, LONG_PIECE = 1_000_000, 64
+#: Pieces remembered by a process; beyond it those are forgotten that no later batch had again, or all if too few
+#: are. Longer pieces are not remembered.
+REMEMBERED, LONG_PIECE = 300_000, 64
 #: Short pieces in one text for the library, and what may stand between them.
 TOGETHER, MARKS = 512, "|=;"
 #: The byte-level letter for a blank.
@@ -66,6 +67,17 @@ class PieceIds:
         """Remembered pieces as numbers; the ids of piece ``n`` are ``flat[begins[n]:begins[n] + sizes[n]]``."""
         self.memory: dict[str, int] = {}
         self.flat, self.begins, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
+
+    def _thin(self) -> None:
+        """Forgets the pieces that came in one batch only since the last time."""
+        kept = [(word, n) for word, n in self.memory.items() if self.again[n]]
+        if len(kept) > REMEMBERED // 2:
+            return self._forget()
+        which = np.array([n for _, n in kept], np.int64)
+        self.flat, self.sizes = ragged(self.flat, self.begins[which], self.sizes[which]), self.sizes[which]
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.memory, self.again = {word: n for n, (word, _) in enumerate(kept)}, np.zeros(len(kept), bool)
 
     @staticmethod
     def _safe_cut(spec: dict) -> str:
@@ -127,6 +139,7 @@ class PieceIds:
         numbers[np.concatenate(each)] = len(self.sizes) + np.arange(len(pieces))
         sizes = np.concatenate([f[1] for f in found])
         self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.again = np.concatenate([self.again, np.zeros(len(sizes), bool)])
         self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, *(f[0] for f in found)])
         return numbers
 
@@ -136,8 +149,9 @@ class PieceIds:
             return ids, np.concatenate([[0], np.cumsum(sizes)])
         pieces = cut(texts, True) if self.cut == "lead" else stems(texts)
         if len(self.memory) > REMEMBERED or len(self.flat) > 8 * REMEMBERED:
-            self._forget()
+            self._thin()
         numbers = np.fromiter(map(self.memory.get, pieces.words, repeat(-1)), np.int64, len(pieces.words))
+        self.again[numbers[numbers >= 0]] = True
         if len(new := np.flatnonzero(numbers < 0)):
             words = [pieces.words[n] for n in new]
             numbers[new] = self._add(words, self._ways(words))
