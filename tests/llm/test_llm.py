@@ -302,6 +302,23 @@ def test_heap_merges_as_the_rank_array():
         assert vocabulary.merge_short(word) == vocabulary.merge_long(word)
 
 
+def test_words_of_equally_many_bytes_are_merged_together(monkeypatch):
+    """A batch's new words are not merged one by one, and end as the heap ends them, added tokens between them."""
+    vocabulary, rng, alone = bpe.Bpe(BYTES), np.random.default_rng(14), []
+    one = vocabulary.merge_short
+    monkeypatch.setattr(vocabulary, "merge_short", lambda word: alone.append(word) or one(word))
+    words = ["".join(rng.choice(list("thenadiougs é"), int(rng.integers(0, 25)))) for _ in range(3000)] + ["x" * 300, "日本" * 200, ""]
+    ids, sizes = vocabulary.merge(pa.array(words)[5:])
+    ends = np.cumsum(sizes)
+    assert [ids[e - n:e].tolist() for e, n in zip(ends, sizes)] == [vocabulary.merge_long(w.encode()) for w in words[5:]]
+    assert len(alone) < 300
+    encode, texts = library(BYTES)[1], [" ".join(words), "<|endoftext|>", "a <|endoftext|>b  c", ""]
+    for _ in range(2):
+        for text, (n, listed, raw) in zip(texts, vocabulary.forms(pa.array(texts))):
+            assert bytes(listed) == b"".join(b",%d" % i for i in encode(text)) and (n, bytes(raw)) == (len(encode(text)), text.encode())
+    assert list(vocabulary.forms(pa.array([], pa.string()))) == []
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(17)
     blocks = [rng.integers(0, 50257, n) for n in (0, 1, 7, 4096)] + [np.zeros(4096, int), np.full(300, 50256), np.arange(4000) % 7]

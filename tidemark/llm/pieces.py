@@ -20,8 +20,24 @@ class Pieces:
     whole: np.ndarray
 
 
-def _is_lone(word: str) -> bool:
-    return word != "" and not word[0].isspace() and not word[-1].isspace()
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def _are_lone(words: pa.Array) -> np.ndarray:
+    """Which words are not empty and have no blank of any script at either end."""
+    if not len(words):
+        return np.zeros(0, bool)
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    lone = np.zeros(len(words), bool)
+    filled = np.flatnonzero(np.diff(offsets))
+    ends = raw[offsets[filled]], raw[offsets[filled + 1] - 1]
+    lone[filled] = (ends[0] > 0x20) & (ends[0] < 0x7F) & (ends[1] > 0x20) & (ends[1] < 0x7F)
+    for n in filled[~lone[filled]].tolist():
+        word = words[n].as_py()
+        lone[n] = not word[0].isspace() and not word[-1].isspace()
+    return lone
 
 
 def _words(texts: pa.Array, lead: bool) -> tuple[np.ndarray, pa.DictionaryArray]:
@@ -41,10 +57,9 @@ def cut(texts: pa.Array, lead: bool) -> Pieces:
     """
     ends, flat = _words(texts, lead)
     at = flat.indices.to_numpy().astype(np.int64)
-    words = flat.dictionary.to_pylist()
     if not lead:
-        return Pieces(words, at, ends, np.zeros(len(texts), bool))
-    lone = np.array([_is_lone(w) for w in words] or [True], bool)
+        return Pieces(_strings(flat.dictionary), at, ends, np.zeros(len(texts), bool))
+    lone = _are_lone(flat.dictionary)
     # Every text has a first piece, empty for the empty text, which is then the only one.
     first = at[ends[:-1]]
     alone = np.diff(ends) == 1
@@ -52,8 +67,9 @@ def cut(texts: pa.Array, lead: bool) -> Pieces:
     bad[ends[:-1][alone]] = False
     whole = np.add.reduceat(bad, ends[:-1]) > 0 if len(ends) > 1 else np.zeros(0, bool)
     heads, head_at = np.unique(first, return_inverse=True)
-    at[ends[:-1]] = len(words) + head_at
-    return Pieces([" " + w for w in words] + [words[h] for h in heads], at, ends, whole)
+    at[ends[:-1]] = len(flat.dictionary) + head_at
+    later = pc.binary_join_element_wise(pa.scalar(" "), flat.dictionary, pa.scalar(""))
+    return Pieces(_strings(later) + _strings(flat.dictionary.take(pa.array(heads))), at, ends, whole)
 
 
 def stems(texts: pa.Array) -> Pieces:
@@ -70,4 +86,4 @@ def stems(texts: pa.Array) -> Pieces:
     counts = np.diff(begins)[at]
     ends = np.cumsum(counts)
     at = stem.indices.to_numpy()[np.repeat(begins[at] - ends + counts, counts) + np.arange(counts.sum())]
-    return Pieces(stem.dictionary.to_pylist(), at, np.concatenate([[0], ends])[lists], np.zeros(len(texts), bool))
+    return Pieces(_strings(stem.dictionary), at, np.concatenate([[0], ends])[lists], np.zeros(len(texts), bool))

@@ -41,8 +41,73 @@ def ragged(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarr
     return flat[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-class PieceIds:
-    """``encode(texts)``: the ids of all texts in a row and where each text's begin and end."""
+class Remembered:
+    """``encode(texts)``: the ids of all texts in a row and where each text's begin and end, put together from the
+    remembered ids of pieces. ``cut`` says how pieces are cut, ``_add`` encodes those that are new."""
+
+    cut = "lead"
+
+    def _forget(self) -> None:
+        """Remembered pieces as numbers; the ids of piece ``n`` are ``flat[begins[n]:begins[n] + sizes[n]]``."""
+        self.memory: dict[str, int] = {}
+        self.flat, self.begins, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
+
+    def _thin(self) -> None:
+        """Forgets the pieces that came in one batch only since the last time."""
+        kept = [(word, n) for word, n in self.memory.items() if self.again[n]]
+        if len(kept) > REMEMBERED // 2:
+            return self._forget()
+        which = np.array([n for _, n in kept], np.int64)
+        self.flat, self.sizes = ragged(self.flat, self.begins[which], self.sizes[which]), self.sizes[which]
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.memory, self.again = {word: n for n, (word, _) in enumerate(kept)}, np.zeros(len(kept), bool)
+
+    def _add(self, pieces: list[str], whole: bool) -> np.ndarray:
+        """Encodes pieces, or whole texts, and gives their numbers."""
+        raise NotImplementedError
+
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keeps the ids of pieces in a row and gives the pieces' numbers."""
+        numbers = len(self.sizes) + np.arange(len(sizes))
+        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.again = np.concatenate([self.again, np.zeros(len(sizes), bool)])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+        return numbers
+
+    def numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of the distinct pieces, which of them all texts have in a row, and where each text's begin and end."""
+        pieces = cut(texts, True) if self.cut == "lead" else stems(texts)
+        if len(self.memory) > REMEMBERED or len(self.flat) > 8 * REMEMBERED:
+            self._thin()
+        numbers = np.fromiter(map(self.memory.get, pieces.words, repeat(-1)), np.int64, len(pieces.words))
+        self.again[numbers[numbers >= 0]] = True
+        if len(new := np.flatnonzero(numbers < 0)):
+            words = [pieces.words[n] for n in new]
+            numbers[new] = self._add(words, False)
+            self.memory.update(zip(words, numbers[new].tolist()))
+            for word in words:
+                if len(word) > LONG_PIECE:
+                    del self.memory[word]
+        at, ends = pieces.at, pieces.ends
+        which = np.flatnonzero(pieces.whole)
+        if len(which):  # each becomes one piece, its first; its others are left out
+            keep = np.repeat(~pieces.whole, np.diff(ends))
+            keep[ends[which]] = True
+            at[ends[which]] = len(numbers) + np.arange(len(which))
+            numbers = np.concatenate([numbers, self._add([texts[int(t)].as_py() for t in which], True)])
+            at, ends = at[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+        return numbers, at, ends
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        numbers, at, ends = self.numbered(texts)
+        at = numbers[at]
+        counts = self.sizes[at]
+        return ragged(self.flat, self.begins[at], counts), np.concatenate([[0], np.cumsum(counts)])[ends]
+
+
+class PieceIds(Remembered):
+    """The ids that the library gives."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
@@ -63,22 +128,6 @@ class PieceIds:
         self.leads[[n for t, n in self.tokenizer.get_vocab().items() if t.startswith(BLANK)]] = True
         self._forget()
 
-    def _forget(self) -> None:
-        """Remembered pieces as numbers; the ids of piece ``n`` are ``flat[begins[n]:begins[n] + sizes[n]]``."""
-        self.memory: dict[str, int] = {}
-        self.flat, self.begins, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.again = np.zeros(0, bool)
-
-    def _thin(self) -> None:
-        """Forgets the pieces that came in one batch only since the last time."""
-        kept = [(word, n) for word, n in self.memory.items() if self.again[n]]
-        if len(kept) > REMEMBERED // 2:
-            return self._forget()
-        which = np.array([n for _, n in kept], np.int64)
-        self.flat, self.sizes = ragged(self.flat, self.begins[which], self.sizes[which]), self.sizes[which]
-        self.begins = np.cumsum(self.sizes) - self.sizes
-        self.memory, self.again = {word: n for n, (word, _) in enumerate(kept)}, np.zeros(len(kept), bool)
-
     @staticmethod
     def _safe_cut(spec: dict) -> str:
         """'drop' if blanks only separate, 'lead' if one blank begins the word after it, else 'none'."""
@@ -130,44 +179,20 @@ class PieceIds:
         short &= ~pc.match_substring(words, self.mark).to_numpy(zero_copy_only=False)
         return short * (1 + pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False))
 
-    def _add(self, pieces: list[str], ways: np.ndarray) -> np.ndarray:
-        """Encodes pieces and gives their numbers."""
+    def _add(self, pieces: list[str], whole: bool) -> np.ndarray:
+        ways = np.zeros(len(pieces), int) if whole else self._ways(pieces)
         each = [np.flatnonzero(ways == w) for w in (0, 1, 2)]
         calls = self._alone, self._together, lambda p: self._together(p, self.plain)
         found = [call([pieces[n] for n in which]) for call, which in zip(calls, each)]
         numbers = np.empty(len(pieces), np.int64)
-        numbers[np.concatenate(each)] = len(self.sizes) + np.arange(len(pieces))
-        sizes = np.concatenate([f[1] for f in found])
-        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.again = np.concatenate([self.again, np.zeros(len(sizes), bool)])
-        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, *(f[0] for f in found)])
+        numbers[np.concatenate(each)] = self._store(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
         return numbers
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.cut == "none":
             ids, sizes = self._alone(texts.to_pylist())
             return ids, np.concatenate([[0], np.cumsum(sizes)])
-        pieces = cut(texts, True) if self.cut == "lead" else stems(texts)
-        if len(self.memory) > REMEMBERED or len(self.flat) > 8 * REMEMBERED:
-            self._thin()
-        numbers = np.fromiter(map(self.memory.get, pieces.words, repeat(-1)), np.int64, len(pieces.words))
-        self.again[numbers[numbers >= 0]] = True
-        if len(new := np.flatnonzero(numbers < 0)):
-            words = [pieces.words[n] for n in new]
-            numbers[new] = self._add(words, self._ways(words))
-            self.memory.update(zip(words, numbers[new].tolist()))
-            for word in words:
-                if len(word) > LONG_PIECE:
-                    del self.memory[word]
-        at, ends = numbers[pieces.at], pieces.ends
-        which = np.flatnonzero(pieces.whole)
-        if len(which):  # each becomes one piece, its first; its others are left out
-            keep = np.repeat(~pieces.whole, np.diff(ends))
-            keep[ends[which]] = True
-            at[ends[which]] = self._add([texts[int(t)].as_py() for t in which], np.zeros(len(which), int))
-            at, ends = at[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
-        counts = self.sizes[at]
-        return ragged(self.flat, self.begins[at], counts), np.concatenate([[0], np.cumsum(counts)])[ends]
+        return super().encode(texts)
 
 
 def piece_ids(path: str) -> PieceIds:
