@@ -328,6 +328,28 @@ def test_range_coder_round_trip():
     assert rangecoder.encode([]) == [] and rangecoder.decode([], []) == []
 
 
+def test_mixed_ids_take_fewer_bits_than_order_0_and_a_general_compressor(documents):
+    texts = pa.array([r.text or "" for r in documents.select("text").collect()])
+    ids = tokens.piece_ids(BYTES).encode(texts)[0][:48 * rangecoder.BLOCK]
+    blocks = np.split(ids, range(rangecoder.BLOCK, len(ids), rangecoder.BLOCK))
+    ((model,), (codes,)) = rangecoder.encode_groups([blocks])
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert 8 * (len(model.packed()) + sum(map(len, codes))) < -(share * np.log2(share)).sum() * len(ids)
+    assert len(model.packed()) + sum(map(len, codes)) < sum(len(zlib.compress(b.astype("<u2").tobytes())) for b in blocks)
+    model, _ = rangecoder.Model.unpacked(model.packed())
+    (found,) = rangecoder.decode_groups([(model, codes[7:8], [rangecoder.BLOCK])])
+    assert (found[0] == blocks[7]).all()
+
+
+def test_ids_of_large_vocabularies_are_coded_or_refused():
+    rng = np.random.default_rng(18)
+    blocks = [rng.permutation(rangecoder.IDS), np.array([rangecoder.IDS - 1, 0, 70_000] * 50), np.zeros(0, np.int64)]
+    assert all((a == b).all() for a, b in zip(blocks, rangecoder.decode(rangecoder.encode(blocks), [len(b) for b in blocks])))
+    for wrong in (rangecoder.IDS, -1):
+        with pytest.raises(ValueError):
+            rangecoder.encode([np.array([wrong])])
+
+
 def test_token_files_round_trip(spark, odd, empty, documents):
     docs = documents.select("doc_id", "text").union(odd.filter("doc_id IS NOT NULL").select(F.col("doc_id") + 1000, "text").distinct())
     found = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokenio.round_trip(docs, BYTES).collect()}

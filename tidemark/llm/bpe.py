@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, per_batch, per_process, text_or_empty
-from .tokens import Remembered, ragged
+from .pieces import ragged
+from .tokens import Remembered
 
 # Fixed value: how byte-level BPE cuts a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -103,6 +104,7 @@ class Bpe(Remembered):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self.merges[vocab[left] << 20 | vocab[right]] = rank
             self.made.append(vocab[left + right])
+        self.cut = "lead" if all("<" in token for token in self.special) else "none"
         self.words = regex.compile(WORDS)
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.none, self.ranks = len(self.merges), Ranks(self.merges)

@@ -9,6 +9,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: A word with marks behind it, and perhaps the next line's word: five parts that a byte-level tokenizer's pattern takes one by one.
+WITH_MARKS = "^( ?L+)([.,;:!?$&*%#]+)(\n?)(L*)([.,;:!?$&*%#]*)$".replace("L", "[A-Za-zÀ-ÖØ-öø-ÿ]")
+
+
+def ragged(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The slices ``flat[starts[i]:starts[i] + counts[i]]`` in a row."""
+    ends = np.cumsum(counts)
+    return flat[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 @dataclass
 class Pieces:
     """``words[i]`` are the distinct pieces and ``at`` the pieces of all texts in a row, text ``t``
@@ -34,9 +44,8 @@ def _are_lone(words: pa.Array) -> np.ndarray:
     filled = np.flatnonzero(np.diff(offsets))
     ends = raw[offsets[filled]], raw[offsets[filled + 1] - 1]
     lone[filled] = (ends[0] > 0x20) & (ends[0] < 0x7F) & (ends[1] > 0x20) & (ends[1] < 0x7F)
-    for n in filled[~lone[filled]].tolist():
-        word = words[n].as_py()
-        lone[n] = not word[0].isspace() and not word[-1].isspace()
+    rest = filled[~lone[filled]]
+    lone[rest] = [not word[0].isspace() and not word[-1].isspace() for word in _strings(words.take(pa.array(rest)))]
     return lone
 
 
@@ -52,8 +61,9 @@ def cut(texts: pa.Array, lead: bool) -> Pieces:
     """Cuts at single blanks.
 
     With ``lead`` a blank belongs to the word after it, so pieces but the first of a text start with
-    one, and a text with a blank beside another blank, where the cut would not be safe, is whole.
-    Otherwise blanks and line ends only separate. No texts give no pieces.
+    one, and a text with a blank beside another blank, where the cut would not be safe, is whole; a word,
+    the marks behind it and a next line's word are pieces of their own. That holds for byte-level tokenizers
+    whose added tokens have a ``<``. Otherwise blanks and line ends only separate. No texts give no pieces.
     """
     ends, flat = _words(texts, lead)
     at = flat.indices.to_numpy().astype(np.int64)
@@ -69,7 +79,31 @@ def cut(texts: pa.Array, lead: bool) -> Pieces:
     heads, head_at = np.unique(first, return_inverse=True)
     at[ends[:-1]] = len(flat.dictionary) + head_at
     later = pc.binary_join_element_wise(pa.scalar(" "), flat.dictionary, pa.scalar(""))
-    return Pieces(_strings(later) + _strings(flat.dictionary.take(pa.array(heads))), at, ends, whole)
+    words, at, ends = _part_marks(pa.concat_arrays([later, flat.dictionary.take(pa.array(heads))]), at, ends)
+    return Pieces(words, at, ends, whole)
+
+
+def uncut(texts: pa.Array) -> Pieces:
+    """Whole texts only."""
+    return Pieces([], np.zeros(len(texts), np.int64), np.arange(len(texts) + 1), np.ones(len(texts), bool))
+
+
+def _part_marks(words: pa.Array, at: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The pieces with those ``WITH_MARKS`` in their parts."""
+    marked = pc.match_substring_regex(words, WITH_MARKS)
+    lists = pc.split_pattern(pc.replace_substring_regex(words.filter(marked), WITH_MARKS, "\\1\0\\2\0\\3\0\\4\0\\5"), "\0")
+    parts, marked = lists.flatten(), marked.to_numpy(zero_copy_only=False)
+    filled = pc.greater(pc.binary_length(parts), 0)
+    counts = np.ones(len(words), np.int64)
+    counts[marked] = filled.to_numpy(zero_copy_only=False).reshape(-1, 5).sum(axis=1)
+    found = pa.concat_arrays([parts.filter(filled), words.filter(pa.array(~marked))]).dictionary_encode()
+    begins = np.empty(len(words), np.int64)
+    behind = np.cumsum(counts[marked])
+    begins[marked] = behind - counts[marked]
+    begins[~marked] = (behind[-1] if len(behind) else 0) + np.arange(np.count_nonzero(~marked))
+    counts = counts[at]
+    at = ragged(found.indices.to_numpy().astype(np.int64), begins[at], counts)
+    return _strings(found.dictionary), at, np.concatenate([[0], np.cumsum(counts)])[ends]
 
 
 def stems(texts: pa.Array) -> Pieces:

@@ -1,222 +1,308 @@
-"""An adaptive context-mixing range coder for token ids, run over many blocks in lockstep.
+"""A context-mixing range coder for token ids, run over many blocks in lockstep.
 
-Each block is coded on its own. The ids after the last one and after the last two are remembered in
-hashed tables (order 1 and 2) with a small confidence each; what id occurs at all is counted by
-classes of ids (order 0). The next id is "as order 2 says", "as order 1 says" or "other", with
-probabilities that adapt for each pair of confidences, which is how the predictions are mixed;
-an other id is coded by its class's share and its place in the class. One range coder step per id.
+The ids after the last one and after the last two are remembered in hashed tables (order 1 and 2)
+with a small confidence each, anew in every block; how often each id occurs at all (order 0) is
+counted over a group of blocks. The next id is "as order 2 says", "as order 1 says" or drawn from
+order 0; the three are mixed by weights counted for each pair of confidences over the group. Order 0
+and the weights are a group's model, which its reader needs. One range coder step per id.
 
-Blocks are independent, so numpy works on the same position of all blocks of a task at once.
+Blocks are coded on their own, so numpy works on the same position of all blocks of a task at once.
+What an id is predicted from is known to the writer beforehand; only the tables and the coder's
+interval are stepped there, shares and weights are looked up for many positions together.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 
-#: Tokens per block; ids are below 2 ** 16.
-BLOCK = 4096
+#: Tokens per block. Ids are below ``IDS``.
+BLOCK, IDS = 4096, 1 << 18
 ORDER1, ORDER2 = 2048, 4096
+#: What a block's tables take: a little more, so that equal contexts of many blocks don't meet in the same cache lines.
+STRIDE1, STRIDE2 = ORDER1 + 16, ORDER2 + 16
 STATES = 32
-#: Bits of the mixture's probabilities, of the class shares and of the place within a class.
-MIX, SHARE, PLACE = 12, 14, 8
-TOTAL = MIX + SHARE + PLACE
+#: Bits of the mixture's weights and of the ids' shares. A model's own shares have ``bits`` of the latter.
+MIX, SHARE = 12, 20
+TOTAL = MIX + SHARE
 #: Words of 16 bits that a token may need at most, and those that end a block.
 PER_TOKEN, LAST = 2, 4
+#: Positions whose intervals are worked out together.
+TOGETHER = 128
+HEAD = "<IIB"
 
 
-def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The class of each id, and each class's first id and bits: narrow for the low, frequent ids."""
-    first, bits, at = [], [], 0
-    while at < 1 << 16:
-        b = 3 if at < 1 << 10 else PLACE
-        first.append(at)
-        bits.append(b)
-        at += 1 << b
-    first, bits = np.array(first, np.int32), np.array(bits, np.int32)
-    return np.repeat(np.arange(len(first), dtype=np.int32), 1 << bits), first, bits
+class Model:
+    """A group's ids, their shares of ``1 << bits``, and the weights of order 2 and 1 by state."""
 
+    def __init__(self, ids: np.ndarray, shares: np.ndarray, bits: int, weights: np.ndarray):
+        self.ids, self.shares, self.bits, self.weights = ids, shares, bits, weights
 
-CLASS_OF, CLASS_FIRST, CLASS_BITS = _classes()
-CLASSES = len(CLASS_FIRST)
+    @classmethod
+    def counted(cls, ids: np.ndarray) -> tuple[Model, np.ndarray]:
+        """The model of a group's ids, without weights yet, and the ids as numbers in it."""
+        if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < IDS:
+            raise ValueError(f"ids from {IDS} on, or negative ones, cannot be coded")
+        counts = np.bincount(ids)
+        known = np.flatnonzero(counts)
+        number = np.zeros(len(counts) + 1, np.int32)
+        number[known] = np.arange(len(known))
+        bits = min(SHARE, max(12, len(known).bit_length() + 2))
+        counts = counts[known].astype(np.int64)
+        shares = 1 + counts * ((1 << bits) - len(known)) // max(len(ids), 1)
+        if len(known):
+            shares[counts.argmax()] += (1 << bits) - shares.sum()
+        return cls(known.astype(np.uint32), shares, bits, np.zeros((STATES, 2), np.int64)), number[ids]
 
+    def packed(self) -> bytes:
+        steps = np.diff(self.ids.astype(np.int64), prepend=0).astype("<u4")
+        body = zlib.compress(steps.tobytes() + self.shares.astype("<u4").tobytes() + self.weights.astype("<u2").tobytes())
+        return struct.pack(HEAD, len(body), len(self.ids), self.bits) + body
 
-class Model:
-    """The adaptive state of ``lanes`` blocks. Lanes are ordered so that the live ones come first."""
-
-    def __init__(self, lanes: int):
-        lane = np.arange(lanes, dtype=np.int32)
-        self.row1, self.row2, self.row_state = lane * ORDER1, lane * ORDER2, lane * STATES
-        self.row_count, self.row_share = lane * CLASSES, lane * (CLASSES + 1)
-        self.order1 = np.zeros(lanes * ORDER1, np.int32)
-        self.order2 = np.zeros(lanes * ORDER2, np.int32)
-        self.first = np.full(lanes * STATES, 1 << 14, np.int32)
-        self.second = np.full(lanes * STATES, 1 << 14, np.int32)
-        self.counts = np.ones(lanes * CLASSES, np.int32)
-        self.shares = np.zeros(lanes * (CLASSES + 1), np.int32)
-        self.last = np.zeros(lanes, np.int32)
-        self.hash = np.zeros(lanes, np.int32)
-        self.step = 0
-
-    def refresh(self, n: int) -> None:
-        """Class shares of the counts so far: at least one part in 2 ** SHARE each, all parts given out."""
-        sums = np.cumsum(self.counts.reshape(-1, CLASSES)[:n], axis=1, dtype=np.int64)
-        parts = ((1 << SHARE) - CLASSES << 24) // sums[:, -1:]
-        shares = (sums * parts >> 24) + np.arange(1, CLASSES + 1)
-        shares[:, -1] = 1 << SHARE
-        self.shares.reshape(-1, CLASSES + 1)[:n, 1:] = shares
-
-    def predict(self, n: int):
-        """For the first ``n`` lanes: the two predicted ids and the widths of the first two cases."""
-        if self.step in (0, 16, 48, 128) or self.step % 256 == 0:
-            self.refresh(n)
-        last = self.last[:n]
-        self.at1 = self.row1[:n] + (last * 40503 >> 3 & ORDER1 - 1)
-        self.at2 = self.row2[:n] + (self.hash[:n] >> 5 & ORDER2 - 1)
-        self.e1, self.e2 = self.order1.take(self.at1), self.order2.take(self.at2)
-        q1, q2 = self.e1 >> 2, self.e2 >> 2
-        self.same = q1 == q2
-        self.state = self.row_state[:n] + ((self.e2 & 3) << 3 | (self.e1 & 3) << 1 | self.same)
-        self.pa, self.pb = self.first.take(self.state), self.second.take(self.state)
-        a = (self.pa * 3968 >> 16) + 32
-        b = ((4096 - 32 - a) * self.pb >> 16) + 16
-        b *= ~self.same
-        return q1, q2, a, b
-
-    def update(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, classes: np.ndarray) -> None:
-        self.first[self.state] = self.pa + ((hit2.astype(np.int32) << 16) - self.pa >> 4)
-        move = (hit1.astype(np.int32) << 16) - self.pb >> 4
-        move *= ~(hit2 | self.same)
-        self.second[self.state] = self.pb + move
-        fresh = ids << 2 | 1
-        for table, at, entry in ((self.order1, self.at1, self.e1), (self.order2, self.at2, self.e2)):
-            sure, hit = entry & 3, entry >> 2 == ids
-            table[at] = np.where(hit, entry + (sure < 3), np.where(sure > 0, entry - 1, fresh))
-        self.counts[self.row_count[:n] + classes] += 32
-        self.hash[:n] = self.last[:n] * 30011 + ids * 40503
-        self.last[:n] = ids
-        self.step += 1
+    @classmethod
+    def unpacked(cls, packed: bytes) -> tuple[Model, int]:
+        """The model that the bytes begin with, and how many they are."""
+        size, n, bits = struct.unpack_from(HEAD, packed)
+        end = struct.calcsize(HEAD) + size
+        body = zlib.decompress(packed[struct.calcsize(HEAD):end])
+        ids = np.cumsum(np.frombuffer(body, "<u4", n)).astype(np.uint32)
+        shares = np.frombuffer(body, "<u4", n, 4 * n).astype(np.int64)
+        return cls(ids, shares, bits, np.frombuffer(body, "<u2", 2 * STATES, 8 * n).astype(np.int64).reshape(STATES, 2)), end
 
 
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block's code. Blocks hold up to any number of ids; equally long ones cost least."""
-    sizes = np.array([len(b) for b in blocks], np.int64)
+class Shares:
+    """The models of many blocks in a row, looked up by lane."""
+
+    def __init__(self, models: list[Model], of: np.ndarray):
+        sizes = np.array([len(m.ids) for m in models] or [0])
+        bits = np.array([m.bits for m in models] or [SHARE])
+        self.row = (np.cumsum(sizes) - sizes).astype(np.int32)[of]
+        self.more = (SHARE - bits)[of].astype(np.uint64)
+        self.row_slot = (np.cumsum(1 << bits) - (1 << bits))[of]
+        self.row_state = (of * STATES).astype(np.int32)
+        begins = [np.cumsum(m.shares) - m.shares << SHARE - m.bits for m in models]
+        self.begin = np.concatenate([*begins, [0]]).astype(np.uint64)
+        self.width = np.concatenate([*[m.shares << SHARE - m.bits for m in models], [0]]).astype(np.uint64)
+        self.models = models
+
+    def weigh(self) -> None:
+        """Ends of the first two cases by state, and the part that is left to order 0."""
+        weights = np.concatenate([*[m.weights for m in self.models], np.zeros((1, 2), np.int64)])
+        ends = np.cumsum(weights, axis=1)
+        self.end2, self.end1 = (ends << SHARE).astype(np.uint64).T.copy()
+        self.rest = ((1 << MIX) - ends[:, 1]).astype(np.uint64)
+
+    def slots(self) -> np.ndarray:
+        """The number of the id at every share of every model."""
+        return np.concatenate([*[np.repeat(np.arange(len(m.ids), dtype=np.int32), m.shares) if len(m.ids) else np.zeros(1 << m.bits, np.int32)
+                                 for m in self.models], np.zeros(1, np.int32)])
+
+
+def places(row1: np.ndarray, row2: np.ndarray, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where order 1 and order 2 remember what came after the last id and the one before it."""
+    return row1 + (last * 40503 >> 3 & ORDER1 - 1), row2 + (before * 30011 + last * 40503 >> 5 & ORDER2 - 1)
+
+
+def states(entry1: np.ndarray, entry2: np.ndarray) -> np.ndarray:
+    """The confidences of both predictions, and whether they agree."""
+    return (entry2 & 3) << 3 | (entry1 & 3) << 1 | (entry1 >> 2 == entry2 >> 2)
+
+
+def learn(table: np.ndarray, at: np.ndarray, entry: np.ndarray, fresh: np.ndarray, sure: np.ndarray) -> None:
+    """A right prediction gains confidence up to ``sure``, a wrong one loses it or gives way to the ``fresh`` one."""
+    table[at] = np.where((entry ^ sure) < 4, np.minimum(entry + 1, sure), np.where(entry & 3, entry - 1, fresh))
+
+
+def lanes_of(sizes: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """The order of lanes by falling size, the longest, and how many are live at each position."""
     order = np.argsort(-sizes, kind="stable")
-    lanes, longest = len(blocks), int(sizes.max(initial=0))
-    ids = np.zeros((longest, lanes), np.int32)
+    longest = int(sizes.max(initial=0))
+    return order, longest, np.searchsorted(-sizes[order], -np.arange(longest), side="left")
+
+
+def encode_groups(groups: list[list[np.ndarray]]) -> tuple[list[Model], list[list[bytes]]]:
+    """The model of each group of blocks and its blocks' codes."""
+    models, numbers, of = [], [], []
+    for g, blocks in enumerate(groups):
+        model, number = Model.counted(np.concatenate(blocks) if blocks else np.zeros(0, np.int64))
+        models.append(model)
+        numbers += np.split(number, np.cumsum([len(b) for b in blocks])[:-1]) if blocks else []
+        of += [g] * len(blocks)
+    sizes = np.array([len(b) for b in numbers], np.int64)
+    order, longest, live = lanes_of(sizes)
+    lanes = len(numbers)
+    ids = np.zeros((longest + 2, lanes), np.int32)
     for lane, n in enumerate(order):
-        ids[:sizes[n], lane] = blocks[n]
-    live = np.searchsorted(-sizes[order], -np.arange(longest), side="left")
-    model = Model(lanes)
+        ids[2:sizes[n] + 2, lane] = numbers[n]
+    found = Shares(models, np.array(of, np.int64)[order])
+    entries = predicted(ids, live)
+    count_weights(found, ids, entries, sizes[order])
+    found.weigh()
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     words, used = np.zeros((lanes, longest * PER_TOKEN + LAST + 1), np.uint32), np.zeros(lanes, np.int64)
+    flat, row = words.reshape(-1), np.arange(lanes) * words.shape[1]
     u = np.uint64
 
     def emit(which: np.ndarray) -> None:
-        words[which, used[which]] = low[which] >> u(48)
-        low[which] <<= u(16)
+        was = low[which]
+        flat[row[which] + used[which]] = was >> u(48)
+        low[which] = was << u(16)
         span[which] <<= u(16)
         used[which] += 1
 
     for t in range(longest):
         n = int(live[t])
-        x = ids[t, :n]
-        q1, q2, a, b = model.predict(n)
-        hit2 = q2 == x
-        hit1 = (q1 == x) & ~hit2
-        c = CLASS_OF.take(x)
-        bits = CLASS_BITS.take(c)
-        at = model.row_share[:n] + c
-        start, stop = model.shares.take(at), model.shares.take(at + 1)
-        width = stop - start << PLACE - bits
-        begin = (start << PLACE) + (x - CLASS_FIRST.take(c)) * width
-        begin = (a + b).astype(np.int64) * (1 << SHARE + PLACE) + (4096 - a - b).astype(np.int64) * begin
-        width = (4096 - a - b).astype(np.int64) * width
-        a, b = a.astype(np.int64) << SHARE + PLACE, b.astype(np.int64) << SHARE + PLACE
-        begin = np.where(hit2, 0, np.where(hit1, a, begin)).view(np.uint64)
-        width = np.where(hit2, a, np.where(hit1, b, width)).view(np.uint64)
+        if t % TOGETHER == 0:
+            begins, widths = intervals(found, ids[t + 2:t + 2 + TOGETHER, :n], *(e[t:t + TOGETHER, :n] for e in entries))
         unit = span[:n] >> u(TOTAL)
-        more = low[:n] + unit * begin
-        over = np.flatnonzero(more < low[:n])
+        more = unit * begins[t % TOGETHER, :n]
+        low[:n] += more
+        over = np.flatnonzero(low[:n] < more)
         if len(over):
-            words[over, used[over] - 1] += 1
-        low[:n] = more
-        span[:n] = unit * width
+            flat[row[over] + used[over] - 1] += 1
+        np.multiply(unit, widths[t % TOGETHER, :n], out=span[:n])
         which = np.flatnonzero(span[:n] < u(1 << 48))
         while len(which):
             emit(which)
             which = which[span[which] < u(1 << 48)]
-        model.update(n, x, hit2, hit1, c)
     for _ in range(LAST):
         emit(np.arange(lanes))
+    words = words[:, :int(used.max(initial=0))]
     while (words > 0xFFFF).any():
         carry = words >> 16
         words &= 0xFFFF
         words[:, :-1] += carry[:, 1:]
-    out: list[bytes] = [b""] * lanes
+    codes: list[bytes] = [b""] * lanes
     for lane, n in enumerate(order):
         if sizes[n]:
-            out[n] = words[lane, :used[lane]].astype("<u2").tobytes()
-    return out
+            codes[n] = words[lane, :used[lane]].astype("<u2").tobytes()
+    ends = np.cumsum([0, *map(len, groups)])
+    return models, [codes[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def decode(codes: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The blocks again, from their codes and numbers of ids."""
-    sizes = np.array(sizes, np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    lanes, longest = len(codes), int(sizes.max(initial=0))
+def predicted(ids: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What order 1 and order 2 hold before each position; the first two rows of ``ids`` stand before the blocks."""
+    longest, lanes = len(ids) - 2, ids.shape[1]
+    lane = np.arange(lanes, dtype=np.int32)
+    row1, row2 = lane * STRIDE1, lane * STRIDE2
+    order1, order2 = np.zeros(lanes * STRIDE1, np.int32), np.zeros(lanes * STRIDE2, np.int32)
+    entries1, entries2 = np.zeros((longest, lanes), np.int32), np.zeros((longest, lanes), np.int32)
+    for t in range(longest):
+        n, k = int(live[t]), t % TOGETHER
+        if not k:
+            stop = t + TOGETHER
+            at1, at2 = places(row1[:n], row2[:n], ids[t + 1:stop + 1, :n], ids[t:stop, :n])
+            sure = ids[t + 2:stop + 2, :n] << 2 | 3
+            fresh = sure - 2
+        at, other = at1[k, :n], at2[k, :n]
+        entry1, entry2 = entries1[t, :n], entries2[t, :n]
+        entry1[:], entry2[:] = order1.take(at), order2.take(other)
+        learn(order1, at, entry1, fresh[k, :n], sure[k, :n])
+        learn(order2, other, entry2, fresh[k, :n], sure[k, :n])
+    return entries1, entries2
+
+
+def count_weights(found: Shares, ids: np.ndarray, entries: tuple[np.ndarray, np.ndarray], sizes: np.ndarray) -> None:
+    """Sets the models' weights: how often order 2, or else order 1, was right in each state."""
+    cells = len(found.models) * STATES
+    seen, right2, right1 = (np.zeros(cells, np.int64) for _ in range(3))
+    for t in range(0, len(ids) - 2, TOGETHER):
+        entry1, entry2, x = entries[0][t:t + TOGETHER], entries[1][t:t + TOGETHER], ids[t + 2:t + 2 + TOGETHER]
+        state = found.row_state + states(entry1, entry2)
+        valid = (np.arange(t, t + len(x))[:, None] < sizes) if sizes[-1] < t + len(x) else np.ones(x.shape, bool)
+        hit2 = (entry2 >> 2 == x) & valid
+        hit1 = (entry1 >> 2 == x) & valid & ~hit2
+        for total, which in ((seen, valid), (right2, hit2), (right1, hit1)):
+            total += np.bincount(state[which], minlength=cells)
+    weights = ((np.stack([right2, right1], axis=1) * 16 + 1) << MIX) // (seen * 16 + 4)[:, None]
+    weights[:, 0] = np.clip(weights[:, 0], 8, (1 << MIX) - 32)
+    weights[:, 1] = np.clip(weights[:, 1], 8, (1 << MIX) - 16 - weights[:, 0])
+    weights[1::2, 1] = 0  # the states in which both agree
+    for model, own in zip(found.models, weights.reshape(-1, STATES, 2)):
+        model.weights = own
+
+
+def intervals(found: Shares, ids: np.ndarray, entry1: np.ndarray, entry2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The begin and width of each id's interval of ``1 << TOTAL``."""
+    n, s = ids.shape[1], np.uint64(SHARE)
+    state = found.row_state[:n] + states(entry1, entry2)
+    end2, end1, rest = found.end2.take(state), found.end1.take(state), found.rest.take(state)
+    at = found.row[:n] + ids
+    hit2, hit1 = entry2 >> 2 == ids, entry1 >> 2 == ids
+    begins = np.where(hit2, 0, np.where(hit1, end2, end1 + rest * found.begin.take(at)))
+    return begins, np.where(hit2, end2, np.where(hit1, end1 - end2, rest * found.width.take(at)))
+
+
+def decode_groups(groups: list[tuple[Model, list[bytes], list[int]]]) -> list[list[np.ndarray]]:
+    """The blocks of each group again, from its model, its blocks' codes and numbers of ids."""
+    models = [m for m, _, _ in groups]
+    codes, sizes = [c for _, own, _ in groups for c in own], np.array([n for *_, own in groups for n in own], np.int64)
+    of = np.repeat(np.arange(len(groups)), [len(own) for _, own, _ in groups])
+    order, longest, live = lanes_of(sizes)
+    lanes = len(codes)
     parts = [np.frombuffer(codes[n], "<u2") for n in order]
-    words = np.zeros((lanes, max([len(p) for p in parts], default=0) + LAST + 2), np.uint64)
+    words = np.zeros((lanes, max([len(p) for p in parts], default=0) + LAST + 2), np.uint16)
     for lane, part in enumerate(parts):
         words[lane, :len(part)] = part
-    live = np.searchsorted(-sizes[order], -np.arange(longest), side="left")
-    model = Model(lanes)
-    u = np.uint64
+    flat, row = words.reshape(-1), np.arange(lanes) * words.shape[1]
+    found = Shares(models, of[order])
+    found.weigh()
+    slots = found.slots()
+    lane, u = np.arange(lanes, dtype=np.int32), np.uint64
+    row1, row2 = lane * STRIDE1, lane * STRIDE2
+    order1, order2 = np.zeros(lanes * STRIDE1, np.int32), np.zeros(lanes * STRIDE2, np.int32)
     code, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     for k in range(LAST):
         code = code << u(16) | words[:, k]
-    used = np.full(lanes, LAST, np.int64)
-    ids = np.zeros((longest, lanes), np.uint32)
-    wide, halvings = SHARE + PLACE, int(CLASSES).bit_length()
+    at = row + LAST
+    ids = np.zeros((longest + 2, lanes), np.int32)
     for t in range(longest):
         n = int(live[t])
-        q1, q2, a, b = model.predict(n)
+        at1, at2 = places(row1[:n], row2[:n], ids[t + 1, :n], ids[t, :n])
+        entry1, entry2 = order1.take(at1), order2.take(at2)
+        state = found.row_state[:n] + states(entry1, entry2)
+        end2, end1, rest = found.end2.take(state), found.end1.take(state), found.rest.take(state)
         unit = span[:n] >> u(TOTAL)
-        value = np.minimum(code[:n] // unit, u((1 << TOTAL) - 1)).view(np.int64)
-        case = (value >> wide).astype(np.int32)
-        hit2 = case < a
-        hit1 = (case < a + b) & ~hit2
-        other = (4096 - a - b).astype(np.int64)
-        before = (a + b).astype(np.int64) << wide
-        place = (np.maximum(value - before, 0) // other).astype(np.int32)
-        share, row = place >> PLACE, model.row_share[:n]
-        at, step = row.copy(), 1 << halvings - 1
-        while step:
-            further = at + step
-            inside = further - row < CLASSES
-            at = np.where(inside & (model.shares.take(further, mode="clip") <= share), further, at)
-            step >>= 1
-        c = at - row
-        start, stop = model.shares.take(at), model.shares.take(at + 1)
-        width = stop - start << PLACE - CLASS_BITS.take(c)
-        base = start << PLACE
-        nth = (place - base) // width
-        x = np.where(hit2, q2, np.where(hit1, q1, CLASS_FIRST.take(c) + nth))
-        begin = before + other * (base + nth * width)
-        width = other * width
-        a, b = a.astype(np.int64) << wide, b.astype(np.int64) << wide
-        begin = np.where(hit2, 0, np.where(hit1, a, begin)).view(np.uint64)
-        width = np.where(hit2, a, np.where(hit1, b, width)).view(np.uint64)
+        value = np.minimum(code[:n] // unit, u((1 << TOTAL) - 1))
+        hit2, other = value < end2, value >= end1
+        place = (value - end1) * other // rest
+        x = slots.take(found.row_slot[:n] + (place >> found.more[:n]).view(np.int64))
+        share = found.row[:n] + x
+        begin = np.where(other, end1 + rest * found.begin.take(share), np.where(hit2, 0, end2))
+        width = np.where(other, rest * found.width.take(share), np.where(hit2, end2, end1 - end2))
+        x = np.where(other, x, np.where(hit2, entry2, entry1) >> 2)
         code[:n] -= unit * begin
-        span[:n] = unit * width
+        np.multiply(unit, width, out=span[:n])
         which = np.flatnonzero(span[:n] < u(1 << 48))
         while len(which):
-            code[which] = code[which] << u(16) | words[which, used[which]]
+            code[which] = code[which] << u(16) | flat[at[which]]
             span[which] <<= u(16)
-            used[which] += 1
+            at[which] += 1
             which = which[span[which] < u(1 << 48)]
-        ids[t, :n] = x
-        model.update(n, x, hit2, hit1, CLASS_OF.take(x))
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes
+        ids[t + 2, :n] = x
+        sure = x << 2 | 3
+        learn(order1, at1, entry1, sure - 2, sure)
+        learn(order2, at2, entry2, sure - 2, sure)
+    blocks: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes
     for lane, n in enumerate(order):
-        out[n] = ids[:sizes[n], lane].copy()
-    return out
+        if sizes[n]:
+            blocks[n] = models[of[n]].ids[ids[2:sizes[n] + 2, lane]]
+    ends = np.cumsum([0, *[len(own) for _, own, _ in groups]])
+    return [blocks[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def encode(blocks: list[np.ndarray]) -> list[bytes]:
+    """Each block's code behind a model of its own. Blocks hold up to any number of ids; equally long ones cost least."""
+    models, codes = encode_groups([[b] for b in blocks])
+    return [model.packed() + own for model, (own,) in zip(models, codes)]
+
+
+def decode(codes: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    """The blocks again, from their codes and numbers of ids."""
+    groups = []
+    for code, size in zip(codes, sizes):
+        model, end = Model.unpacked(code)
+        groups.append((model, [code[end:]], [size]))
+    return [block for (block,) in decode_groups(groups)]

@@ -1,8 +1,9 @@
 """Token-id files: documents' ids in ascending id order, coded by the context-mixing range coder.
 
 A segment is self-contained: a header, the documents it holds whole (id and number of ids), a table
-of its blocks (number of ids, bytes, CRC-32 of the code) and the blocks' codes. Blocks restart the
-coder, so any block can be read, checked and repaired alone. Spark writes the segments as rows of a
+of its blocks (number of ids, bytes, CRC-32 of the code), the segment's model (the shares of its ids
+and the mixture's weights) and the blocks' codes. Blocks restart the coder, so any block can be read,
+checked and repaired with its segment's model alone. Spark writes the segments as rows of a
 table, which gives them its commit protocol and any file system it knows; ``file`` and ``segment``
 order them.
 """
@@ -27,8 +28,8 @@ from .common import bounded_batches, text_or_empty
 from .rangecoder import BLOCK
 from .tokens import piece_ids
 
-MAGIC = b"TMIDS\x01"
-HEADER = "<6sIII"
+MAGIC = b"TMIDS\x02"
+HEADER = "<6sIIII"
 #: A segment is closed at so many blocks; a longer document has a longer segment of its own.
 SEGMENT_BLOCKS = 64
 #: Blocks that a task codes together.
@@ -48,39 +49,40 @@ def pack_segments(groups: list[list[tuple[int | None, np.ndarray]]]) -> list[byt
     """A segment out of each group of (document id, ids); all their blocks are coded in one run."""
     streams = [np.concatenate([ids for _, ids in g]) for g in groups]
     cuts = [[s[i:i + BLOCK] for i in range(0, len(s), BLOCK)] for s in streams]
-    codes = iter(rangecoder.encode([b for blocks in cuts for b in blocks]))
+    models, codes = rangecoder.encode_groups(cuts)
     segments = []
-    for group, blocks in zip(groups, cuts):
+    for group, blocks, model, coded in zip(groups, cuts, models, codes):
         docs = b"".join(struct.pack("<?qI", d is not None, d or 0, len(ids)) for d, ids in group)
-        coded = [next(codes) for _ in blocks]
         table = b"".join(struct.pack("<III", len(b), len(c), zlib.crc32(c)) for b, c in zip(blocks, coded))
-        head = struct.pack(HEADER, MAGIC, len(group), len(blocks), zlib.crc32(docs + table))
-        segments.append(b"".join([head, docs, table, *coded]))
+        index = docs + table + model.packed()
+        head = struct.pack(HEADER, MAGIC, len(group), len(blocks), len(index), zlib.crc32(index))
+        segments.append(b"".join([head, index, *coded]))
     return segments
 
 
 def unpack_segments(payloads: list[bytes]) -> list[list[tuple[int | None, np.ndarray]]]:
     """The groups again. Raises ValueError where a segment is not one or a checksum differs."""
-    heads, codes, sizes = [], [], []
+    heads, coded = [], []
     for payload in payloads:
-        magic, n_docs, n_blocks, check = struct.unpack_from(HEADER, payload)
+        magic, n_docs, n_blocks, length, check = struct.unpack_from(HEADER, payload)
         at = struct.calcsize(HEADER)
-        middle, end = at + 13 * n_docs, at + 13 * n_docs + 12 * n_blocks
+        middle, models, end = at + 13 * n_docs, at + 13 * n_docs + 12 * n_blocks, at + length
         if magic != MAGIC or zlib.crc32(payload[at:end]) != check:
             raise ValueError("not a token segment, or its index is damaged")
-        docs = list(struct.iter_unpack("<?qI", payload[at:middle]))
-        first = len(codes)
-        for n, (size, length, crc) in enumerate(struct.iter_unpack("<III", payload[middle:end])):
+        heads.append(list(struct.iter_unpack("<?qI", payload[at:middle])))
+        model, _ = rangecoder.Model.unpacked(payload[models:end])
+        codes, sizes = [], []
+        for n, (size, length, crc) in enumerate(struct.iter_unpack("<III", payload[middle:models])):
             code = payload[end:end + length]
             if zlib.crc32(code) != crc:
                 raise ValueError(f"block {n} of a token segment is damaged")
             codes.append(code)
             sizes.append(size)
             end += length
-        heads.append((docs, first, len(codes)))
-    blocks, groups = rangecoder.decode(codes, sizes), []
-    for docs, first, last in heads:
-        stream = np.concatenate(blocks[first:last]) if last > first else np.zeros(0, np.uint32)
+        coded.append((model, codes, sizes))
+    groups = []
+    for docs, blocks in zip(heads, rangecoder.decode_groups(coded)):
+        stream = np.concatenate(blocks) if blocks else np.zeros(0, np.uint32)
         ends = np.cumsum([n for _, _, n in docs])
         groups.append([(d if known else None, stream[e - n:e]) for (known, d, n), e in zip(docs, ends)])
     return groups
@@ -90,7 +92,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
     """Writes the ids of all documents, each ended by ``end_id``, in ascending order of ``doc_id``.
 
     Reads ``doc_id`` and ``text`` only. NULL text counts as empty and gives the end id alone; NULL
-    ids come first; repeated ids follow each other by their texts' checksums.
+    ids come first; repeated ids follow each other by their texts' checksums. Ids from
+    ``rangecoder.IDS`` on are refused.
     """
     schema = to_arrow_schema(SEGMENT)
     end = np.array([end_id], "<u4")

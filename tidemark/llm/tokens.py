@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .common import per_process
-from .pieces import cut, stems
+from .pieces import cut, ragged, stems, uncut
 
 #: Pieces remembered by a process; beyond it those are forgotten that no later batch had again, or all if too few
 #: are. Longer pieces are not remembered.
@@ -35,12 +35,6 @@ BLANK = "\u0120"
 PLAIN = "^[a-zà-öø-ÿ]+$"
 
 
-def ragged(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The slices ``flat[starts[i]:starts[i] + counts[i]]`` in a row."""
-    ends = np.cumsum(counts)
-    return flat[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
-
-
 class Remembered:
     """``encode(texts)``: the ids of all texts in a row and where each text's begin and end, put together from the
     remembered ids of pieces. ``cut`` says how pieces are cut, ``_add`` encodes those that are new."""
@@ -77,7 +71,7 @@ class Remembered:
 
     def numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The numbers of the distinct pieces, which of them all texts have in a row, and where each text's begin and end."""
-        pieces = cut(texts, True) if self.cut == "lead" else stems(texts)
+        pieces = {"lead": lambda: cut(texts, True), "drop": lambda: stems(texts), "none": lambda: uncut(texts)}[self.cut]()
         if len(self.memory) > REMEMBERED or len(self.flat) > 8 * REMEMBERED:
             self._thin()
         numbers = np.fromiter(map(self.memory.get, pieces.words, repeat(-1)), np.int64, len(pieces.words))
@@ -135,7 +129,7 @@ class PieceIds(Remembered):
             return "none"
         before, normalizer = spec["pre_tokenizer"], spec["normalizer"]
         if before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and normalizer is None:
-            return "lead"
+            return "lead" if all("<" in t["content"] for t in spec["added_tokens"]) else "none"
         parts = before.get("pretokenizers", [])
         steps = [n["type"] for n in (normalizer or {}).get("normalizers", [])]
         if (parts and parts[0]["type"] == "Split" and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
@@ -188,12 +182,6 @@ class PieceIds(Remembered):
         numbers[np.concatenate(each)] = self._store(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
         return numbers
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self.cut == "none":
-            ids, sizes = self._alone(texts.to_pylist())
-            return ids, np.concatenate([[0], np.cumsum(sizes)])
-        return super().encode(texts)
-
 
 def piece_ids(path: str) -> PieceIds:
     """The encoder of a tokenizer file, one per process."""
