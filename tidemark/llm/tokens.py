@@ -26,7 +26,7 @@ from .pieces import cut, ragged, stems, uncut
 
 #: Pieces remembered by a process; beyond it those are forgotten that no later batch had again, or all if too few
 #: are. Longer pieces are not remembered.
-REMEMBERED, LONG_PIECE = 300_000, 64
+REMEMBERED, LONG_PIECE = 500_000, 64
 #: Short pieces in one text for the library, and what may stand between them.
 TOGETHER, MARKS = 512, "|=;"
 #: The byte-level letter for a blank.
