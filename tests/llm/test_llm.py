@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import ann, bpe, copies, licenses, lmscore, packing, quality, rangecoder, sharding, simhash, tokenio, tokens, toxicity
+from tidemark.llm import ann, bpe, copies, graphs, licenses, lmscore, packing, quality, rangecoder, sharding, simhash, tokenio, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -481,6 +481,34 @@ def test_near_copies_of_a_large_group_take_few_pairs(spark, monkeypatch):
     assert sum(pairs) < 20 * len(texts)
 
 
+def test_near_copies_stage_compares_what_little_is_apart_at_once(spark, monkeypatch):
+    """Windows that slide over one text: neighbours share buckets and all their shingles, but are no near copies."""
+    words = [f"w{x}" for x in np.random.default_rng(37).integers(0, 10**6, 1100)]
+    texts = [" ".join(words[at:at + 200]) for at in range(0, 900, 30)]
+    texts += [t.replace(" ", " x ", 1) for t in texts[::4]]
+    tables, write = [], copies.written
+    monkeypatch.setattr(copies, "written", lambda df, purpose, *a: tables.append(purpose) or write(df, purpose, *a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in copies.near_copies(docs).collect()}
+    assert found == dict(enumerate(plain_near_copies(texts))) and len(set(found.values())) == 30
+    assert tables.count("copies-linked") <= copies.PRUNED + 1
+
+
+def test_components_are_written_once_more_only_until_they_are_stars(spark, monkeypatch):
+    tables, write = [], graphs.written
+    monkeypatch.setattr(graphs, "written", lambda df, purpose: tables.append(purpose) or write(df, purpose))
+
+    def found(edges):
+        tables.clear()
+        rows = graphs.components(spark.createDataFrame(edges, "a long, b long"), "stars").collect()
+        assert len(rows) == len({r.node for r in rows})
+        return {r.node: r.root for r in rows}
+
+    assert found([(1, 2), (3, 1), (1, 3), (7, 8), (5, 5)]) == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7} and len(tables) == 1
+    assert found([(n, n + 1) for n in range(40)] + [(60, 50), (60, 55)]) == dict.fromkeys(range(41), 0) | {50: 50, 55: 50, 60: 50}
+    assert found([]) == {} and len(tables) == 1
+
+
 def test_word_models_equal_plain_counts_and_tell_wordings_apart(spark, odd, empty, monkeypatch):
     monkeypatch.setattr(lmscore, "RANGE", 4)  # many hash ranges; three partitions make three chunks
     texts = [(1, "we sell the red house"), (2, "the house we sell, red"), (3, "house red the sell we"), (4, None), (None, "we sell boats")]

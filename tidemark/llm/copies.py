@@ -12,7 +12,8 @@ members, whatever its size. After ``PRUNED`` rounds the shingles are counted tha
 those still in question. From then on the classes go that can have no near copy, and pairs are left out that
 cannot be similar: sets of x and y shingles, u and v of them in no other set, have min(x - u, y - v) in common
 at most. These bounds are exact. Leaders are then the classes with the smallest share of shingles of their own,
-which are nearest to the middle of their group. What is still apart after ``ROUNDS`` rounds is compared with the
+which are nearest to the middle of their group. What is still apart after ``ROUNDS`` rounds, or once all its pairs
+are no more than one more round would compare, is compared with the
 sets that hold one of its rare shingles (of ``FEW`` sets at most, so these pairs grow with the shingles), and
 with all other members that the same bound leaves when the rare shingles count as not in common.
 """
@@ -108,6 +109,13 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(several, "key")
 
 
+def _left(members: DataFrame) -> tuple[int, int]:
+    """How many members there are, and how many pairs of one bucket and two components at most."""
+    held = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    apart = F.col("n").cast("double") * (F.col("n") - F.col("most"))
+    return held.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(apart), F.lit(0.0))).first()
+
+
 def _rare(members: DataFrame, sets: DataFrame, few: int) -> DataFrame:
     """``class, hash, n`` of the members' shingles that ``n``, at most ``few``, of the members' sets hold."""
     needed = sets.join(members.select("class").distinct(), "class", "left_semi")
@@ -153,15 +161,17 @@ def joined(buckets: DataFrame, sets: DataFrame) -> DataFrame:
         "key", "class", F.col("class").alias("root"), "size", F.lit(0).cast("long").alias("own"), rank, F.lit(False).alias("led"))
     members, links = written(members, "copies-members"), None
     for n in range(ROUNDS + 1):
-        members = _mixed(members)
-        if n in (PRUNED, ROUNDS):
-            members = written(members, "copies-mixed")
-            rare = _rare(members, sets, 1 if n < ROUNDS else FEW)
-            members = _mixed(_possible(members, rare))
-        members = written(members, "copies-mixed")
-        if members.isEmpty():
+        members = written(_mixed(members), "copies-mixed")
+        count, pairs = _left(members)
+        if not count:
             break
-        if n < ROUNDS:
+        last = n == ROUNDS or n >= PRUNED and pairs <= LEADERS * count
+        if last or n == PRUNED:
+            rare = _rare(members, sets, FEW if last else 1)
+            members = written(_mixed(_possible(members, rare)), "copies-mixed")
+            if members.isEmpty():
+                break
+        if not last:
             slot = F.pmod(F.xxhash64("class"), F.lit(LEADERS))
             leads = members.filter("NOT led").groupBy("key", slot.alias("slot")).agg(F.max("rank").alias("rank"))
             leads = leads.select("key", F.col("rank.class").alias("leader"))
@@ -174,7 +184,7 @@ def joined(buckets: DataFrame, sets: DataFrame) -> DataFrame:
         common = F.least(F.col("size") - F.col("own"), F.col("lead_size") - F.col("lead_own"))
         pairs = members.join(heads, "key").filter((F.col("root") != F.col("lead_root")) & _enough(common, F.col("size") + F.col("lead_size")))
         pairs = pairs.select("class", "leader", "root", "lead_root")
-        if n == ROUNDS:
+        if last:
             pairs = pairs.union(_sharing(leads, members, rare))
         pairs = pairs.select(
             F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b"),
@@ -182,6 +192,8 @@ def joined(buckets: DataFrame, sets: DataFrame) -> DataFrame:
         found = similar(pairs.select("a", "b"), sets).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         found = written(found.distinct(), "copies-linked")
         links = found if links is None else links.union(found)
+        if last:
+            break
         led = heads.select("key", F.col("leader").alias("class"), F.lit(True).alias("_led"))
         members = members.join(led, ["key", "class"], "left").withColumn("led", F.col("led") | F.col("_led").isNotNull()).drop("_led")
         members = _merged(members, found)

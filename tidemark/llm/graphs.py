@@ -22,21 +22,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one edge and is no other edge's smaller end: all nodes then know their root."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("larger")).union(edges.select("b", F.lit(0)))
+    return ends.groupBy("node").agg(F.sum("larger").alias("larger"), F.count("*").alias("n")).filter("larger > 0 AND n > 1").isEmpty()
+
+
 def components(edges: DataFrame, purpose: str) -> DataFrame:
     """``node, root`` for every node of the edges ``a, b`` (longs, either way round, repeats allowed);
     the root is the component's smallest node and has a row too. No edges give no rows."""
-    def mark(table: DataFrame):
-        return table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
     stars = written(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), purpose,
     )
-    seen = mark(stars)
-    while seen[0]:
+    while not _are_stars(stars):
         stars = written(_small_star(_large_star(stars)), purpose)
-        if (now := mark(stars)) == seen:
-            break
-        seen = now
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
