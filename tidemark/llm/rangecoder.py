@@ -83,16 +83,15 @@ class Shares:
         self.row_slot = (np.cumsum(1 << bits) - (1 << bits))[of]
         self.row_state = of * STATES
         begins = [np.cumsum(m.shares) - m.shares << SHARE - m.bits for m in models]
-        self.begin = np.concatenate([*begins, [0]]).astype(np.uint64)
-        self.width = np.concatenate([*[m.shares << SHARE - m.bits for m in models], [0]]).astype(np.uint64)
+        widths = [m.shares << SHARE - m.bits for m in models]
+        self.begin, self.width = (np.concatenate([*x, [0]]).astype(np.uint64) for x in (begins, widths))
         self.models = models
 
     def weigh(self) -> None:
-        """Ends of the first two cases by state, and the part that is left to order 0."""
+        """Ends of the first two cases by state, and the part that is left to order 0, in rows."""
         weights = np.concatenate([*[m.weights for m in self.models], np.zeros((1, 2), np.int64)])
         ends = np.cumsum(weights, axis=1)
-        self.end2, self.end1 = (ends << SHARE).astype(np.uint64).T.copy()
-        self.rest = ((1 << MIX) - ends[:, 1]).astype(np.uint64)
+        self.ends = np.stack([ends[:, 0] << SHARE, ends[:, 1] << SHARE, (1 << MIX) - ends[:, 1]]).astype(np.uint64)
 
     def slots(self) -> np.ndarray:
         """The number of the id at every share of every model."""
@@ -100,14 +99,49 @@ class Shares:
                                  for m in self.models], np.zeros(1, np.int32)])
 
 
-def places(row1: np.ndarray, row2: np.ndarray, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where order 1 and order 2 remember what came after the last id and the one before it."""
-    return row1 + (last * 40503 >> 3 & ORDER1 - 1), row2 + (before * 30011 + last * 40503 >> 5 & ORDER2 - 1)
+class Tables:
+    """What order 1 and order 2 of many lanes remember, as two rows of one array: both are read and stepped in one call."""
+
+    SHIFT, MASK = np.array([[3], [5]]), np.array([[ORDER1 - 1], [ORDER2 - 1]])
+
+    def __init__(self, lanes: int):
+        lane = np.arange(lanes)
+        self.row = np.stack([lane * STRIDE1, lanes * STRIDE1 + lane * STRIDE2])
+        self.entries = np.zeros(lanes * (STRIDE1 + STRIDE2), np.int32)
+
+    def places(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Where both remember what came after the last id and the one before it, order 1 first; the ids may be rows of positions."""
+        n = last.shape[-1]
+        at = np.empty((*last.shape[:-1], 2, n), np.int64)
+        one, two = at[..., 0, :], at[..., 1, :]
+        np.multiply(last, 40503, out=one, dtype=np.int32)
+        np.multiply(before, 30011, out=two, dtype=np.int32)
+        two += one
+        at >>= self.SHIFT
+        at &= self.MASK
+        at += self.row[:, :n]
+        return at
+
+    def learn(self, at: np.ndarray, entry: np.ndarray, sure: np.ndarray) -> None:
+        """A right prediction gains confidence up to ``sure``, a wrong one loses it or gives way to a fresh one."""
+        same = entry ^ sure
+        same -= 4
+        same >>= 31
+        held = -(entry & 3)
+        held >>= 31
+        fresh = sure - 2
+        wrong = entry - 1
+        right = np.minimum(entry + 1, sure)
+        for mask, yes, no in ((held, wrong, fresh), (same, right, wrong)):  # chosen(), in place
+            yes ^= no
+            yes &= mask
+            yes ^= no
+        self.entries[at] = right
 
 
 def states(entry1: np.ndarray, entry2: np.ndarray) -> np.ndarray:
     """The confidences of both predictions, and whether they agree."""
-    return (entry2 & 3) << 3 | (entry1 & 3) << 1 | (entry1 >> 2 == entry2 >> 2)
+    return (entry2 & 3) << 3 | (entry1 & 3) << 1 | (entry1 ^ entry2 < 4)
 
 
 def chosen(mask: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
@@ -115,12 +149,6 @@ def chosen(mask: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
     return no ^ (yes ^ no) & mask
 
 
-def learn(table: np.ndarray, at: np.ndarray, entry: np.ndarray, fresh: np.ndarray, sure: np.ndarray) -> None:
-    """A right prediction gains confidence up to ``sure``, a wrong one loses it or gives way to the ``fresh`` one."""
-    wrong = chosen(-(entry & 3) >> 31, entry - 1, fresh)
-    table[at] = chosen((entry ^ sure) - 4 >> 31, np.minimum(entry + 1, sure), wrong)
-
-
 def lanes_of(sizes: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
     """The order of lanes by falling size, the longest, and how many are live at each position."""
     order = np.argsort(-sizes, kind="stable")
@@ -147,16 +175,17 @@ def encode_groups(groups: list[list[np.ndarray]]) -> tuple[list[Model], list[lis
     count_weights(found, ids, entries, sizes[order])
     found.weigh()
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    words, used = np.zeros((lanes, longest * PER_TOKEN + LAST + 1), np.uint32), np.zeros(lanes, np.int64)
+    words = np.zeros((lanes, longest * PER_TOKEN + LAST + 1), np.uint32)
     flat, row = words.reshape(-1), np.arange(lanes) * words.shape[1]
-    u = np.uint64
+    place, u = row.copy(), np.uint64
 
-    def emit(which: np.ndarray) -> None:
-        was = low[which]
-        flat[row[which] + used[which]] = was >> u(48)
-        low[which] = was << u(16)
-        span[which] <<= u(16)
-        used[which] += 1
+    def emit(n: int, full: np.ndarray) -> None:
+        """The next word of all lanes is written; those that are ``full`` go on behind it."""
+        flat[place[:n]] = low[:n] >> u(48)
+        shift = full.astype(np.uint64) << u(4)
+        low[:n] <<= shift
+        span[:n] <<= shift
+        place[:n] += full
 
     for t in range(longest):
         n = int(live[t])
@@ -167,14 +196,13 @@ def encode_groups(groups: list[list[np.ndarray]]) -> tuple[list[Model], list[lis
         low[:n] += more
         over = np.flatnonzero(low[:n] < more)
         if len(over):
-            flat[row[over] + used[over] - 1] += 1
+            flat[place[over] - 1] += 1
         np.multiply(unit, widths[t % TOGETHER, :n], out=span[:n])
-        which = np.flatnonzero(span[:n] < u(1 << 48))
-        while len(which):
-            emit(which)
-            which = which[span[which] < u(1 << 48)]
+        while (full := span[:n] < u(1 << 48)).any():
+            emit(n, full)
     for _ in range(LAST):
-        emit(np.arange(lanes))
+        emit(lanes, np.ones(lanes, bool))
+    used = place - row
     words = words[:, :int(used.max(initial=0))]
     while (words > 0xFFFF).any():
         carry = words >> 16
@@ -191,23 +219,18 @@ def encode_groups(groups: list[list[np.ndarray]]) -> tuple[list[Model], list[lis
 def predicted(ids: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What order 1 and order 2 hold before each position; the first two rows of ``ids`` stand before the blocks."""
     longest, lanes = len(ids) - 2, ids.shape[1]
-    lane = np.arange(lanes)
-    row1, row2 = lane * STRIDE1, lane * STRIDE2
-    order1, order2 = np.zeros(lanes * STRIDE1, np.int32), np.zeros(lanes * STRIDE2, np.int32)
-    entries1, entries2 = np.zeros((longest, lanes), np.int32), np.zeros((longest, lanes), np.int32)
+    tables, entries = Tables(lanes), np.zeros((longest, 2, lanes), np.int32)
     for t in range(longest):
         n, k = int(live[t]), t % TOGETHER
         if not k:
             stop = t + TOGETHER
-            at1, at2 = places(row1[:n], row2[:n], ids[t + 1:stop + 1, :n], ids[t:stop, :n])
+            at = tables.places(ids[t + 1:stop + 1, :n], ids[t:stop, :n])
             sure = ids[t + 2:stop + 2, :n] << 2 | 3
-            fresh = sure - 2
-        at, other = at1[k, :n], at2[k, :n]
-        entry1, entry2 = entries1[t, :n], entries2[t, :n]
-        entry1[:], entry2[:] = order1.take(at), order2.take(other)
-        learn(order1, at, entry1, fresh[k, :n], sure[k, :n])
-        learn(order2, other, entry2, fresh[k, :n], sure[k, :n])
-    return entries1, entries2
+        place = at[k, :, :n]
+        entry = tables.entries.take(place)
+        entries[t, :, :n] = entry
+        tables.learn(place, entry, sure[k, :n])
+    return entries[:, 0], entries[:, 1]
 
 
 def count_weights(found: Shares, ids: np.ndarray, entries: tuple[np.ndarray, np.ndarray], sizes: np.ndarray) -> None:
@@ -234,7 +257,7 @@ def intervals(found: Shares, ids: np.ndarray, entry1: np.ndarray, entry2: np.nda
     """The begin and width of each id's interval of ``1 << TOTAL``."""
     n, s = ids.shape[1], np.uint64(SHARE)
     state = found.row_state[:n] + states(entry1, entry2)
-    end2, end1, rest = found.end2.take(state), found.end1.take(state), found.rest.take(state)
+    end2, end1, rest = found.ends.take(state, axis=1)
     at = found.row[:n] + ids
     hit2, hit1 = entry2 >> 2 == ids, entry1 >> 2 == ids
     begins = np.where(hit2, 0, np.where(hit1, end2, end1 + rest * found.begin.take(at)))
@@ -256,9 +279,7 @@ def decode_groups(groups: list[tuple[Model, list[bytes], list[int]]]) -> list[li
     found = Shares(models, of[order])
     found.weigh()
     slots = found.slots()
-    lane, u = np.arange(lanes), np.uint64
-    row1, row2 = lane * STRIDE1, lane * STRIDE2
-    order1, order2 = np.zeros(lanes * STRIDE1, np.int32), np.zeros(lanes * STRIDE2, np.int32)
+    tables, u = Tables(lanes), np.uint64
     code, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     for k in range(LAST):
         code = code << u(16) | words[:, k]
@@ -266,32 +287,37 @@ def decode_groups(groups: list[tuple[Model, list[bytes], list[int]]]) -> list[li
     ids = np.zeros((longest + 2, lanes), np.int32)
     for t in range(longest):
         n = int(live[t])
-        at1, at2 = places(row1[:n], row2[:n], ids[t + 1, :n], ids[t, :n])
-        entry1, entry2 = order1.take(at1), order2.take(at2)
-        state = found.row_state[:n] + states(entry1, entry2)
-        end2, end1, rest = found.end2.take(state), found.end1.take(state), found.rest.take(state)
+        places = tables.places(ids[t + 1, :n], ids[t, :n])
+        entries = tables.entries.take(places)
+        entry1, entry2 = entries
+        end2, end1, rest = found.ends.take(found.row_state[:n] + states(entry1, entry2), axis=1)
         unit = span[:n] >> u(TOTAL)
         value = np.minimum(code[:n] // unit, u((1 << TOTAL) - 1))
-        hit2, other = -(value < end2).astype(np.int64), -(value >= end1).astype(np.int64)
-        hit2_bits, other_bits = hit2.view(np.uint64), other.view(np.uint64)
-        place = (value - end1 & other_bits).astype(np.uint32) // rest.astype(np.uint32)
-        x = slots.take(found.row_slot[:n] + (place >> found.more[:n]))
+        behind = value - end1
+        hit2, listed = (value - end2).view(np.int64) >> 63, behind.view(np.int64) >> 63
+        hit2_bits, listed_bits = hit2.view(np.uint64), listed.view(np.uint64)
+        behind &= ~listed_bits
+        place = behind.astype(np.uint32) // rest.astype(np.uint32)
+        place >>= found.more[:n]
+        x = slots.take(found.row_slot[:n] + place)
         share = found.row[:n] + x
-        begin = chosen(other_bits, end1 + rest * found.begin.take(share), end2 & ~hit2_bits)
-        width = chosen(other_bits, rest * found.width.take(share), chosen(hit2_bits, end2, end1 - end2))
-        x = chosen(other.astype(np.int32), x, chosen(hit2.astype(np.int32), entry2, entry1) >> 2)
+        begin, width = found.begin.take(share), found.width.take(share)
+        begin *= rest
+        begin += end1
+        width *= rest
+        begin = chosen(listed_bits, end2 & ~hit2_bits, begin)
+        width = chosen(listed_bits, chosen(hit2_bits, end2, end1 - end2), width)
+        x = chosen(listed.astype(np.int32), chosen(hit2.astype(np.int32), entry2, entry1) >> 2, x)
         code[:n] -= unit * begin
         np.multiply(unit, width, out=span[:n])
-        which = np.flatnonzero(span[:n] < u(1 << 48))
-        while len(which):
-            code[which] = code[which] << u(16) | flat[at[which]]
-            span[which] <<= u(16)
-            at[which] += 1
-            which = which[span[which] < u(1 << 48)]
+        while (short := span[:n] < u(1 << 48)).any():
+            shift = short.astype(np.uint64) << u(4)
+            code[:n] <<= shift
+            code[:n] |= flat.take(at[:n]) * short
+            span[:n] <<= shift
+            at[:n] += short
         ids[t + 2, :n] = x
-        sure = x << 2 | 3
-        learn(order1, at1, entry1, sure - 2, sure)
-        learn(order2, at2, entry2, sure - 2, sure)
+        tables.learn(places, entries, x << 2 | 3)
     blocks: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes
     for lane, n in enumerate(order):
         if sizes[n]:
