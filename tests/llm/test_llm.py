@@ -328,6 +328,30 @@ def test_range_coder_round_trip():
     assert rangecoder.encode([]) == [] and rangecoder.decode([], []) == []
 
 
+def test_both_orders_are_stepped_together_as_a_plain_loop_does():
+    rng, sizes = np.random.default_rng(41), np.array([300, 300, 120, 7])
+    ids = np.zeros((302, 4), np.int32)
+    for lane, size in enumerate(sizes):
+        ids[2:size + 2, lane] = rng.choice([1, 2, 3, 70_000, 200_000], size, p=[0.5, 0.3, 0.1, 0.05, 0.05])
+    live = (np.arange(300)[:, None] < sizes).sum(1)
+    found = rangecoder.predicted(ids, live)
+    for lane, size in enumerate(sizes):
+        kept = {}
+        for t in range(size):
+            before, last, x = (int(ids[t + k, lane]) for k in range(3))
+            keys = (0, (last * 40503 >> 3) % rangecoder.ORDER1), (1, (before * 30011 + last * 40503 >> 5) % rangecoder.ORDER2)
+            for key, entries in zip(keys, found):
+                said, sure = kept.get(key, (0, 0))
+                assert entries[t, lane] == said << 2 | sure
+                kept[key] = (said, min(sure + 1, 3)) if said == x else (said, sure - 1) if sure else (x, 1)
+    for size in (1, 126, 129, 4100):  # whole blocks that end beside the positions worked out together
+        block = np.arange(size) % 50
+        assert (rangecoder.decode(rangecoder.encode([block]), [size])[0] == block).all()
+    tables = rangecoder.Tables(2)
+    at = tables.places(np.array([5, 6], np.int32), np.array([0, 9], np.int32))
+    assert at.shape == (2, 2) and len(np.unique(at)) == 4
+
+
 def test_mixed_ids_take_fewer_bits_than_order_0_and_a_general_compressor(documents):
     texts = pa.array([r.text or "" for r in documents.select("text").collect()])
     ids = tokens.piece_ids(BYTES).encode(texts)[0][:48 * rangecoder.BLOCK]

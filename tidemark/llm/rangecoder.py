@@ -180,7 +180,7 @@ def encode_groups(groups: list[list[np.ndarray]]) -> tuple[list[Model], list[lis
     place, u = row.copy(), np.uint64
 
     def emit(n: int, full: np.ndarray) -> None:
-        """The next word of all lanes is written; those that are ``full`` go on behind it."""
+        """The next word of all lanes is written; those that are ``full`` go on behind it, others write it again later."""
         flat[place[:n]] = low[:n] >> u(48)
         shift = full.astype(np.uint64) << u(4)
         low[:n] <<= shift
@@ -198,8 +198,14 @@ def encode_groups(groups: list[list[np.ndarray]]) -> tuple[list[Model], list[lis
         if len(over):
             flat[place[over] - 1] += 1
         np.multiply(unit, widths[t % TOGETHER, :n], out=span[:n])
-        while (full := span[:n] < u(1 << 48)).any():
-            emit(n, full)
+        emit(n, span[:n] < u(1 << 48))
+        which = np.flatnonzero(span[:n] < u(1 << 48))
+        while len(which):  # a few lanes have another word
+            flat[place[which]] = low[which] >> u(48)
+            low[which] <<= u(16)
+            span[which] <<= u(16)
+            place[which] += 1
+            which = which[span[which] < u(1 << 48)]
     for _ in range(LAST):
         emit(lanes, np.ones(lanes, bool))
     used = place - row
@@ -223,7 +229,7 @@ def predicted(ids: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for t in range(longest):
         n, k = int(live[t]), t % TOGETHER
         if not k:
-            stop = t + TOGETHER
+            stop = min(t + TOGETHER, longest)
             at = tables.places(ids[t + 1:stop + 1, :n], ids[t:stop, :n])
             sure = ids[t + 2:stop + 2, :n] << 2 | 3
         place = at[k, :, :n]
@@ -236,15 +242,18 @@ def predicted(ids: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def count_weights(found: Shares, ids: np.ndarray, entries: tuple[np.ndarray, np.ndarray], sizes: np.ndarray) -> None:
     """Sets the models' weights: how often order 2, or else order 1, was right in each state."""
     cells = len(found.models) * STATES
-    seen, right2, right1 = (np.zeros(cells, np.int64) for _ in range(3))
+    counts = np.zeros(cells * 3, np.int64)
     for t in range(0, len(ids) - 2, TOGETHER):
         entry1, entry2, x = entries[0][t:t + TOGETHER], entries[1][t:t + TOGETHER], ids[t + 2:t + 2 + TOGETHER]
         state = found.row_state + states(entry1, entry2)
-        valid = (np.arange(t, t + len(x))[:, None] < sizes) if sizes[-1] < t + len(x) else np.ones(x.shape, bool)
-        hit2 = (entry2 >> 2 == x) & valid
-        hit1 = (entry1 >> 2 == x) & valid & ~hit2
-        for total, which in ((seen, valid), (right2, hit2), (right1, hit1)):
-            total += np.bincount(state[which], minlength=cells)
+        # By state: neither was right, order 1 was, order 2 was.
+        hit2, hit1 = entry2 >> 2 == x, entry1 >> 2 == x
+        case = state * 3 + (hit2.view(np.int8) * 2 + (hit1 > hit2))
+        if sizes[-1] < t + len(x):
+            case = case[np.arange(t, t + len(x))[:, None] < sizes]
+        counts += np.bincount(case.reshape(-1), minlength=len(counts))
+    right1, right2 = counts[1::3], counts[2::3]
+    seen = counts[::3] + right1 + right2
     weights = ((np.stack([right2, right1], axis=1) * 16 + 1) << MIX) // (seen * 16 + 4)[:, None]
     weights[:, 0] = np.clip(weights[:, 0], 8, (1 << MIX) - 32)
     weights[:, 1] = np.clip(weights[:, 1], 8, (1 << MIX) - 16 - weights[:, 0])
@@ -260,8 +269,13 @@ def intervals(found: Shares, ids: np.ndarray, entry1: np.ndarray, entry2: np.nda
     end2, end1, rest = found.ends.take(state, axis=1)
     at = found.row[:n] + ids
     hit2, hit1 = entry2 >> 2 == ids, entry1 >> 2 == ids
-    begins = np.where(hit2, 0, np.where(hit1, end2, end1 + rest * found.begin.take(at)))
-    return begins, np.where(hit2, end2, np.where(hit1, end1 - end2, rest * found.width.take(at)))
+    begins, widths = found.begin.take(at), found.width.take(at)
+    begins *= rest
+    begins += end1
+    widths *= rest
+    hit2, hit1 = (-h.astype(np.int64).view(np.uint64) for h in (hit2, hit1))
+    begins = chosen(hit2 | hit1, end2 & ~hit2, begins)
+    return begins, chosen(hit2, end2, chosen(hit1, end1 - end2, widths))
 
 
 def decode_groups(groups: list[tuple[Model, list[bytes], list[int]]]) -> list[list[np.ndarray]]:
@@ -310,12 +324,18 @@ def decode_groups(groups: list[tuple[Model, list[bytes], list[int]]]) -> list[li
         x = chosen(listed.astype(np.int32), chosen(hit2.astype(np.int32), entry2, entry1) >> 2, x)
         code[:n] -= unit * begin
         np.multiply(unit, width, out=span[:n])
-        while (short := span[:n] < u(1 << 48)).any():
-            shift = short.astype(np.uint64) << u(4)
-            code[:n] <<= shift
-            code[:n] |= flat.take(at[:n]) * short
-            span[:n] <<= shift
-            at[:n] += short
+        short = span[:n] < u(1 << 48)
+        shift = short.astype(np.uint64) << u(4)
+        code[:n] <<= shift
+        code[:n] |= flat.take(at[:n]) * short
+        span[:n] <<= shift
+        at[:n] += short
+        which = np.flatnonzero(span[:n] < u(1 << 48))
+        while len(which):  # a few lanes need another word
+            code[which] = code[which] << u(16) | flat[at[which]]
+            span[which] <<= u(16)
+            at[which] += 1
+            which = which[span[which] < u(1 << 48)]
         ids[t + 2, :n] = x
         tables.learn(places, entries, x << 2 | 3)
     blocks: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes
