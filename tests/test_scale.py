@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrays import dedupe_array
 from tidemark.functions.text import normalize_space
 from tidemark.functions.urls import absolute_url
-from tidemark.operators import outline
+from tidemark.operators import extract, outline
 from tidemark.plans import ordered_queries, page_queries
 from tidemark.streaming import streams
 
@@ -43,6 +43,54 @@ def test_outline_is_that_of_the_library_parser():
         assert _parts(outline.Outline(html)) == _parts(Library(html))
 
 
+LISTING = """<!DOCTYPE html><html><body class="a"><h1>Casa</h1><!-- <div> --><style>b{}</style><div><h3>Pontos de <b>Interesse</b></h3>
+<div><span class="type">Metrô</span> <SPAN CLASS=name>Estação &amp; 1</SPAN><i class='distance'>1,5 km</i><br/></div>
+<div><b class="type">Parque</b><script>x("</div>")</script></div></div><i class="type"></i>
+<div><h2>Detalhes</h2><ul><li>Varanda<li>Sol &nbsp; bom</ul><p>Fim</p></div></body></html>"""
+
+
+@pytest.fixture
+def no_library(monkeypatch):
+    def fail(self, html):
+        raise AssertionError("read by the library's parser")
+
+    monkeypatch.setattr(outline.Outline, "feed", fail)
+
+
+def test_points_of_plain_pages_are_read_from_lists(no_library):
+    page = outline.flat(LISTING)
+    assert outline.points(page, "pontos de interesse") == [("Metrô", "Estação & 1", "1,5 km", False), ("Parque", None, None, False)]
+
+
+def test_lists_are_those_of_the_outline():
+    pick, read = random.Random(4), 0
+    tags = [*ODD, "<!--", "-->", "</script >", "<style>", "</li>", "</div>", "<div/>", "<BR>", "<b title='a>b'>", "<b title='<!-- -->'>", "&nbsp;", " "]
+    for _ in range(1500):
+        html = pick.choice([PLAIN, LISTING])
+        for _ in range(pick.randrange(1, 4)):
+            at = pick.randrange(len(html))
+            html = html[:at] + pick.choice(tags) + html[at + pick.randrange(3):]
+        page, parts, pieces = outline.flat(html), *_parts(outline.Outline(html))
+        read += outline._skimmed(html) is not None
+        assert page.texts == [p.text for p in pieces] and page.inside == [p.inside for p in pieces]
+        for n, part in enumerate(parts):
+            assert (page.tags[n], page.attributes(n), page.around[n], page.first[n], page.last[n]) == (part.tag, part.attrs, part.around, part.first, part.last)
+            outside = [k for k in range(n + 1, len(parts)) if parts[k].around < n]
+            assert page.until[n] == min(outside, default=len(parts))
+    assert 100 < read < 1400
+
+
+def test_blocks_that_do_not_end_are_looked_for_once():
+    for html in ("<script>" * 50000, "<!--" * 50000, "<style x>" * 50000):
+        assert outline._skimmed(html) is None
+
+
+def test_rows_of_pages_keep_their_keys(spark):
+    pages = spark.createDataFrame([(None, LISTING), (2**60 + 1, LISTING), (3, None), (4, "<p>x")], "page_id bigint, html string")
+    rows = [(r.page_id, r.position, r.name, r.distance_meters) for r in extract.nearby_points(pages.coalesce(1)).collect()]
+    assert rows == [(k, *r) for k in (None, 2**60 + 1) for r in ((1, "Estação & 1", 1500), (2, None, None))]
+
+
 @pytest.mark.parametrize("frame", [
     lambda s, d: page_queries.listing_pages(s, d), lambda s, d: ordered_queries.jobs(s, d).select("job_id")], ids=["pages", "jobs"])
 def test_rows_of_one_row_group_are_dealt_to_all_cores(spark, frame, tmp_path):

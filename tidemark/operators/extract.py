@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import markup
 from ..functions.arrays import dedupe_array, dedupe_urls
@@ -56,22 +58,28 @@ def page_meta(pages: DataFrame, names: list[str] = (), base: str | None = None)
 
 def _over_pages(pages: DataFrame, schema: str, read: Callable[[str], list[tuple]]) -> DataFrame:
     """Rows a parser finds in each page: page_id and the named fields."""
-    fields = [f.split()[0] for f in schema.split(", ")]
+    schema = f"page_id {dict(pages.dtypes)['page_id']}, {schema}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(pid, *row) for pid, html in zip(batch["page_id"], batch["html"]) for row in read(html)]
-            yield pd.DataFrame(rows, columns=["page_id", *fields])
+            at, rows = [], []
+            for n, html in enumerate(batch.column("html").to_pylist()):
+                found = read(html)
+                rows += found
+                at += [n] * len(found)
+            columns = zip(*rows) if rows else [()] * (len(arrow) - 1)
+            found = [pa.array(values, field.type) for values, field in zip(columns, list(arrow)[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").take(pa.array(at, "int64")), *found], schema=arrow)
 
-    key = dict(pages.dtypes)["page_id"]
-    return pages.select("page_id", "html").mapInPandas(run, f"page_id {key}, {schema}")
+    return pages.select("page_id", "html").mapInArrow(run, schema)
 
 
 def visible_text(pages: DataFrame) -> DataFrame:
     """Pieces of shown text in order: not comments, and not what stands directly in a silent element."""
 
     def read(html: str) -> list[tuple]:
-        return list(enumerate(outline.Outline(html).shown(), start=1))
+        return list(enumerate(outline.flat(html).shown(), start=1))
 
     return _over_pages(pages, "position int, text string", read)
 
@@ -193,7 +201,7 @@ def sections(pages: DataFrame, headings: list[str]) -> DataFrame:
     """Text and list items under each heading: paragraphs once each, joined by a blank line."""
 
     def read(html: str) -> list[tuple]:
-        page = outline.Outline(html)
+        page = outline.flat(html)
         return [(h, *found) for h in headings if (found := outline.section(page, h)) is not None]
 
     return _over_pages(pages, "heading string, text string, items array<string>", read)
@@ -264,7 +272,7 @@ def nearby_points(pages: DataFrame, heading: str = "Pontos de interesse") -> Dat
     """Points of interest with their distance as written and in metres."""
 
     def read(html: str) -> list[tuple]:
-        return [(n, *point) for n, point in enumerate(outline.points(outline.Outline(html), heading), start=1)]
+        return [(n, *point) for n, point in enumerate(outline.points(outline.flat(html), heading), start=1)]
 
     rows = _over_pages(pages, "position int, type string, name string, said string, cut boolean", read)
     far = distance_m("said")
