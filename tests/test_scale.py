@@ -62,6 +62,13 @@ def test_points_of_plain_pages_are_read_from_lists(no_library):
     assert outline.points(page, "pontos de interesse") == [("Metrô", "Estação & 1", "1,5 km", False), ("Parque", None, None, False)]
 
 
+def test_sections_of_plain_pages_are_read_from_lists(no_library):
+    page = outline.flat(LISTING)
+    assert outline.section(page, "DETALHES") == ("Fim", ["Varanda", "Sol bom"])
+    assert outline.section(page, "Pontos de interesse")[1] == ["Pontos de", "Interesse", "Metrô", "Estação & 1", "1,5 km", "Parque"]
+    assert outline.section(page, "nada") is None
+
+
 def test_lists_are_those_of_the_outline():
     pick, read = random.Random(4), 0
     tags = [*ODD, "<!--", "-->", "</script >", "<style>", "</li>", "</div>", "<div/>", "<BR>", "<b title='a>b'>", "<b title='<!-- -->'>", "&nbsp;", " "]
