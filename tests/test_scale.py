@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import dedupe_array
+from tidemark.functions.markup import tags_of
 from tidemark.functions.text import normalize_space
-from tidemark.functions.urls import absolute_url
+from tidemark.functions.urls import absolute_url, valid_image_url
 from tidemark.operators import extract, outline
 from tidemark.plans import ordered_queries, page_queries
 from tidemark.streaming import streams
@@ -117,6 +118,32 @@ def test_an_address_is_worked_out_once(spark):
     assert plan.count("reverse(") == 1
 
 
+def test_only_tags_that_can_name_an_address_are_taken(spark):
+    html = """<p class=x><a HREF = '/1'><!-- <a href=/no> --><b href><img alt="src" data-big=/2><a <i src=/3><script src=/no></script><u xhref=/no><br>"""
+    tags = spark.createDataFrame([(html,)], "h string").select(tags_of("h", "href|src|data-[a-z]+")).first()[0]
+    assert tags == ["<a HREF = '/1'>", "<img alt=\"src\" data-big=/2>", "<a <i src=/3>"]
+
+
+def test_plain_addresses_are_what_resolving_gives(spark):
+    given = ["/a/b.jpg", "/a/?utm_source=%zz&&gclid", "/a?", "/a?utm_sourcex=1", "/a?gclid=1&q=2", "/a/../b", "/a/./b?fbclid", "/.a/b", "//h.test/a", "/a#gclid", " /a\n", "/a b",
+             "data:x", "HTTPS://h.test/a b", "https://h.test/a?gclid=1", "é/ü", "/é?gclid=2", "?gclid=3", "", None, "/x" * 50000 + "?gclid=4"]
+    want = ["/a/b.jpg", "/a/", "/a", "/a?utm_sourcex=1", "/a?q=2", "/b", "/a/b", "/.a/b", "https://h.test/a", "/a#gclid", "/a", "/a b",
+            "data:x", "HTTPS://h.test/a b", "https://h.test/a", "/d/é/ü", "/é", "/d/e", None, None, "/x" * 50000]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(given)], "i int, u string").select("i", absolute_url("u", "https://x.test/d/e").alias("url"))
+    assert [r.url for r in sorted(rows.collect())] == [f"https://x.test{u}" if u and u.startswith("/") else u for u in want]
+
+
+def test_pictures_are_told_by_their_path(spark):
+    given = ["/a.JPG", "/a.jpg?x", "/a.webp#x", "//h.jpg", "//h.test/a.png", "https://h.jpg", "https://h.test/a.jpeg", "a.jpg:b", "/a?b.jpg", "/a.jpg/b", "a:b.png", ".jpg", None]
+    rows = spark.createDataFrame([(u,) for u in given], "u string").filter(valid_image_url("u").isNotNull()).collect()
+    assert {r.u for r in rows} == {"/a.JPG", "/a.jpg?x", "/a.webp#x", "//h.test/a.png", "https://h.test/a.jpeg", "a:b.png", ".jpg"}
+
+
+def test_a_picture_may_be_named_by_references(spark):
+    pages = spark.createDataFrame([(1, "<img src='/a&#46;j&#112;g'><img src='/b&amp;.PNG'><img src=/c.gif srcset='/d.png 1x, /e 2x'>")], "page_id int, html string")
+    assert extract.links_and_images(pages, "https://x.test").first().images == ["https://x.test/a.jpg", "https://x.test/b&.PNG"]
+
+
 def test_every_unicode_space_is_one_blank(spark):
     kinds = [c for c in map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
     rows = spark.createDataFrame([(f"a{k}b {k} c{k}",) for k in kinds], "t string")

@@ -20,7 +20,8 @@ _BARE = sorted((n for n in _VALUES if not n.endswith(";")), key=lambda n: (-len(
 _CP1252 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
 
 # Blocks that are not text, each taken whole; a break stands in for them.
-_SILENT = r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|noscript|template)\b.*?</\1\s*>"
+# A single sign at the head, since alternatives are tried at every character.
+_SILENT = r"(?is)<(?:!--.*?-->|!doctype[^>]*>|(script|style|noscript|template)\b.*?</\1\s*>)"
 
 
 def _constant_map(names: list[str]) -> Column:
@@ -129,8 +130,9 @@ def link_href(c, rel: str) -> Column:
     return attribute(first_tag(c, rf"<link\b(?=[^>]*\brel\s*=\s*[\"'][^\"']*\b{rel}\b)[^>]*>"), "href")
 
 
-def tags_of(c) -> Column:
-    """Every opening tag of a fragment, in order."""
-    return F.regexp_extract_all(without_silent_blocks(c), F.lit(r"<[A-Za-z][^>]*>"), F.lit(0))
+def tags_of(c, attributes: str) -> Column:
+    """Every opening tag of a fragment that has one of the attributes, in order."""
+    with_one = rf"<[A-Za-z](?=[^>]*?\s(?i:{attributes})\s*=)[^>]*>"
+    return F.regexp_extract_all(without_silent_blocks(c), F.lit(with_one), F.lit(0))
 
 

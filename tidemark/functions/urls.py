@@ -23,6 +23,13 @@ TRACKING_PARAMETERS = [
     "msclkid",
 ]
 IMAGE_SUFFIX = r"\.(?:jpe?g|png|webp)"
+# A path from the root that needs no resolving, alone or with a query of tracking parameters only.
+_ROOTED = (
+    r"^(?:/[!-~&&[^/?#.]][!-~&&[^/?#]]*+)++/?"
+    rf"(?:\?(?:&|(?:{'|'.join(TRACKING_PARAMETERS)})(?:=[!-~&&[^&#]]*+)?(?=&|\z))*+)?\z"
+)
+# An address whose path, as ``url_path`` reads it, ends like a picture's.
+_IMAGE_PATH = rf"(?i)^(?:[A-Z][A-Z0-9+.\-]*+:)?+(?://[^/?#]*+)?+[^?#]*{IMAGE_SUFFIX}(?:[?#]|$)"
 
 
 def _decode(c: Column) -> Column:
@@ -53,7 +60,10 @@ def _pieces(url: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip_tracking(c) -> Column:
     """Drop tracking parameters; keep the order, blanks and fragment of the rest."""
+    return _without_tracking(none_if_blank(c))
 
+
+def _without_tracking(url: Column) -> Column:
     def rebuild(p: Column) -> Column:
         pairs = F.transform(
             F.filter(F.split(p["query"], "&"), lambda e: e != ""),
@@ -70,7 +80,7 @@ def strip_tracking(c) -> Column:
             F.when(p["fragment"] != "", F.concat(F.lit("#"), p["fragment"])).otherwise(""),
         )
 
-    return _pieces(none_if_blank(c), rebuild)
+    return _pieces(url, rebuild)
 
 
 def _resolve_dots(path: Column) -> Column:
@@ -116,7 +126,12 @@ def absolute_url(c, base: str) -> Column:
             .otherwise(F.concat(F.lit(origin), path, tail))
         )
 
-    return strip_tracking(_pieces(none_if_blank(c), resolve))
+    # Most addresses are paths from the root or whole, without dots, blanks or what is to be kept of a query: they are not taken apart.
+    return let(_col(c), lambda u: (
+        F.when(u.rlike(_ROOTED), F.concat(F.lit(origin), F.substring_index(u, "?", 1)))
+        .when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:[!-~&&[^?#]]*\z"), u)
+        .otherwise(_without_tracking(_pieces(none_if_blank(u), resolve)))
+    ))
 
 
 def url_path(c) -> Column:
@@ -180,7 +195,7 @@ def background_image(c, base: str | None = None) -> Column:
 
 def valid_image_url(c, base: str | None = None) -> Column:
     url = absolute_url(c, base) if base else none_if_blank(c)
-    return let(url, lambda u: F.when(F.lower(url_path(u)).rlike(IMAGE_SUFFIX + "$"), u))
+    return let(url, lambda u: F.when(u.rlike(_IMAGE_PATH), u))
 
 
 def upstream_ids(urls) -> Column:

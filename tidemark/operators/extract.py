@@ -19,7 +19,7 @@ from ..functions import markup
 from ..functions.arrays import dedupe_array, dedupe_urls
 from ..functions.numbers import distance_m, parse_decimal_br, parse_money, parse_number_simple
 from ..functions.text import _col, let, none_if_blank, normalize_key, normalize_space, parse_address, postal_code
-from ..functions.urls import absolute_url, largest_srcset, query_value, valid_image_url
+from ..functions.urls import IMAGE_SUFFIX, absolute_url, largest_srcset, query_value, valid_image_url
 from . import outline
 
 # Attributes that can hold a picture's address, in the order they are read.
@@ -184,7 +184,8 @@ def labelled_values(pages: DataFrame, labels: list[str]) -> DataFrame:
 def links_and_images(pages: DataFrame, base: str) -> DataFrame:
     """Distinct link and picture addresses of each page, resolved, in reading order."""
     def found(tags: Column) -> Column:
-        may_show = F.filter(tags, lambda t: t.rlike(r"(?i)\s(?:href|src|srcset|data-[a-z]+)\s*="))
+        # Without such an ending, or a reference that may stand for one, a tag has no picture's address.
+        may_show = F.filter(tags, lambda t: t.rlike(f"(?i)&|{IMAGE_SUFFIX}"))
         pictures = F.flatten(F.transform(may_show, lambda t: F.concat(
             F.transform(markup.attributes_in_order(t, IMAGE_ATTRIBUTES), lambda v: valid_image_url(v)),
             F.when(t.rlike(r"(?i)\ssrcset"), F.array(valid_image_url(largest_srcset(markup.attribute(t, "srcset")))))
@@ -194,7 +195,7 @@ def links_and_images(pages: DataFrame, base: str) -> DataFrame:
         links = F.transform(anchors, lambda t: markup.attribute(t, "href"))
         return F.struct(dedupe_urls(links, base).alias("links"), dedupe_urls(pictures, base).alias("images"))
 
-    return pages.select("page_id", F.inline(F.array(let(markup.tags_of("html"), found))))
+    return pages.select("page_id", F.inline(F.array(let(markup.tags_of("html", "href|src|srcset|data-[a-z]+"), found))))
 
 
 def sections(pages: DataFrame, headings: list[str]) -> DataFrame:
