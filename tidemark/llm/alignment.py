@@ -144,7 +144,7 @@ class Aligner:
         """The distinct units of some texts, what they align to, the units of all texts in a row, and
         where each text's begin and end."""
         if self.cuts:
-            pieces = cut(texts, lead=True)
+            pieces = cut(texts, lead=True, marks=False)
             names = [p[1:] if p[:1] == " " else p for p in pieces.words]
             at, ends, whole = pieces.at, pieces.ends, pieces.whole
         else:

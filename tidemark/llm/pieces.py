@@ -57,13 +57,13 @@ def _words(texts: pa.Array, lead: bool) -> tuple[np.ndarray, pa.DictionaryArray]
     return ends - ends[0], lists.flatten().dictionary_encode()
 
 
-def cut(texts: pa.Array, lead: bool) -> Pieces:
+def cut(texts: pa.Array, lead: bool, marks: bool = True) -> Pieces:
     """Cuts at single blanks.
 
     With ``lead`` a blank belongs to the word after it, so pieces but the first of a text start with
-    one, and a text with a blank beside another blank, where the cut would not be safe, is whole; a word,
-    the marks behind it and a next line's word are pieces of their own. That holds for byte-level tokenizers
-    whose added tokens have a ``<``. Otherwise blanks and line ends only separate. No texts give no pieces.
+    one, and a text with a blank beside another blank, where the cut would not be safe, is whole; with ``marks``
+    a word, the marks behind it and a next line's word are pieces of their own. That holds for byte-level
+    tokenizers whose added tokens have a ``<``. Otherwise blanks and line ends only separate. No texts give no pieces.
     """
     ends, flat = _words(texts, lead)
     at = flat.indices.to_numpy().astype(np.int64)
@@ -79,8 +79,8 @@ def cut(texts: pa.Array, lead: bool) -> Pieces:
     heads, head_at = np.unique(first, return_inverse=True)
     at[ends[:-1]] = len(flat.dictionary) + head_at
     later = pc.binary_join_element_wise(pa.scalar(" "), flat.dictionary, pa.scalar(""))
-    words, at, ends = _part_marks(pa.concat_arrays([later, flat.dictionary.take(pa.array(heads))]), at, ends)
-    return Pieces(words, at, ends, whole)
+    words = pa.concat_arrays([later, flat.dictionary.take(pa.array(heads))])
+    return Pieces(*(_part_marks(words, at, ends) if marks else (_strings(words), at, ends)), whole)
 
 
 def uncut(texts: pa.Array) -> Pieces:
